@@ -8,8 +8,15 @@ import public_tokenizers
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import bpe, minhash, mixing, quality
-from tempora.llm.shared import table
+from tempora.llm import bpe, minhash, mixing, quality, token_store, warc
+from tempora.llm.shared import table, written
+
+
+def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages go to ARC files, these to WARC files, and the rows are read back from the WARC files."""
+    archives = warc.convert(warc.write_arcs(table(spark, sf_dir, "pages")))
+    records = warc.resolved(written(warc.read_warcs(archives), "warc-records"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,11 +57,19 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest = token_store.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_arc_to_warc": op1_arc_to_warc,
     "op2_bpe_chunks": op2_bpe_chunks,
     "op4_quality_cnn": op4_quality_cnn,
     "op6_poisson_mix": op6_poisson_mix,
     "op7_minhash": op7_minhash,
+    "op8_token_files": op8_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_poisson_mix": OP6_SQL}
