@@ -8,7 +8,7 @@ import public_tokenizers
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import bpe, minhash, mixing, quality, token_store, warc
+from tempora.llm import bpe, chat, knn, licenses, minhash, mixing, quality, spotsigs, token_store, warc
 from tempora.llm.shared import table, written
 
 
@@ -28,6 +28,11 @@ def op2_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = spotsigs.against_next(table(spark, sf_dir, "documents"))
+    return compared.withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
+
+
 def op4_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     network = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -37,6 +42,21 @@ def op4_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_kd_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = knn.integers(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return knn.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+OP5_SQL = """
+WITH usable AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -63,13 +83,54 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op10_chat_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations are expanded and written; the digests are of what is read back."""
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    made = chat.examples(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
+    read = chat.read_back(written(made, "chat-examples"))
+    whole = F.expr("array_join(transform(max_by(turns, n_turns), t -> concat(t.role, '\n', t.text, '\n')), '')")
+    loss = F.expr("array_join(transform(array_sort(collect_list(struct(example, loss))), e -> e.loss), '')")
+    grouped = read.groupBy("conv_id").agg(F.max("n_turns").alias("n_turns"), whole.alias("turns"), loss.alias("loss"), F.sum("formatted_chars").alias("formatted_chars"))
+    return grouped.select(
+        "conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars"
+    )
+
+
+def _op10_sql() -> str:
+    safe = "replace({}, chr(92), chr(92) || chr(92))"
+    for c in chat.CONTROLS:
+        safe = f"replace({safe}, '{c}', '{c[0]}' || chr(92) || '{c[1:]}')"
+    return f"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(k)),
+sized AS (SELECT *, length({safe.format("text")}) + CASE role WHEN 'user' THEN {len("".join(chat.USER))} WHEN 'assistant' THEN {len("".join(chat.ASSISTANT))}
+    WHEN 'system' THEN {len("".join(chat.SYSTEM))} ELSE {len("".join(chat.OTHER)) + 1} + length(replace({safe.format("role")}, chr(10), chr(92) || chr(10))) END AS size,
+  row_number() OVER turns AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM said WINDOW turns AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+upto AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM sized)
+SELECT conv_id, max(n) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(upto) FILTER (role = 'assistant' OR i = n))::BIGINT AS formatted_chars
+FROM upto GROUP BY conv_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_arc_to_warc": op1_arc_to_warc,
     "op2_bpe_chunks": op2_bpe_chunks,
+    "op3_spotsigs": op3_spotsigs,
     "op4_quality_cnn": op4_quality_cnn,
+    "op5_kd_trees": op5_kd_trees,
     "op6_poisson_mix": op6_poisson_mix,
     "op7_minhash": op7_minhash,
     "op8_token_files": op8_token_files,
+    "op9_license_rules": op9_license_rules,
+    "op10_chat_prefixes": op10_chat_prefixes,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_poisson_mix": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_kd_trees": OP5_SQL, "op6_poisson_mix": OP6_SQL, "op9_license_rules": licenses.oracle_sql(), "op10_chat_prefixes": _op10_sql()}
