@@ -8,6 +8,9 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+#: Rows of one Arrow batch. A row is a whole document here, so Spark's default of 10,000 would be tens of megabytes.
+BATCH_ROWS = 1000
+
 _sent: set[str] = set()
 
 
@@ -15,7 +18,11 @@ def ship(spark: SparkSession) -> None:
     """Give the package to all executors of the session's application, once.
 
     As ``spark-submit --py-files`` does: the driver serves one small archive.
+    The session's Arrow batches are made small, unless it has its own setting.
     """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _sent:
         return
