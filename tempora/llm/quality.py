@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -66,11 +67,17 @@ class Network:
             best[better], where[better] = top[better], start + at[better]
         return best, where
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        """One probability for each whole text."""
+    @cached_property
+    def _pairs(self) -> np.ndarray:
+        """The filters by two neighbouring bytes at once (13 MB)."""
         pairs = np.empty((WIDTH // 2, 65536, FILTERS), np.float32)
-        for k in range(WIDTH // 2):  # two neighbouring bytes at once
+        for k in range(WIDTH // 2):
             pairs[k] = (self.filters[2 * k + 1][:, None, :] + self.filters[2 * k][None, :, :]).reshape(65536, FILTERS)
+        return pairs
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        """One probability for each whole text."""
+        pairs = self._pairs
         response, more = np.empty((CHUNK, FILTERS), np.float32), np.empty((CHUNK, FILTERS), np.float32)
         pooled, length = np.empty((len(texts), FILTERS), np.float32), np.empty(len(texts))
         for i, text in enumerate(texts):

@@ -27,6 +27,7 @@ gives no file.
 from __future__ import annotations
 
 import itertools
+import os
 import posixpath
 import re
 import struct
@@ -48,13 +49,13 @@ from tempora.llm.shared import new_file, old_file, shared_dir, written
 SKIPPABLE, SEEK_TABLE, SEEK_FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80
 NO_ID = -(2**63)
-#: Runs of each of the two generations that a task remembers (about 60 MB each).
-REMEMBERED = 300_000
-#: New words that are encoded as the lines of one text.
+#: Runs of each of the two generations that a task remembers (about 45 MB each).
+REMEMBERED = 200_000
+#: New runs that are encoded as the lines of one text.
 LINES = 2000
 
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-_WORD = re.compile(f" ?[{_LETTERS}]+")
+_LINE = re.compile(r" ?[^ \t\n\r]+")
 # a word before anything that surely is no letter; other runs with the white space before them
 _RUN = re.compile(
     rf" ?[{_LETTERS}]+(?=[ -@\[-`{{-~\t\n\r]|\Z)| ?[^ \t\n\r]+|[\t\n\r](?=[^ \t\n\r])|[ \t\n\r]+[^ \t\n\r]+|[ \t\n\r]+"
@@ -66,6 +67,7 @@ class Encoder:
     """Ids of whole texts as the tokenizers library gives them, with equal runs encoded once."""
 
     def __init__(self, definition: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_buffer(definition)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -88,11 +90,11 @@ class Encoder:
         return [np.frombuffer(b"".join(map(find, of_text)), self.kind) for of_text in units]
 
     def _learn(self, new: list[str]) -> None:
-        words = [u for u in new if _WORD.fullmatch(u)]
-        others = [u for u in new if not _WORD.fullmatch(u)]
-        groups = [words[at : at + LINES] for at in range(0, len(words), LINES)]
+        lines = [u for u in new if _LINE.fullmatch(u)]
+        others = [u for u in new if not _LINE.fullmatch(u)]
+        groups = [lines[at : at + LINES] for at in range(0, len(lines), LINES)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False)):
-            # the split pattern keeps the ends of such lines apart, and no word holds their id
+            # the split pattern keeps the ends of such lines apart, and no run in them holds their id
             ids = np.array(e.ids, self.kind)
             ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
             if len(ends) != len(group):
@@ -220,7 +222,8 @@ def write_tokens(
                     for i, ids in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1).to_pylist())):
                         writer.add(i, np.concatenate([ids, end]))
             writer.close()
-        of = [None if i == NO_ID else i for i in (writer.index[0][0], writer.index[-1][0])]
+        known = [i for i, _, _ in writer.index if i != NO_ID]  # in order
+        of = (known[0], known[-1]) if known else (None, None)
         row = {"file": number, "path": path, "width": encoder.width, "first_id": of[0], "last_id": of[1], "n_docs": len(writer.index), "n_ids": writer.n_ids}
         yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("file", pa.int32()), ("path", pa.string()), ("width", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
