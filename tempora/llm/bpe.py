@@ -147,10 +147,9 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", to: s
     vocabulary = Vocabulary(df.sparkSession, ranks_path, pattern)
 
     @F.pandas_udf(BinaryType())
-    def joined(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def joined(ids: pd.Series) -> pd.Series:
         encoding = vocabulary.encoding()
-        for batch in batches:
-            yield pd.Series([None if x is None else encoding.decode_bytes(x.tolist()) for x in batch], dtype=object)
+        return pd.Series([None if x is None else encoding.decode_bytes(x.tolist()) for x in ids], dtype=object)
 
     return df.withColumn(to, joined(F.col(ids)))
 
