@@ -8,27 +8,35 @@ from pyspark.sql import DataFrame
 from tempora.llm.shared import written
 
 
-def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``(node, label)`` of every node of ``links(a, b)``; label is the smallest node of its component.
 
     Each round takes the smallest label among a node's neighbours and then the
-    label of that label, so chains shorten by halves.  ``start`` holds labels
-    already known from a part of the links.  No links give an empty table.
+    label of that label, so chains shorten by halves.  No links give an empty
+    table.
     """
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
     edges = written(both.distinct(), "edges")
-    labels = edges.select("node").distinct().withColumn("label", F.col("node"))
-    if start is not None:
-        known = start.select(F.col("node").alias("known"), F.col("label").alias("known_label"))
-        labels = labels.join(known, F.col("node") == F.col("known"), "full").select(F.coalesce("node", "known").alias("node"), F.coalesce("known_label", "label").alias("label"))
+    labels = edges.groupBy("node").agg(F.least("node", F.min("other")).alias("label"))
     labels = written(labels, "labels")
     while True:
         of_other = labels.select(F.col("node").alias("other"), F.col("label").alias("other_label"))
         least = edges.join(of_other, "other").groupBy("node").agg(F.min("other_label").alias("near"))
         near = labels.join(least, "node", "left").select("node", "label", F.least("label", "near").alias("next"))
-        # a label is itself a node with a label, which is never larger; hot labels are looked up once each
+        # a label is itself a node with a label, which is never larger
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("jump"))
         step = written(near.join(jump, "next", "left").select("node", "label", F.least("next", "jump").alias("next")), "labels")
         labels = step.select("node", F.col("next").alias("label"))
         if step.filter("next <> label").isEmpty():
             return labels
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after more ``links``: only the components that these touch are drawn together."""
+    a, b = labels.select(F.col("node").alias("a"), F.col("label").alias("of_a")), labels.select(F.col("node").alias("b"), F.col("label").alias("of_b"))
+    between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    moved = components(between.filter("a <> b")).select(F.col("node").alias("label"), F.col("label").alias("lower"))
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    single = nodes.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    everyone = labels.select("node", "label").unionByName(single)
+    return written(everyone.join(moved, "label", "left").select("node", F.coalesce("lower", "label").alias("label")), "labels")

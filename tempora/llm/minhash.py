@@ -9,11 +9,12 @@ coordinates make candidates: two sets of similarity 0.75 share none with
 probability (1 - 0.75 ** 4) ** 32, about 5e-6.
 
 Equal sets are one class from the start.  Within a bucket the classes are
-compared with its smallest member only, confirmed links are drawn together, and
-then whatever in a bucket is not of its largest component is compared with all
-members of other components, in blocks.  So no pair of different components
-that share a bucket goes untested, and none within a component is tested
-twice.  Links are confirmed on full sets.
+compared with its smallest member only and confirmed links are drawn together.
+Then whatever in a bucket is not of its largest component is compared with all
+members of other components: pair by pair in narrow buckets, in blocks through
+an index of shingles in wide ones.  So no pair of different components that
+share a bucket goes untested, while pairs within a component are left out.
+Links are confirmed on full sets.
 
 Defined cases: null text counts as empty; a text without words has the empty
 set and is linked with nothing; fewer words than a shingle make one shingle of
@@ -26,19 +27,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from tempora.llm.graph import components
+from tempora.llm.graph import components, joined
 from tempora.llm.shared import written
 
 COORDINATES, BANDS = 128, 32
 ROWS = COORDINATES // BANDS
-#: Members of one bucket that one task at most holds against another block.
-BLOCK = 4096
+#: Members from which a bucket is wide, and about how many of them one task holds against as many others.
+WIDE, BLOCK = 32, 2048
 #: Shingles that are sketched together.
 TOGETHER = 1_000_000
 
@@ -79,7 +81,7 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     """Rows of COORDINATES values, one for each non-empty set."""
     t = COORDINATES
     values = np.full(len(sets) * t, np.iinfo(np.uint64).max, np.uint64)
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], np.int64)
     elements = np.concatenate(sets) if len(sets) else np.empty(0, np.uint64)
     owner = np.repeat(np.arange(len(sets)), sizes)
     for i in range(2 * t):
@@ -88,11 +90,11 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
         h = _mix(elements * _ROUND[i] + _U(i))
         bins = (h >> _U(57)).astype(np.int64) if i < t else np.full(len(h), i - t)
         np.minimum.at(values, owner * t + bins, (_U(i) << _U(48)) | (h & _U(0xFFFFFFFFFFFF)))
-        open_ = (values.reshape(-1, t) == np.iinfo(np.uint64).max).any(axis=1)
+        open_ = (values.reshape(len(sets), t) == np.iinfo(np.uint64).max).any(axis=1)
         more = open_[owner]
         if not more.all():
             elements, owner = elements[more], owner[more]
-    return values.reshape(-1, t)
+    return values.reshape(len(sets), t)
 
 
 def bands(values: np.ndarray) -> np.ndarray:
@@ -157,22 +159,62 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.filter(100 * both >= percent * (F.size("of_a") + F.size("of_b") - both)).select("a", "b").distinct()
 
 
-def _left_over(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(a, b)`` of every bucket whose members are of different components, with one of them outside its largest."""
+def _mixed(entries: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of buckets with their labels, and ``(key, main, n, outside)`` of buckets with several labels."""
     member = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     member = written(member.select("key", "node", "label"), "members")
     sizes = member.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"))
-    mixed = mixed.filter("labels > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    held = member.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    rest = held.filter("label <> main").select(
-        "key", F.col("node").alias("x"), F.col("label").alias("x_label"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block")
-    )
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
+    mixed = mixed.select("key", "main.label", "n", (F.col("n") - F.col("main.n")).alias("outside")).withColumnRenamed("label", "main")
+    return member, written(mixed.filter("outside > 0"), "mixed")
+
+
+def _narrow_pairs(member: DataFrame, mixed: DataFrame) -> DataFrame:
+    """``(a, b)`` of different labels in buckets of less than WIDE members: at most WIDE pairs for a member."""
+    held = member.join(mixed.filter(F.col("n") < WIDE), "key").select("key", "node", "label", "main")
+    rest = held.filter("label <> main").select("key", F.col("node").alias("x"), F.col("label").alias("x_label"))
     # of two members outside the largest component the smaller one asks
-    pairs = rest.join(held, ["key", "block"]).filter("x_label <> label and (label = main or x < node)")
+    pairs = rest.join(held, "key").filter("x_label <> label and (label = main or x < node)")
     return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
+def _wide_links(member: DataFrame, mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: one link of each member outside a wide bucket's largest component to each other component it is linked with.
+
+    Both sides come in blocks with their sets, and a task counts what the sets
+    share through an index of their shingles, so no pair is formed.
+    """
+    wide = mixed.filter(F.col("n") >= WIDE).withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("asking", F.ceil(F.col("outside") / BLOCK))
+    held = member.join(wide, "key").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    every = {n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).alias(n) for n, c in (("block", "blocks"), ("part", "asking"))}
+    part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("asking")).alias("part")
+    rest = held.filter("label <> main").select(F.col("key").alias("own_key"), part, F.col("node").alias("x"), F.col("label").alias("x_label"), F.col("set").alias("own"), every["block"])
+    rest = rest.toDF("own_key", "own_part", "x", "x_label", "own", "own_block")
+    here = held.select("key", "block", "node", "label", "set", every["part"])
+    node = member.schema["node"]
+    schema = StructType([StructField("a", node.dataType), StructField("b", node.dataType)])
+
+    def linked(asking: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asking) and len(there):
+            sizes = there["set"].map(len).to_numpy()
+            owner = np.repeat(np.arange(len(there)), sizes)
+            words = np.concatenate(there["set"].to_list())
+            order = np.argsort(words, kind="stable")
+            words, owner = words[order], owner[order]
+            label, nodes = there["label"].to_numpy(), there["node"].to_numpy()
+            for x, of_x, own in zip(asking["x"], asking["x_label"], asking["own"]):
+                starts, ends = np.searchsorted(words, own), np.searchsorted(words, own, "right")
+                both = np.bincount(np.concatenate([owner[s:e] for s, e in zip(starts, ends)]), minlength=len(there))
+                near = np.flatnonzero((100 * both >= percent * (sizes + len(own) - both)) & (label != of_x))
+                for y in near[np.unique(label[near], return_index=True)[1]]:
+                    out.append((min(x, nodes[y]), max(x, nodes[y])))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    asked = rest.groupBy("own_key", "own_part", "own_block")
+    return asked.cogroup(here.groupBy("key", "part", "block")).applyInPandas(linked, schema).distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of every row of ``docs``.
 
@@ -190,16 +232,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stars = entries.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     links = written(_confirmed(stars, sets, percent), "links")
     labels = components(links)
-    others = _left_over(entries.select("key", "node"), labels).join(stars, ["a", "b"], "left_anti")
-    more = written(_confirmed(others, sets, percent), "links")
+    members, mixed = _mixed(entries.select("key", "node"), labels)
+    narrow = _narrow_pairs(members, mixed).join(stars, ["a", "b"], "left_anti")
+    more = written(_confirmed(narrow, sets, percent).union(_wide_links(members, mixed, sets, percent)), "links")
     if not more.isEmpty():
-        labels = components(more, labels)
+        labels = joined(labels, more)
 
     members = filled.groupBy("digest").agg(F.min("doc_id").alias("node"))
     members = members.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component"))
-    joined = sketches.select("doc_id", "n_shingles", "digest").join(members, "digest", "left")
+    rows = sketches.select("doc_id", "n_shingles", "digest").join(members, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:

@@ -29,11 +29,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    This cuts the lineage with a copy that outlives any executor.
+    This cuts the lineage with a copy that outlives any executor.  Zstandard
+    needs no off-heap buffers, which pile up over many small tables.
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -252,7 +252,7 @@ def _rows(path: str, width: int, start: int, wanted: set[int] | None) -> Iterato
 def _spread(df: DataFrame) -> DataFrame:
     """A file to a task, or few."""
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(tasks, "file")
+    return df.repartition(tasks, F.xxhash64("file"))
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:

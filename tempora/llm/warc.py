@@ -217,7 +217,7 @@ DIGESTS = "archive string, offset long, record_id string, url string, date strin
 def _spread(df: DataFrame) -> DataFrame:
     """An archive to a task, or few."""
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(tasks, "archive")
+    return df.repartition(tasks, F.xxhash64("archive"))  # kept apart from a join on the archive, whose few bytes would be put in one task
 
 
 def _each(path: str, parse) -> Iterator:
