@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tempora.functions import text
 from tempora.operators import align, intervals, series
-from tempora.plans import calibrate, catalog, evaluate, score
+from tempora.plans import calibrate, catalog, evaluate, retake, score
+from tempora.sources import labels as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -533,3 +534,56 @@ def isotonic_knots(spark, sf_dir):
 @query("""SELECT l_returnflag, greatest(0.4, least(2.0, sum(l_tax * l_discount) / sum(l_tax * l_tax))) AS weight FROM lineitem GROUP BY 1""")
 def least_squares_weight(spark, sf_dir):
     return calibrate.weight_of_least_squares(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_tax", "l_discount")
+
+
+# ---------------------------------------------------------------- retakes, cuts
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, round(l_quantity * CASE WHEN was > 0 THEN least(1.0, now / was) WHEN now > 0 THEN 1.0 ELSE 0.0 END, 2) AS points_after FROM
+(SELECT *, greatest(0.0, 0.02 - l_discount, l_discount - 0.05) AS was, greatest(0.0, 0.02 - l_tax, l_tax - 0.05) AS now FROM lineitem)""")
+def retake_points(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("points_lost"), F.col("l_discount").alias("first"), F.col("l_tax").alias("again"), F.lit(0.02).alias("low"), F.lit(0.05).alias("high"))
+    return retake.points_after(lines).select("l_orderkey", "l_linenumber", "points_after")
+
+
+@query("""
+WITH f AS (SELECT *, value > 60 AS flagged, row_number() OVER w - 1 AS i FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, sum(flagged::INT) OVER (PARTITION BY user_id ORDER BY i) AS block FROM f),
+n AS (SELECT user_id, i, block, (row_number() OVER (PARTITION BY user_id, block ORDER BY i) - 1) // 8 AS k FROM g WHERE NOT flagged)
+SELECT user_id AS clip_id, min(i) AS w0, max(i) AS w1 FROM n GROUP BY user_id, block, k HAVING count(*) = 8""")
+def clean_windows(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("i", F.row_number().over(series._in_order(USER, ORDER)) - 1)
+    return retake.clean_windows(e.select(F.col("user_id").alias("clip_id"), "i", (F.col("value") > 60).alias("flagged"))).select("clip_id", "w0", "w1")
+
+
+@query("""
+WITH b AS (SELECT *, coalesce(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM orders)
+SELECT o_custkey, o_orderkey FROM b WHERE before < 500000""")
+def until_total(spark, sf_dir):
+    return sources.until_total(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice", 500000.0).select("o_custkey", "o_orderkey")
+
+
+@query("""
+WITH s AS (SELECT o_custkey % 50 AS take, CASE o_orderstatus WHEN 'F' THEN NULL ELSE o_orderstatus END AS condition, avg(o_totalprice) AS overall FROM orders GROUP BY 1, 2)
+SELECT a.condition, avg(abs(a.overall - b.overall)) AS mean_shift, max(abs(a.overall - b.overall)) AS worst_shift, count(*) AS n FROM s a JOIN s b ON a.take = b.take AND b.condition IS NULL WHERE a.condition IS NOT NULL GROUP BY 1""")
+def invariance_by_condition(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumns({"take_id": F.pmod("o_custkey", F.lit(50)), "condition": F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus"))})
+    return evaluate.invariance(o.groupBy("take_id", "condition").agg(F.avg("o_totalprice").alias("overall")))
+
+
+@query(f"""
+WITH t AS (SELECT event_id, user_id, event_type, {T} AS t FROM events), m AS (SELECT * FROM t WHERE event_type IN ('view', 'click')),
+f AS (SELECT user_id, t AS s, t + 1800 AS e, event_id % 2 = 0 AS same FROM t WHERE event_type = 'error'),
+h AS (SELECT m.event_id, m.event_type, count(f.s) > 0 AS hit, coalesce(bool_or(m.event_id % 2 = 0 AND f.same OR m.event_id % 2 = 1 AND NOT f.same), false) AS same FROM m LEFT JOIN f ON m.user_id = f.user_id AND m.t >= f.s - 600 AND m.t <= f.e + 600 GROUP BY 1, 2)
+SELECT event_type AS rater, count(*) AS n_marks, count(*) FILTER (hit) AS any_area, count(*) FILTER (same) AS same_area FROM h GROUP BY 1""")
+def marks_met(spark, sf_dir):
+    e = timed(table(spark, sf_dir, "events")).withColumn("area", F.pmod("event_id", F.lit(2)).cast("string"))
+    marks = e.filter("event_type in ('view', 'click')").select(F.col("event_type").alias("rater"), F.col("user_id").alias("clip"), F.col("t").alias("t_s"), "area", F.col("event_id").alias("mark_id"))
+    flags = e.filter("event_type = 'error'").select(F.col("user_id").alias("clip"), F.col("t").alias("start_s"), (F.col("t") + 1800).alias("end_s"), F.col("area").alias("category"))
+    return evaluate.marks_met(marks, flags, within_s=600.0, width=3600.0)
+
+
+@query("""SELECT l_returnflag AS flaw, round(greatest(0.1, avg((l_discount > 0.05)::INT)), 3) AS reliability FROM lineitem GROUP BY 1""")
+def fit_reliability(spark, sf_dir):
+    return calibrate.reliability(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flaw"), (F.col("l_discount") > 0.05).alias("hit")))
