@@ -49,8 +49,8 @@ from tempora.llm.shared import new_file, old_file, shared_dir, written
 SKIPPABLE, SEEK_TABLE, SEEK_FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80
 NO_ID = -(2**63)
-#: Runs of each of the two generations that a task remembers (about 45 MB each).
-REMEMBERED = 200_000
+#: Runs of each of the two generations that a worker remembers (about 90 MB each).
+REMEMBERED = 400_000
 #: New runs that are encoded as the lines of one text.
 LINES = 2000
 
@@ -107,6 +107,17 @@ class Encoder:
             self.known[u] = np.array(e.ids, self.kind).tobytes()
 
 
+_encoders: dict[int, Encoder] = {}
+
+
+def _encoder(definition: bytes) -> Encoder:
+    """The encoder of this worker process, which a later task finds with what it has learnt."""
+    key = hash(definition)
+    if key not in _encoders:
+        _encoders[key] = Encoder(definition)
+    return _encoders[key]
+
+
 class _Writer:
     """One file; documents go in by ascending id."""
 
@@ -212,7 +223,7 @@ def write_tokens(
             return
         number = TaskContext.get().partitionId()
         path = posixpath.join(folder, f"tokens-{number:06d}.zst")
-        encoder = Encoder(definition.value)
+        encoder = _encoder(definition.value)
         end = np.array([] if end_id is None else [end_id], f"<u{encoder.width}")
         with new_file(path) as out:
             writer = _Writer(out, encoder.width, frame_ids, level)
