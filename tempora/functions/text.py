@@ -10,6 +10,13 @@ FILLERS = ["uh", "um", "er", "erm", "ah", "hmm", "mm"]
 CLOSING = "\"')]}"
 
 
+def words_in(text: Column) -> Column:
+    """A text's words as ``words_of`` tells them apart: an array of (``w``, ``clean``, ``bare``)."""
+    parts = F.split(F.trim(F.regexp_replace(F.regexp_replace(text, "[–—]|--", " "), r"[ \t\r\n\f]+", " ")), " ")
+    tokens = F.transform(parts, lambda w: F.struct(w.alias("w"), F.regexp_replace(F.lower(w), "[^a-z']", "").alias("clean"), F.rtrim(w, F.lit(CLOSING)).alias("bare")))
+    return F.filter(tokens, lambda t: F.length(t["clean"]) > 0)
+
+
 def words_of(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` exploded to words: ``i`` (from 0), ``w``, ``clean``, ``sent_end``, ``clause_end``.
 
@@ -17,10 +24,7 @@ def words_of(df: DataFrame, text: str = "text") -> DataFrame:
     rest is numbered anew; a sentence ends at ``. ? !`` and a clause also at
     ``, ; :``, closing quotes and brackets aside.
     """
-    parts = F.split(F.trim(F.regexp_replace(F.regexp_replace(F.col(text), "[–—]|--", " "), r"[ \t\r\n\f]+", " ")), " ")
-    tokens = F.transform(parts, lambda w: F.struct(w.alias("w"), F.regexp_replace(F.lower(w), "[^a-z']", "").alias("clean"), F.rtrim(w, F.lit(CLOSING)).alias("bare")))
-    kept = F.filter(tokens, lambda t: F.length(t["clean"]) > 0)
-    rows = df.select("*", F.posexplode(kept).alias("i", "_t"))
+    rows = df.select("*", F.posexplode(words_in(F.col(text))).alias("i", "_t"))
     return rows.select(*df.columns, "i", F.col("_t.w").alias("w"), F.col("_t.clean").alias("clean"), F.col("_t.bare").rlike(r"[.?!]$").alias("sent_end"), F.col("_t.bare").rlike(r"[,;:.?!]$").alias("clause_end"))
 
 

@@ -6,6 +6,7 @@ together by key and aligned by one task with numpy.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -22,38 +23,119 @@ def similarity(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-def align_words(ref: list[str], hyp: list[str]) -> list[tuple[int | None, int | None, float | None]]:
-    """Global alignment: equal 1, similar 2 * ratio - 1, other -1, gap -0.6; ties prefer a pair, then a gap in ``hyp``."""
+def _in_common(a: str, masks: dict[str, int], n: int) -> int:
+    """Length of the longest common subsequence of ``a`` and the word of ``n`` letters whose places ``masks`` holds, in bits."""
+    rest = whole = (1 << n) - 1
+    for c in a:
+        hit = rest & masks.get(c, 0)
+        rest = (rest + hit | rest - hit) & whole
+    return n - rest.bit_count()
+
+
+def _scores(ref: list[str], hyp: list[str]) -> np.ndarray:
+    """Of each pair of words: equal 1, similar 2 * ratio - 1, other -1.
+
+    What two words have in common is at most the letters that both hold, and
+    at most their longest common subsequence, so only pairs that these let be
+    similar are measured.
+    """
+    ours, theirs = sorted(set(ref)), sorted(set(hyp))
+    place = [{w: k for k, w in enumerate(words)} for words in (ours, theirs)]
+    column: dict[tuple[str, int], int] = {}
+
+    def held(words: list[str]) -> list[list[int]]:
+        """A word's letters as numbers, the first, second, ... of a letter each with its own."""
+        out = []
+        for w in words:
+            seen: dict[str, int] = {}
+            for c in w:
+                seen[c] = seen.get(c, 0) + 1
+            out.append([column.setdefault((c, k), len(column)) for c, n in seen.items() for k in range(n)])
+        return out
+
+    letters = held(ours), held(theirs)
+    sets = [np.zeros((len(words), max(1, len(column))), np.float32) for words in letters]
+    for matrix, words in zip(sets, letters):
+        for k, numbers in enumerate(words):
+            matrix[k, numbers] = 1
+    lengths = np.array([len(w) for w in ours])[:, None] + np.array([len(w) for w in theirs])
+    score = np.full((len(ours), len(theirs)), -1.0)
+    least = (SIMILAR - 1e-6) * lengths
+    may = 2 * (sets[0] @ sets[1].T) >= least
+    matcher = SequenceMatcher()
+    for j in np.flatnonzero(may.any(axis=0)):
+        word, masks, told = theirs[j], {}, False
+        for k, c in enumerate(word):
+            masks[c] = masks.get(c, 0) | 1 << k
+        for i in np.flatnonzero(may[:, j]):
+            if ours[i] == word:
+                score[i, j] = 1.0
+                continue
+            if 2 * _in_common(ours[i], masks, len(word)) < least[i, j]:
+                continue
+            if not told:
+                matcher.set_seq2(word)
+                told = True
+            matcher.set_seq1(ours[i])
+            ratio = matcher.ratio()
+            if ratio > SIMILAR:
+                score[i, j] = 1.0 if ratio == 1.0 else 2 * ratio - 1
+    return score[np.ix_([place[0][w] for w in ref], [place[1][w] for w in hyp])]
+
+
+def _steps(ref: list[str], hyp: list[str]) -> list[tuple[int | None, int | None]]:
+    """The cells of the best path in order; the table is filled by anti-diagonals."""
     n, m = len(ref), len(hyp)
-    known: dict[tuple[str, str], float] = {}
     total = np.zeros((n + 1, m + 1))
     total[:, 0], total[0, :] = GAP * np.arange(n + 1), GAP * np.arange(m + 1)
-    step, value = np.zeros((n + 1, m + 1), np.int8), np.zeros((n, m))
-    step[1:, 0], step[0, 1:] = 1, 2
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            pair = (ref[i - 1], hyp[j - 1])
-            if pair not in known:
-                known[pair] = 1.0 if pair[0] == pair[1] else similarity(*pair)
-            s = value[i - 1, j - 1] = known[pair]
-            options = (total[i - 1, j - 1] + (1.0 if s == 1.0 else 2 * s - 1 if s > SIMILAR else -1.0), total[i - 1, j] + GAP, total[i, j - 1] + GAP)
-            total[i, j] = max(options)
-            step[i, j] = next(k for k in range(3) if np.isclose(options[k], total[i, j]))
+    step = np.full((n + 1, m + 1), 2, np.int8)
+    step[1:, 0] = 1
+    if n and m:
+        padded = np.zeros((n + 1, m + 1))
+        padded[1:, 1:] = _scores(ref, hyp)
+        flat, score = total.reshape(-1), padded.reshape(-1)
+        for d in range(2, n + m + 1):
+            low, high = max(1, d - m), min(n, d - 1)
+            start, end = low * (m + 1) + d - low, high * (m + 1) + d - high + 1
+            pair = flat[start - m - 2 : end - m - 2 : m] + score[start:end:m]
+            gap = np.maximum(flat[start - m - 1 : end - m - 1 : m], flat[start - 1 : end - 1 : m]) + GAP
+            flat[start:end:m] = np.maximum(pair, gap)
+        best = total[1:, 1:]
+        near = 1e-8 + 1e-5 * np.abs(best)  # as np.isclose
+        inner = step[1:, 1:]
+        inner[np.abs(total[:-1, 1:] + GAP - best) <= near] = 1
+        inner[np.abs(total[:-1, :-1] + padded[1:, 1:] - best) <= near] = 0
     out, i, j = [], n, m
     while i or j:
         k = step[i, j]
-        if k == 0 and i and j:
+        if k == 0:
             i, j = i - 1, j - 1
-            out.append((i, j, float(value[i, j])))
-        elif k == 1 and i:
+            out.append((i, j))
+        elif k == 1:
             i -= 1
-            out.append((i, None, None))
+            out.append((i, None))
         else:
             j -= 1
-            out.append((None, j, None))
+            out.append((None, j))
     return out[::-1]
 
 
+def align_words(ref: list[str], hyp: list[str]) -> list[tuple[int | None, int | None, float | None]]:
+    """Global alignment: equal 1, similar 2 * ratio - 1, other -1, gap -0.6; ties prefer a pair, then a gap in ``hyp``."""
+    return [(i, j, None if i is None or j is None else 1.0 if ref[i] == hyp[j] else similarity(ref[i], hyp[j])) for i, j in _steps(ref, hyp)]
+
+
+def aligned_counts(pairs: DataFrame) -> DataFrame:
+    """Words of both sides and aligned pairs of ``pairs(clip_id, ref array<string>, hyp array<string>)``, one row each."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            n = [sum(i is not None and j is not None for i, j in _steps(list(r), list(h))) for r, h in zip(b["ref"], b["hyp"])]
+            yield pd.DataFrame({"clip_id": b["clip_id"], "ref": b["ref"].map(len), "hyp": b["hyp"].map(len), "pairs": n}).astype({c: "int64" for c in ("ref", "hyp", "pairs")})
+
+    return pairs.select("clip_id", "ref", "hyp").mapInPandas(count, "clip_id string, ref long, hyp long, pairs long")
+
+
 def word_alignment(ref: DataFrame, hyp: DataFrame) -> DataFrame:
     """Full outer sequence join of ``ref(clip_id, i, w)`` and ``hyp(clip_id, j, w)``."""
 

@@ -493,11 +493,11 @@ def weighted_sample_order(spark, sf_dir):
 
 @query()
 def nw_alignment(spark, sf_dir):
-    """Consecutive turns of a conversation aligned word by word."""
-    w = text.words_of(table(spark, sf_dir, "conversations").filter("turn < 2").select("conv_id", "turn", "text"))
-    w = w.filter("i < 60").select(F.col("conv_id").cast("string").alias("clip_id"), "turn", "i", F.col("clean").alias("w"))
-    found = align.word_alignment(w.filter("turn = 0"), w.filter("turn = 1").withColumnRenamed("i", "j"))
-    return found.groupBy("clip_id").agg(F.count("ref_i").alias("ref"), F.count("hyp_j").alias("hyp"), F.count("sim").alias("pairs"))
+    """Each turn of a conversation aligned word by word with the turn of the next number; ``clip_id`` is conversation:turn."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(text.words_in(F.coalesce("text", F.lit(""))), lambda t: t["clean"]).alias("ref"))
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ref").alias("hyp"))
+    pairs = turns.join(after, ["conv_id", "turn"]).withColumn("clip_id", F.concat_ws(":", "conv_id", "turn"))
+    return align.aligned_counts(pairs)
 
 
 @query()

@@ -37,3 +37,36 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
 def test_other_queries_run(spark, sf_dir, name):
     assert queries.QUERIES[name](spark, sf_dir).count() >= 0
+
+
+def test_every_turn_is_aligned_over_all_words(spark, tmp_path):
+    import random
+
+    from tempora.operators.align import GAP, SIMILAR, similarity
+
+    r = random.Random(3)
+    words = ["a", "the", "then", "thing", "things", "form", "from", "people", "queue"]
+    turns = [(c, t, " ".join(r.choice(words) for _ in range(n))) for c, sizes in ((1, [3, 70, 75, 4]), (2, [5, 0, 6]), (3, [2])) for t, n in enumerate(sizes)]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+
+    def pairs(a, b):
+        """By the plain table, cell by cell."""
+        total = [[GAP * (i + j) for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        point = lambda x, y: 1.0 if x == y else 2 * s - 1 if (s := similarity(x, y)) > SIMILAR else -1.0
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                total[i][j] = max(total[i - 1][j - 1] + point(x, y), total[i - 1][j] + GAP, total[i][j - 1] + GAP)
+        i, j, n = len(a), len(b), 0
+        near = lambda x, y: abs(x - y) <= 1e-8 + 1e-5 * abs(y)
+        while i or j:
+            if i and j and near(total[i - 1][j - 1] + point(a[i - 1], b[j - 1]), total[i][j]):
+                i, j, n = i - 1, j - 1, n + 1
+            elif i and near(total[i - 1][j] + GAP, total[i][j]):
+                i -= 1
+            else:
+                j -= 1
+        return n
+
+    said = {(c, t): s.split() for c, t, s in turns}
+    want = {(f"{c}:{t}", len(a), len(said[c, t + 1]), pairs(a, said[c, t + 1])) for (c, t), a in said.items() if (c, t + 1) in said}
+    assert {tuple(x) for x in queries.nw_alignment(spark, str(tmp_path)).select("clip_id", "ref", "hyp", "pairs").collect()} == want
