@@ -502,14 +502,24 @@ def nw_alignment(spark, sf_dir):
 
 @query()
 def dtw_distance(spark, sf_dir):
-    """Embeddings of two labels as short series of frames (eight numbers each), warped onto each other."""
-    e = table(spark, sf_dir, "embeddings").filter("label < 2")
-    frames = e.select(F.pmod(F.floor(F.col("vec_id") / 4), F.lit(50)).cast("string").alias("clip_id"), "label", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("embedding", k * 8 + 1, 8))).alias("k", "v"), "vec_id")
+    """Embeddings as short series of frames (eight numbers each), each warped onto its block's next label.
+
+    A label's vectors among 50 consecutive ids are a series, so its length is
+    bounded whatever the table's size; the last label is followed by the
+    first, a label alone in its block by itself.
+    """
     from pyspark.sql import Window
 
-    order = F.row_number().over(Window.partitionBy("clip_id", "label").orderBy("vec_id", "k")) - 1
-    frames = frames.withColumn("frame_i", order).filter("frame_i < 40").select("clip_id", "label", "frame_i", F.col("v").cast("array<double>").alias("vector"))
-    path = align.frame_alignment(frames.filter("label = 0"), frames.filter("label = 1"))
+    e = table(spark, sf_dir, "embeddings").withColumn("block", F.floor(F.col("vec_id") / 50))
+    frames = e.select("block", "label", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("embedding", k * 8 + 1, 8))).alias("k", "v"), "vec_id", "embedding")
+    order = F.row_number().over(Window.partitionBy("block", "label").orderBy("vec_id", "embedding", "k")) - 1
+    frames = frames.select("block", "label", order.alias("frame_i"), F.col("v").cast("array<double>").alias("vector"))
+    there = e.select("block", "label").distinct()
+    after = F.coalesce(F.lead("label").over(Window.partitionBy("block").orderBy("label")), F.min("label").over(Window.partitionBy("block")))
+    onto = there.select("block", F.col("label").alias("of_label"), after.alias("label"))
+    ref = frames.select(F.concat_ws(":", "block", "label").alias("clip_id"), "frame_i", "vector")
+    par = frames.join(onto, ["block", "label"]).select(F.concat_ws(":", "block", "of_label").alias("clip_id"), "frame_i", "vector")
+    path = align.frame_alignment(ref, par)
     return path.groupBy("clip_id").agg(F.max("path_cost").alias("path_cost"), F.count(F.lit(1)).alias("steps"))
 
 

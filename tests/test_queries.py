@@ -70,3 +70,24 @@ def test_every_turn_is_aligned_over_all_words(spark, tmp_path):
     said = {(c, t): s.split() for c, t, s in turns}
     want = {(f"{c}:{t}", len(a), len(said[c, t + 1]), pairs(a, said[c, t + 1])) for (c, t), a in said.items() if (c, t + 1) in said}
     assert {tuple(x) for x in queries.nw_alignment(spark, str(tmp_path)).select("clip_id", "ref", "hyp", "pairs").collect()} == want
+
+
+def test_every_embedding_is_warped(spark, tmp_path):
+    import numpy as np
+
+    from tempora.operators import align
+
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in r.normal(size=64).astype(np.float32)], int(r.integers(0, 4))) for i in range(130)] + [(200, [1.0] * 64, 7)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    series = {}
+    for i, v, label in rows:
+        series.setdefault((i // 50, label), []).extend(np.array(v).reshape(8, 8))
+    want = {}
+    for block, label in series:
+        there = sorted(x for b, x in series if b == block)
+        after = there[(there.index(label) + 1) % len(there)]
+        path, cost = align.warp(np.array(series[block, label]), np.array(series[block, after]))
+        want[f"{block}:{label}"] = (round(cost, 9), len(path))
+    assert {x.clip_id: (round(x.path_cost, 9), x.steps) for x in queries.dtw_distance(spark, str(tmp_path)).collect()} == want
+    assert sum(len(x) for x in series.values()) == 8 * len(rows)
