@@ -1,9 +1,10 @@
 """Licence scan by sentence rules, in DataFrame functions only.
 
-A text is split into sentences at line ends and after ``. ! ? : ;``, once as it
-stands and once with its lines joined (for wrapped lines).  A sentence is
-normalised to its lower-case letters and digits and mapped to the identifier
-of a known licence sentence.  The identifiers of a text, in order, are matched
+Sentences end at line ends and after ``. ! ? : ;``, and one may also go on over
+line ends (for wrapped lines).  A text is normalised to its lower-case letters
+and digits and these two kinds of ends; every stretch from one end to another
+that is a known licence sentence gives its identifier, from left to right, the
+longest first, so headings and other lines beside a sentence do no harm.  The identifiers of a text, in order, are matched
 against ordered licence rules: each rule that matches names its licence and
 takes the identifiers it matched out, so specific rules come first.
 
@@ -127,11 +128,20 @@ def rule_pattern(rule: str) -> str:
     return "".join(parts) + r"\|"
 
 
+def _known_pattern() -> str:
+    """A known sentence between two ends (``|`` after a stop, ``/`` between lines), lines within it joined."""
+    longest_first = sorted(map(normalised, SENTENCES.values()), key=lambda s: (-len(s), s))
+    return "(?<=[|/])(?:" + "|".join(s.replace(" ", "[ /]") for s in longest_first) + ")(?=[|/])"
+
+
 def _identifiers(text: Column) -> Column:
     known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (normalised(s), i)])
-    sentences = F.split(F.regexp_replace(text, AFTER_STOP, "$1\n"), "\n")
-    plain = F.transform(sentences, lambda s: F.lower(F.trim(F.regexp_replace(s, OTHER_SIGNS, " "))))
-    return F.filter(F.transform(plain, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    plain = F.regexp_replace(F.translate(text, "|/", "##"), AFTER_STOP, "|")
+    plain = F.regexp_replace(F.regexp_replace(plain, LINE_ENDS, "/"), "[^A-Za-z0-9|/]+", " ")
+    plain = F.regexp_replace(F.regexp_replace(plain, " ?/[ /]*+", "/"), r"[ /]?\|[ |/]*+", "|")
+    ended = F.concat(F.lit("|"), F.lower(F.trim(plain)), F.lit("|"))
+    found = F.regexp_extract_all(ended, F.lit(_known_pattern()), F.lit(0))
+    return F.transform(found, lambda s: F.try_element_at(known, F.translate(s, "/", " ")))
 
 
 def _matched(identifiers: Column) -> Column:
@@ -149,9 +159,7 @@ def _matched(identifiers: Column) -> Column:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``sentence_ids`` and ``licences``, both joined by commas."""
     hinted = F.when(F.regexp_like(F.col(f"`{text}`"), F.lit(HINT)), F.regexp_replace(F.col(f"`{text}`"), SPDX, "SPDX-License-Identifier "))
-    as_is, joined = _identifiers(hinted), _identifiers(F.regexp_replace(hinted, LINE_ENDS, " "))
-    # the joined reading counts where it knows more sentences
-    rows = docs.withColumn("sentence_ids", F.when(F.size(joined) > F.size(as_is), joined).otherwise(as_is))
+    rows = docs.withColumn("sentence_ids", _identifiers(hinted))
     found = F.when(F.size("sentence_ids") > 0, F.array_distinct(_matched(F.col("sentence_ids"))))
     return rows.withColumn("licences", F.coalesce(F.array_join(found, ","), F.lit(""))).withColumn("sentence_ids", F.coalesce(F.array_join("sentence_ids", ","), F.lit("")))
 

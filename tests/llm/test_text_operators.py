@@ -249,6 +249,23 @@ def test_licences_by_sentences(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_published_licence_files(spark):
+    import textwrap
+
+    s, copyright = licenses.SENTENCES, "Copyright (c) 2020 Jane Doe"
+    wrapped = lambda *parts: "\n\n".join(textwrap.fill(p, 72) for p in parts) + "\n"
+    mit = wrapped("MIT License", copyright, s["mit-grant"] + ":", s["mit-notice"] + ".", f"{s['mit-as-is']}. {s['mit-liability']}.")
+    isc = wrapped("ISC License", copyright, s["isc-grant"] + ".", s["isc-as-is"] + ".")
+    bsd = [copyright + "\nAll rights reserved.\n\n", s["bsd-grant"] + ":", "1. " + s["bsd-source"] + ".", "2. " + s["bsd-binary"] + "."]
+    bsd_2, bsd_3 = (bsd[0] + wrapped("BSD License", *bsd[1:], *more, s["bsd-as-is"] + ".") for more in ([], ["3. " + s["bsd-names"] + "."]))
+    apache = wrapped("Copyright 2020 Jane Doe", f"{s['apache-head']}; {s['apache-grant']}. {s['apache-copy']}") + "\n    http://www.apache.org/licenses/LICENSE-2.0\n\n" + wrapped(f"{s['apache-as-is']}. {s['apache-see']}.")
+    commented = "".join(f"# {line}\n" for line in apache.splitlines())
+    texts = [mit, isc, bsd_2, bsd_3, apache, commented, mit.replace("\n", "\r\n"), mit.replace("\n\n", "\n"), mit + "\nLicensed under CC0 1.0\nthe rest"]
+    rows = sorted(licenses.scan(documents(spark, texts)).collect(), key=lambda r: r.doc_id)
+    assert [r.licences for r in rows] == ["MIT", "ISC", "BSD-2-Clause,all-rights-reserved", "BSD-3-Clause,all-rights-reserved", "Apache-2.0", "Apache-2.0", "MIT", "MIT", "MIT,CC0-1.0"]
+    assert rows[0].sentence_ids == rows[6].sentence_ids == rows[7].sentence_ids == "mit-grant,mit-notice,mit-as-is,mit-liability"
+
+
 def test_every_licence_sentence_is_one_sentence_with_a_hint():
     import re
 
