@@ -13,7 +13,9 @@ search of the other shards starts from the kth score found there.
 Defined cases: vectors that are null or hold null or non-finite components, and
 rows without an id, take no part; vectors are compared with those of their own
 length only; rows with a query's id are its own; with fewer than k candidates
-all are returned; equal scores go by smaller id.
+all are returned; equal scores go by smaller id.  A vector row that occurs
+several times is as many candidates, and the candidates of all query rows of an
+id are ranked together; equal rows are searched once and counted afterwards.
 """
 
 from __future__ import annotations
@@ -28,19 +30,19 @@ from pyspark.sql import DataFrame, Window
 from tempora.llm.shared import written
 
 SHARD_ROWS, BLOCK_QUERIES, LEAF = 8192, 1024, 256
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query_id long, digest string, vec_id long, score long, times long"
 
 
 class Tree:
     """A KD-tree over integer vectors; nodes are halves of a permutation."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, times: np.ndarray):
         self.low, self.high, self.least, self.child, self.span = [], [], [], [], []
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
+        self.ids, self.vectors, self.times = ids[order], vectors[order], times[order]
         self.order = np.arange(len(ids))
         self._build(0, len(ids))
-        self.ids, self.vectors = self.ids[self.order], self.vectors[self.order]
+        self.ids, self.vectors, self.times = self.ids[self.order], self.vectors[self.order], self.times[self.order]
         self.low, self.high, self.least = np.array(self.low), np.array(self.high), np.array(self.least)
 
     def _build(self, start: int, end: int) -> int:
@@ -59,17 +61,17 @@ class Tree:
             self.child[node] = (self._build(start, start + half), self._build(start + half, end))
         return node
 
-    def search(self, query_id: int, query: np.ndarray, k: int, kth: int | None) -> list[tuple[int, int]]:
-        """Up to k pairs (score, id) by falling score, then rising id, that ``kth`` does not rule out."""
+    def search(self, query_id: int, query: np.ndarray, k: int, kth: int | None) -> list[tuple[int, int, int]]:
+        """Up to k of (score, id, times) by falling score, then rising id, that ``kth`` does not rule out."""
         bounds = np.where(query >= 0, self.high, self.low) @ query
-        best: list[tuple[int, int]] = []  # a heap whose root is the worst: (score, -id)
+        best: list[tuple[int, int, int]] = []  # a heap whose root is the worst: (score, -id, times)
         nodes = [(-int(bounds[0]), int(self.least[0]), 0)]
         while nodes:
             bound, least, node = heapq.heappop(nodes)
             bound = -bound
             if kth is not None and bound < kth:
                 break
-            if len(best) == k and (bound, -least) < best[0]:
+            if len(best) == k and (bound, -least) < best[0][:2]:
                 if bound < best[0][0]:
                     break
                 continue
@@ -80,12 +82,12 @@ class Tree:
             start, end = self.span[node]
             ids, scores = self.ids[start:end], self.vectors[start:end] @ query
             for i in np.flatnonzero(self._may_enter(scores, ids, query_id, best, k, kth)):
-                entry = (int(scores[i]), -int(ids[i]))
+                entry = (int(scores[i]), -int(ids[i]), int(self.times[start + i]))
                 if len(best) < k:
                     heapq.heappush(best, entry)
                 elif entry > best[0]:
                     heapq.heapreplace(best, entry)
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
+        return [(s, -i, n) for s, i, n in sorted(best, reverse=True)]
 
     @staticmethod
     def _may_enter(scores, ids, query_id, best, k, kth) -> np.ndarray:
@@ -106,15 +108,15 @@ def _vectors(column: pd.Series) -> np.ndarray:
 
 def _search(k: int):
     def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, str, int, int, int]] = []
         if len(vectors) and len(queries):
             both = _vectors(pd.concat([vectors["vector"], queries["vector"]]))
-            tree = Tree(vectors["vec_id"].to_numpy(np.int64), both[: len(vectors)])
+            tree = Tree(vectors["vec_id"].to_numpy(np.int64), both[: len(vectors)], vectors["times"].to_numpy(np.int64))
             kths = queries["kth"] if "kth" in queries else [None] * len(queries)
-            for query_id, query, kth in zip(queries["vec_id"], both[len(vectors) :], kths):
+            for query_id, digest, asked, query, kth in zip(queries["vec_id"], queries["digest"], queries["times"], both[len(vectors) :], kths):
                 kth = None if kth is None or pd.isna(kth) else int(kth)
-                out += [(query_id, i, s) for s, i in tree.search(int(query_id), query, k, kth)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+                out += [(query_id, digest, i, s, n * asked) for s, i, n in tree.search(int(query_id), query, k, kth)]
+        return pd.DataFrame(out, columns=["query_id", "digest", "vec_id", "score", "times"]).astype({c: "int64" for c in ("query_id", "vec_id", "score", "times")})
 
     return run
 
@@ -132,22 +134,28 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec
     def narrow(df: DataFrame) -> DataFrame:
         return df.filter(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector"), F.size(vector).alias("length"))
 
+    def counted(df: DataFrame) -> DataFrame:
+        return df.groupBy("vec_id", "vector", "length").agg(F.count(F.lit(1)).alias("times"))
+
     vectors, queries = narrow(vectors), narrow(queries)
     shards = max(1, -(-vectors.count() // SHARD_ROWS))
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    held = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
+    held = counted(vectors).withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)))
     held = held.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)))
+    asked = counted(queries).withColumn("digest", F.sha2(F.array_join(F.col("vector").cast("array<string>"), ","), 256))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "vector", F.lit(1)), F.lit(blocks)))
     asked = asked.withColumn("home", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(shards)))
     key = ["shard", "block", "length"]
 
     def searched(held: DataFrame, asked: DataFrame) -> DataFrame:
         return held.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_search(k), FOUND)
 
+    of_row = Window.partitionBy("query_id", "digest").orderBy(F.desc("score"), "vec_id")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     first = written(searched(held, asked.withColumn("shard", F.col("home"))), "home-shards")
-    kth = first.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
-    told = asked.join(kth, "vec_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    kth = first.withColumn("rank", F.row_number().over(of_row)).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), "digest", F.col("score").alias("kth"))
+    told = asked.join(kth, ["vec_id", "digest"], "left").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     rest = searched(held, told.filter("shard <> home"))
-    ranked = first.union(rest).distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    each = first.union(rest).withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.least("times", F.lit(k).cast("long")))))
+    ranked = each.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -76,6 +76,22 @@ def test_top_k_equals_brute_force(spark, monkeypatch, hot):
     assert found == brute(np.arange(700), whole, range(0, 700, 50), 5)
 
 
+def test_top_k_of_repeated_rows_equals_sql(spark, monkeypatch, tmp_path):
+    import duckdb
+
+    monkeypatch.setattr(knn, "SHARD_ROWS", 60)
+    monkeypatch.setattr(knn, "BLOCK_QUERIES", 5)
+    monkeypatch.setattr(knn, "LEAF", 8)
+    r = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(r.normal(0, 0.1, (300, 6)).astype(np.float32))]
+    rows += rows[0:1] * 2 + rows[50:51] + rows[100:140] * 2 + [(150, rows[7][1]), (12, rows[13][1])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = queries.op5_kd_trees(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(tuple(x) for x in got) == sorted(con.execute(queries.OP5_SQL).fetchall())
+
+
 def test_top_k_of_few_and_large_vectors(spark):
     df = spark.createDataFrame([(0, [3e6, 1.0]), (50, [2e6, 5.0])], "vec_id long, embedding array<double>")
     vectors = knn.integers(df)
