@@ -4,13 +4,18 @@ A long text is cut into overlapping chunks that are pre-tokenised in parallel.
 The split pattern looks only forward from a token's start, so once two
 neighbouring chunks agree on one boundary they agree on all that follow.  Each
 pair of neighbours is stitched at the first boundary that both have inside
-their overlap.  Neighbours without such a boundary (one token longer than the
-overlap) stay one piece, so the result is exact at every text.  The pieces
-between stitches are then encoded in parallel and their ids joined in order.
-Decoding joins the raw bytes of the ids.
-
-Defined cases: null text counts as empty and has no ids; equal rows are encoded
-once and all returned; columns named like an output column are replaced.
+their overlap and that stands after a sign other than white space: the pattern
+splits white space by what follows it, so a piece that ended with white space
+would be split otherwise than the whole text.  Neighbours without such a
+boundary (one token or run of white space longer than the overlap) stay one
+piece, so no text is split where its tokens are not.  The pieces between
+stitches are then encoded in parallel and their ids joined in order.  Decoding
+joins the raw bytes of the ids.
+
+Defined cases: null text counts as empty and has no ids; a table without rows
+gives none; very long texts are pieces of many tasks, and of equal ones one is
+encoded; every repeated row is returned; columns named like an output column
+are replaced, and all others kept whatever their names.
 """
 
 from __future__ import annotations
@@ -100,7 +105,9 @@ def _long_ids(texts: DataFrame, vocabulary: Vocabulary, chunk: int, overlap: int
             for key, k, n, text in zip(batch["key"], batch["k"], batch["n"], batch["text"]):
                 start = k * chunk
                 ends = [start, *(start + e for e in boundaries(text, pattern, start + len(text) >= n))]
-                rows.append((key, k, [e for e in ends if e < start + overlap], [e for e in ends if e >= start + chunk]))
+                # the chunk before knows what stands before the first sign of this one
+                after_sign = [e for e in ends if e > start and not text[e - start - 1].isspace()]
+                rows.append((key, k, [e for e in ends if e < start + overlap], [e for e in after_sign if e >= start + chunk]))
             yield pd.DataFrame(rows, columns=schema.names)
 
     before = F.lag("tail").over(Window.partitionBy("key").orderBy("k"))
@@ -120,7 +127,7 @@ def _long_ids(texts: DataFrame, vocabulary: Vocabulary, chunk: int, overlap: int
 
 
 def encode(
-    docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", chunk: int = 65536, overlap: int = 2048
+    docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", chunk: int = 16384, overlap: int = 2048
 ) -> DataFrame:
     """``docs`` without its text column and with the array ``ids`` of every whole text.
 

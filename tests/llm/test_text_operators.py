@@ -50,6 +50,22 @@ def test_bpe_chunks_equal_the_library_and_round_trip(spark, tik):
         assert bytes(r.bytes) == text.encode()
 
 
+@pytest.mark.parametrize(("chunk", "overlap"), [(16, 6), (23, 23), (64, 12)])
+def test_bpe_of_much_white_space_equals_the_library(spark, tik, chunk, overlap):
+    r = random.Random(chunk)
+    made = ["".join(r.choice(signs) for _ in range(r.randint(0, 6 * chunk))) for signs in ("a \n", "a1'.s \n\t\xa0", " \n\x1cé!", "ab      \n\n") for _ in range(700)]
+    rows = bpe.encode(documents(spark, made), RANKS, PATTERN, chunk=chunk, overlap=overlap).select("doc_id", "ids").collect()
+    assert len(rows) == len(made) and all(row.ids == tik.encode_ordinary(made[row.doc_id]) for row in rows)
+
+
+def test_bpe_of_breaks_around_the_default_chunk(spark, tik):
+    word = "some words of a long text "
+    texts = [(word * 700)[: 16384 + at] + run + word * 700 for at in range(-6, 5) for run in ("\n\n", "  \n", " ", "\t\t\t")]
+    texts += [" " * 40000, "x" * 40000, ("y " * 9000) + " " * 5000 + "z" * 5000]
+    rows = bpe.encode(documents(spark, texts), RANKS, PATTERN).select("doc_id", "ids").collect()
+    assert len(rows) == len(texts) and all(row.ids == tik.encode_ordinary(texts[row.doc_id]) for row in rows)
+
+
 def test_bpe_of_an_empty_table(spark):
     assert bpe.encode(documents(spark, []), RANKS, PATTERN).count() == 0
 
