@@ -9,12 +9,13 @@ without for consensus, and overlap by the shorter one for arbitration.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
+from tempora.operators import series
+
 WIDEST = 0.30
 
 
@@ -100,35 +101,50 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, car
     return found.select(*left.columns, *[F.col(f"_one.r_{c}").alias(f"r_{c}") for c in (at, *carry)], "gap")
 
 
-def one_to_one(pairs: DataFrame, keys: Sequence[str], i: str, j: str, best_first: Sequence[Column]) -> DataFrame:
+def islands(df: DataFrame, keys: Sequence[str], start: str = "start_s", end: str = "end_s") -> DataFrame:
+    """``df`` with ``island``: rows of a key that no row of another island overlaps (strictly)."""
+    w = Window.partitionBy(*keys).orderBy(start, end)
+    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opened = df.withColumn("_opens", F.coalesce(F.col(start) >= reach, F.lit(True)).cast("long"))
+    return opened.withColumn("island", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_opens")
+
+
+def one_to_one(pairs: DataFrame, keys: Sequence[str], i: str, j: str, best_first: Sequence[Column], low: Column, high: Column) -> DataFrame:
     """Greedy matching of candidate ``pairs``: the best of all pairs of a key, then the best of what is left, and so on.
 
-    ``best_first`` must order the pairs of a key totally.  A group's pairs are
-    the overlaps of one clip; they are taken in order by one task.
+    ``best_first`` must order the pairs of a key totally.  ``low`` and ``high``
+    are a stretch that a pair shares with all pairs of its rows, so pairs of
+    different islands of stretches do not compete and are taken apart.
     """
-    ranked = pairs.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*best_first)))
-    names = list(pairs.columns)
+    dealt = islands(pairs.withColumn("_from", low).withColumn("_to", high), keys, "_from", "_to")
+    alone = F.count(F.lit(1)).over(Window.partitionBy(*keys, "island")) == 1
+    dealt, names = dealt.withColumn("_alone", alone), pairs.columns
 
-    def take(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_rank")
-        used_i, used_j, rows = set(), set(), []
-        for row, (a, b) in enumerate(zip(group[i], group[j])):
-            if a not in used_i and b not in used_j:
-                used_i.add(a)
-                used_j.add(b)
-                rows.append(row)
-        return group.iloc[rows][names]
+    def take(rows: Iterator[dict]) -> Iterator[dict]:
+        used_i, used_j = set(), set()
+        for row in rows:
+            if row[i] not in used_i and row[j] not in used_j:
+                used_i.add(row[i])
+                used_j.add(row[j])
+                yield {c: row[c] for c in names}
 
-    return ranked.groupBy(*keys).applyInPandas(take, pairs.schema)
+    contested = series.folded(dealt.filter("not _alone").drop("_alone", "_from", "_to"), [*keys, "island"], best_first, take, pairs.schema)
+    return dealt.filter("_alone").select(names).unionByName(contested)
 
 
 def matched(truth: DataFrame, found: DataFrame, threshold: float, keys: Sequence[str] = ("clip_id",), same: Sequence[str] = ("flaw",), width: float = 5.0) -> DataFrame:
     """One-to-one matches of ``truth(i)`` and ``found(j)`` regions with IoU of at least ``threshold``; equal ones go to larger i, j."""
     right = found.withColumnRenamed("i", "j") if "i" in found.columns else found
-    pairs = overlap_join(truth, right, [*keys, *same], width, margin=WIDEST)
-    value = iou(F.col("start_s"), F.col("end_s"), F.col("r_start_s"), F.col("r_end_s"), WIDEST)
-    good = pairs.withColumn("iou", value).filter(F.col("iou") >= threshold).withColumnRenamed("r_j", "j")
-    return one_to_one(good, keys, "i", "j", [F.desc("iou"), F.desc("i"), F.desc("j")])
+
+    def wide(df: DataFrame) -> DataFrame:
+        low, high = widened(F.col("start_s"), F.col("end_s"), WIDEST)
+        return df.withColumn("_ws", low).withColumn("_we", high)
+
+    pairs = overlap_join(wide(truth), wide(right), [*keys, *same], width, start="_ws", end="_we")
+    good = pairs.withColumn("iou", iou(F.col("_ws"), F.col("_we"), F.col("r__ws"), F.col("r__we"))).filter(F.col("iou") >= threshold).withColumnRenamed("r_j", "j")
+    low, high = F.least("_ws", "r__ws"), F.greatest("_we", "r__we")
+    good = good.withColumn("_low", low).withColumn("_high", high).drop("_ws", "_we", "r__ws", "r__we")
+    return one_to_one(good, keys, "i", "j", [F.desc("iou"), F.desc("i"), F.desc("j")], F.col("_low"), F.col("_high")).drop("_low", "_high")
 
 
 def matched_onsets(truth: DataFrame, found: DataFrame, collar: float = 0.25, keys: Sequence[str] = ("clip_id",), same: Sequence[str] = ("flaw",)) -> DataFrame:
@@ -137,8 +153,9 @@ def matched_onsets(truth: DataFrame, found: DataFrame, collar: float = 0.25, key
     other = found.select(*keys, *same, F.col("j"), F.col("start_s").alias("other"), F.col("start_s").alias("_s"), (F.col("start_s") + 1e-9).alias("_e"))
     pairs = overlap_join(point, other, [*keys, *same], max(4 * collar, 1e-3), start="_s", end="_e")
     good = pairs.withColumn("gap", F.abs(F.col("start_s") - F.col("r_other"))).filter(F.col("gap") <= collar)
-    good = good.select(*keys, *same, "i", F.col("r_j").alias("j"), "gap")
-    return one_to_one(good, keys, "i", "j", [F.asc("gap"), F.asc("i"), F.asc("j")])
+    good = good.select(*keys, *same, "i", F.col("r_j").alias("j"), "gap", "start_s", F.col("r_other").alias("r_start_s"))
+    low, high = F.least("start_s", "r_start_s") - collar, F.greatest("start_s", "r_start_s") + collar
+    return one_to_one(good, keys, "i", "j", [F.asc("gap"), F.asc("i"), F.asc("j")], low, high)
 
 
 def voted(candidates: DataFrame, primary: str, need: int = 2, least_iou: float = 0.3, width: float = 5.0) -> DataFrame:
@@ -160,9 +177,15 @@ def voted(candidates: DataFrame, primary: str, need: int = 2, least_iou: float =
 
 # Symptoms that a primary flaw accounts for.
 SECONDARY = {
-    "RARE_HESIT": ["PACE_SLOW", "FILLER"], "PAUSE_BAD": ["PACE_SLOW"], "REPEAT": ["PACE_SLOW", "FILLER"], "FILLER": ["PACE_SLOW"],
-    "WORD_SKIP": ["PACE_FAST", "WORD_SWAP"], "WORD_SWAP": ["SLUR"], "PACE_FAST": ["SLUR", "PAUSE_LOST"], "PAUSE_LOST": ["PACE_FAST"],
-}
+    "PACE_FAST": ["PAUSE_BAD", "PAUSE_LOST", "FILLER", "RARE_HESIT", "EMPH_FLAT", "SLUR", "UPTALK"],
+    "PACE_SLOW": ["PAUSE_BAD", "PAUSE_LOST", "FILLER", "RARE_HESIT", "EMPH_FLAT", "SLUR", "UPTALK"],
+    "SHOUT": ["EMPH_FLAT", "SLUR", "MONOTONE"],
+    "FADE": ["EMPH_FLAT", "SLUR", "UPTALK", "WORD_SWAP"],
+    "SLUR": ["EMPH_FLAT"],
+    "MONOTONE": ["EMPH_FLAT"],
+    "WORD_SKIP": ["PACE_FAST", "PAUSE_LOST", "EMPH_FLAT"],
+    "WORD_SWAP": ["EMPH_FLAT", "SLUR"],
+}
 
 
 def arbitrated(candidates: DataFrame, reliability: DataFrame, secondary: dict[str, list[str]] | None = None, least_overlap: float = 0.5, near: float = 0.05, symptom_overlap: float = 0.3) -> DataFrame:
@@ -170,34 +193,40 @@ def arbitrated(candidates: DataFrame, reliability: DataFrame, secondary: dict[st
 
     First a symptom that overlaps its primary goes (a primary that went itself
     no longer counts); then of two overlapping ones of different categories the
-    less reliable goes unless both are about as reliable.  What goes decides
-    what stays, so a clip's (few) candidates are taken in order by one task.
+    less reliable goes unless both are about as reliable; flaws without a
+    reliability count as sure.  What goes decides what stays, but only among
+    intervals that overlap, so each island of them is settled on its own, and
+    an island's work follows its overlaps.
     """
     table = SECONDARY if secondary is None else secondary
-    told = candidates.join(reliability.select("flaw", "reliability"), "flaw", "left").fillna({"reliability": 0.0}).select(*candidates.columns, "reliability")
+    told = candidates.join(reliability.select("flaw", "reliability"), "flaw", "left").fillna({"reliability": 1.0}).select(*candidates.columns, "reliability")
     names = list(candidates.columns)
 
-    def settle(clip: pd.DataFrame) -> pd.DataFrame:
-        clip = clip.sort_values(["start_s", "flaw", "end_s", "w0"], kind="stable").reset_index(drop=True)
-        rows = list(clip.itertuples(index=False))
-        gone: set[int] = set()
-
-        def share(a, b) -> float:
-            both = min(a.end_s, b.end_s) - max(a.start_s, b.start_s)
-            return max(0.0, both) / max(0.05, min(a.end_s - a.start_s, b.end_s - b.start_s))
-
-        for p, primary in enumerate(rows):
-            if p in gone:
+    def settle(rows: Iterator[dict]) -> Iterator[dict]:
+        held = list(rows)
+        meets: list[list[tuple[int, float]]] = [[] for _ in held]
+        open_: list[int] = []
+        for b, row in enumerate(held):
+            open_ = [a for a in open_ if held[a]["end_s"] > row["start_s"]]
+            for a in open_:
+                other = held[a]
+                shared = min(other["end_s"], row["end_s"]) - row["start_s"]
+                share = max(0.0, shared) / max(0.05, min(other["end_s"] - other["start_s"], row["end_s"] - row["start_s"]))
+                meets[a].append((b, share))
+                meets[b].append((a, share))
+            open_.append(b)
+        symptom: set[int] = set()
+        for k, row in enumerate(held):
+            if k not in symptom:
+                symptom |= {m for m, share in meets[k] if share >= symptom_overlap and held[m]["flaw"] in table.get(row["flaw"], ())}
+        beaten: set[int] = set()
+        left = ((a, b) for a in range(len(held)) for b, share in sorted(meets[a]) if b > a and share >= least_overlap)
+        for a, b in left:
+            if symptom & {a, b} or beaten & {a, b} or held[a]["category"] == held[b]["category"]:
                 continue
-            for s, symptom in enumerate(rows):
-                if s != p and s not in gone and symptom.flaw in table.get(primary.flaw, ()) and share(primary, symptom) >= symptom_overlap:
-                    gone.add(s)
-        for a in range(len(rows)):
-            for b in range(a + 1, len(rows)):
-                if a in gone or b in gone or rows[a].category == rows[b].category or share(rows[a], rows[b]) < least_overlap:
-                    continue
-                if abs(rows[a].reliability - rows[b].reliability) >= near:
-                    gone.add(a if rows[a].reliability < rows[b].reliability else b)
-        return clip[~clip.index.isin(gone)][names]
-
-    return told.groupBy("clip_id").applyInPandas(settle, candidates.schema)
+            lead = held[a]["reliability"] - held[b]["reliability"]
+            if abs(lead) >= near:
+                beaten.add(b if lead > 0 else a)
+        yield from ({c: row[c] for c in names} for k, row in enumerate(held) if k not in symptom and k not in beaten)
+
+    return series.folded(islands(told, ["clip_id"]), ["clip_id", "island"], ["start_s", "flaw", "end_s", "w0"], settle, candidates.schema)

@@ -20,9 +20,21 @@ def prf(tp: Column, n_truth: Column, n_found: Column) -> tuple[Column, Column, C
     return p, r, F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
 
 
-def grounding(truth: DataFrame, found: DataFrame, threshold: float, label: str = "flaw") -> DataFrame:
-    """P, R and F1 per label of ``truth(clip_id, i, ...)`` and ``found(clip_id, j, ...)``, and over all (label null)."""
-    pairs = intervals.matched(truth, found, threshold, same=[label])
+def grounding(truth: DataFrame, found: DataFrame, threshold: float, label: str = "flaw", width: float = 5.0) -> DataFrame:
+    """P, R and F1 per label of ``truth(clip_id, i, ...)`` and ``found(clip_id, j, ...)``, and over all (label null).
+
+    ``width`` is about the length of a usual region.
+    """
+    pairs = intervals.matched(truth, found, threshold, same=[label], width=width)
+    return _rolled_up(truth, found, pairs, label)
+
+
+def onset_grounding(truth: DataFrame, found: DataFrame, collar: float = 0.25, label: str = "flaw") -> DataFrame:
+    """The same for regions that match by their starts alone."""
+    return _rolled_up(truth, found, intervals.matched_onsets(truth, found, collar, same=[label]), label)
+
+
+def _rolled_up(truth: DataFrame, found: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
     counts = (
         truth.select(label, F.lit(1).alias("t"), F.lit(0).alias("f"), F.lit(0).alias("m"))
         .union(found.select(label, F.lit(0), F.lit(1), F.lit(0)))

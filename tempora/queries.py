@@ -141,17 +141,32 @@ def sessionise(spark, sf_dir):
     return series.sessions(e, USER, ORDER, gap > 1800).groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-@query()
+@query("""
+WITH RECURSIVE f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, CASE WHEN value > 5 THEN ln(value) END AS f0, value AS inten, value % 7 AS hf FROM events),
+v AS (SELECT user_id, i, f0, CASE WHEN i - lag(i) OVER (PARTITION BY user_id ORDER BY i) <= 3 THEN 0 ELSE 1 END AS opens FROM f WHERE f0 IS NOT NULL),
+p AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY i) AS piece FROM v),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id, piece ORDER BY i) AS k FROM p),
+walk AS (SELECT user_id, piece, k, i, i AS first, f0 AS low, f0 AS high FROM o WHERE k = 1
+  UNION ALL SELECT o.user_id, o.piece, o.k, o.i, CASE WHEN greatest(high, f0) - least(low, f0) < 1.5 THEN first ELSE o.i END,
+    CASE WHEN greatest(high, f0) - least(low, f0) < 1.5 THEN least(low, f0) ELSE f0 END, CASE WHEN greatest(high, f0) - least(low, f0) < 1.5 THEN greatest(high, f0) ELSE f0 END
+  FROM walk w JOIN o ON o.user_id = w.user_id AND o.piece = w.piece AND o.k = w.k + 1),
+s AS (SELECT user_id, first, max(i) AS last, max(high) - min(low) AS range_st FROM walk GROUP BY 1, 2 HAVING max(i) - first + 1 >= 3),
+d AS (SELECT *, abs(hf - lag(hf) OVER (PARTITION BY user_id ORDER BY i)) AS step FROM f)
+SELECT s.user_id::VARCHAR AS clip_id, first * 0.01::DOUBLE AS start_s, (last + 1) * 0.01::DOUBLE AS end_s, any_value(range_st) AS range_st, stddev_pop(inten) AS level_sd, coalesce(avg(step) FILTER (i > first), 0) AS change
+FROM s JOIN d ON d.user_id = s.user_id AND d.i BETWEEN first AND last GROUP BY s.user_id, first, last""")
 def flat_value_stretches(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("frame_i", F.row_number().over(series._in_order(USER, ORDER)) - 1)
-    frames = e.select(F.col("user_id").cast("string").alias("clip_id"), "frame_i", F.log("value").alias("f0_st"))
+    voiced = F.when(F.col("value") > 5, F.log("value"))
+    frames = e.select(F.col("user_id").cast("string").alias("clip_id"), "frame_i", voiced.alias("f0_st"), F.col("value").alias("inten"), (F.col("value") % 7).alias("hf"))
     return series.flat_stretches(frames, range_st=1.5, least_s=0.03)
 
 
-@query()
+@query("""
+WITH n AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS island FROM n WHERE value > 25)
+SELECT user_id, min(i) AS first_row, max(i) AS last_row, max(value) AS peak FROM r GROUP BY user_id, island HAVING max(value) > 60""")
 def hysteresis_runs(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("at", F.row_number().over(series._in_order(USER, ORDER)))
-    return series.hysteresis(e, USER, "at", "value", start=60.0, stay=25.0)
+    return series.hysteresis(table(spark, sf_dir, "events"), USER, ORDER, "value", start=60.0, stay=25.0)
 
 
 # ---------------------------------------------------------------- intervals
@@ -200,10 +215,24 @@ def _as_regions(s: DataFrame, kind: str, number: str) -> DataFrame:
     return s.filter(F.col("event_type") == kind).select(F.col("user_id").alias("clip_id"), F.col("event_id").alias(number), F.lit("any").alias("flaw"), "start_s", "end_s")
 
 
-@query()
+def _taken(pairs: str) -> str:
+    """Pairs of ``pairs(user_id, m, i, j)`` (m from 1 in order) whose rows no earlier taken pair has."""
+    return f"""
+walk AS (SELECT user_id, 0::BIGINT AS m, []::BIGINT[] AS is_, []::BIGINT[] AS js, false AS taken, 0::BIGINT AS i, 0::BIGINT AS j FROM (SELECT DISTINCT user_id FROM {pairs})
+  UNION ALL SELECT p.user_id, p.m, CASE WHEN ok THEN list_append(is_, p.i) ELSE is_ END, CASE WHEN ok THEN list_append(js, p.j) ELSE js END, ok, p.i, p.j
+  FROM (SELECT w.is_, w.js, p.*, NOT list_contains(w.is_, p.i) AND NOT list_contains(w.js, p.j) AS ok FROM walk w JOIN {pairs} p ON p.user_id = w.user_id AND p.m = w.m + 1) p)"""
+
+
+@query(f"""
+WITH RECURSIVE {SPANS}, w AS (SELECT event_id, user_id, event_type, CASE WHEN e - s < 0.3 THEN (s + e) / 2 - 0.15 ELSE s END AS s, CASE WHEN e - s < 0.3 THEN (s + e) / 2 + 0.15 ELSE e END AS e FROM spans),
+c AS (SELECT a.user_id, a.event_id AS i, b.event_id AS j, (least(a.e, b.e) - greatest(a.s, b.s)) / ((a.e - a.s) + (b.e - b.s) - (least(a.e, b.e) - greatest(a.s, b.s))) AS iou
+  FROM w a JOIN w b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'click' AND least(a.e, b.e) > greatest(a.s, b.s)),
+pairs AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY iou DESC, i DESC, j DESC) AS m FROM c WHERE iou >= 0.3),{_taken("pairs")},
+n AS (SELECT (SELECT count(*) FROM walk WHERE taken) AS tp, count(*) FILTER (event_type = 'view') AS n_truth, count(*) FILTER (event_type = 'click') AS n_found FROM events)
+SELECT flaw, tp, n_truth, n_found, tp / n_found AS precision, tp / n_truth AS recall, 2.0 * tp / (n_found + n_truth) AS f1 FROM n, (VALUES ('any'), (NULL)) v(flaw)""")
 def greedy_match_f1(spark, sf_dir):
     s = spans(spark, sf_dir)
-    return evaluate.grounding(_as_regions(s, "view", "i"), _as_regions(s, "click", "j"), 0.3)
+    return evaluate.grounding(_as_regions(s, "view", "i"), _as_regions(s, "click", "j"), 0.3, width=3600.0)
 
 
 @query(f"""
@@ -217,7 +246,11 @@ def onset_collar_counts(spark, sf_dir):
     return near.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE t AS (SELECT event_id, user_id, event_type, {T} AS t FROM events),
+c AS (SELECT a.user_id, a.event_id AS i, b.event_id AS j, abs(a.t - b.t) AS gap FROM t a JOIN t b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'click' AND abs(a.t - b.t) <= 1800),
+pairs AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY gap, i, j) AS m FROM c),{_taken("pairs")}
+SELECT walk.user_id AS clip_id, count(*) AS n, max(gap) AS widest FROM walk JOIN pairs USING (user_id, m) WHERE taken GROUP BY 1""")
 def onset_matches(spark, sf_dir):
     s = spans(spark, sf_dir)
     found = intervals.matched_onsets(_as_regions(s, "view", "i"), _as_regions(s, "click", "j"), collar=1800.0)
@@ -245,9 +278,27 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("user_id").cast("string").alias("clip_id"), flaw.alias("flaw"), F.col("event_type").alias("category"), "start_s", "end_s", F.col("event_id").cast("int").alias("w0"))
 
 
-@query()
+TRUST = {"FILLER": 0.58, "PACE_SLOW": 0.6, "PAUSE_BAD": 0.79, "SLUR": 0.73}
+SYMPTOMS = ", ".join(f"('{p}', '{s}')" for p in KINDS for s in intervals.SECONDARY.get(p, ()) if s in KINDS)
+
+
+@query(f"""
+WITH RECURSIVE {SPANS}, c AS (SELECT event_id, user_id, event_type, s, e, list_extract({KINDS}, (event_id % 5 + 1)::INT) AS flaw FROM spans),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, flaw, e, event_id) AS k, CASE flaw {" ".join(f"WHEN '{f}' THEN {r}" for f, r in TRUST.items())} ELSE 1.0 END AS trust FROM c),
+near AS (SELECT a.user_id, a.k AS a, b.k AS b, a.flaw AS fa, b.flaw AS fb, a.event_type <> b.event_type AS differ, a.trust - b.trust AS lead,
+  (least(a.e, b.e) - greatest(a.s, b.s)) / greatest(0.05, least(a.e - a.s, b.e - b.s)) AS share FROM o a JOIN o b ON a.user_id = b.user_id AND a.k <> b.k AND least(a.e, b.e) > greatest(a.s, b.s)),
+y AS (SELECT user_id, a, list(b) AS symptoms, row_number() OVER (PARTITION BY user_id ORDER BY a) AS m FROM near WHERE share >= 0.3 AND (fa, fb) IN (VALUES {SYMPTOMS}) GROUP BY user_id, a),
+one AS (SELECT user_id, 0::BIGINT AS m, []::BIGINT[] AS gone FROM (SELECT DISTINCT user_id FROM y)
+  UNION ALL SELECT y.user_id, y.m, CASE WHEN list_contains(gone, a) THEN gone ELSE list_distinct(list_concat(gone, symptoms)) END FROM one JOIN y ON y.user_id = one.user_id AND y.m = one.m + 1),
+symptom AS (SELECT user_id, unnest(arg_max(gone, m)) AS k FROM one GROUP BY user_id),
+z AS (SELECT n.*, row_number() OVER (PARTITION BY n.user_id ORDER BY a, b) AS m FROM near n WHERE a < b AND share >= 0.5 AND differ AND abs(lead) >= 0.05
+  AND NOT EXISTS (SELECT 1 FROM symptom s WHERE s.user_id = n.user_id AND s.k IN (n.a, n.b))),
+two AS (SELECT user_id, 0::BIGINT AS m, []::BIGINT[] AS gone FROM (SELECT DISTINCT user_id FROM z)
+  UNION ALL SELECT z.user_id, z.m, CASE WHEN list_contains(gone, a) OR list_contains(gone, b) THEN gone ELSE list_append(gone, CASE WHEN lead > 0 THEN b ELSE a END) END FROM two JOIN z ON z.user_id = two.user_id AND z.m = two.m + 1),
+beaten AS (SELECT user_id, unnest(arg_max(gone, m)) AS k FROM two GROUP BY user_id)
+SELECT flaw, count(*) AS kept FROM o WHERE (user_id, k) NOT IN (SELECT (user_id, k) FROM symptom) AND (user_id, k) NOT IN (SELECT (user_id, k) FROM beaten) GROUP BY flaw""")
 def arbitration_pass(spark, sf_dir):
-    trust = spark.createDataFrame([("FILLER", 0.58), ("PACE_SLOW", 0.6), ("PAUSE_BAD", 0.79), ("SLUR", 0.73), ("WORD_SWAP", 0.77)], "flaw string, reliability double")
+    trust = spark.createDataFrame(list(TRUST.items()), "flaw string, reliability double")
     return intervals.arbitrated(candidates(spark, sf_dir), trust).groupBy("flaw").agg(F.count(F.lit(1)).alias("kept"))
 
 
@@ -465,7 +516,10 @@ def stable_hash_order(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(key)).alias("place"))
 
 
-@query()
+@query("""
+WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS of_byte)
+SELECT c_custkey, xor(list_reduce(list_concat([4294967295], list_transform(string_split(c_name || '|SHOUT', ''), lambda s: unicode(s)::BIGINT)), lambda c, b: xor(c >> 8, of_byte[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS seed
+FROM customer, t""")
 def crc_seed(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", text.seed_of(F.col("c_name"), F.lit("SHOUT")).alias("seed"))
 
@@ -535,10 +589,15 @@ def threshold_grid_search(spark, sf_dir):
     return calibrate.best_threshold(scored, [10.0, 20.0, 40.0, 80.0])
 
 
-@query()
+@query("""
+WITH p AS (SELECT l_returnflag AS flaw, l_quantity AS x, avg(l_linenumber) AS y, count(*) AS n, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS k FROM lineitem GROUP BY 1, 2),
+a AS (SELECT i.flaw, i.k AS i, j.k AS j, sum(m.y * m.n) / sum(m.n) AS mean FROM p i JOIN p j ON i.flaw = j.flaw AND i.k <= j.k JOIN p m ON m.flaw = i.flaw AND m.k BETWEEN i.k AND j.k GROUP BY 1, 2, 3),
+b AS (SELECT a.flaw, i, p.k, min(mean) AS lowest FROM a JOIN p ON p.flaw = a.flaw AND a.i <= p.k AND a.j >= p.k GROUP BY 1, 2, 3),
+f AS (SELECT flaw, k, round(max(lowest), 9) AS y FROM b GROUP BY 1, 2), s AS (SELECT f.flaw, f.y, min(x) AS low, max(x) AS high FROM f JOIN p ON p.flaw = f.flaw AND p.k = f.k GROUP BY 1, 2)
+SELECT flaw, low AS x, y FROM s UNION SELECT flaw, high, y FROM s""")
 def isotonic_knots(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flaw"), F.col("l_quantity").alias("d"), F.col("l_linenumber").alias("level"))
-    return calibrate.isotonic(lines)
+    return calibrate.isotonic(lines).withColumn("y", F.round("y", 9))
 
 
 @query("""SELECT l_returnflag, greatest(0.4, least(2.0, sum(l_tax * l_discount) / sum(l_tax * l_tax))) AS weight FROM lineitem GROUP BY 1""")

@@ -112,11 +112,73 @@ def test_nearest_and_asof(spark):
     assert rows(intervals.asof_before(left, right, ["k"], "t", ["id"]).fillna({"r_id": -1}), "k", "t", "r_id") == [("a", 0.5, -1), ("a", 5.0, 1), ("b", 1.0, -1)]
 
 
-def test_arbitration_and_vote(spark):
-    schema = "clip_id string, flaw string, category string, start_s double, end_s double, w0 int"
-    c = spark.createDataFrame([("c", "FILLER", "fluency", 1.0, 2.0, 0), ("c", "PACE_SLOW", "pace", 1.2, 2.0, 1), ("c", "SHOUT", "level", 5.0, 6.0, 9), ("c", "SLUR", "clarity", 5.0, 6.0, 9)], schema)
-    trust = spark.createDataFrame([("SHOUT", 0.5), ("SLUR", 0.7)], "flaw string, reliability double")
-    assert rows(intervals.arbitrated(c, trust), "flaw") == [("FILLER",), ("SLUR",)]
+def test_arbitration_equals_all_pairs(spark):
+    """Against the rule itself over all pairs of a clip, on many random clips."""
+    import random
+
+    r = random.Random(11)
+    category = {"PACE_FAST": "a", "PACE_SLOW": "a", "PAUSE_BAD": "b", "FILLER": "c", "SLUR": "d", "EMPH_FLAT": "e", "SHOUT": "f", "FADE": "f"}
+    trust = {"PACE_SLOW": 0.6, "PAUSE_BAD": 0.79, "FILLER": 0.58, "SLUR": 0.73, "FADE": 0.62}
+    data = []
+    for clip in range(60):
+        for w in range(r.randint(1, 14)):
+            flaw, start = r.choice(list(category)), r.choice([0.0, 1.0, r.uniform(0, 12)])
+            data.append((f"c{clip}", flaw, category[flaw], start, start + r.choice([0.02, 0.5, r.uniform(0, 4)]), w))
+    got = rows(intervals.arbitrated(spark.createDataFrame(data, "clip_id string, flaw string, category string, start_s double, end_s double, w0 int"), spark.createDataFrame(list(trust.items()), "flaw string, reliability double")), "clip_id", "w0")
+    want = []
+    for clip in {d[0] for d in data}:
+        mine = sorted((d for d in data if d[0] == clip), key=lambda d: (d[3], d[1], d[4], d[5]))
+        share = lambda p, q: max(0.0, min(p[4], q[4]) - max(p[3], q[3])) / max(0.05, min(p[4] - p[3], q[4] - q[3]))
+        gone = set()
+        for p in mine:
+            gone |= set() if p in gone else {q for q in mine if q is not p and q[1] in intervals.SECONDARY.get(p[1], ()) and share(p, q) >= 0.3}
+        left = [d for d in mine if d not in gone]
+        gone = set()
+        for k, p in enumerate(left):
+            for q in left[k + 1 :]:
+                lead = trust.get(p[1], 1.0) - trust.get(q[1], 1.0)
+                if not gone & {p, q} and p[2] != q[2] and share(p, q) >= 0.5 and abs(lead) >= 0.05:
+                    gone.add(q if lead > 0 else p)
+        want += [(d[0], d[5]) for d in left if d not in gone]
+    assert got == sorted(want) and len(want) < len(data)
+
+
+def test_greedy_matching_equals_all_pairs_in_order(spark):
+    import random
+
+    r = random.Random(4)
+    schema = "clip_id string, {} int, flaw string, start_s double, end_s double"
+
+    def some(n):
+        made = [(r.choice("ab"), k, r.choice("XY"), s := round(r.uniform(0, 30), 1), s + r.choice([0.0, 0.5, 3.0])) for k in range(n)]
+        return made
+
+    truth, found = some(70), some(70)
+    got = rows(intervals.matched(spark.createDataFrame(truth, schema.format("i")), spark.createDataFrame(found, schema.format("j")), 0.2), "clip_id", "i", "j")
+
+    def iou(a, b):
+        wide = [(s, e) if e - s >= 0.3 else ((s + e) / 2 - 0.15, (s + e) / 2 + 0.15) for *_, s, e in (a, b)]
+        both = max(0.0, min(wide[0][1], wide[1][1]) - max(wide[0][0], wide[1][0]))
+        return both / (sum(e - s for s, e in wide) - both)
+
+    pairs = sorted(((v, a[1], b[1], a[0]) for a in truth for b in found if a[0] == b[0] and a[2] == b[2] and (v := iou(a, b)) >= 0.2), reverse=True)
+    used, want = set(), []
+    for _, i, j, clip in pairs:
+        if not {(clip, "i", i), (clip, "j", j)} & used:
+            used |= {(clip, "i", i), (clip, "j", j)}
+            want.append((clip, i, j))
+    assert got == sorted(want)
+    onsets = rows(intervals.matched_onsets(spark.createDataFrame(truth, schema.format("i")), spark.createDataFrame(found, schema.format("j")), 0.5), "clip_id", "i", "j")
+    pairs = sorted((abs(a[3] - b[3]), a[1], b[1], a[0]) for a in truth for b in found if a[0] == b[0] and a[2] == b[2] and abs(a[3] - b[3]) <= 0.5)
+    used, want = set(), []
+    for _, i, j, clip in pairs:
+        if not {(clip, "i", i), (clip, "j", j)} & used:
+            used |= {(clip, "i", i), (clip, "j", j)}
+            want.append((clip, i, j))
+    assert onsets == sorted(want)
+
+
+def test_vote(spark):
     v = spark.createDataFrame([("c", "p", "X", 0.0, 1.0, 1), ("c", "q", "X", 0.1, 1.0, 2), ("c", "p", "X", 5.0, 6.0, 3), ("d", "p", "X", 0.0, 1.0, 4)], "clip_id string, ref_id string, flaw string, start_s double, end_s double, id int")
     assert rows(intervals.voted(v, "p"), "id", "agreeing") == [(1, 2), (4, 1)]
 
@@ -163,27 +225,74 @@ def test_isotonic_and_logistic(spark):
     assert calibrate.logistic(data, ["x"], "y").coefficients[0] > 0
 
 
-def clip_of_words(n=40, slow=(), gap_after=None):
-    words, t = [], 0.0
-    for i in range(n):
-        d = 0.3 * (3 if i in slow else 1) * (1.05 if i % 2 else 0.95)
-        words.append(("c", i, "word", t, t + d, "sentence" if i % 10 == 9 else "phrase_tight"))
-        t += d + (1.2 if i == gap_after else 0.3 if i % 10 == 9 else 0.0)
-    return words
+WORDS = "clip_id string, i int, clean string, start_s double, end_s double, heard boolean, sim double, heard_w string, btype string"
+FRAMES = "clip_id string, frame_i int, f0_st double, inten double, hf double, voiced boolean"
+HEARD = "clip_id string, w string, start_s double, end_s double"
 
 
-def test_detectors(spark):
-    words = spark.createDataFrame(clip_of_words(slow=range(12, 20), gap_after=4), "clip_id string, i int, w string, start_s double, end_s double, btype string")
-    end = words.agg(F.max("end_s")).first()[0]
-    made = []
-    for f in range(int(end / 0.01) + 1):
-        t = f * 0.01
-        made.append(("c", f, math.sin(f / 7) * (0.2 if 12 < t < 17 else 4), 20.0 if 8 < t < 10 else 0.0, 0.0, True))
-    frames = spark.createDataFrame(made, "clip_id string, frame_i int, f0_st double, inten double, hf double, voiced boolean")
-    found = {r.flaw for r in detect.detected(words, frames).collect()}
-    assert {"PACE_SLOW", "PAUSE_BAD", "SHOUT", "MONOTONE"} <= found and "PACE_FAST" not in found
-    short = detect.detected(words.filter("i < 6"), frames).collect()
-    assert {r.flaw for r in short} == {"PAUSE_BAD"}
+def clip_of(spark, n=40, slow=(), gap_after=None, skip=(), swap=(), prompted=(), inserted=(), frame=lambda t: {}, norms=None):
+    """A clip of words of 0.3 s in sentences of ten, with silences of 0.3 s between sentences."""
+    words, quiet, t = [], [], 0.6
+    for i in range(n):
+        d = 0.3 * (3 if i in slow else 1) * (1.05 if i % 2 else 0.95)
+        last = i % 10 == 9
+        words.append(("c", i, "word", t, t + d, i not in skip, 0.3 if i in swap else 1.0, "worse" if i in swap else "word", "sentence" if last else "phrase_tight"))
+        t += d
+        if last or i == gap_after:
+            quiet.append((t, t := t + (1.2 if i == gap_after else 0.3)))
+    end, made = t + 0.6, []
+    for f in range(int(end / 0.01)):
+        s = f * 0.01
+        silent = any(a <= s < b for a, b in quiet)
+        row = {"f0": None if silent else 4 * math.sin(f / 7), "inten": -50.0 if silent or s < 0.6 or s > t else 0.0, "hf": -10.0, **frame(s)}
+        made.append(("c", f, row["f0"], row["inten"], row["hf"], row["f0"] is not None))
+    heard = [("c", w[7], w[3], w[4]) for w in words if w[5]]
+    table = lambda data, schema: spark.createDataFrame(data, schema)
+    return detect.Clips(
+        table(words, WORDS), table(made, FRAMES), table([("c", end)], "clip_id string, duration_s double"), table(heard, HEARD), table([("c", *p) for p in prompted], HEARD),
+        table([("c", *p) for p in inserted], HEARD + ", after int"), norms or detect.Norms(),
+    ), words
+
+
+def test_detectors_of_times(spark):
+    c, words = clip_of(spark, slow=range(12, 20), gap_after=4, skip=(25, 26), swap=(33,))
+    found = {r.flaw: r for r in detect.detected(c, {"pace_win": 1}).orderBy("start_s").collect()}
+    assert {"PACE_SLOW", "PAUSE_BAD", "WORD_SKIP", "WORD_SWAP"} <= set(found) and "PACE_FAST" not in found and "PAUSE_LOST" not in found
+    assert (found["PAUSE_BAD"].w0, found["PAUSE_BAD"].w1) == (4, 5) and abs(found["PAUSE_BAD"].d - 1.2) < 0.03 and found["PAUSE_BAD"].facts["boundary"] == "phrase_tight"
+    assert (found["WORD_SKIP"].w0, found["WORD_SKIP"].w1, found["WORD_SKIP"].facts["missing"]) == (25, 26, "word word")
+    assert found["WORD_SWAP"].w0 == 33 and found["WORD_SWAP"].facts == {"heard": "worse"}
+    assert abs(found["PACE_SLOW"].d - 3) < 0.4 and found["PACE_SLOW"].w0 <= 12 and found["PACE_SLOW"].w1 >= 19
+    lost, _ = clip_of(spark, norms=detect.Norms(sentence_pause=2.0))
+    assert [r.w0 for r in detect.detected(lost, flaws=("PAUSE_LOST",)).orderBy("w0").collect()] == [9, 19, 29]
+    few, _ = clip_of(spark, n=6)
+    assert detect.detected(few).filter("flaw in ('PACE_FAST', 'PACE_SLOW', 'SHOUT')").count() == 0
+    kept = detect.usable(detect.detected(c), c.clips, disabled=("WORD_SWAP",), least_s=100.0, text_given=True)
+    assert {r.flaw for r in kept.collect()} <= {"PAUSE_BAD", "WORD_SKIP", "FILLER", "UPTALK"}
+
+
+def test_detectors_of_levels(spark):
+    c, words = clip_of(spark, frame=lambda s: {"inten": 20.0} if 6.6 < s < 9 else {"f0": 0.1 * math.sin(s * 30)} if 1.0 < s < 4.6 else {"hf": -30.0} if 9.8 < s < 12.4 else {})
+    found = {}
+    for r in detect.detected(c).collect():
+        found.setdefault(r.flaw, []).append(r)
+    assert abs(found["SHOUT"][0].d - 20) < 1e-6 and found["SHOUT"][0].start_s < 9 < found["SHOUT"][0].end_s + 0.1
+    assert found["MONOTONE"][0].start_s < 1.2 and found["MONOTONE"][0].d > 3
+    assert abs(found["SLUR"][0].d - 20) < 1e-6
+    ends = [w for w in words if w[8] == "sentence"]
+    c, _ = clip_of(spark, frame=lambda s: {"inten": -9.0, "f0": 6.0 if s > ends[1][4] - 0.06 else 1.0} if ends[1][4] - 1.3 < s < ends[1][4] - 0.005 else {})
+    found = {r.flaw: r for r in detect.detected(c, flaws=("FADE", "UPTALK")).filter("w1 = 19").collect()}
+    assert abs(found["FADE"].d - 8) < 0.6 and found["UPTALK"].d == 8.0 and found["UPTALK"].facts["rise_st"] == "5.0"
+
+
+def test_fillers_and_repeats(spark):
+    hum = lambda s: {"f0": 2.0, "inten": -1.0} if 4.15 < s < 4.75 else {}  # noqa: E731  in the long silence
+    c, words = clip_of(spark, gap_after=9, prompted=[("um", 5.0, 5.3), ("um", 5.01, 5.25), ("word", 6.0, 6.2), ("uh", 7.0, 7.05)], inserted=[("wor", 8.0, 8.2, 20), ("zebra", 9.0, 9.2, 22)], frame=hum)
+    found = detect.detected(c, flaws=("FILLER", "REPEAT")).orderBy("start_s").collect()
+    told = {(r.flaw, r.facts.get("heard")) for r in found}
+    assert ("FILLER", "um") in told and ("REPEAT", "wor") in told and ("REPEAT", "zebra") not in told
+    assert len([r for r in found if r.facts.get("heard") == "um"]) == 1
+    voiced = [r for r in found if r.facts.get("heard") in ("held vowel", "voiced hum / drawl") and 4 < r.start_s < 5]
+    assert len(voiced) == 1 and abs(voiced[0].d - 0.6) < 0.05 and voiced[0].w0 == 9
 
 
 def test_word_features_and_flat_stretches(spark):
@@ -192,6 +301,20 @@ def test_word_features_and_flat_stretches(spark):
     f = series.word_features(words, frames).orderBy("i").collect()
     assert f[0].f0_range == 0 and f[1].f0_range == 39 and f[1].prominence > f[0].prominence
     assert [(round(s, 2), round(e, 2)) for s, e in rows(series.flat_stretches(frames), "start_s", "end_s")] == [(0.0, 0.4)]
+    # a stretch too short to count is passed over whole, unvoiced gaps of two frames are bridged and longer ones are not
+    pitch = [0.0] * 10 + [9.0] * 3 + [None] * 2 + [9.5] * 12 + [None] * 3 + [9.5] * 12 + [11.6] * 20
+    frames = spark.createDataFrame([("c", i, p, float(i % 2), float(i % 3)) for i, p in enumerate(pitch)], "clip_id string, frame_i int, f0_st double, inten double, hf double")
+    got = series.flat_stretches(frames, least_s=0.12).orderBy("start_s").collect()
+    assert [(round(r.start_s, 2), round(r.end_s, 2), round(r.range_st, 2)) for r in got] == [(0.1, 0.27, 0.5), (0.3, 0.42, 0.0), (0.42, 0.62, 0.0)]
+    level, high = [float(i % 2) for i in range(10, 27)], [float(i % 3) for i in range(10, 27)]
+    mean = sum(level) / 17
+    assert abs(got[0].level_sd - (sum((v - mean) ** 2 for v in level) / 17) ** 0.5) < 1e-9
+    assert abs(got[0].change - sum(abs(a - b) for a, b in zip(high, high[1:])) / 16) < 1e-9
+
+
+def test_hysteresis(spark):
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate([1.0, 3.0, 9.0, 4.0, None, 3.0, 4.0, 1.0, 8.0])], "k string, i int, v double")
+    assert rows(series.hysteresis(df, ["k"], ["i"], "v", 5.0, 2.0), "first_row", "last_row", "peak") == [(1, 3, 9.0), (8, 8, 8.0)]
 
 
 def test_manifest_and_gates(spark, tmp_path):
