@@ -1,26 +1,32 @@
 """Exact top-k inner-product search over KD-trees, one for each shard.
 
-Vectors are dealt into shards of bounded size by a hash of their id and
-queries into blocks.  Each shard's tree splits at the median of its widest
-dimension down to small leaves; every node keeps the tight box of its vectors
-and the smallest id in it.  The largest inner product that a box allows bounds
-the node, and leaves are visited from the best bound on until it falls below
-the kth score found (at an equal bound, until no smaller id is left).
+Vectors are dealt into shards of bounded size by a hash of their id.  A shard's
+vectors and the queries that ask it come to one task in order, the vectors
+first: its tree is built once and the queries stream through it in batches, so
+a task holds one shard and one batch.  The tree splits at the median of its
+widest dimension down to small leaves; every node keeps the tight box of its
+vectors and the smallest id in it.  The largest inner product that a box allows
+bounds the node, and leaves are visited from the best bound on until it falls
+below the kth score found (at an equal bound, until no smaller id is left).
 
 The kth score is propagated: each query is first searched in one shard, and the
 search of the other shards starts from the kth score found there.
 
 Defined cases: vectors that are null or hold null or non-finite components, and
 rows without an id, take no part; vectors are compared with those of their own
-length only; rows with a query's id are its own; with fewer than k candidates
-all are returned; equal scores go by smaller id.  A vector row that occurs
-several times is as many candidates, and the candidates of all query rows of an
-id are ranked together; equal rows are searched once and counted afterwards.
+length only (empty ones score 0); rows with a query's id are its own; with
+fewer than k candidates all are returned, and none from an empty table; equal
+scores go by smaller id.  A vector row that occurs several times is as many
+candidates, and the candidates of all query rows of an id are ranked together;
+equal rows are searched once and counted afterwards.  Components beyond 64 bits
+are cut to 64 bits, and so are scores, after exact comparison within a shard.
+Only id and vector are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +35,9 @@ from pyspark.sql import DataFrame, Window
 
 from tempora.llm.shared import written
 
-SHARD_ROWS, BLOCK_QUERIES, LEAF = 8192, 1024, 256
+SHARD_ROWS, LEAF = 8192, 256
+#: Stands for no kth score (a null would make the column one of doubles).
+SMALLEST = -(2**63)
 FOUND = "query_id long, digest string, vec_id long, score long, times long"
 
 
@@ -100,23 +108,55 @@ class Tree:
 
 
 def _vectors(column: pd.Series) -> np.ndarray:
-    """Integer rows as doubles where every inner product is exact in doubles, else as integers."""
-    rows = np.array([np.asarray(v) for v in column], np.int64)
-    most = int(np.abs(rows).max(initial=0))
-    return rows.astype(np.float64) if most * most * rows.shape[1] < 2**52 else rows
+    return np.stack([np.asarray(v, np.int64) for v in column])
+
+
+def _most(rows: np.ndarray) -> int:
+    """The largest size of a component."""
+    return max(-int(rows.min(initial=0)), int(rows.max(initial=0)))
+
+
+def _exact(most: int, of_query: int, length: int):
+    """The fastest numbers in which every inner product is exact."""
+    reach = most * of_query * max(length, 1)
+    return np.float64 if reach < 2**52 else np.int64 if reach < 2**62 else object
+
+
+class Shard:
+    """The tree of one shard, in the numbers that a batch of queries needs."""
+
+    def __init__(self, held: list[pd.DataFrame]):
+        rows = pd.concat(held)
+        self.ids, self.times, self.vectors = rows["vec_id"].to_numpy(np.int64), rows["times"].to_numpy(np.int64), _vectors(rows["vector"])
+        self.most, self.trees = _most(self.vectors), {}
+
+    def found(self, queries: pd.DataFrame, k: int) -> list[tuple]:
+        asked = _vectors(queries["vector"])
+        kind = _exact(self.most, _most(asked), asked.shape[1])
+        if kind not in self.trees:
+            self.trees[kind] = Tree(self.ids, self.vectors.astype(kind), self.times)
+        out = []
+        for query_id, digest, often, query, kth in zip(queries["vec_id"], queries["digest"], queries["times"], asked.astype(kind), queries["kth"]):
+            least = None if int(kth) == SMALLEST else int(kth)
+            out += [(query_id, digest, i, min(max(s, SMALLEST), -SMALLEST - 1), n * often) for s, i, n in self.trees[kind].search(int(query_id), query, k, least)]
+        return out
 
 
 def _search(k: int):
-    def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, str, int, int, int]] = []
-        if len(vectors) and len(queries):
-            both = _vectors(pd.concat([vectors["vector"], queries["vector"]]))
-            tree = Tree(vectors["vec_id"].to_numpy(np.int64), both[: len(vectors)], vectors["times"].to_numpy(np.int64))
-            kths = queries["kth"] if "kth" in queries else [None] * len(queries)
-            for query_id, digest, asked, query, kth in zip(queries["vec_id"], queries["digest"], queries["times"], both[len(vectors) :], kths):
-                kth = None if kth is None or pd.isna(kth) else int(kth)
-                out += [(query_id, digest, i, s, n * asked) for s, i, n in tree.search(int(query_id), query, k, kth)]
-        return pd.DataFrame(out, columns=["query_id", "digest", "vec_id", "score", "times"]).astype({c: "int64" for c in ("query_id", "vec_id", "score", "times")})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, shard = None, [], None
+        for batch in batches:
+            out: list[tuple] = []
+            for (number, length, asks), rows in batch.groupby(["shard", "length", "asks"], sort=True):
+                if (number, length) != key:
+                    key, held, shard = (number, length), [], None
+                if not asks:
+                    held.append(rows)
+                elif held or shard:
+                    shard = shard or Shard(held)
+                    held = []
+                    out += shard.found(rows, k)
+            yield pd.DataFrame(out, columns=["query_id", "digest", "vec_id", "score", "times"]).astype({c: "int64" for c in ("query_id", "vec_id", "score", "times")})
 
     return run
 
@@ -139,23 +179,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec
 
     vectors, queries = narrow(vectors), narrow(queries)
     shards = max(1, -(-vectors.count() // SHARD_ROWS))
-    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    held = counted(vectors).withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)))
-    held = held.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    number = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards))
+    held = counted(vectors).select(number.alias("shard"), "length", F.lit(False).alias("asks"), "vec_id", "vector", "times", F.lit(None).cast("string").alias("digest"), F.lit(SMALLEST).alias("kth"))
     asked = counted(queries).withColumn("digest", F.sha2(F.array_join(F.col("vector").cast("array<string>"), ","), 256))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "vector", F.lit(1)), F.lit(blocks)))
     asked = asked.withColumn("home", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(shards)))
-    key = ["shard", "block", "length"]
 
-    def searched(held: DataFrame, asked: DataFrame) -> DataFrame:
-        return held.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_search(k), FOUND)
+    def searched(asking: DataFrame) -> DataFrame:
+        both = held.unionByName(asking.withColumn("asks", F.lit(True)).select(held.columns))
+        ordered = both.repartition(shards, "shard").sortWithinPartitions("shard", "length", "asks")
+        return ordered.mapInPandas(_search(k), FOUND)
 
     of_row = Window.partitionBy("query_id", "digest").orderBy(F.desc("score"), "vec_id")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    first = written(searched(held, asked.withColumn("shard", F.col("home"))), "home-shards")
+    first = written(searched(asked.withColumn("shard", F.col("home")).withColumn("kth", F.lit(SMALLEST))), "home-shards")
     kth = first.withColumn("rank", F.row_number().over(of_row)).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), "digest", F.col("score").alias("kth"))
-    told = asked.join(kth, ["vec_id", "digest"], "left").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    rest = searched(held, told.filter("shard <> home"))
+    told = asked.join(kth, ["vec_id", "digest"], "left").withColumn("kth", F.coalesce("kth", F.lit(SMALLEST))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    rest = searched(told.filter("shard <> home"))
     each = first.union(rest).withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.least("times", F.lit(k).cast("long")))))
     ranked = each.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
