@@ -10,18 +10,20 @@ of id, copy and seed.
 Defined cases: rows without a source are a source of their own, rows without
 an id hash as the empty id; rows that share an id get equally many copies;
 sources without a weight count as weight 0 and give no copies; weights of
-sources that are absent are left out of the total.
+sources that are absent are left out of the total; a table without rows gives
+none; texts, whatever their length, are only carried; a column named like the
+copy's number keeps its name and that one gets an underscore.
 """
 
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 
-from tempora.llm.shared import free_name
+from tempora.llm.shared import free_name, written
 
-#: Sources whose distributions (about 0.5 KB each) are broadcast; more are joined by a shuffle.
-BROADCAST_SOURCES = 20_000
+#: Probabilities (8 bytes each) of all sources' distributions that are broadcast at most; more are joined by a shuffle.
+BROADCAST_STEPS = 2_000_000
 
 
 def hashed_unit(*parts: Column) -> Column:
@@ -46,17 +48,19 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, power
     return weighed.crossJoin(F.broadcast(sums)).select("source", "n", rate.alias("rate"))  # sums is one row
 
 
-def _distribution(rate: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... until a double cannot tell the rest from 0."""
-    far = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
-    start = F.struct((-rate).alias("log_p"), F.exp(-rate).alias("below"), F.array(F.exp(-rate)).alias("all"))
+def _last(rate: Column) -> Column:
+    """The number of copies beyond which a double cannot tell the rest from 0."""
+    return F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
 
-    def further(so: Column, k: Column) -> Column:
-        log_p = so["log_p"] + F.log(rate / k)
-        below = so["below"] + F.exp(log_p)
-        return F.struct(log_p.alias("log_p"), below.alias("below"), F.concat(so["all"], F.array(below)).alias("all"))
 
-    return F.aggregate(F.sequence(F.lit(1), far), start, further)["all"]
+def distributions(mixed: DataFrame) -> DataFrame:
+    """``(source, distribution)`` of ``mixed(source, rate)``: P(X <= k) for k = 0, 1, ..., by running sums over the source's steps."""
+    steps = mixed.withColumn("k", F.explode(F.sequence(F.lit(0), _last(F.col("rate")))))
+    so_far = Window.partitionBy("source").orderBy("k")
+    log_p = F.sum(F.when(F.col("k") == 0, -F.col("rate")).otherwise(F.log(F.col("rate") / F.col("k")))).over(so_far)
+    below = steps.withColumn("log_p", log_p).withColumn("below", F.sum(F.exp("log_p")).over(so_far))
+    ordered = below.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("k", "below"))).alias("steps"))
+    return ordered.select("source", F.col("steps.below").alias("distribution"))
 
 
 def mix(
@@ -67,12 +71,15 @@ def mix(
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     mixed = rates(docs.select(F.col(f"`{source}`").alias("source")), weights, power, total)
-    mixed = mixed.filter("rate > 0").select(F.col("source").alias("mix_source"), _distribution(F.col("rate")).alias("distribution"))
-    if mixed.select("mix_source").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        mixed = F.broadcast(mixed)
+    mixed = written(mixed.filter("rate > 0").select("source", "rate"), "rates")
+    steps = distributions(mixed).select(F.col("source").alias("mix_source"), "distribution")
+    if (mixed.agg(F.sum(_last(F.col("rate")).cast("long"))).first()[0] or 0) <= BROADCAST_STEPS:
+        steps = F.broadcast(steps)
     key = F.coalesce(F.col(names[doc_id]).cast("string"), F.lit(""))
-    copies = F.size(F.filter("distribution", lambda below: below <= hashed_unit(key, F.lit(str(seed)))))
-    joined = rows.join(mixed, F.col(names[source]).eqNullSafe(F.col("mix_source"))).withColumn("copies", copies).drop("distribution", "mix_source")
+    # bound to a name by a lambda, the hash is computed once a row and not once a step
+    unit = F.array(hashed_unit(key, F.lit(str(seed))))
+    copies = F.element_at(F.transform(unit, lambda u: F.size(F.filter("distribution", lambda below: below <= u))), 1)
+    joined = rows.join(steps, F.col(names[source]).eqNullSafe(F.col("mix_source"))).withColumn("copies", copies).drop("distribution", "mix_source")
     exploded = joined.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     place = F.md5(F.concat_ws(":", key, F.col("copy").cast("string"), F.lit(f"{seed}:place")))
     shuffled = exploded.withColumn("place", place).repartition("place").sortWithinPartitions("place")

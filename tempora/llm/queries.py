@@ -64,7 +64,7 @@ def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = """
 WITH sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 rates AS (SELECT source, n, pow(n::DOUBLE, 0.5) / sum(pow(n::DOUBLE, 0.5)) OVER () * sum(n) OVER () / n AS rate FROM sizes),
-probabilities AS (SELECT source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM rates, range(0, 400) r(k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 40)),
+probabilities AS (SELECT source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 40)::BIGINT + 1)) AS k FROM rates)),
 below AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS below FROM probabilities),
 units AS (SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':11'), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),
 copies AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, count(*) AS copies
