@@ -6,13 +6,17 @@ bytes of a chunk, are max-pooled over it, then over the document's chunks, and
 a logistic layer combines the pooled filters and the log of the length into one
 probability.  The text is the only input of a score.
 
-The network is fitted on the driver on a bounded sample (``rows`` labelled
-documents of up to ``max_bytes`` each, those with the smallest hash of their
-id); scoring covers all documents.
+The network is fitted on the driver on a bounded sample (at most ``rows``
+labelled documents and ``total_bytes`` of whole texts, by the hash of their id);
+scoring covers all documents.
 
 Defined cases: null text counts as empty, and an empty text as one zero byte,
-so it has a score; null labels are left out; of several labels of one id the
-smallest counts; with labels of one class only the score is that class's share.
+so it has a score; null labels and ids are not learnt from; of several labels or
+texts of one id the smallest counts; with labels of one class only the score is
+that class's share, and without any it is one half; equal texts have equal
+scores, and repeated rows are scored as often; a very long text is read chunk by
+chunk; a table without rows gives none; other columns are kept, and one named
+like the score is replaced.
 """
 
 from __future__ import annotations
@@ -148,16 +152,23 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Network:
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 4000, max_bytes: int = 65536) -> Network:
-    """Fit on at most ``rows`` labelled documents outside the held-out quarter.
+def train(docs: DataFrame, labels: DataFrame, rows: int = 4000, total_bytes: int = 64 << 20) -> Network:
+    """Fit on at most ``rows`` labelled documents outside the held-out quarter, in whole texts of ``total_bytes`` together at most.
 
-    Only this sample (its rows and bytes are bounded) comes to the driver.
+    Only this sample comes to the driver.
     """
     known = labels.filter("doc_id is not null and quality is not null").filter(~held_out(F.col("doc_id")))
     sample = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     label = {r.doc_id: int(r.quality) for r in sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()}
-    texts = docs.filter(F.col("doc_id").isin(list(label))).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
-    found = sorted(((r.doc_id, r.text or "") for r in texts.select("doc_id", "text").limit(4 * rows).collect()), key=lambda r: r)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    of_id = docs.filter(F.col("doc_id").isin(list(label))).groupBy("doc_id").agg(F.min(text).alias("text"))
+    size = {r.doc_id: r.size for r in of_id.select("doc_id", F.octet_length("text").alias("size")).collect()}
+    taken, left = [], total_bytes
+    for i in (i for i in label if i in size):  # in the order of the hash
+        if size[i] <= left:
+            taken.append(i)
+            left -= size[i]
+    found = sorted((r.doc_id, r.text) for r in of_id.filter(F.col("doc_id").isin(taken)).collect())
     return fit([t for _, t in found], [label[i] for i, _ in found])
 
 
