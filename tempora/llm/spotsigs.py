@@ -14,7 +14,10 @@ are pruned, and the rest is confirmed on whole sets.
 
 Defined cases: null text counts as empty and has the empty fingerprint; two
 empty fingerprints are alike by 1 and linked with nothing; repeated rows and
-equal texts have equal fingerprints; an empty table gives an empty one.
+equal texts have equal fingerprints; rows that share an id follow each other by
+text; a very long text is held by one task, with the one before it; an empty
+table gives an empty one, and the only row of a table is its own next one; only
+id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pandas as pd
 import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from tempora.llm.shared import written
 
@@ -40,6 +43,8 @@ COMMON = (
     "al como con del el ella era es ese esta está los las lo más no para pero por su sus también una uno y"
 ).split()
 CHAIN = 2
+#: Ranges of ids at most; the bounds of all (8 bytes each) are in every task.
+MOST_RANGES = 20_000
 #: Words without a common one after which every word stands in as an anchor.
 GAP = 8
 
@@ -103,18 +108,6 @@ def likeness(a: Column, b: Column) -> Column:
 # ---------------------------------------------------------------- neighbours in the order of ids
 
 
-def _range(value: Column, bounds: list) -> Column:
-    """The number of ``bounds`` (ascending) below ``value``, by halves."""
-
-    def within(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(value <= F.lit(bounds[middle]), within(low, middle)).otherwise(within(middle + 1, high))
-
-    return within(0, len(bounds))
-
-
 COMPARED = StructType([
     StructField("doc_id", LongType()), StructField("n_chars", LongType()), StructField("edited_text", StringType()), StructField("fingerprint", StringType()),
     StructField("edited_fingerprint", StringType()), StructField("near_edited", DoubleType()), StructField("near_next", DoubleType()),
@@ -130,27 +123,33 @@ def edited(text: str, following: str) -> str:
 def against_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows_per_range: int = 2000) -> DataFrame:
     """Each document compared with its edited text and with the next document by falling id (after the last: the first).
 
-    Ids are cut into ranges at quantiles, and the first row of a range is also
-    sent to the range before it, so each row meets its next one in its own
-    task; a task holds two documents at a time.  Rows without an id come last;
+    Ids are cut into ranges at quantiles, at most MOST_RANGES, and the first row
+    of a range is also sent to the range before it, so each row meets its next
+    one in its own task; a range is sorted, with spilling, and streams through
+    its task, which holds two documents at a time.  Rows without an id come last;
     rows that share an id follow each other by text.
     """
     rows = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    n = rows.count()
-    wanted = max(1, math.ceil(n / rows_per_range))
+    wanted = min(MOST_RANGES, max(1, math.ceil(rows.count() / rows_per_range)))
     quantiles = rows.approxQuantile("doc_id", [i / wanted for i in range(1, wanted)], 0.25 / wanted) if wanted > 1 else []
-    bounds = sorted({int(q) for q in quantiles})
-    # falling ids: range 0 holds the largest
-    number = F.lit(len(bounds)) - _range(F.col("doc_id"), bounds)
-    ranged = rows.withColumn("range", number)
-    tops = ranged.groupBy("range").agg(F.max("doc_id").alias("top")).orderBy("range").collect()  # a row a range
+    bounds = np.unique(np.array(quantiles, np.int64))
+
+    def own_range(ids: pd.Series) -> np.ndarray:
+        return len(bounds) - np.searchsorted(bounds, ids.to_numpy(), "left")  # falling ids: range 0 holds the largest
+
+    @F.pandas_udf(IntegerType())
+    def ranged(ids: pd.Series) -> pd.Series:
+        return pd.Series(own_range(ids).astype(np.int32))
+
+    tops = rows.groupBy(ranged("doc_id").alias("range")).agg(F.max("doc_id").alias("top")).orderBy("range").collect()  # a row a range
     before = {r.top: tops[i - 1].range for i, r in enumerate(tops)}
-    guest_of = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map(F.lit(0).cast("long"), F.lit(0))
-    places = F.when(
-        F.col("doc_id").isin(list(before)), F.array(F.struct(F.col("range"), F.lit(False).alias("guest")), F.struct(guest_of[F.col("doc_id")].alias("range"), F.lit(True).alias("guest")))
-    ).otherwise(F.array(F.struct(F.col("range"), F.lit(False).alias("guest"))))
-    placed = rows.withColumn("range", number).withColumn("place", F.explode(places)).select("place.range", "place.guest", "doc_id", "text")
-    ordered = placed.repartition("range").sortWithinPartitions("range", "guest", F.desc("doc_id"), "text")
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def places(ids: pd.Series) -> pd.Series:
+        return pd.Series([[r, before[i]] if i in before else [r] for r, i in zip(own_range(ids).tolist(), ids)], dtype=object)
+
+    placed = rows.withColumn("ranges", places("doc_id")).select(F.posexplode("ranges").alias("place", "range"), "doc_id", "text")
+    ordered = placed.select("range", (F.col("place") == 1).alias("guest"), "doc_id", "text").repartition("range").sortWithinPartitions("range", "guest", F.desc("doc_id"), "text")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
