@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
 # Filler words.
-FILLERS = ["uh", "um", "er", "erm", "ah", "hmm", "mm"]
+FILLERS = ["um", "umm", "uh", "uhh", "er", "erm", "ah", "hmm", "mm", "mhm", "uhm", "eh"]
 CLOSING = "\"')]}"
 
 
@@ -28,6 +28,13 @@ def words_of(df: DataFrame, text: str = "text") -> DataFrame:
     return rows.select(*df.columns, "i", F.col("_t.w").alias("w"), F.col("_t.clean").alias("clean"), F.col("_t.bare").rlike(r"[.?!]$").alias("sent_end"), F.col("_t.bare").rlike(r"[,;:.?!]$").alias("clause_end"))
 
 
+def repeats(text: Column) -> Column:
+    """How often a word of a text follows itself; words are runs of the letters a to z."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z]+", " "), " "), lambda x: x != "")
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.lit(1), F.size(words))), lambda a, b: a == b)
+    return F.size(F.filter(pairs, lambda x: x)).cast("long")
+
+
 def tokens_with_marks(text: Column) -> Column:
     """All tokens, empty ones too, each with its trailing punctuation split off."""
     return F.transform(F.split(text, r"\s+"), lambda t: F.struct(F.regexp_replace(t, r"[,;:.?!]+$", "").alias("w"), F.regexp_extract(t, r"([,;:.?!]+)$", 1).alias("punct")))

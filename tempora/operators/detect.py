@@ -184,13 +184,17 @@ def pauses(words: DataFrame, frames: DataFrame, clips: DataFrame, norms: Norms,
 # ---------------------------------------------------------------- pace
 
 
-def duration_residuals(words: DataFrame, norms: Norms) -> DataFrame:
-    """``words`` with ``resid``: log duration less what length and position let expect and less the clip's median; ``expected_s``; null where not heard."""
-    parts = (
+def duration_parts() -> tuple[Column, ...]:
+    """What a word's duration depends on: syllables, letters, function word, before a pause, at a sentence's end, one."""
+    return (
         syllables(F.col("clean")), F.length("clean"), F.col("clean").isin(FUNCTION_WORDS).cast("int"), F.col("btype").isin("sentence", "clause_punct").cast("int"),
         (F.col("btype") == "sentence").cast("int"), F.lit(1),
     )
-    predicted = sum((c * p for c, p in zip(norms.durations, parts)), F.lit(0.0))
+
+
+def duration_residuals(words: DataFrame, norms: Norms) -> DataFrame:
+    """``words`` with ``resid``: log duration less what length and position let expect and less the clip's median; ``expected_s``; null where not heard."""
+    predicted = sum((c * p for c, p in zip(norms.durations, duration_parts())), F.lit(0.0))
     log = F.when(F.col("heard"), F.log(F.greatest(F.col("end_s") - F.col("start_s"), F.lit(0.03))))
     told = words.withColumn("predicted", predicted).withColumn("raw", log - F.col("predicted"))
     usual = told.groupBy("clip_id").agg(F.median("raw").alias("usual"))

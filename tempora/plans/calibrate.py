@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from tempora.operators import intervals
+from tempora.operators.detect import Classifier, duration_parts
 
 KNOTS = "flaw string, x double, y double"
 
@@ -65,3 +68,98 @@ def weight_of_least_squares(pairs: DataFrame, group: str, made: str, wanted: str
     """Per group the factor that takes ``made`` nearest to ``wanted``, within bounds."""
     factor = F.sum(F.col(made) * F.col(wanted)) / F.sum(F.col(made) * F.col(made))
     return pairs.groupBy(group).agg(F.greatest(F.lit(low), F.least(F.lit(high), factor)).alias("weight"))
+
+
+def classifier(rows: DataFrame, features: Sequence[str], label: str) -> Classifier:
+    """The logistic fit of ``rows`` as weights over standardised features; a feature without spread has weight 0."""
+    stats = rows.agg(*[f(c).alias(f"{n}{k}") for k, c in enumerate(features) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    means, sds = [float(stats[f"m{k}"] or 0.0) for k in range(len(features))], [float(stats[f"s{k}"] or 0.0) for k in range(len(features))]
+    used = [k for k, s in enumerate(sds) if s > 1e-8]
+    scaled = rows.select(label, *[((F.col(features[k]) - means[k]) / sds[k]).alias(f"f{k}") for k in used])
+    fit = logistic(scaled, [f"f{k}" for k in used], label)
+    found = dict(zip(used, fit.coefficients))
+    return Classifier(tuple(features), tuple(float(found.get(k, 0.0)) for k in range(len(features))), float(fit.intercept), tuple(means), tuple(sds))
+
+
+def marked_insertions(candidates: DataFrame, fillers: DataFrame, least: float = 0.4, width: float = 1.0) -> DataFrame:
+    """``candidates(clip_id, start_s, end_s, ...)`` with ``hit``: IoU of ``least`` or more with a true filler, both of 0.3 s at least from their start."""
+    long = lambda df: df.withColumn("_end", F.greatest("end_s", F.col("start_s") + 0.3))
+    pairs = intervals.overlap_join(long(candidates), long(fillers.select("clip_id", "start_s", "end_s")), ["clip_id"], width, end="_end")
+    both = F.least("_end", "r__end") - F.greatest("start_s", "r_start_s")
+    hull = F.greatest("_end", "r__end") - F.least("start_s", "r_start_s")
+    hits = pairs.filter(both / hull >= least).select("clip_id", "start_s", "end_s").distinct().withColumn("hit", F.lit(1))
+    return candidates.join(hits, ["clip_id", "start_s", "end_s"], "left").fillna({"hit": 0})
+
+
+def usual_cost(costs: DataFrame, floor: float = 0.02) -> float:
+    """How well a normal clip matches its reference: the upper quartile of ``costs(path_cost)``, at least ``floor``."""
+    return max(floor, float(costs.agg(F.percentile("path_cost", F.lit(0.75))).first()[0] or 0.0))
+
+
+def descended(score: Callable[[dict[str, float]], float], start: dict[str, float], grid: dict[str, Sequence[float]], rounds: int = 2) -> dict[str, float]:
+    """Thresholds after ``rounds`` of trying each key's values with all others held: the first of the best values stays.
+
+    ``score`` runs a job over all clips for each trial; the driver holds
+    nothing but thresholds.
+    """
+    held = dict(start)
+    for _ in range(rounds):
+        for key, values in grid.items():
+            best = None
+            for v in values:
+                got = score({**held, key: v})
+                if best is None or got > best[0] + 1e-9:
+                    best = (got, v)
+            held[key] = best[1] if best else held[key]
+    return held
+
+
+def unusable(grounding: DataFrame, least_f1: float = 0.10) -> DataFrame:
+    """Flaws whose detector does not reach ``least_f1`` (``grounding(flaw, f1)``)."""
+    return grounding.filter(F.col("flaw").isNotNull() & (F.col("f1") < least_f1)).select("flaw")
+
+
+def level_weights(scored: Callable[[DataFrame], DataFrame], flaws: Sequence[str], spark: SparkSession, target: float = 60.0, low: float = 0.2, cap: float = 8.0, steps: int = 20) -> dict[str, float]:
+    """The weight of each flaw that takes the mean score of its hardest clips to ``target``, by halving all flaws' ranges at once.
+
+    ``scored(weights(flaw, weight))`` gives ``(flaw, overall)`` of these clips.
+    A flaw that cannot get down to the target has the cap, one without clips 1.
+    """
+
+    def means(weights: dict[str, float]) -> dict[str, float]:
+        table = spark.createDataFrame([(f, float(w)) for f, w in weights.items()], "flaw string, weight double")
+        return {r.flaw: r.mean for r in scored(table).groupBy("flaw").agg(F.avg("overall").alias("mean")).collect()}
+
+    at_cap = means({f: cap for f in flaws})
+    fixed = {f: 1.0 if f not in at_cap else cap for f in flaws if f not in at_cap or at_cap[f] > target}
+    span = {f: (low, cap) for f in flaws if f not in fixed}
+    for _ in range(steps if span else 0):
+        middle = {f: (a + b) / 2 for f, (a, b) in span.items()}
+        got = means(middle)
+        span = {f: (middle[f], b) if got[f] > target else (a, middle[f]) for f, (a, b) in span.items()}
+    return fixed | {f: round((a + b) / 2, 2) for f, (a, b) in span.items()}
+
+
+def usual_among(measures: DataFrame, kind: str, value: str) -> DataFrame:
+    """Per kind of a measure over clean speakers: median, scaled median deviation, 5th and 95th percentile, number."""
+    from tempora.plans.catalog import pause_norms
+
+    return pause_norms(measures.filter(F.col(value).isNotNull()), kind, value)
+
+
+def duration_model(words: DataFrame, ridge: float = 1.0) -> tuple[float, ...]:
+    """Coefficients of a word's log duration by ridge regression, centred on each clip's median.
+
+    ``words(clip_id, clean, start_s, end_s, btype)``.  The sums of products are
+    one aggregation; a system of six equations is left for the driver.
+    """
+    import numpy as np
+
+    told = words.withColumn("y", F.log(F.greatest(F.col("end_s") - F.col("start_s"), F.lit(0.03))))
+    told = told.join(told.groupBy("clip_id").agg(F.median("y").alias("usual")), "clip_id").withColumn("y", F.col("y") - F.col("usual"))
+    parts = duration_parts()
+    names = [f"x{k}" for k in range(len(parts))]
+    told = told.select("y", *[p.cast("double").alias(n) for n, p in zip(names, parts)])
+    sums = told.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a in names for b in [*names, "y"]]).first()
+    x = np.array([[sums[f"{a}_{b}"] or 0.0 for b in names] for a in names])
+    return tuple(float(c) for c in np.linalg.solve(x + ridge * np.eye(len(names)), [sums[f"{a}_y"] or 0.0 for a in names]))

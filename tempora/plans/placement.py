@@ -50,7 +50,7 @@ def split_of(baseline: Column) -> Column:
 
 def age_band(age: Column) -> Column:
     """The band of a number of years, or of a group's name."""
-    years = age.cast("double")
+    years = age.cast("string").try_cast("double")
     return F.when(years <= 25, "18-25").when(years <= 45, "26-45").when(years <= 65, "46-65").when(years > 65, "65+").otherwise(one_of(AGE_GROUPS, age.cast("string")))
 
 

@@ -83,3 +83,86 @@ def summary(regions: DataFrame, areas: DataFrame) -> DataFrame:
     both = weakest.join(worst, "clip_id", "left").fillna({"n": 0})
     text = F.when(F.col("n") == 0, "Nothing was flagged.").otherwise(F.format_string("%d flagged; most costly: %s; weakest area: %s.", F.col("n"), F.col("costliest"), F.col("weakest")))
     return both.select("clip_id", "n", text.alias("summary"))
+
+
+# What is measured for a flaw, how it is called and in what.
+MEASURES = {
+    "PACE_FAST": ("rate", "Speaking rate", "syllables per second"), "PACE_SLOW": ("rate", "Speaking rate", "syllables per second"), "PAUSE_BAD": ("pause_in", "Longest pause inside the phrase", "seconds"),
+    "PAUSE_LOST": ("pause_end", "Pause after the last word", "seconds"), "FADE": ("fade", "Drop in loudness from start to end", "dB"), "SHOUT": ("spread", "Loudest part above the typical level", "dB"),
+    "SLUR": ("slur", "Consonant brightness", "dB"), "MONOTONE": ("pitch", "Pitch range", "semitones"), "FILLER": ("fillers", "Filler sounds heard", "count"), "RARE_HESIT": ("fillers", "Filler sounds heard", "count"),
+    "REPEAT": ("words", "Words matching the text", "share"), "WORD_SKIP": ("words", "Words matching the text", "share"), "WORD_SWAP": ("words", "Words matching the text", "share"),
+}
+
+
+def phrase_of(regions: DataFrame, words: DataFrame) -> DataFrame:
+    """``regions(clip_id, rid, flaw, w0, w1)`` that can be said again, with the phrase ``a`` to ``b`` to read, its text, times and what is measured.
+
+    A lost pause or a fade needs the five words before it; others three on both
+    sides, 25 words at most.
+    """
+    last = words.groupBy("clip_id").agg(F.max("i").alias("last_i"))
+    end = F.col("flaw").isin("PAUSE_LOST", "FADE")
+    a, b = F.greatest(F.lit(0), F.col("w0") - F.when(end, 5).otherwise(3)), F.least("last_i", F.col("w1") + F.when(end, 0).otherwise(3))
+    table = F.create_map(*[x for f, (key, name, unit) in MEASURES.items() for x in (F.lit(f), F.struct(F.lit(key).alias("key"), F.lit(name).alias("name"), F.lit(unit).alias("unit")))])
+    told = regions.filter(F.col("flaw").isin(*MEASURES)).join(last, "clip_id").withColumn("a", a).withColumn("b", F.when(end, b).otherwise(F.least(b, a + 24)))
+    told = told.withColumns({"measure": F.try_element_at(table, F.col("flaw")), "r0": F.greatest(F.lit(0), F.col("w0") - F.col("a")), "r1": F.least("b", "w1") - F.col("a")})
+    spoken = told.select("clip_id", "rid", F.explode(F.sequence("a", "b")).alias("i")).join(words.select("clip_id", "i", "w", "start_s", "end_s"), ["clip_id", "i"])
+    phrases = spoken.groupBy("clip_id", "rid").agg(
+        F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.when(F.col("w").rlike("[A-Za-z]"), F.struct("i", "w")))), lambda x: x["w"])).alias("text"),
+        F.min_by("start_s", "i").alias("from_s"), F.max_by("end_s", "i").alias("to_s"),
+    )
+    return told.drop("last_i").join(phrases, ["clip_id", "rid"])
+
+
+def first_pause(phrases: DataFrame, words: DataFrame) -> DataFrame:
+    """Phrases with ``first``: the pause after their last word in the recording (a second after the last word of all)."""
+    after = words.select("clip_id", (F.col("i") - 1).alias("b"), F.col("start_s").alias("next_s"))
+    told = phrases.join(after, ["clip_id", "b"], "left")
+    return told.withColumn("first", F.greatest(F.lit(0.0), F.coalesce(F.col("next_s"), F.col("to_s") + 1.0) - F.col("to_s"))).drop("next_s")
+
+
+def expected_range(values: DataFrame, key: str) -> DataFrame:
+    """``(clip_id, low, high)`` of a measure from the clip's clean windows ``values(clip_id, v)``; an open end is null.
+
+    At most the first 14 windows of a clip are to be given, as its own usual.
+    """
+    v = lambda p: F.percentile("v", F.lit(p))
+    none, n = F.lit(None).cast("double"), F.count("v")
+    bounds = {
+        "rate": (0.85 * F.coalesce(F.median("v"), F.lit(4.0)), 1.20 * F.coalesce(F.median("v"), F.lit(4.0))),
+        "pause_in": (F.lit(0.0), F.greatest(F.lit(0.30), F.coalesce(v(0.9), F.lit(0.0)))),
+        "pause_end": (F.lit(0.4), none),
+        "fade": (none, F.when(n > 0, F.greatest(F.lit(5.5), F.least(F.lit(7.0), v(0.9) + 1.0))).otherwise(6.0)),
+        "spread": (none, F.lit(5.0)),
+        "slur": (v(0.25) - 1.5, none),
+        "pitch": (F.coalesce(0.8 * F.median("v"), F.lit(0.0)), none),
+        "fillers": (F.lit(0.0), F.lit(0.0)),
+        "words": (F.lit(0.85), F.lit(1.0)),
+    }
+    low, high = bounds[key]
+    return values.groupBy("clip_id").agg(low.cast("double").alias("low"), high.cast("double").alias("high"))
+
+
+def first_windows(windows: DataFrame, most: int = 14) -> DataFrame:
+    """The first ``most`` clean windows of each clip: ``windows(clip_id, w0)``."""
+    return windows.withColumn("_k", F.row_number().over(Window.partitionBy("clip_id").orderBy("w0"))).filter(F.col("_k") <= most).drop("_k")
+
+
+def word_level(words: DataFrame, levels: DataFrame) -> DataFrame:
+    """Per phrase ``(clip_id, rid)``: mean level of its flagged words over the median of three others or more, else null.
+
+    ``words(clip_id, rid, i, flagged, start_s, end_s)`` in the recording's own
+    time, ``levels(clip_id, rid, frame_i, level)``.
+    """
+    first = F.floor(F.col("start_s") / 0.01).cast("long")
+    last = F.greatest(first + 1, F.floor(F.col("end_s") / 0.01).cast("long")) - 1
+    spread = words.filter("end_s > start_s").withColumn("frame_i", F.explode(F.sequence(first, last)))
+    of_word = spread.join(levels.withColumn("frame_i", F.col("frame_i").cast("long")), ["clip_id", "rid", "frame_i"]).groupBy("clip_id", "rid", "i", "flagged").agg(F.avg("level").alias("v"))
+    inside, rest = F.avg(F.when(F.col("flagged"), F.col("v"))), F.when(~F.col("flagged"), F.col("v"))
+    return of_word.groupBy("clip_id", "rid").agg(F.when(F.count(rest) >= 3, inside - F.median(rest)).alias("spread"))
+
+
+def words_said(aligned: DataFrame, texts: DataFrame, least: float = 0.8) -> DataFrame:
+    """Per clip the share of the text's words that were heard as such: ``aligned(clip_id, ref_i, hyp_j, sim)``, ``texts(clip_id, n)``."""
+    good = aligned.filter("ref_i is not null and hyp_j is not null").filter(F.col("sim") >= least).groupBy("clip_id").count()
+    return texts.join(good, "clip_id", "left").select("clip_id", (F.coalesce("count", F.lit(0)) / F.greatest("n", F.lit(1))).alias("words"))

@@ -29,6 +29,7 @@ class Rubric:
     blend_mean: float = 0.6
     bands: tuple[tuple[str, float], ...] = (("polished", 90.0), ("strong", 75.0), ("noticeable", 60.0))
     lowest_band: str = "needs work"
+    fluency_area: str = "fluency"
 
 
 def severity(candidates: DataFrame, knots: DataFrame) -> DataFrame:
@@ -59,7 +60,7 @@ def penalties(regions: DataFrame, clips: DataFrame, rubric: Rubric) -> DataFrame
     gets the discount.
     """
     r = regions.join(clips, "clip_id")
-    counted = (F.col("confidence") >= rubric.least_confidence) & ~((F.col("category") == "fluency") & ~F.col("fluency"))
+    counted = (F.col("confidence") >= rubric.least_confidence) & ~((F.col("category") == rubric.fluency_area) & ~F.col("fluency"))
     length = F.when(F.col("flaw").isin(list(rubric.event_flaws)), 1.0).otherwise(F.least(F.lit(rubric.span_cap), (F.col("end_s") - F.col("start_s")) / rubric.span_unit_s))
     full = _lookup(rubric.flaw_weight, F.col("flaw"), 1.0) * F.col("confidence") * F.col("reliability") * F.pow("severity", F.lit(rubric.exponent)) * length
     r = r.withColumn("counted", counted).withColumn("full", F.when(counted, full).otherwise(0.0))
@@ -74,7 +75,7 @@ def areas(priced: DataFrame, clips: DataFrame, rubric: Rubric) -> DataFrame:
     weights = F.broadcast(clips.sparkSession.createDataFrame(table, "genre_used string, category string, weight double"))  # the rubric's table
     known = F.col("genre").isin(list(rubric.areas))
     wide = clips.withColumn("genre_used", F.when(known, F.col("genre")).otherwise(F.lit(rubric.default_genre))).join(weights, "genre_used")
-    off = (F.col("category") == "fluency") & ~F.col("fluency")
+    off = (F.col("category") == rubric.fluency_area) & ~F.col("fluency")
     clip = Window.partitionBy("clip_id")
     left = F.sum(F.when(off, 0.0).otherwise(F.col("weight"))).over(clip)
     wide = wide.withColumn("weight", F.when(off, 0.0).otherwise(F.col("weight") * F.sum("weight").over(clip) / left))

@@ -426,7 +426,7 @@ def syllable_counts(spark, sf_dir):
 
 
 @query(WORDS + r""", o AS (SELECT conv_id, turn, regexp_replace(lower(w), '[^a-z'']', '', 'g') AS c FROM w)
-SELECT conv_id, count(*) FILTER (c IN ('uh', 'um', 'er', 'erm', 'ah', 'hmm', 'mm')) AS fillers, count(*) AS words FROM o GROUP BY 1""")
+SELECT conv_id, count(*) FILTER (c IN ('um', 'umm', 'uh', 'uhh', 'er', 'erm', 'ah', 'hmm', 'mm', 'mhm', 'uhm', 'eh')) AS fillers, count(*) AS words FROM o GROUP BY 1""")
 def filler_counts(spark, sf_dir):
     w = text.words_of(table(spark, sf_dir, "conversations").select("conv_id", "text"))
     return w.groupBy("conv_id").agg(F.count_if(F.col("clean").isin(text.FILLERS)).alias("fillers"), F.count(F.lit(1)).alias("words"))
@@ -436,10 +436,7 @@ def filler_counts(spark, sf_dir):
 WITH t AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents)
 SELECT doc_id, len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1])) AS repeats FROM t WHERE text_ok(w)""".replace(" WHERE text_ok(w)", " WHERE w IS NOT NULL"))
 def repeat_adjacent_words(spark, sf_dir):
-    words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " "), lambda x: x != "")
-    d = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", words.alias("w"))
-    pairs = F.zip_with("w", F.slice("w", 2, F.greatest(F.lit(1), F.size("w"))), lambda a, b: a == b)
-    return d.select("doc_id", F.size(F.filter(pairs, lambda x: x)).cast("long").alias("repeats"))
+    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", text.repeats(F.col("text")).alias("repeats"))
 
 
 PART_WORDS = "w AS (SELECT w, avg(p_size) AS size FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w, p_size FROM part) GROUP BY w)"

@@ -6,9 +6,10 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from tempora.functions import text
-from tempora.operators import detect, intervals, series
-from tempora.plans import evaluate, pages, placement, report
+from tempora.operators import compare, detect, intervals, series, sound
+from tempora.plans import calibrate, evaluate, pages, placement, predict, report, retake
 from tempora.queries import ORDER, USER, T, query, spans, table, timed
+from tempora.sources import model
 
 SPLIT_SQL = "CASE WHEN {0} IN ('B05', 'B08') THEN 'test' WHEN {0} IN ('B03') THEN 'dev' WHEN {0} IN ('B09', 'B10') THEN 'extra' ELSE 'train' END"
 CRC_SQL = """of_byte AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
@@ -384,3 +385,120 @@ def longest_at_boundary(spark, sf_dir):
     at = s.filter("event_type = 'view'").select("user_id", F.col("start_s").alias("t"), F.col("event_id").alias("k"))
     met = intervals.nearest(quiet, at, USER, "t", ["k"], most=7200.0).filter("r_k is not null")
     return met.groupBy("user_id", F.col("r_k").alias("k")).agg(F.max("long").alias("long"))
+
+
+# ---------------------------------------------------------------- prediction, retakes, references
+
+
+@query("""
+WITH q AS (SELECT l_orderkey, l_linenumber, l_quantity AS snr, l_discount / 20 AS clipped, l_extendedprice / 10 AS band FROM lineitem),
+c AS (SELECT *, greatest(0.0, least(1.0, (snr - 8) / 22)) * (1 - least(1.0, 200 * clipped)) * greatest(0.3, least(1.0, band / 3000)) AS v FROM q)
+SELECT l_orderkey, l_linenumber, v AS confidence, CASE WHEN v > 0.7 THEN 'good' WHEN v > 0.4 THEN 'fair' ELSE 'poor' END AS badge FROM c""")
+def confidence_badges(spark, sf_dir):
+    value, badge = predict.confidence(F.col("l_quantity"), F.col("l_discount") / 20, F.col("l_extendedprice") / 10)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", value.alias("confidence"), badge.alias("badge"))
+
+
+@query("""
+WITH o AS (SELECT l_orderkey AS c, max(l_extendedprice) / 10 AS band, -max(l_quantity) AS floor, max(l_tax) * 4000 AS low FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), r AS (SELECT l_orderkey AS c, max(l_extendedprice) / 10 AS band, -max(l_quantity) AS floor FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1),
+j AS (SELECT o.*, o.band < 0.8 * r.band AND o.band < 6500 AS narrow, pow(10, o.floor / 10) > 2 * pow(10, r.floor / 10) AS noisy FROM o JOIN r USING (c))
+SELECT c AS clip_id, CASE WHEN narrow THEN CASE WHEN low > 150 THEN low ELSE 0 END END AS band_from_hz, CASE WHEN narrow THEN greatest(2500, 1.02 * band) END AS band_to_hz, CASE WHEN noisy THEN floor END AS noise_db FROM j""")
+def condition_matching(spark, sf_dir):
+    def measured(df: DataFrame) -> DataFrame:
+        return df.groupBy(F.col("l_orderkey").alias("clip_id")).agg((F.max("l_extendedprice") / 10).alias("bandwidth_hz"), (-F.max("l_quantity")).alias("floor_db"), (F.max("l_tax") * 4000).alias("low_hz"))
+
+    lines = table(spark, sf_dir, "lineitem")
+    return sound.matching(measured(lines.filter("l_returnflag = 'R'")), measured(lines.filter("l_returnflag <> 'R'")))
+
+
+@query(r"""
+WITH w AS (SELECT conv_id * 1000 + turn AS clip_id, list_filter(string_split(trim(regexp_replace(regexp_replace(text, '[–—]|--', ' ', 'g'), '[ \t\r\n\f]+', ' ', 'g'), ' '), ' '), lambda x: regexp_matches(lower(x), '[a-z'']')) AS w FROM conversations WHERE text IS NOT NULL),
+r AS (SELECT clip_id, w, len(w) - 1 AS last, clip_id % len(w) AS w0, CASE WHEN clip_id % 2 = 0 THEN 'FADE' ELSE 'SHOUT' END AS flaw FROM w WHERE len(w) > 0),
+p AS (SELECT *, greatest(0, w0 - CASE flaw WHEN 'FADE' THEN 5 ELSE 3 END) AS a, least(last, w0 + CASE flaw WHEN 'FADE' THEN 0 ELSE 3 END) AS b FROM r)
+SELECT clip_id, a, b, CASE flaw WHEN 'FADE' THEN 'fade' ELSE 'spread' END AS key, w0 - a AS r0, array_to_string(list_filter(w[a + 1:b + 1], lambda x: regexp_matches(x, '[A-Za-z]')), ' ') AS text FROM p""")
+def phrase_texts(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").filter("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("clip_id"), "text")
+    words = text.words_of(c).select("clip_id", F.col("i").cast("long").alias("i"), "w", (F.col("i") * 0.3).alias("start_s"), (F.col("i") * 0.3 + 0.3).alias("end_s"))
+    n = words.groupBy("clip_id").agg((F.max("i") + 1).alias("n"))
+    regions = n.select("clip_id", F.lit(0).alias("rid"), F.when(F.col("clip_id") % 2 == 0, "FADE").otherwise("SHOUT").alias("flaw"), (F.col("clip_id") % F.col("n")).alias("w0"), (F.col("clip_id") % F.col("n")).alias("w1"))
+    return retake.phrase_of(regions, words).select("clip_id", "a", "b", F.col("measure.key").alias("key"), "r0", "text")
+
+
+@query("""
+SELECT l_suppkey AS clip_id, 'rate' AS key, 0.85 * median(l_quantity) AS low, 1.2 * median(l_quantity) AS high FROM lineitem GROUP BY 1
+UNION ALL SELECT l_suppkey, 'pause_in', 0.0, greatest(0.3, quantile_cont(l_tax, 0.9)) FROM lineitem GROUP BY 1
+UNION ALL SELECT l_suppkey, 'slur', quantile_cont(l_quantity, 0.25) - 1.5, NULL FROM lineitem GROUP BY 1
+UNION ALL SELECT l_suppkey, 'fade', NULL, greatest(5.5, least(7.0, quantile_cont(l_quantity, 0.9) + 1)) FROM lineitem GROUP BY 1""")
+def expected_ranges(spark, sf_dir):
+    out = None
+    for key, column in (("rate", "l_quantity"), ("pause_in", "l_tax"), ("slur", "l_quantity"), ("fade", "l_quantity")):
+        values = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("clip_id"), F.col(column).alias("v"))
+        one = retake.expected_range(values, key).select("clip_id", F.lit(key).alias("key"), "low", "high")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""
+WITH s AS (SELECT event_id, user_id, event_type, {T} AS s, greatest({T} + value * 60, {T} + 0.3) AS e FROM events), a AS (SELECT * FROM s WHERE event_type = 'view'), b AS (SELECT * FROM s WHERE event_type = 'click')
+SELECT a.event_id, coalesce(max(((least(a.e, b.e) - greatest(a.s, b.s)) / (greatest(a.e, b.e) - least(a.s, b.s)) >= 0.4)::INT), 0) AS hit FROM a LEFT JOIN b ON a.user_id = b.user_id AND least(a.e, b.e) > greatest(a.s, b.s) GROUP BY 1""")
+def insertion_hits(spark, sf_dir):
+    s = spans(spark, sf_dir).withColumnRenamed("user_id", "clip_id")
+    return calibrate.marked_insertions(s.filter("event_type = 'view'"), s.filter("event_type = 'click'"), width=3600.0).select("event_id", "hit")
+
+
+@query("""
+WITH w AS (SELECT l_orderkey AS clip_id, l_linenumber AS i, CASE WHEN l_returnflag = 'R' THEN 'sentence' WHEN l_returnflag = 'A' THEN 'phrase_tight' ELSE 'phrase_loose' END AS b FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2)),
+s AS (SELECT *, sum((lag_b = 'sentence')::INT) OVER (PARTITION BY clip_id ORDER BY i) AS k FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY clip_id ORDER BY i), '') AS lag_b FROM w))
+SELECT clip_id, i, min(i) OVER (PARTITION BY clip_id, k) AS c0, max(i) OVER (PARTITION BY clip_id, k) AS c1 FROM s""")
+def clause_spans(spark, sf_dir):
+    kind = F.when(F.col("f") == "R", "sentence").when(F.col("f") == "A", "phrase_tight").otherwise("phrase_loose")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("f"))
+    return compare.clause_spans(lines.select(F.col("l_orderkey").alias("clip_id"), F.col("l_linenumber").alias("i"), kind.alias("btype")))
+
+
+@query("""
+WITH e AS (SELECT o_custkey AS clip_id, o_orderkey * 20 AS r0, o_orderkey * 20 + 15 AS r1, (o_totalprice % 700 - 350) / 1000 AS mag FROM orders),
+l AS (SELECT *, lead(r0) OVER w AS n0, lead(mag) OVER w AS nm, row_number() OVER w AS k FROM e WINDOW w AS (PARTITION BY clip_id ORDER BY r0, r1, mag)),
+f AS (SELECT *, coalesce((n0 - r1) * 0.01 <= 1.0 + 1e-9 AND sign(nm) <> sign(mag) AND abs(abs(nm) - abs(mag)) <= 0.08 + 0.4 * greatest(abs(nm), abs(mag)), false) AS link FROM l),
+g AS (SELECT *, k - row_number() OVER (PARTITION BY clip_id, link ORDER BY k) AS chain FROM f),
+h AS (SELECT *, link AND (row_number() OVER (PARTITION BY clip_id, link, chain ORDER BY k)) % 2 = 1 AS first FROM g),
+d AS (SELECT *, first OR coalesce(lag(first) OVER (PARTITION BY clip_id ORDER BY k), false) AS goes FROM h)
+SELECT clip_id, r0 FROM d WHERE NOT goes""")
+def events_without_jitter(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return compare.without_jitter(o.select(F.col("o_custkey").alias("clip_id"), (F.col("o_orderkey") * 20).alias("r0"), (F.col("o_orderkey") * 20 + 15).alias("r1"), ((F.col("o_totalprice") % 700 - 350) / 1000).alias("mag"))).select("clip_id", "r0")
+
+
+@query("SELECT l_orderkey AS clip_id, greatest(1.0, least(5.0, max(l_tax) / 0.03)) AS gain FROM lineitem GROUP BY 1")
+def threshold_gains(spark, sf_dir):
+    return compare.gain(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("clip_id"), F.col("l_tax").alias("path_cost")))
+
+
+@query(f"""
+WITH t AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 2 = 0 THEN 'SHOUT' ELSE 'FADE' END AS flaw, {T} AS s, {T} + value * 60 AS e FROM events), i AS (SELECT * FROM t WHERE event_type = 'view'), f AS (SELECT * FROM t WHERE event_type = 'click')
+SELECT i.event_id AS rid, coalesce(bool_or(f.s BETWEEN i.s - 900 AND i.e + 900 OR (f.s + f.e) / 2 BETWEEN i.s - 900 AND i.e + 900 OR i.s BETWEEN f.s - 900 AND f.e + 900), false) AS found FROM i LEFT JOIN f ON i.user_id = f.user_id GROUP BY 1""")
+def injected_found(spark, sf_dir):
+    s = spans(spark, sf_dir).select(F.col("user_id").alias("clip"), F.col("event_id").alias("rid"), "event_type", "start_s", "end_s")
+    return report.found_injected(s.filter("event_type = 'view'").drop("event_type"), s.filter("event_type = 'click'").drop("event_type"), 900.0, 3600.0).select("rid", "found")
+
+
+@query("""
+WITH r AS (SELECT l_orderkey AS clip_id, l_linenumber AS rid, l_quantity AS s, l_quantity + l_tax / 2 AS e FROM (SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity, min(l_tax) AS l_tax FROM lineitem GROUP BY 1, 2))
+SELECT clip_id, rid, 'start' AS edge, s + 1 AS t_before, s AS t_after FROM r UNION ALL SELECT clip_id, rid, 'end', e + 1, e FROM r WHERE e - s > 0.02""")
+def edge_points(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("s"), F.min("l_tax").alias("t"))
+    end = F.col("s") + F.col("t") / 2
+    return sound.edge_points(lines.select(F.col("l_orderkey").alias("clip_id"), F.col("l_linenumber").alias("rid"), F.col("s").alias("start_s"), end.alias("end_s"), (F.col("s") + 1).alias("baseline_start_s"), (end + 1).alias("baseline_end_s")))
+
+
+@query(f"WITH {MANIFEST_SQL} SELECT clip_id FROM m WHERE baseline_id % 3 = 1 AND added_condition = '' AND flaw_codes <> ''")
+def clips_of_split(spark, sf_dir):
+    m = _manifest(spark, sf_dir).withColumn("split", F.when(F.col("baseline_id") % 3 == 1, "train").otherwise("dev"))
+    return model.clips_of_split(m, "train", flawed_only=True).select("clip_id")
+
+
+@query("""
+WITH a AS (SELECT l_orderkey AS clip_id, count(*) FILTER (l_quantity >= 40) AS good, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1) SELECT clip_id, good / greatest(n, 1) AS words FROM a""")
+def words_said(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("clip_id"), F.col("l_linenumber").alias("ref_i"), F.col("l_linenumber").alias("hyp_j"), (F.col("l_quantity") / 50).alias("sim"))
+    return retake.words_said(lines, lines.groupBy("clip_id").agg(F.countDistinct("ref_i").alias("n")))
