@@ -160,13 +160,23 @@ def warp(a: np.ndarray, b: np.ndarray) -> tuple[list[tuple[int, int, float]], fl
     unit = [x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) for x in (a, b)]
     cost = 1 - unit[0] @ unit[1].T
     n, m = cost.shape
-    total, came = np.full((n, m), np.inf), np.zeros((n, m), np.int8)
-    total[0, 0] = cost[0, 0]
-    for i in range(n):
-        for j in range(m):
-            for k, (di, dj, times, more) in enumerate(STEPS):
-                if i >= di and j >= dj and total[i - di, j - dj] + times * cost[i, j] + more < total[i, j]:
-                    total[i, j], came[i, j] = total[i - di, j - dj] + times * cost[i, j] + more, k
+    # two rows and columns more, so that no step leaves the table; all cells of a diagonal at once
+    width = m + 2
+    total, came = np.full((n + 2, width), np.inf), np.zeros((n, m), np.int8)
+    total[2, 2] = cost[0, 0]
+    flat, of_cell, steps = total.reshape(-1), cost.reshape(-1), came.reshape(-1)
+    for d in range(1, n + m - 1):
+        low, high = max(0, d - m + 1), min(n - 1, d)
+        at, to = (low + 2) * width + d - low + 2, (high + 2) * width + d - high + 3
+        here = slice(low * m + d - low, high * m + d - high + 1, max(1, m - 1))
+        own, best, chosen = of_cell[here], np.full(high - low + 1, np.inf), np.zeros(high - low + 1, np.int8)
+        for k, (di, dj, times, more) in enumerate(STEPS):
+            back = di * width + dj
+            value = flat[at - back : to - back : width - 1] + (times * own + more)
+            less = value < best
+            best[less], chosen[less] = value[less], k
+        flat[at : to : width - 1] = best
+        steps[here] = chosen
     path, i, j = [(n - 1, m - 1)], n - 1, m - 1
     while (i, j) != (0, 0):
         di, dj = STEPS[came[i, j]][:2]

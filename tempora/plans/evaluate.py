@@ -59,16 +59,20 @@ def confusion(pairs: DataFrame, truth: str, found: str, labels: Sequence[str]) -
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 3) -> DataFrame:
     """Rank correlation with mean ranks of ties; null under ``least`` rows or for a constant."""
+    counts = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
 
-    def rank(c: str) -> Column:
+    def ranks(c: str) -> DataFrame:
+        """Each distinct value's mean rank, less the mean of all ranks: the window is over distinct values only."""
         group = Window.partitionBy(*keys)
-        return F.rank().over(group.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2
-
-    ranked = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_x", rank(x)).withColumn("_y", rank(y))
-    spread = (F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y")) & (F.count(F.lit(1)) >= least)
-    rho = F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y"))
-    found = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), spread.alias("_ok"), rho.alias("_rho"))
-    return found.select(*keys, "n", F.when(F.col("_ok"), F.col("_rho")).alias("rho"))
+        of_value = counts.groupBy(*keys, c).agg(F.sum("_n").alias("_v"))
+        upto = F.sum("_v").over(group.orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return of_value.select(*keys, c, (upto - F.col("_v") / 2 - F.sum("_v").over(group) / 2).alias(f"{c}r"))
+
+    ranked = counts.join(ranks("_x"), [*keys, "_x"]).join(ranks("_y"), [*keys, "_y"])
+    n, xr, yr = F.col("_n"), F.col("_xr"), F.col("_yr")
+    found = ranked.groupBy(*keys).agg(F.sum(n).alias("n"), F.sum(n * xr * yr).alias("_xy"), F.sum(n * xr * xr).alias("_xx"), F.sum(n * yr * yr).alias("_yy"))
+    ok = (F.col("n") >= least) & (F.col("_xx") > 0) & (F.col("_yy") > 0)
+    return found.select(*keys, "n", F.when(ok, F.col("_xy") / F.sqrt(F.col("_xx") * F.col("_yy"))).alias("rho"))
 
 
 def auc(df: DataFrame, keys: Sequence[str], positive: str, value: str) -> DataFrame:

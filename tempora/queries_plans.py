@@ -440,7 +440,7 @@ def expected_ranges(spark, sf_dir):
 
 @query(f"""
 WITH s AS (SELECT event_id, user_id, event_type, {T} AS s, greatest({T} + value * 60, {T} + 0.3) AS e FROM events), a AS (SELECT * FROM s WHERE event_type = 'view'), b AS (SELECT * FROM s WHERE event_type = 'click')
-SELECT a.event_id, coalesce(max(((least(a.e, b.e) - greatest(a.s, b.s)) / (greatest(a.e, b.e) - least(a.s, b.s)) >= 0.4)::INT), 0) AS hit FROM a LEFT JOIN b ON a.user_id = b.user_id AND least(a.e, b.e) > greatest(a.s, b.s) GROUP BY 1""")
+SELECT a.event_id, coalesce(max((b.event_id IS NOT NULL AND (least(a.e, b.e) - greatest(a.s, b.s)) / (greatest(a.e, b.e) - least(a.s, b.s)) >= 0.4)::INT), 0) AS hit FROM a LEFT JOIN b ON a.user_id = b.user_id AND least(a.e, b.e) > greatest(a.s, b.s) GROUP BY 1""")
 def insertion_hits(spark, sf_dir):
     s = spans(spark, sf_dir).withColumnRenamed("user_id", "clip_id")
     return calibrate.marked_insertions(s.filter("event_type = 'view'"), s.filter("event_type = 'click'"), width=3600.0).select("event_id", "hit")

@@ -64,6 +64,27 @@ def test_similarity_and_alignment(spark):
     assert got == [("c", 0, 0), ("c", None, 1), ("c", 1, 2), ("c", 2, 3), ("c", 3, None), ("only", None, 0)]
 
 
+def test_warp_equals_the_plain_table():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for n, m in [(1, 1), (1, 5), (6, 1), (2, 2), (9, 14), (17, 8)]:
+        a, b = r.normal(size=(n, 3)), r.normal(size=(m, 3))
+        cost = 1 - (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
+        total = np.full((n, m), np.inf)
+        total[0, 0] = cost[0, 0]
+        for i in range(n):
+            for j in range(m):
+                for di, dj, times, more in align.STEPS:
+                    if i >= di and j >= dj:
+                        total[i, j] = min(total[i, j], total[i - di, j - dj] + times * cost[i, j] + more)
+        path, mean = align.warp(a, b)
+        assert path[0][:2] == (0, 0) and path[-1][:2] == (n - 1, m - 1) and abs(mean - np.mean([c for *_, c in path])) < 1e-12
+        steps = {(di, dj): (times, more) for di, dj, times, more in align.STEPS}
+        spent = cost[0, 0] + sum(steps[y[0] - x[0], y[1] - x[1]][0] * y[2] + steps[y[0] - x[0], y[1] - x[1]][1] for x, y in zip(path, path[1:]))
+        assert abs(spent - total[-1, -1]) < 1e-9
+
+
 def test_warp_of_equal_series():
     import numpy as np
 
