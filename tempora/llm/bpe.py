@@ -86,13 +86,14 @@ def _encoded(df: DataFrame, vocabulary: Vocabulary, text: str, ids: str) -> Data
 
 
 def _long_ids(texts: DataFrame, vocabulary: Vocabulary, chunk: int, overlap: int) -> DataFrame:
-    """``(key, ids)`` of the distinct long ``texts(key, text)``, each encoded in pieces over many tasks."""
+    """``(key, ids)`` of the long ``texts(key, text)``, each encoded in pieces over many tasks; of equal texts each piece once."""
     pattern = vocabulary.pattern
     chunks = (
         texts.withColumn("n", F.length("text"))
         .withColumn("k", F.explode(F.expr(f"sequence(0L, (n - 1) div {chunk})")))
         .select("key", "k", "n", F.expr(f"substring(text, cast(k * {chunk} + 1 as int), {chunk + overlap})").alias("text"))
-        .repartition("key", "k")
+        .groupBy("key", "k", "n")
+        .agg(F.first("text").alias("text"))
     )
     schema = StructType([
         StructField("key", StringType()), StructField("k", LongType()),
@@ -120,7 +121,8 @@ def _long_ids(texts: DataFrame, vocabulary: Vocabulary, chunk: int, overlap: int
         .select("key", "text", "cuts", F.posexplode("cuts").alias("piece", "at"))
         .withColumn("to", F.coalesce(F.expr("try_element_at(cuts, piece + 2)"), F.length("text").cast("long")))
         .select("key", "piece", F.expr("substring(text, cast(at + 1 as int), cast(`to` - at as int))").alias("text"))
-        .repartition("key", "piece")
+        .groupBy("key", "piece")
+        .agg(F.first("text").alias("text"))
     )
     parts = _encoded(pieces, vocabulary, "text", "ids")
     return parts.groupBy("key").agg(F.expr("flatten(transform(array_sort(collect_list(struct(piece, ids))), x -> x.ids))").alias("ids"))
@@ -143,7 +145,7 @@ def encode(
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     short = _encoded(rows.filter(F.length("text") <= chunk), vocabulary, "text", "ids")
     long = rows.filter(F.length("text") > chunk).withColumn("key", F.sha2("text", 256))
-    done = _long_ids(long.select("key", "text").dropDuplicates(["key"]), vocabulary, chunk, overlap)
+    done = _long_ids(long.select("key", "text"), vocabulary, chunk, overlap)
     long = long.drop("text").join(done, "key").drop("key").select(short.columns)
     both = short.union(long)
     return both.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.col("ids").alias(ids))
