@@ -3,23 +3,28 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and all executors reach.
 
-    It lies in ``spark.checkpoint.dir``.  Only where that is unset (tests on one
-    machine) a temporary folder is made and set as the checkpoint folder.
+    It lies in ``spark.checkpoint.dir``.  Where that is unset, a temporary folder
+    is made and set as the checkpoint folder on one machine (tests), and a
+    cluster is refused, as its machines share no temporary folder.
     """
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(base)
@@ -38,19 +43,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def new_file(uri: str):
-    """A binary file that appears under ``uri`` only when complete.
+def of_attempt(path: str) -> str:
+    """``path`` with the number of the running task attempt in its name.
 
-    A task that is run again writes the same bytes and replaces the file, so
-    lost executors and speculative copies do no harm.
+    A task that runs again, or a speculative copy, writes a file of its own.
+    Readers find files by a table's rows, and only one attempt's rows get into
+    a table, so what others leave behind is never read.
     """
+    folder, name = posixpath.split(path)
+    stem, dot, kind = name.partition(".")
+    context = TaskContext.get()
+    return posixpath.join(folder, f"{stem}-{context.taskAttemptId() if context else 0}{dot}{kind}")
+
+
+@contextmanager
+def new_file(uri: str):
+    """A new binary file, which is removed again where its writer fails."""
     fs, path = pafs.FileSystem.from_uri(uri)
     fs.create_dir(posixpath.dirname(path), recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with fs.open_output_stream(part, compression=None) as out:
-        yield out
-    fs.move(part, path)
+    try:
+        with fs.open_output_stream(path, compression=None) as out:
+            yield out
+    except BaseException:
+        fs.delete_file(path)
+        raise
 
 
 @contextmanager

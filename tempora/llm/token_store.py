@@ -20,8 +20,9 @@ that is not white space with white space after it, so a text without rare white
 space is encoded run by run and equal runs once.
 
 Defined cases: null text counts as empty and has the end id only; rows without
-an id come first; rows that share an id are ordered by text; an empty table
-gives no file.
+an id come first; rows that share an id are ordered by text and all written; an
+empty table gives no file; a very long text is one document of a frame of its
+own size; only id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
-from tempora.llm.shared import new_file, old_file, shared_dir, written
+from tempora.llm.shared import new_file, of_attempt, old_file, shared_dir, written
 
 SKIPPABLE, SEEK_TABLE, SEEK_FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80
@@ -222,7 +223,7 @@ def write_tokens(
         if first is None:
             return
         number = TaskContext.get().partitionId()
-        path = posixpath.join(folder, f"tokens-{number:06d}.zst")
+        path = of_attempt(posixpath.join(folder, f"tokens-{number:06d}.zst"))
         encoder = _encoder(definition.value)
         end = np.array([] if end_id is None else [end_id], f"<u{encoder.width}")
         with new_file(path) as out:
@@ -280,11 +281,22 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
 def read_documents(manifest: DataFrame, wanted: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The wanted documents only; of each file just their frames are decompressed.
 
-    The ids wanted of one file (at most its documents) come to one task.
+    The files' indexes are joined with the wanted ids, and the ids wanted of one
+    file (at most its documents) come to one task.
     """
-    asked = wanted.select(F.col(doc_id).cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
-    held = asked.join(manifest, F.col("doc_id").between(F.col("first_id"), F.col("last_id")))
-    files = held.groupBy("file", "path", "width", "start").agg(F.collect_list("doc_id").alias("wanted"))
+    asked = wanted.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
+    of_file = ["file", "path", "width", "start"]
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for one in batch.itertuples(index=False):
+                with old_file(one.path) as f:
+                    ids = np.unique(Reader(f, int(one.width)).doc_ids)
+                for at in range(0, len(ids), 100_000):
+                    yield pd.DataFrame({c: getattr(one, c) for c in of_file} | {"doc_id": ids[at : at + 100_000]})
+
+    held = _spread(manifest.select(of_file)).mapInPandas(listed, "file int, path string, width int, start long, doc_id long").join(asked, "doc_id")
+    files = held.groupBy(*of_file).agg(F.collect_list("doc_id").alias("wanted"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

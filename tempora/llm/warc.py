@@ -20,8 +20,10 @@ written by one task record by record, with one gzip member a record.
 Defined cases: null html is an empty payload; null URLs are written as ``-``;
 white space and control characters of a URL are percent-encoded; a page without
 an id has no ``X-Page-Id`` and gives way to any with one; of equal ids the later
-record wins; an empty table gives no archive; a file cut short ends at its last
-whole record.
+record wins, so of repeated rows one is the response; an empty table gives no
+archive; a very long page is one record, held by one task at a time; a file cut
+short ends at its last whole record; only id, URL and html are read, so other
+columns may have any names.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ import pyspark.sql.functions as F
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tempora.llm.shared import new_file, old_file, shared_dir, written
+from tempora.llm.shared import new_file, of_attempt, old_file, shared_dir, written
 
 # The field lists of the two published ARC versions.
 ARC_FIELDS = {
@@ -54,6 +56,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 LEVEL = 4
 #: Uncompressed bytes after which a writer begins another archive.
 ARCHIVE_BYTES = 256 << 20
+#: Records after which it does so as well, so that an archive's list of revisits is bounded.
+ARCHIVE_RECORDS = 50_000
 
 
 def sha1(data: bytes) -> str:
@@ -136,12 +140,14 @@ def write_arcs(pages: DataFrame, folder: str | None = None, page_id: str = "page
         while row is not None:
             version = 1 + (task + number) % 2
             name = f"pages-{task:06d}-{number:04d}.arc.gz"
-            path = posixpath.join(folder, name)
+            path = of_attempt(posixpath.join(folder, name))
             with new_file(path) as out:
                 head = arc_version_block(name, date, version)
                 out.write(_member(head))
                 size = len(head)
-                while row is not None and size < ARCHIVE_BYTES:
+                records = 0
+                while row is not None and size < ARCHIVE_BYTES and records < ARCHIVE_RECORDS:
+                    records += 1
                     body = (row["html"] or "").encode("utf-8", "replace")
                     own = b"" if row["page_id"] is None else f"X-Page-Id: {row['page_id']}\r\n".encode()
                     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + own + f"Content-Length: {len(body)}\r\n\r\n".encode()
@@ -268,19 +274,20 @@ def convert(archives: DataFrame, folder: str | None = None, least_bytes: int = 0
     one = F.max_by(F.struct("record_id", "url", "date"), rank).alias("one")
     groups = found.filter(F.col("payload_bytes") >= least_bytes).groupBy("digest").agg(one, F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "one")
     revisits = found.filter(F.col("payload_bytes") >= least_bytes).join(groups, "digest").filter("record_id <> one.record_id")
-    # at most the records of one archive, whose size is bounded
+    # at most the records of one archive, which are bounded
     lists = revisits.groupBy("archive").agg(F.collect_list(F.struct("offset", "one.record_id", "one.url", "one.date")).alias("revisits"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for archive, path, revisits in zip(batch["archive"], batch["path"], batch["revisits"]):
                 refers = {} if revisits is None else {r["offset"]: r for r in revisits}
-                to, n = posixpath.join(folder, archive.replace(".arc", ".warc")), 0
+                name, n = archive.replace(".arc", ".warc"), 0
+                to = of_attempt(posixpath.join(folder, name))
                 with new_file(to) as out:
                     for record in _each(path, arc_records):
                         out.write(_member(_converted(record, archive, refers.get(record.offset))))
                         n += 1
-                yield pd.DataFrame({"archive": [posixpath.basename(to)], "path": [to], "n_records": [n]})
+                yield pd.DataFrame({"archive": [name], "path": [to], "n_records": [n]})
 
     with_lists = archives.select("archive", "path").join(lists, "archive", "left")
     return written(_spread(with_lists).mapInPandas(write, "archive string, path string, n_records long"), "warc-files")
