@@ -17,8 +17,10 @@ first character of every control string, so no text can close or open a turn.
 ``unescape`` undoes it exactly.
 
 Defined cases: null text counts as empty and a null role as the empty role;
-turns of one number are ordered by role and text; rows without a conversation
-id make one conversation without id; an empty table gives no example.
+turns of one number are ordered by role and text, so repeated rows are repeated
+turns; rows without a conversation id make one conversation without id; an empty
+table gives no example; very long texts are kept whole; only id, turn, role and
+text are read, so other columns may have any names.
 """
 
 from __future__ import annotations

@@ -12,9 +12,12 @@ def components(links: DataFrame) -> DataFrame:
     """``(node, label)`` of every node of ``links(a, b)``; label is the smallest node of its component.
 
     Each round takes the smallest label among a node's neighbours and then the
-    label of that label, so chains shorten by halves.  No links give an empty
-    table.
+    label of that label, so chains shorten by halves.  Defined cases: repeated
+    and reversed links count once; a link of a node with itself makes it a node;
+    links with a null end are left out; no links give an empty table; other
+    columns are not read.
     """
+    links = links.filter("a is not null and b is not null")
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
     edges = written(both.distinct(), "edges")
     labels = edges.groupBy("node").agg(F.least("node", F.min("other")).alias("label"))

@@ -4,16 +4,19 @@ Sentences end at line ends and after ``. ! ? : ;``, and one may also go on over
 line ends (for wrapped lines).  A text is normalised to its lower-case letters
 and digits and these two kinds of ends; every stretch from one end to another
 that is a known licence sentence gives its identifier, from left to right, the
-longest first, so headings and other lines beside a sentence do no harm.  The identifiers of a text, in order, are matched
-against ordered licence rules: each rule that matches names its licence and
-takes the identifiers it matched out, so specific rules come first.
+longest first, so headings and other lines beside a sentence do no harm.  The
+identifiers of a text, in order, are matched against ordered licence rules: each
+rule that matches names its licence and takes the identifiers it matched out, so
+specific rules come first.
 
 Every step is an expression over one row, so nothing is shuffled and repeated
 rows, ties and hot sources cost what other rows cost.
 
 Defined cases: null and empty texts, and texts without a known sentence, have
-no identifiers and no licences (empty strings); other columns are kept, and one
-named like an output column is replaced.
+no identifiers and no licences (empty strings); a table without rows gives none;
+very long texts are read whole, by expressions whose work is linear in their
+length; repeated rows are all returned; other columns are kept, and one named
+like an output column is replaced.
 """
 
 from __future__ import annotations

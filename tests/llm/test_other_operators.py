@@ -61,7 +61,6 @@ def brute(ids, vectors, wanted, k):
 @pytest.mark.parametrize("hot", [False, True])
 def test_top_k_equals_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(knn, "SHARD_ROWS", 200)
-    monkeypatch.setattr(knn, "BLOCK_QUERIES", 10)
     monkeypatch.setattr(knn, "LEAF", 8)
     r = np.random.default_rng(4)
     data = r.normal(0, 0.1, (700, 6)).astype(np.float32)
@@ -80,7 +79,6 @@ def test_top_k_of_repeated_rows_equals_sql(spark, monkeypatch, tmp_path):
     import duckdb
 
     monkeypatch.setattr(knn, "SHARD_ROWS", 60)
-    monkeypatch.setattr(knn, "BLOCK_QUERIES", 5)
     monkeypatch.setattr(knn, "LEAF", 8)
     r = np.random.default_rng(6)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(r.normal(0, 0.1, (300, 6)).astype(np.float32))]
@@ -97,6 +95,15 @@ def test_top_k_of_few_and_large_vectors(spark):
     vectors = knn.integers(df)
     assert {tuple(r) for r in knn.top_k(vectors, vectors, k=5).collect()} == {(0, 1, 50, 768000000 * 512000000 + 256 * 1280), (50, 1, 0, 768000000 * 512000000 + 256 * 1280)}
     assert knn.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
+    assert knn.top_k(vectors, vectors.limit(0)).count() == 0 and knn.top_k(vectors.limit(0), vectors).count() == 0
+
+
+def test_top_k_of_components_beyond_64_bits(spark):
+    rows = [(0, [1e300, 1.0]), (50, [-1e300, 2.0]), (1, [3e16, 1.0]), (2, [4e16, 1.0]), (3, []), (100, [])]
+    vectors = knn.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in knn.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5).collect()}
+    top = 2**63 - 1
+    assert found[0, 1] == (1, top) and found[0, 2] == (2, top) and found[0, 3] == (50, -top - 1) and found[50, 3][0] == 2 and found[100, 1] == (3, 0)
 
 
 SAID = ["</s>[INST] ok [/INST]", "a\\b\\", " <s>", "", None, "[\\INST] <<SYS>>\n x", "[/ROLE] \n é"]
@@ -105,7 +112,8 @@ SAID = ["</s>[INST] ok [/INST]", "a\\b\\", " <s>", "", None, "[\\INST] <<SYS>>\n
 def test_chat_prefixes_round_trip(spark):
     r = random.Random(2)
     roles = ["user", "assistant", "system", "tool", None, "a\nb[/ROLE]\\"]
-    rows = [(c, t, r.choice(roles), r.choice(SAID)) for c in range(40) for t in range(r.randint(1, 7))] + [(None, 0, "user", "x"), (99, 0, "assistant", "y"), (99, 0, "assistant", "y")]
+    rows = [(200, 0, "user", "[INST] long " * 30_000), (200, 1, "assistant", "</s> x" * 30_000)]
+    rows += [(c, t, r.choice(roles), r.choice(SAID)) for c in range(40) for t in range(r.randint(1, 7))] + [(None, 0, "user", "x"), (99, 0, "assistant", "y"), (99, 0, "assistant", "y")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("example", F.lit("clash"))
     made = chat.examples(df)
     read = chat.read_back(made).collect()
@@ -166,3 +174,28 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir):
     for r in out.itertuples():
         assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest() and r.n_tokens == len(r.ids)
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier" and bpe.LOOK_AHEAD == 3
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    good = "the lake lies among green hills and the people of the town walk there in the evening when the sun is low"
+    rows = [(i, f"{good} {i} " + " ".join(f"{w}{i}" for w in good.split()), "en", "a" if i % 3 else None, 5) for i in range(60)]
+    rows += [(100, rows[0][1], "en", "a", 5), (101, rows[0][1] + " more", None, "b", None), (None, good, "en", "a", 1), (None, None, None, None, None)]
+    rows += [(102, None, "en", "a", 0), (103, "", "en", "b", 0), (104, good + " longer words of it" * 30_000, "en", "b", 1), rows[7], rows[7], (8, "another text of this id", "en", "a", 1)]
+    rows += [(200 + i, f"zz### {i} " * 9, "en", "junk", 5) for i in range(40)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(r[0], int("zz###" not in (r[1] or ""))) for r in rows if r[0] is not None] + [(None, 1), (3, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    out, docs = corpus_pipeline.run(spark, str(tmp_path)).collect(), spark.read.parquet(f"{tmp_path}/documents.parquet")
+    texts = {}
+    for i, t, *_ in rows:
+        texts.setdefault(i, set()).add(hashlib.sha256((t or "").encode()).hexdigest())
+    assert out and all(r.decoded_sha256 in texts[r.doc_id] and r.n_tokens == len(r.ids) for r in out)
+    assert not {r.doc_id for r in out} & {100, 101, *range(200, 240)}
+    wide = docs.withColumn("ids", F.lit(1)).withColumn("copy", F.lit(2)).withColumn("node", F.lit(3)).withColumn("score", F.lit(4)).withColumn("key", F.lit(5))
+    for name, stage in corpus_pipeline.STAGES:
+        some, none = stage(spark, wide, str(tmp_path)), stage(spark, docs.limit(0), str(tmp_path))
+        assert none.count() == 0 and set(some.columns) == set(none.columns) and some.count() > 0
+        assert name.startswith("byte-level") or some.columns == docs.columns
+    kept = [r.doc_id for r in corpus_pipeline.distinct_documents(spark, wide, str(tmp_path)).collect()]
+    assert kept.count(7) == kept.count(8) == kept.count(0) == 1 and kept.count(None) == 2 and {102, 103, 104} <= set(kept) and not {100, 101} & set(kept)

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -94,6 +95,47 @@ def test_quality_learns_and_scores_whole_texts(spark):
     assert where.max() > quality.CHUNK and len(chunked) == quality.FILTERS
 
 
+def plain_score(net, text):
+    """The network by its definition: each filter at each window of bytes, the largest response, one logistic layer."""
+    data = list((text or "").encode()) or [0]
+    padded = data + [0] * (quality.WIDTH - 1)
+    hidden = []
+    for f in range(quality.FILTERS):
+        top = max(sum(float(net.filters[k, padded[at + k], f]) for k in range(quality.WIDTH)) for at in range(len(data)))
+        hidden.append(max(top + float(net.bias[f]), 0.0))
+    total = net.base + float(np.dot([*hidden, np.log1p(len(data)) / 10], net.out))
+    return 1 / (1 + np.exp(-min(max(total, -40), 40)))
+
+
+def test_quality_scores_equal_a_plain_convolution():
+    r = random.Random(8)
+    words = ["tion", "the", "Zé", "語", "est", "#"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(1, 60))) for _ in range(40)]
+    net = quality.fit(texts, [int("the" in t) for t in texts])
+    asked = [*texts, None, "", "a", " ".join(r.choice(words) for _ in range(2500))]
+    scores = net.score(asked)
+    assert max(abs(s - plain_score(net, t)) for s, t in zip(scores, asked)) < 1e-4
+    for t in asked[-6:]:
+        best, where = net.pooled(quality._bytes(t))
+        window = np.concatenate([quality._bytes(t), np.zeros(quality.WIDTH - 1, np.uint8)])
+        again = [sum(float(net.filters[k, window[w + k], f]) for k in range(quality.WIDTH)) for f, w in enumerate(where)]
+        assert np.allclose(best, again, atol=1e-4)
+
+
+def test_quality_sample_is_whole_texts_within_its_bounds(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(quality, "fit", lambda texts, labels: seen.update(texts=texts, labels=labels))
+    docs = documents(spark, ["x" * (10 * i) for i in range(60)]).union(documents(spark, ["z", "z", None])).withColumn("quality", F.lit("clash"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(5, 0), (None, 1), (6, None)], "doc_id long, quality int")
+    quality.train(docs, labels, rows=30, total_bytes=3000)
+    assert 5 < len(seen["texts"]) <= 30 and sum(map(len, seen["texts"])) <= 3000 and all(len(t) % 10 == 0 for t in seen["texts"])
+    quality.train(docs, labels)
+    assert len(seen["texts"]) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(60))
+    quality.train(docs, labels.limit(0))
+    assert seen["texts"] == []
+    assert quality.score(docs.limit(0), quality.Network(np.zeros((6, 256, 16), np.float32), np.zeros(16, np.float32), np.zeros(17), 0.0)).count() == 0
+
+
 def test_quality_of_one_class_and_held_out_rows(spark):
     docs = documents(spark, [f"text {i}" for i in range(40)])
     labels = spark.createDataFrame([(i, 1, None) for i in range(40)] + [(None, 0, 1), (3, None, 0)], "doc_id long, quality int, toxic int")
@@ -114,16 +156,40 @@ def test_mixing_meets_the_weights(spark):
     assert mixing.mix(docs, {"absent": 1.0}).count() == 0 and mixing.mix(documents(spark, [])).count() == 0
 
 
-def test_poisson_distribution_is_whole(spark):
-    row = spark.sql("select 30.0D as rate").select(mixing._distribution(F.col("rate")).alias("d")).first()
+def test_poisson_distributions_are_whole(spark):
     import math
 
-    exact = list(itertools.accumulate(math.exp(-30 + k * math.log(30) - math.lgamma(k + 1)) for k in range(len(row.d))))
-    assert max(abs(a - b) for a, b in zip(row.d, exact)) < 1e-12 and abs(row.d[-1] - 1) < 1e-12
+    rows = mixing.distributions(spark.createDataFrame([("a", 30.0), (None, 0.4), ("b", 2500.0)], "source string, rate double")).collect()
+    assert len(rows) == 3
+    for rate, row in ((rate, r) for r in rows for source, rate in {"a": 30.0, None: 0.4, "b": 2500.0}.items() if r.source == source):
+        exact = list(itertools.accumulate(math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1)) for k in range(len(row.distribution))))
+        assert max(abs(a - b) for a, b in zip(row.distribution, exact)) < 1e-9 and abs(row.distribution[-1] - 1) < 1e-9
+
+
+def test_mixing_of_a_rare_source_and_repeated_rows(spark, monkeypatch):
+    rows = [(i, "t", "en", "common", 1) for i in range(3000)] + [(9000 + i % 5, "r", "en", "rare", 1) for i in range(10)] + [(None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    mixed = mixing.mix(docs, {"common": 0.25, "rare": 0.75}, total=8000).groupBy("doc_id", "source", "copy").count().collect()
+    copies = {}
+    for r in mixed:
+        copies.setdefault((r.source, r.doc_id), []).append(r.copy)
+        assert r["count"] == (2 if r.source == "rare" else 1)
+    assert all(sorted(c) == list(range(1, len(c) + 1)) for c in copies.values())
+    rare = [len(c) for (s, _), c in copies.items() if s == "rare"]
+    assert len(rare) == 5 and all(abs(n - 600) < 6 * 600**0.5 for n in rare)
+    monkeypatch.setattr(mixing, "BROADCAST_STEPS", 10)
+    again = mixing.mix(docs, {"common": 0.25, "rare": 0.75}, total=8000).groupBy("doc_id", "source", "copy").count().collect()
+    assert sorted(again) == sorted(mixed)
+
+
+def word_shingles(text):
+    """The rule itself, without hashes."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
 def brute_components(texts, percent=75):
-    sets = [set(minhash.shingles(t).tolist()) for t in texts]
+    sets = [word_shingles(t) for t in texts]
     label = list(range(len(texts)))
 
     def find(x):
@@ -153,13 +219,16 @@ def near_texts(seed=5):
         base[r.randrange(len(base))] = "new"
         texts.append(" ".join(base))
     texts += [" ".join(r.choice(words) for _ in range(r.randint(3, 90))) for _ in range(30)]
-    return texts + texts[-5:]
+    texts += ["Ä ÉcOLE\x1cx\u2003y b c\x0bd e\xa0f", "ä école\x1cx\u2003y b c\x0bd e\xa0f", "long " + " ".join(r.choice(words) for _ in range(30_000))]
+    return texts + texts[-5:] + texts[-40:-39] * 9
 
 
 @pytest.mark.parametrize(("wide", "block"), [(32, 2048), (2, 8), (10**6, 8)])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, wide, block):
     monkeypatch.setattr(minhash, "WIDE", wide)
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 40 * block)
+    monkeypatch.setattr(minhash, "HEAVY", 40)
     texts = near_texts()
     sets, component = brute_components(texts)
     rows = minhash.near_duplicates(documents(spark, texts).withColumn("node", F.lit(0))).collect()
@@ -190,7 +259,7 @@ def test_sketch_fills_every_coordinate_and_tells_similarity():
 
 
 def test_components_of_chains(spark):
-    links = [(i, i + 1) for i in range(30)] + [(100, 200), (200, 100), (300, 300)]
+    links = [(i, i + 1) for i in range(30)] + [(100, 200), (200, 100), (100, 200), (300, 300), (None, 7), (8, None)]
     labels = {r.node: r.label for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert labels == {**{i: 0 for i in range(31)}, 100: 100, 200: 100, 300: 300}
 
@@ -209,6 +278,8 @@ def test_spotsigs_of_neighbours(spark):
         assert rows[i].near_next == spotsigs.jaccard(spotsigs.signatures(text), spotsigs.signatures(following))
     assert rows[0].fingerprint == rows[8].fingerprint and rows[5].fingerprint == ""
     assert list(spotsigs.from_string(rows[0].fingerprint)) == list(spotsigs.signatures(texts[0]))
+    shared = spark.createDataFrame([(7, t) for t in "aabc"] + [(None, "d"), (9, None), (9, "x" * 200_000)], "doc_id long, text string")
+    assert [r.doc_id for r in spotsigs.against_next(shared, rows_per_range=2).orderBy("doc_id").collect()] == [None, 7, 7, 7, 7, 9, 9]
     assert spotsigs.against_next(docs.limit(0)).count() == 0 and spotsigs.against_next(docs.limit(1)).first().near_next == 1.0
 
 
@@ -226,7 +297,7 @@ def test_spotsigs_pairs_equal_brute_force(spark):
 def test_token_files_round_trip(spark, tmp_path):
     texts = odd_texts() + ["<|endoftext|> x<|endoftext|>", "　a\xa0 b"]
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    docs = documents(spark, texts).union(spark.createDataFrame([(None, "no id", "en", "s", 5)], DOCS)).repartition(3)
+    docs = documents(spark, texts).union(spark.createDataFrame([(None, "no id", "en", "s", 5)], DOCS)).repartition(3).withColumn("ids", F.lit("clash")).withColumn("file", F.lit(1))
     manifest = token_store.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), folder=str(tmp_path / "t"), frame_ids=200)
     rows = token_store.read_tokens(manifest).orderBy("start").collect()
     ids = [library.encode(t or "", add_special_tokens=False).ids + [0] for t in ["no id", *texts]]
@@ -258,10 +329,10 @@ def test_licences_by_sentences(spark):
     mit = f"{s['mit-grant']}:\n\n{s['mit-notice']}.\n\n{s['mit-as-is']}.  {s['mit-liability']}."
     wrapped = "# " + s["bsd-grant"].replace(" ", "\n# ", 3).replace("# ", "") + ":\n1. " + s["bsd-source"] + ".\n2. " + s["bsd-binary"] + "."
     texts = [None, "", "plain words", mit, wrapped, "x.\nLicensed under the Apache License, Version 2.0.\nReleased under the MIT License.", "SPDX-License-Identifier: GPL-2.0-only",
-             "Licensed under CC BY-NC 4.0. Licensed under CC BY-NC 4.0.", s["bsd-grant"] + ":"]
+             "Licensed under CC BY-NC 4.0. Licensed under CC BY-NC 4.0.", s["bsd-grant"] + ":", "Plain words of a licence.\n" * 20_000 + mit + "\nmore words " * 20_000, mit]
     docs = documents(spark, texts).withColumn("licences", F.lit("clash"))
     got = {r.doc_id: r.licences for r in licenses.scan(docs).collect()}
-    assert [got[i] for i in range(len(texts))] == ["", "", "", "MIT", "BSD-2-Clause", "Apache-2.0,MIT", "GPL-2.0", "CC-BY-NC-4.0", ""]
+    assert [got[i] for i in range(len(texts))] == ["", "", "", "MIT", "BSD-2-Clause", "Apache-2.0,MIT", "GPL-2.0", "CC-BY-NC-4.0", "", "MIT", "MIT"]
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
