@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tempora.functions import text
 from tempora.operators import compare, detect, intervals, series, sound
 from tempora.plans import calibrate, evaluate, pages, placement, predict, report, retake
-from tempora.queries import ORDER, USER, T, query, spans, table, timed
-from tempora.sources import model
+from tempora.queries import ORDER, USER, T, _taken, query, spans, table, timed
+from tempora.sources import labels, model
 
 SPLIT_SQL = "CASE WHEN {0} IN ('B05', 'B08') THEN 'test' WHEN {0} IN ('B03') THEN 'dev' WHEN {0} IN ('B09', 'B10') THEN 'extra' ELSE 'train' END"
 CRC_SQL = """of_byte AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
@@ -502,3 +502,96 @@ WITH a AS (SELECT l_orderkey AS clip_id, count(*) FILTER (l_quantity >= 40) AS g
 def words_said(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("clip_id"), F.col("l_linenumber").alias("ref_i"), F.col("l_linenumber").alias("hyp_j"), (F.col("l_quantity") / 50).alias("sim"))
     return retake.words_said(lines, lines.groupBy("clip_id").agg(F.countDistinct("ref_i").alias("n")))
+
+
+# ---------------------------------------------------------------- features, rules, times
+
+
+WORD_SQL = f"""n AS (SELECT user_id::VARCHAR AS clip_id, value, event_id, event_type, {T} AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events)"""
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events in order as frames; every third is unvoiced."""
+    e = table(spark, sf_dir, "events").withColumn("frame_i", F.row_number().over(series._in_order(USER, ORDER)) - 1)
+    voiced = F.col("event_id") % 3 != 0
+    return e.select(F.col("user_id").cast("string").alias("clip_id"), F.lit("par").alias("role"), "frame_i", F.when(voiced, F.col("value") % 20).alias("f0_st"), (-F.col("value")).alias("inten"), (F.col("value") / 3).alias("hf"), voiced.alias("voiced"))
+
+
+@query(f"""
+WITH {WORD_SQL}, f AS (SELECT clip_id, i AS frame, CASE WHEN event_id % 3 <> 0 THEN value % 20 END AS f0, -value AS inten, value / 3 AS hf, event_id % 3 <> 0 AS voiced FROM n),
+w AS (SELECT DISTINCT clip_id, (i // 7)::BIGINT AS i FROM n), m AS (SELECT w.clip_id, w.i, max(f0) AS f0_peak, max(f0) - min(f0) AS f0_range, avg(inten) AS inten, avg(hf) AS hf, avg(voiced::INT) AS voiced FROM w JOIN f ON f.clip_id = w.clip_id AND f.frame // 7 = w.i GROUP BY 1, 2),
+c AS (SELECT clip_id, avg(f0_peak) AS mp, avg(inten) AS mi FROM m GROUP BY 1), z AS (SELECT m.*, mp, mi, coalesce(f0_peak, mp) AS p FROM m JOIN c USING (clip_id)), s AS (SELECT clip_id, stddev_pop(p) AS sp, stddev_pop(inten) AS si FROM z GROUP BY 1)
+SELECT z.clip_id, i, f0_peak, f0_range, inten, hf, voiced, CASE WHEN sp > 0 THEN (p - mp) / sp ELSE 0 END + CASE WHEN si > 0 THEN (inten - mi) / si ELSE 0 END AS prominence FROM z JOIN s USING (clip_id)""")
+def word_features(spark, sf_dir):
+    frames = _frames(spark, sf_dir)
+    words = frames.select("clip_id", F.floor(F.col("frame_i") / 7).alias("i")).distinct().withColumns({"start_s": F.col("i") * 7.0, "end_s": F.col("i") * 7.0 + 7.0})
+    told = series.word_features(words, frames, step_s=1.0)
+    return told.select("clip_id", "i", "f0_peak", "f0_range", "inten", "hf", "voiced", "prominence")
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS id, l_linenumber AS k, list_extract(['SHOUT', 'FADE', 'OTHER'], (l_partkey % 3 + 1)::INT) AS flaw, l_quantity AS s, l_quantity + l_tax - 0.02 AS e, l_linenumber AS level FROM lineitem),
+g AS (SELECT id, bool_or(flaw = 'OTHER') AS flaw, bool_or(e < s) AS ord, bool_or(level NOT BETWEEN 1 AND 5) AS lev FROM l GROUP BY 1), o AS (SELECT g.*, o_totalprice <= 30000 AS dur FROM g JOIN orders ON o_orderkey = id)
+SELECT id AS clip_id, array_to_string(list_filter([CASE WHEN dur THEN 'duration' END, CASE WHEN flaw THEN 'flaw' END, CASE WHEN ord THEN 'order' END, CASE WHEN lev THEN 'level' END], lambda x: x IS NOT NULL), ',') AS broken FROM o WHERE dur OR flaw OR ord OR lev""")
+def rule_breaks(spark, sf_dir):
+    flaw = F.element_at(F.array(F.lit("SHOUT"), F.lit("FADE"), F.lit("OTHER")), (F.col("l_partkey") % 3 + 1).cast("int"))
+    region = F.struct(flaw.alias("flaw"), F.lit("c").alias("category"), F.col("l_quantity").alias("start_s"), (F.col("l_quantity") + F.col("l_tax") - 0.02).alias("end_s"), F.col("l_linenumber").alias("level"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(region).alias("what"))
+    docs = table(spark, sf_dir, "orders").join(lines, "o_orderkey").select(F.col("o_orderkey").alias("clip_id"), (F.col("o_totalprice") - 30000).alias("duration_s"), "what")
+    return labels.rule_breaks(docs, ["SHOUT", "FADE"], ["c"]).select("clip_id", F.array_join("broken", ",").alias("broken"))
+
+
+@query(f"""
+WITH RECURSIVE s AS (SELECT event_id, user_id, event_type, {T} AS s, {T} + value * 60 AS e FROM events), w AS (SELECT *, CASE WHEN e - s < 0.3 THEN (s + e) / 2 - 0.15 ELSE s END AS ws, CASE WHEN e - s < 0.3 THEN (s + e) / 2 + 0.15 ELSE e END AS we FROM s),
+c AS (SELECT a.user_id, a.event_id AS i, b.event_id AS j, (least(a.we, b.we) - greatest(a.ws, b.ws)) / ((a.we - a.ws) + (b.we - b.ws) - (least(a.we, b.we) - greatest(a.ws, b.ws))) AS iou, a.s AS s0, a.e AS e0, b.s AS s1, b.e AS e1, a.event_id % 4 < 2 AS c0, b.event_id % 4 < 2 AS c1
+  FROM w a JOIN w b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'click' AND least(a.we, b.we) > greatest(a.ws, b.ws)),
+pairs AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY iou DESC, i DESC, j DESC) AS m FROM c WHERE iou >= 0.3),{_taken("pairs")}, t AS (SELECT pairs.* FROM walk JOIN pairs USING (user_id, m) WHERE taken)
+SELECT count(*) AS n, avg((c0 = c1)::INT) AS category_accuracy, median(1000 * abs(s0 - s1)) AS start_ms, median(1000 * abs(e0 - e1)) AS end_ms FROM t""")
+def match_timing(spark, sf_dir):
+    met = report.located(*_truth_and_found(spark, sf_dir), threshold=0.3, width=3600.0)
+    return report.category_accuracy(met).crossJoin(F.broadcast(evaluate.timing(met))).select("n", "category_accuracy", "start_ms", "end_ms")  # one row each
+
+
+@query(f"""
+WITH {WORD_SQL}, w AS (SELECT clip_id, i, event_type = 'purchase' AS stop, coalesce(lag(event_type) OVER (PARTITION BY clip_id ORDER BY i) = 'purchase', false) AS opens, i * 0.3 AS s, i * 0.3 + 0.3 AS e FROM n),
+g AS (SELECT *, sum(opens::INT) OVER (PARTITION BY clip_id ORDER BY i) + 1 AS sentence FROM w), m AS (SELECT *, min(i) OVER p AS first, max(i) OVER p AS w1, max(e) OVER p AS last_s FROM g WINDOW p AS (PARTITION BY clip_id, sentence))
+SELECT clip_id, sentence::BIGINT AS sentence, min(i) AS w0, any_value(w1) AS w1 FROM m WHERE w1 - first >= 4 AND (i = w1 OR i >= first + 2 AND last_s - s < 1.4) GROUP BY 1, 2""")
+def sentence_tails(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("i", F.row_number().over(series._in_order(USER, ORDER)) - 1)
+    kind = F.when(F.col("event_type") == "purchase", "sentence").otherwise("phrase_tight")
+    words = e.select(F.col("user_id").cast("string").alias("clip_id"), "i", (F.col("i") * 0.3).alias("start_s"), (F.col("i") * 0.3 + 0.3).alias("end_s"), F.lit(True).alias("heard"), kind.alias("btype"))
+    return detect.sentence_tails(words, 1.4, 2).select("clip_id", "sentence", "w0", "w1")
+
+
+@query(f"""
+WITH {WORD_SQL}, l AS (SELECT clip_id, i, value / 60 AS lag FROM n), p AS (SELECT *, (coalesce(lead(lag, 10) OVER w, last(lag) OVER a) - coalesce(lag(lag, 10) OVER w, first(lag) OVER a)) / 0.2 AS slope FROM l
+  WINDOW w AS (PARTITION BY clip_id ORDER BY i), a AS (PARTITION BY clip_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT clip_id, i::INTEGER AS ref_frame, slope, quantile_cont(slope, 0.5) OVER (PARTITION BY clip_id ORDER BY i ROWS BETWEEN 75 PRECEDING AND 75 FOLLOWING) AS tempo FROM p""")
+def tempo_track(spark, sf_dir):
+    f = table(spark, sf_dir, "events").withColumn("ref_frame", F.row_number().over(series._in_order(USER, ORDER)) - 1)
+    path = f.select(F.col("user_id").cast("string").alias("clip_id"), "ref_frame", (F.col("ref_frame") + F.col("value") / 60 * 100).alias("par_frame"), F.lit(0.1).alias("cost"), F.lit(0.1).alias("path_cost"))
+    return compare.tempo_track(path).select("clip_id", "ref_frame", "slope", "tempo")
+
+
+@query("""
+WITH f AS (SELECT l_orderkey AS clip_id, l_linenumber AS w0, min(l_quantity) AS s, min(l_quantity) + 1 AS e, min(l_tax) * 12 AS d, list_extract(['FILLER', 'PACE_SLOW', 'PAUSE_BAD'], (min(l_partkey) % 3 + 1)::INT) AS flaw FROM lineitem GROUP BY 1, 2),
+i AS (SELECT * FROM f WHERE s >= 0.4 AND s <= 45 - 0.3)
+SELECT clip_id, w0 FROM i WHERE d >= 0.5 OR flaw = 'PACE_SLOW' OR NOT EXISTS (SELECT 1 FROM f p WHERE p.clip_id = i.clip_id AND p.flaw = 'PACE_SLOW' AND least(i.e + 0.2, p.e) > greatest(i.s - 0.2, p.s))""")
+def filtered_events(spark, sf_dir):
+    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("clip_id"), F.col("l_linenumber").alias("w0")).agg(F.min("l_quantity").alias("start_s"), (F.min("l_quantity") + 1).alias("end_s"), (F.min("l_tax") * 12).alias("d"), F.min("l_partkey").alias("p"))
+    flaw = F.element_at(F.array(F.lit("FILLER"), F.lit("PACE_SLOW"), F.lit("PAUSE_BAD")), (F.col("p") % 3 + 1).cast("int"))
+    return compare.filtered(g.withColumn("flaw", flaw), g.select("clip_id").distinct().withColumn("duration_s", F.lit(45.0))).select("clip_id", "w0")
+
+
+@query(r"""
+WITH w AS (SELECT conv_id * 1000 + turn AS id, list_filter(string_split(trim(regexp_replace(regexp_replace(text, '[–—]|--', ' ', 'g'), '[ \t\r\n\f]+', ' ', 'g'), ' '), ' '), lambda x: regexp_matches(lower(x), '[a-z'']')) AS w FROM conversations WHERE text IS NOT NULL)
+SELECT id, array_to_string(list_transform(w[2:7], lambda x: regexp_replace(x, '[,;:.?!"]', '', 'g')), ' ') || '…' AS shown FROM w WHERE len(w) >= 12""")
+def words_shown(spark, sf_dir):
+    words = F.transform(text.words_in(F.col("text")), lambda t: t["w"])
+    c = table(spark, sf_dir, "conversations").filter("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), words.alias("w")).filter(F.size("w") >= 12)
+    return c.select("id", text.first_words(F.col("w"), F.lit(1), F.lit(10)).alias("shown"))
+
+
+@query("SELECT c_custkey, nullif(left(trim(regexp_replace(lower(trim(c_name || '  #!')), '[^a-z0-9_-]+', '-', 'g'), '-'), 40), '') AS slug FROM customer")
+def rater_slugs(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", text.slug(F.concat("c_name", F.lit("  #!"))).alias("slug"))
