@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tempora.functions import text
 from tempora.operators import compare, detect, intervals, series, sound
-from tempora.plans import calibrate, evaluate, pages, placement, predict, report, retake
+from tempora.plans import baselines, calibrate, evaluate, pages, people, placement, predict, report, retake
 from tempora.queries import ORDER, USER, T, _taken, query, spans, table, timed
 from tempora.sources import labels, model
 
@@ -595,3 +595,70 @@ def words_shown(spark, sf_dir):
 @query("SELECT c_custkey, nullif(left(trim(regexp_replace(lower(trim(c_name || '  #!')), '[^a-z0-9_-]+', '-', 'g'), '-'), 40), '') AS slug FROM customer")
 def rater_slugs(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", text.slug(F.concat("c_name", F.lit("  #!"))).alias("slug"))
+
+
+# ---------------------------------------------------------------- baselines and people
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS take_id, l_linenumber AS i, min(l_quantity) AS q, min(l_returnflag) AS f FROM lineitem GROUP BY 1, 2), w AS (SELECT *, sum(q) OVER (PARTITION BY take_id ORDER BY i) AS s FROM l),
+g AS (SELECT *, lead(s) OVER (PARTITION BY take_id ORDER BY i) - (s + q / 2) AS gap FROM w)
+SELECT take_id, CASE WHEN gap > 20 THEN 'pause inside phrase' ELSE 'long pause (minor)' END AS kind, count(*) AS n FROM g WHERE f <> 'R' AND gap > 10 GROUP BY 1, 2""")
+def baseline_gaps(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("take_id"), F.col("l_linenumber").alias("i")).agg(F.min("l_quantity").alias("q"), F.min("l_returnflag").alias("f"))
+    start = F.sum("q").over(series._in_order(["take_id"], ["i"]))
+    words = lines.select("take_id", "i", F.lit("w").alias("w"), F.when(F.col("f") == "R", ".").otherwise("").alias("punct"), start.alias("start_s"), (start + F.col("q") / 2).alias("end_s"))
+    return baselines.long_gaps(words, 10.0, 20.0).groupBy("take_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH i AS (SELECT l_orderkey AS take_id, list_extract(['filler', 'repeat', 'long pause (minor)', 'skipped word(s)'], (l_partkey % 4 + 1)::INT) AS kind FROM lineitem WHERE l_quantity > 35),
+c AS (SELECT take_id, count(*) FILTER (kind = 'filler') AS fillers, count(*) FILTER (kind IN ('filler', 'repeat')) AS hard, count(*) FILTER (kind = 'long pause (minor)') AS minor, count(*) FILTER (kind = 'skipped word(s)') AS lost FROM i GROUP BY 1),
+t AS (SELECT o_orderkey AS take_id, o_orderkey % 90 + 10 AS n, o_totalprice / 100000000 AS clipped, o_totalprice / 5000 AS snr, o_orderstatus = 'F' AS spontaneous FROM orders),
+b AS (SELECT t.*, coalesce(fillers, 0) AS fillers, coalesce(hard, 0) AS hard, coalesce(minor, 0) AS minor, coalesce(lost, 0) / n AS mismatch FROM t LEFT JOIN c USING (take_id))
+SELECT CASE WHEN clipped > 0.001 THEN 'FAIL' WHEN hard > 0 THEN CASE WHEN spontaneous THEN 'NATURAL' ELSE 'FAIL' END WHEN mismatch > 0.03 OR minor > 0 OR snr < 20 THEN 'REVIEW' ELSE 'PASS' END AS status, count(*) AS n, sum(fillers)::BIGINT AS fillers, sum(CASE WHEN spontaneous THEN hard ELSE 0 END)::BIGINT AS disfluencies FROM b GROUP BY 1""")
+def baseline_verdicts(spark, sf_dir):
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("filler", "repeat", "long pause (minor)", "skipped word(s)")]), (F.col("l_partkey") % 4 + 1).cast("int"))
+    issues = table(spark, sf_dir, "lineitem").filter("l_quantity > 35").select(F.col("l_orderkey").alias("take_id"), kind.alias("kind"), F.lit("word").alias("reference"))
+    o = table(spark, sf_dir, "orders")
+    takes = o.select(F.col("o_orderkey").alias("take_id"), (F.col("o_orderkey") % 90 + 10).alias("n_words"), (F.col("o_totalprice") / 100000000).alias("clipped"), (F.col("o_totalprice") / 5000).alias("snr_db"), (F.col("o_orderstatus") == "F").alias("spontaneous"))
+    return baselines.verdicts(takes, issues).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("fillers").alias("fillers"), F.sum("disfluencies").alias("disfluencies"))
+
+
+@query("""
+WITH p AS (SELECT *, coalesce(sum(o_totalprice) OVER w, 0) AS before, coalesce(sum(o_totalprice + 10) OVER w, 0) AS at_s FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT o_custkey AS speaker_id, o_orderkey AS number, at_s FROM p WHERE before < 300000""")
+def corpus_pieces(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("speaker_id"), F.col("o_orderkey").alias("number"), F.col("o_orderpriority").alias("text"), F.col("o_totalprice").alias("duration_s"))
+    return baselines.pieces_of(o, 300000.0, 10.0).select("speaker_id", "number", "at_s")
+
+
+@query("""
+WITH r AS (SELECT DISTINCT 'rater-' || n_regionkey AS rater FROM nation), d AS (SELECT DISTINCT 'rater-' || c_nationkey % 5 AS rater, c_custkey AS clip FROM customer WHERE c_acctbal > 3000)
+SELECT r.rater, c.c_custkey AS clip, row_number() OVER (PARTITION BY r.rater ORDER BY sha256(r.rater || '|' || c.c_custkey::VARCHAR))::INTEGER AS place, d.clip IS NOT NULL AS done FROM customer c CROSS JOIN r LEFT JOIN d ON d.rater = r.rater AND d.clip = c.c_custkey""")
+def clips_for_raters(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    raters = table(spark, sf_dir, "nation").select(F.concat(F.lit(" Rater "), F.col("n_regionkey").cast("string")).alias("name"))
+    done = c.filter("c_acctbal > 3000").select(F.concat(F.lit("rater-"), (F.col("c_nationkey") % 5).cast("string")).alias("rater"), F.col("c_custkey").alias("clip"))
+    return people.clips_for(c.select(F.col("c_custkey").alias("clip")), raters, done)
+
+
+@query("""
+WITH v AS (SELECT l_orderkey AS flag, list_extract(['agree', 'disagree', 'unsure', 'other'], (l_partkey % 4 + 1)::INT) AS verdict, l_linenumber AS t FROM lineitem WHERE l_suppkey % 2 = 1),
+m AS (SELECT flag, verdict FROM (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY t DESC, verdict DESC) AS k FROM v WHERE verdict <> 'other') WHERE k = 1)
+SELECT o_orderkey AS flag, verdict FROM orders LEFT JOIN m ON flag = o_orderkey""")
+def flags_to_review(spark, sf_dir):
+    verdict = F.element_at(F.array(*[F.lit(v) for v in ("agree", "disagree", "unsure", "other")]), (F.col("l_partkey") % 4 + 1).cast("int"))
+    v = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("flag"), verdict.alias("verdict"), F.col("l_linenumber").alias("timestamp"), F.when(F.col("l_suppkey") % 2 == 1, "me").otherwise("you").alias("reviewer"))
+    return people.to_review(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("flag")), v, "me")
+
+
+@query("""
+WITH s AS (SELECT c_custkey, 'c' || c_custkey % 400 AS clip, (c_acctbal / 900)::INTEGER AS score, CASE WHEN c_nationkey % 3 = 0 THEN 'Colour' ELSE 'Volume' END AS area FROM customer), k AS (SELECT DISTINCT 'c' || p_size AS clip FROM part)
+SELECT c_custkey, array_to_string(list_filter([CASE WHEN clip NOT IN (SELECT clip FROM k) THEN 'clip' END, CASE WHEN score NOT BETWEEN 1 AND 10 THEN 'score' END, CASE WHEN area = 'Colour' THEN 'area' END], lambda x: x IS NOT NULL), ',') AS wrong FROM s
+WHERE clip NOT IN (SELECT clip FROM k) OR score NOT BETWEEN 1 AND 10 OR area = 'Colour'""")
+def label_problems(spark, sf_dir):
+    mark = F.struct(F.lit(1.0).alias("t_s"), F.when(F.col("c_nationkey") % 3 == 0, "Colour").otherwise("Volume").alias("area"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("c"), (F.col("c_custkey") % 400).cast("string")).alias("clip"), F.rint(F.col("c_acctbal") / 900).cast("int").alias("score_1_10"), F.array(mark).alias("marks"), F.lit("a").alias("rater"))
+    known = table(spark, sf_dir, "part").select(F.concat(F.lit("c"), F.col("p_size").cast("string")).alias("clip")).distinct()
+    return people.problems(c, known).select("c_custkey", F.array_join("wrong", ",").alias("wrong"))

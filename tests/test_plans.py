@@ -8,7 +8,7 @@ import pyspark.sql.functions as F
 import pytest
 
 from tempora.operators import detect, sound, stitch
-from tempora.plans import calibrate, leakage, pages, placement, predict, report, retake
+from tempora.plans import baselines, calibrate, leakage, pages, people, placement, predict, report, retake
 from tempora.sources import model
 
 
@@ -336,3 +336,57 @@ def test_retake_parts(spark):
     spoken = spark.createDataFrame([("c", i, f"w{i}", i * 1.0, i + 0.6) for i in range(6)], "clip_id string, i int, w string, start_s double, end_s double")
     phrases = retake.first_pause(retake.phrase_of(regions, spoken), spoken).orderBy("rid").collect()
     assert [(p.a, p.b, p.text, round(p.first, 6), p.measure.key) for p in phrases] == [(0, 3, "w0 w1 w2 w3", 0.4, "pause_end"), (2, 5, "w2 w3 w4 w5", 1.0, "spread")]
+
+
+# ---------------------------------------------------------------- baselines and people
+
+
+def test_baseline_audit(spark):
+    words = spark.createDataFrame([("t", i, w, w, "," if w == "call" else "", i * 1.0, i + 0.5) for i, w in enumerate("please call stella now and ask her very very well".split())], "take_id string, i int, w string, clean string, punct string, start_s double, end_s double")
+    said = "please um call stellar now ask her her very very well".split()
+    heard = spark.createDataFrame([("t", j, w, j * 0.9) for j, w in enumerate(said)], "take_id string, j int, w string, start_s double")
+    pairs = [(0, 0), (None, 1), (1, 2), (2, 3), (3, 4), (4, None), (5, 5), (6, 6), (None, 7), (7, 8), (8, 9), (9, 10)]
+    aligned = spark.createDataFrame([("t", k, i, j) for k, (i, j) in enumerate(pairs)], "take_id string, step int, ref_i int, hyp_j int")
+    found = baselines.misreadings(words, heard, aligned)
+    assert rows(found, "kind", "time_s", "reference", "heard") == [("extra words", 6.3, "", "her"), ("filler", 0.9, "", "um"), ("misread / ASR mismatch", 2.7, "stella", "stellar"), ("skipped word(s)", 4.0, "and", "")]
+    assert rows(baselines.doubled(heard, words), "heard", "time_s") == [("her her", 5.4)]
+    prompted = spark.createDataFrame([("t", "um", 1.2), ("t", "uh", 5.0), ("t", "no", 6.0)], "take_id string, w string, start_s double")
+    assert rows(baselines.biased_fillers(prompted, found), "heard", "time_s") == [("uh", 5.0)]
+    gaps = baselines.long_gaps(words)
+    assert {r.kind for r in gaps.collect()} == {"long pause (minor)"} and gaps.count() == 8
+    takes = spark.createDataFrame([("t", 10, 0.0, 30.0, False), ("u", 10, 0.0, 30.0, True), ("v", 10, 0.01, 30.0, True), ("w", 10, 0.0, 30.0, False)], "take_id string, n_words int, clipped double, snr_db double, spontaneous boolean")
+    issues = found.unionByName(found.filter("kind = 'filler'").withColumn("take_id", F.lit("u")))
+    assert rows(baselines.verdicts(takes, issues), "take_id", "status", "fillers", "disfluencies", "mismatch") == [("t", "FAIL", 1, 0, 0.2), ("u", "NATURAL", 1, 1, 0.0), ("v", "FAIL", 0, 0, 0.0), ("w", "PASS", 0, 0, 0.0)]
+    back = spark.createDataFrame([("c", 0, j, w) for j, w in enumerate("call stella now".split())] + [("c", 1, j, w) for j, w in enumerate("call now".split())], "clip_id string, rid int, j int, w string")
+    at = spark.createDataFrame([("c", 0, "t", 2), ("c", 1, "t", 2)], "clip_id string, rid int, take_id string, k int")
+    assert rows(baselines.words_put_back(at, words, back), "rid", "gone") == [(0, "stella")]
+
+
+def test_corpus_pieces(spark):
+    names = spark.createDataFrame([("12_S0042_chunk_0.wav", " a  b", 3.0), ("12_S0042_chunk_1.wav", "c\n", 4.0), ("12_S0042_chunk_3.wav", "d", 4.0), ("odd.wav", "x", 1.0)], "path string, text string, duration_s double")
+    pieces = baselines.recordings_of_name(names).filter("speaker_id is not null")
+    assert rows(baselines.missing_chunks(pieces), "speaker_id") == [("S0042",)]
+    taken = baselines.pieces_of(pieces, 6.0, 0.5)
+    assert rows(taken, "number", "at_s") == [(0, 0.0), (1, 3.5)] and rows(baselines.texts_of(taken), "text", "duration_s") == [("a b c", 7.0)]
+    frames = spark.createDataFrame([("p", i, 0.0 if 50 <= i < 150 else -60.0) for i in range(200)], "path string, frame_i int, level double")
+    r = baselines.trimmed(frames).first()
+    assert abs(r.from_s - 0.2) < 1e-9 and abs(r.to_s - 1.81) < 1e-9
+
+
+def test_people(spark, tmp_path):
+    mark = "array<struct<t_s: double, area: string>>"
+    saved = spark.createDataFrame([("ann", "h1", [(2.34567, "Volume"), (1.0, "Pacing")], 7, " ok ", "2024-01-02"), ("ann", "h1", [], 3, None, "2024-01-01"), ("bob", "h9", [(1.0, "Colour")], 11, None, "2024-01-01")], f"rater string, clip string, marks {mark}, score_1_10 int, note string, timestamp string")
+    clips = spark.createDataFrame([("h1",), ("h2",)], "clip string")
+    assert rows(people.problems(saved, clips), "rater", "wrong") == [("bob", ["clip", "score", "area"])]
+    kept = people.cleaned(saved.filter("rater = 'ann'")).first()
+    assert [tuple(m) for m in kept.marks] == [(1.0, "Pacing"), (2.346, "Volume")] and kept.note == "ok" and kept.score_1_10 == 7
+    (tmp_path / "labels_ann.json").write_text(json.dumps({"rater": "ann", "labels": {"h1": {"clip": "h1", "marks": [{"t_s": 1.5, "area": "Pacing"}], "score_1_10": 4}}}))
+    read = people.labels(spark, str(tmp_path))
+    assert rows(people.marks_of(read), "rater", "clip", "mark_id", "t_s", "area") == [("ann", "h1", 0, 1.5, "Pacing")]
+    told = people.clips_for(clips, spark.createDataFrame([("Ann ",), ("ann",)], "name string"), read)
+    assert sorted(r.place for r in told.collect()) == [1, 2] and {r.clip for r in told.filter("done").collect()} == {"h1"}
+    flags = spark.createDataFrame([("f1",), ("f2",)], "flag string")
+    verdicts = spark.createDataFrame([("ann", "f1", "agree", 1), ("ann", "f1", "unsure", 2), ("bob", "f2", "agree", 1)], "reviewer string, flag string, verdict string, timestamp int")
+    assert rows(people.to_review(flags, verdicts, "ann"), "flag", "verdict") == [("f1", "unsure"), ("f2", None)]
+    hidden = people.hidden_set(spark.createDataFrame([("a",), ("b",)], "clip_id string"), spark.createDataFrame([("c",)], "clip_id string"))
+    assert sorted(r.name for r in hidden.collect()) == ["h01.flac", "h02.flac", "h03.flac"] and hidden.filter("hidden").count() == 1
