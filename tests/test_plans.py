@@ -390,3 +390,60 @@ def test_people(spark, tmp_path):
     assert rows(people.to_review(flags, verdicts, "ann"), "flag", "verdict") == [("f1", "unsure"), ("f2", None)]
     hidden = people.hidden_set(spark.createDataFrame([("a",), ("b",)], "clip_id string"), spark.createDataFrame([("c",)], "clip_id string"))
     assert sorted(r.name for r in hidden.collect()) == ["h01.flac", "h02.flac", "h03.flac"] and hidden.filter("hidden").count() == 1
+
+
+# ---------------------------------------------------------------- places of flaws
+
+TAGGED = (
+    "take_id string, i int, w string, clean string, punct string, start_s double, end_s double, pos string, tag string, lemma string, content boolean, function boolean, reducible boolean, btype string, zipf double"
+)
+POS = {"the": "DET", "of": "ADP", "and": "CCONJ", "is": "AUX"}
+
+
+def tagged_takes(spark):
+    text = "the form of the house is old, and the farmers of the valley saw the light, and the horses ran. " * 3 + "the people of the small town is happy, and the bureaucrats of the town sang. from the forest came the sound of the bells, and the people is glad."
+    words, t = [], 0.5
+    for i, w in enumerate(text.split()):
+        clean, punct = w.strip(",."), w[-1] if w[-1] in ",." else ""
+        small = clean in POS
+        kind = "sentence" if punct == "." else "clause_punct" if punct else "phrase_tight" if small else "phrase_loose"
+        words.append(("t", i, w, clean, punct, t, t + 0.25, POS.get(clean, "NOUN"), "X", clean, not small, small, clean in ("the", "of", "and"), kind, 3.0 if clean in ("bureaucrats", "forest") else 5.0))
+        t += 0.25 + (0.4 if punct else 0.02)
+    frames = [("t", f, 4 * math.sin(f / (3 if f % 1000 < 500 else 30)), 0.0, -10.0 + (f % 7), True) for f in range(int(t * 100) + 50)]
+    from tempora.plans import flaws
+
+    return flaws.Takes(
+        spark.createDataFrame(words, TAGGED), spark.createDataFrame([("t", 0.0, t + 1)], "take_id string, zone_start double, zone_end double"),
+        spark.createDataFrame(frames, "clip_id string, frame_i int, f0_st double, inten double, hf double, voiced boolean"), spark.createDataFrame([("t", i, float(i % 5)) for i in range(len(words))], "take_id string, i int, prominence double"),
+    ), words
+
+
+@pytest.mark.parametrize("flaw", placement.FLAWS)
+def test_places_of_every_flaw(spark, flaw):
+    from tempora.plans import flaws
+
+    t, words = tagged_takes(spark)
+    places = sorted((r.start_s, r.end_s, r.w0, r.w1, r.why) for r in flaws.placed(t, flaw, 3).collect())
+    assert 1 <= len(places) <= 3 and all(b[0] >= a[1] for a, b in zip(places, places[1:]))
+    assert places == sorted((r.start_s, r.end_s, r.w0, r.w1, r.why) for r in flaws.placed(t, flaw, 3).collect())
+    for start, end, w0, w1, why in places:
+        first, last = words[w0], words[w1]
+        if flaw in ("PACE_FAST", "PACE_SLOW", "MONOTONE", "SLUR", "EMPH_FLAT", "SHOUT"):
+            low, high = flaws.LENGTHS[flaw]
+            assert start == first[5] and end == last[6] and 0.7 * low - 1e-6 <= end - start <= 1.3 * high + 1e-6
+        elif flaw in ("UPTALK", "FADE"):
+            assert last[4] == "." and end == last[6] and w1 - w0 >= (2 if flaw == "UPTALK" else 1)
+        elif flaw == "PAUSE_BAD":
+            assert first[13] == "phrase_tight" and why.startswith("inside a tight phrase") and first[6] <= start <= last[5]
+        elif flaw == "PAUSE_LOST":
+            assert first[4] and first[6] <= start <= last[5]
+        elif flaw == "REPEAT":
+            assert words[w0 - 1][13] in flaws.OPENERS and first[11]
+        elif flaw == "RARE_HESIT":
+            assert first[3] in ("bureaucrats", "forest")
+        elif flaw == "WORD_SKIP":
+            assert first[7] in flaws.SKIPPED and not first[4]
+        elif flaw == "WORD_SWAP":
+            assert first[10] and "misread '" + first[3] in why
+    told = flaws.labelled(flaws.placed(t, flaw, 1), 4).first()
+    assert told.category == detect.CATEGORY[flaw] and told.level == 4
