@@ -57,6 +57,8 @@ SENTENCES = {
     "gpl-later-3": "either version 3 of the License, or (at your option) any later version",
     "lgpl-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
     "lgpl-later-21": "either version 2.1 of the License, or (at your option) any later version",
+    "lgpl-or-later-21": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version",
+    "lgpl-or-later-3": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     "agpl-or-later-3": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
     "gpl-implied": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
@@ -65,6 +67,13 @@ SENTENCES = {
     "gpl-short-3": "This work is licensed under the GNU General Public License, version 3",
     "gpl-short-2": "This work is licensed under the GNU General Public License, version 2",
     "mpl-head": "This Source Code Form is subject to the terms of the Mozilla Public License, v",
+    "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-liability": "In no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "bsl-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following",
+    "epl-2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
     "cc0-short": "Licensed under CC0 1.0",
     "cc-by-short": "Licensed under CC BY 4.0",
     "cc-by-sa-short": "Licensed under CC BY-SA 4.0",
@@ -91,7 +100,10 @@ RULES = [
     ("ISC", "isc-grant (isc-as-is)"),
     ("Apache-2.0", "apache-head apache-grant (apache-copy) (apache-as-is) (apache-see)"),
     ("AGPL-3.0-or-later", "agpl-or-later-3"),
+    ("LGPL-3.0-or-later", "lgpl-or-later-3 (gpl-hope) (gpl-implied)"),
+    ("LGPL-2.1-or-later", "lgpl-or-later-21 (gpl-hope) (gpl-implied)"),
     ("LGPL-2.1-or-later", "lgpl-terms lgpl-later-21 (gpl-hope) (gpl-implied)"),
+    ("LGPL-3.0-or-later", "lgpl-terms gpl-later-3 (gpl-hope) (gpl-implied)"),
     ("GPL-3.0-or-later", "gpl-or-later-3 (gpl-hope) (gpl-implied) (gpl-see) (gpl-copy)"),
     ("GPL-2.0-or-later", "gpl-or-later-2 (gpl-hope) (gpl-implied) (gpl-see) (gpl-copy)"),
     ("GPL-3.0-or-later", "gpl-terms gpl-later-3 (gpl-hope) (gpl-implied) (gpl-see) (gpl-copy)"),
@@ -99,7 +111,11 @@ RULES = [
     ("GPL-3.0-or-later", "spdx-gpl-3"),
     ("GPL-3.0", "gpl-short-3"),
     ("GPL-2.0", "gpl-short-2/spdx-gpl-2"),
-    ("MPL-2.0", "mpl-head"),
+    ("MPL-2.0", "mpl-head (mpl-copy)"),
+    ("Zlib", "zlib-as-is (zlib-liability) zlib-grant"),
+    ("0BSD", "0bsd-grant (isc-as-is)"),
+    ("BSL-1.0", "bsl-grant"),
+    ("EPL-2.0", "epl-2"),
     ("Apache-2.0", "apache-short/spdx-apache"),
     ("MIT", "mit-short/mit-short-2/mit-short-3/spdx-mit"),
     ("BSD", "bsd-short"),
@@ -114,7 +130,7 @@ RULES = [
 ]
 
 #: Each known sentence holds one of these, so texts without them need no splitting.
-HINT = r"(?i)licen[sc]|copyright|permission|redistribut|warrant|provided|software|version|rights reserved"
+HINT = r"(?i)licen[sc]|copyright|permission|distribut|warrant|provided|software|version|rights reserved"
 SPDX, AFTER_STOP, LINE_ENDS, OTHER_SIGNS = r"(?i)SPDX-License-Identifier:[ \t]*", r"([.!?:;])[ \t\r\n\f]+", r"[\r\n]+", r"[^A-Za-z0-9]+"
 
 

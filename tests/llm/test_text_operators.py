@@ -340,6 +340,14 @@ def test_published_licence_files(spark):
     import textwrap
 
     s, copyright = licenses.SENTENCES, "Copyright (c) 2020 Jane Doe"
+    more = {
+        "Zlib": f"{copyright}\n\n{s['zlib-as-is']}. {s['zlib-liability']}.\n\n{s['zlib-grant']}:\n\n1. The origin of this software must not be misrepresented.",
+        "0BSD": f"{copyright}\n\n{s['0bsd-grant']}.\n\n{s['isc-as-is']}.", "BSL-1.0": f"Boost Software License - Version 1.0\n\n{s['bsl-grant']}:", "EPL-2.0": f"{s['epl-2']}/\n",
+        "MPL-2.0": f"{s['mpl-head']}. 2.0. {s['mpl-copy']}.", "LGPL-3.0-or-later": f"This library is free software: {s['lgpl-or-later-3']}.", "LGPL-2.1-or-later": f"This library is free software; {s['lgpl-or-later-21']}.",
+    }
+    wrapped = [textwrap.fill(t, 60) if "\n\n" not in t else "\n\n".join(textwrap.fill(p, 60) for p in t.split("\n\n")) for t in more.values()]
+    got = {r.doc_id: r.licences for r in licenses.scan(documents(spark, [*more.values(), *wrapped])).collect()}
+    assert [got[i] for i in range(2 * len(more))] == [*more] * 2
     wrapped = lambda *parts: "\n\n".join(textwrap.fill(p, 72) for p in parts) + "\n"
     mit = wrapped("MIT License", copyright, s["mit-grant"] + ":", s["mit-notice"] + ".", f"{s['mit-as-is']}. {s['mit-liability']}.")
     isc = wrapped("ISC License", copyright, s["isc-grant"] + ".", s["isc-as-is"] + ".")
