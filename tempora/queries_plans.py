@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.functions import text
+from tempora.functions import numbers, text
 from tempora.operators import compare, detect, intervals, series, sound
 from tempora.plans import baselines, calibrate, evaluate, pages, people, placement, predict, report, retake
 from tempora.queries import ORDER, USER, T, _taken, query, spans, table, timed
@@ -662,3 +662,36 @@ def label_problems(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("c"), (F.col("c_custkey") % 400).cast("string")).alias("clip"), F.rint(F.col("c_acctbal") / 900).cast("int").alias("score_1_10"), F.array(mark).alias("marks"), F.lit("a").alias("rater"))
     known = table(spark, sf_dir, "part").select(F.concat(F.lit("c"), F.col("p_size").cast("string")).alias("clip")).distinct()
     return people.problems(c, known).select("c_custkey", F.array_join("wrong", ",").alias("wrong"))
+
+
+# ---------------------------------------------------------------- numbers
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_linenumber, l_discount * 12 AS x, l_tax * 12 AS p, l_quantity * 8 AS hz FROM lineitem), u AS (SELECT *, greatest(0, least(1, p / 0.3)) AS u0 FROM l), s AS (SELECT *, u0 * u0 * (3 - 2 * u0) AS up FROM u)
+SELECT l_orderkey, l_linenumber, 20 * log10(greatest(x, 1e-9)) AS db, pow(10, x / 20) AS amplitude, CASE WHEN x <= 0.776 THEN x ELSE 0.776 + 0.194 * ((exp(2 * (x - 0.776) / 0.194) - 1) / (exp(2 * (x - 0.776) / 0.194) + 1)) END AS limited,
+  up * (0.6 + 0.4 * greatest(0, least(1, (1 - p) / 0.2))) AS fast, 0.35 + 0.65 * up AS slow, greatest(60, 0.55 * hz) AS low_hz, greatest(least(600, 2.4 * hz), 2 * greatest(60, 0.55 * hz)) AS high_hz FROM s""")
+def sound_numbers(spark, sf_dir):
+    x, p, hz = F.col("l_discount") * 12, F.col("l_tax") * 12, F.col("l_quantity") * 8
+    low, high = numbers.pitch_limits(hz)
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", numbers.decibels(x).alias("db"), numbers.amplitude(x).alias("amplitude"), numbers.limited(x).alias("limited"), numbers.tempo_weight(p, True).alias("fast"),
+        numbers.tempo_weight(p, False).alias("slow"), low.alias("low_hz"), high.alias("high_hz"),
+    )
+
+
+@query("""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::FLOAT::DOUBLE) AS e FROM embeddings WHERE embedding IS NOT NULL)
+SELECT vec_id, sqrt(list_sum(list_transform(e, lambda x: x * x)) / len(e) + 1e-18) AS rms, list_sum(e[round_even(0.11 * 100, 0)::INT + 1:round_even(0.31 * 100, 0)::INT]) AS part, len(e) + 0 AS n FROM v""")
+def sample_stretches(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").filter("embedding is not null")
+    part = numbers.stretch_of(F.col("embedding"), F.lit(0.11), F.lit(0.31), 100)
+    total = F.aggregate(part, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return e.select("vec_id", numbers.root_mean_square(F.col("embedding")).alias("rms"), total.alias("part"), F.size(numbers.fitted(F.col("embedding"), F.size("embedding"))).cast("long").alias("n"))
+
+
+@query(f"""
+WITH n AS (SELECT event_id, user_id, ts, value, quantile_cont(value, 0.5) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS usual FROM events)
+SELECT event_id, CASE WHEN abs(value / greatest(usual, 1.0) - 1) > 0.2 THEN usual ELSE value END AS f0, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at FROM n""")
+def clean_octaves(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", numbers.without_octaves("value", USER, ORDER).alias("f0"), numbers.iso_time(F.col("ts")).alias("at"))

@@ -447,3 +447,14 @@ def test_places_of_every_flaw(spark, flaw):
             assert first[10] and "misread '" + first[3] in why
     told = flaws.labelled(flaws.placed(t, flaw, 1), 4).first()
     assert told.category == detect.CATEGORY[flaw] and told.level == 4
+
+
+def test_numbers(spark):
+    from tempora.functions import numbers
+
+    df = spark.createDataFrame([([0.5, -0.5, 1.0, 0.0], float("inf"), "a", 1)], "x array<float>, v double, k string, n int")
+    r = df.select(
+        numbers.root_mean_square(F.col("x")).alias("rms"), numbers.stretch_of(F.col("x"), F.lit(0.1), F.lit(0.3), 10).alias("s"), numbers.fitted(F.col("x"), F.lit(6)).alias("f"), numbers.shown(F.col("v")).alias("v"),
+        numbers.sample_of(F.lit(0.25), 10).alias("even"), numbers.request_key(F.col("k"), F.col("n")).alias("key"), numbers.root_mean_square(F.array().cast("array<float>")).alias("none"),
+    ).first()
+    assert abs(r.rms - (1.5 / 4) ** 0.5) < 1e-6 and r.s == [-0.5, 1.0] and r.f == [0.5, -0.5, 1.0, 0.0, 0.0, 0.0] and r.v is None and r.even == 2 and len(r.key) == 20 and r.none == 1e-9
