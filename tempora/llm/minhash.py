@@ -16,10 +16,17 @@ an index of shingles in wide ones.  So no pair of different components that
 share a bucket goes untested, while pairs within a component are left out.
 Links are confirmed on full sets.
 
+Hot keys: a class that holds more than one row in HEAVY is heavy; there are
+fewer than HEAVY of these, so they are broadcast and their rows not shuffled.
+
 Defined cases: null text counts as empty; a text without words has the empty
 set and is linked with nothing; fewer words than a shingle make one shingle of
 all words; rows without an id stay alone and have no component; rows that
-share an id each follow their own text.
+share an id are one document, so what is linked with one of their texts is
+linked with all; repeated rows are returned as often; a very long text is one
+set like any other, and tasks are bounded by shingles as well as by rows; a
+table without rows gives none; columns with clashing names do no harm, as only
+id and text are read.
 """
 
 from __future__ import annotations
@@ -31,18 +38,22 @@ import pandas as pd
 import pyarrow as pa
 import pyspark.sql.functions as F
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from tempora.llm.graph import components, joined
-from tempora.llm.shared import written
+from tempora.llm.shared import discard, written
 
 COORDINATES, BANDS = 128, 32
 ROWS = COORDINATES // BANDS
 #: Members from which a bucket is wide, and about how many of them one task holds against as many others.
-WIDE, BLOCK = 32, 2048
+WIDE, BLOCK = 32, 512
+#: Shingles of a wide bucket's members that one task holds at most, besides its last member's.
+BLOCK_SHINGLES = 4_000_000
+#: A class with more than one in so many rows is heavy.
+HEAVY = 2000
 #: Shingles that are sketched together.
-TOGETHER = 1_000_000
+TOGETHER = 250_000
 
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -160,12 +171,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _mixed(entries: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The members of buckets with their labels, and ``(key, main, n, outside)`` of buckets with several labels."""
+    """The members of buckets with their labels, and ``(key, main, n, size, outside, outside_size)`` of buckets with several labels."""
     member = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    member = written(member.select("key", "node", "label"), "members")
-    sizes = member.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
-    mixed = mixed.select("key", "main.label", "n", (F.col("n") - F.col("main.n")).alias("outside")).withColumnRenamed("label", "main")
+    member = written(member.select("key", "node", "label", "size"), "members")
+    sizes = member.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "label", "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    outside = [(F.col("n") - F.col("main.n")).alias("outside"), (F.col("size") - F.col("main.size")).alias("outside_size")]
+    mixed = mixed.select("key", F.col("main.label").alias("main"), "n", "size", *outside)
     return member, written(mixed.filter("outside > 0"), "mixed")
 
 
@@ -184,7 +196,11 @@ def _wide_links(member: DataFrame, mixed: DataFrame, sets: DataFrame, percent: i
     Both sides come in blocks with their sets, and a task counts what the sets
     share through an index of their shingles, so no pair is formed.
     """
-    wide = mixed.filter(F.col("n") >= WIDE).withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("asking", F.ceil(F.col("outside") / BLOCK))
+
+    def tasks(rows: str, shingles: str) -> Column:
+        return F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES))
+
+    wide = mixed.filter(F.col("n") >= WIDE).select("key", "main", tasks("n", "size").alias("blocks"), tasks("outside", "outside_size").alias("asking"))
     held = member.join(wide, "key").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     every = {n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).alias(n) for n, c in (("block", "blocks"), ("part", "asking"))}
     part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("asking")).alias("part")
@@ -223,33 +239,40 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     sketches = written(sketched(docs, words=words), "sketches")
     filled = sketches.filter("n_shingles > 0 and doc_id is not null")
-    classes = filled.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
-    rows = classes.select("node", F.explode("bands").alias("key"))
+    classes = filled.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
+    rows = classes.select("node", F.explode("bands").alias("key"), "size")
     shared = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
-    entries = written(rows.join(shared.select("key", "least"), "key").select("key", "node", "least").distinct(), "entries")
+    entries = written(rows.join(shared.select("key", "least"), "key").groupBy("key", "node", "least").agg(F.max("size").alias("size")), "entries")
     sets = written(_sets(docs, entries.select("node").distinct(), words), "sets")
 
     stars = entries.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     links = written(_confirmed(stars, sets, percent), "links")
     labels = components(links)
-    members, mixed = _mixed(entries.select("key", "node"), labels)
+    members, mixed = _mixed(entries.select("key", "node", "size"), labels)
     narrow = _narrow_pairs(members, mixed).join(stars, ["a", "b"], "left_anti")
     more = written(_confirmed(narrow, sets, percent).union(_wide_links(members, mixed, sets, percent)), "links")
     if not more.isEmpty():
         labels = joined(labels, more)
-
-    members = filled.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    members = members.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component"))
-    rows = sketches.select("doc_id", "n_shingles", "digest").join(members, "digest", "left")
+    scratch = [entries, sets, links, labels, members, mixed, more]
+
+    members = filled.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
+    members = written(members.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component"), "n"), "classes")
+    discard(*scratch)
+    heavy = F.col("n") * HEAVY > sketches.count()
+    rows = sketches.select("doc_id", "n_shingles", "digest")
+    rows = rows.join(F.broadcast(members.filter(heavy).select("digest", F.col("component").alias("heavy"))), "digest", "left")  # fewer than HEAVY rows
+    near = rows.filter("heavy is null").join(members.filter(~heavy).select("digest", "component"), "digest", "left")
+    rows = rows.filter("heavy is not null").select("doc_id", "n_shingles", F.col("heavy").alias("component")).unionByName(near.select("doc_id", "n_shingles", "component"))
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each component; of rows that share its id one stays, and rows without an id."""
+    """``docs`` with one row of each component, and the rows without an id; of rows that share its id the one with the smallest text stays."""
     found = near_duplicates(docs, **options)
     rows = docs.filter("doc_id is not null").join(found.filter("kept and doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
     repeated = docs.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     single = rows.join(repeated, "doc_id", "left_anti")
-    first = rows.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, F.struct("text", F.to_json(whole))).alias("row")).select("row.*")
     return single.unionByName(first).unionByName(docs.filter("doc_id is null")).select(docs.columns)

@@ -45,7 +45,7 @@ import pyspark.sql.functions as F
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tempora.llm.shared import new_file, of_attempt, old_file, shared_dir, written
+from tempora.llm.shared import discard, new_file, of_attempt, old_file, shared_dir, written
 
 # The field lists of the two published ARC versions.
 ARC_FIELDS = {
@@ -290,7 +290,9 @@ def convert(archives: DataFrame, folder: str | None = None, least_bytes: int = 0
                 yield pd.DataFrame({"archive": [name], "path": [to], "n_records": [n]})
 
     with_lists = archives.select("archive", "path").join(lists, "archive", "left")
-    return written(_spread(with_lists).mapInPandas(write, "archive string, path string, n_records long"), "warc-files")
+    made = written(_spread(with_lists).mapInPandas(write, "archive string, path string, n_records long"), "warc-files")
+    discard(found)
+    return made
 
 
 # ---------------------------------------------------------------- WARC
