@@ -36,7 +36,7 @@ def test_jobs_and_names(spark):
 
 
 def test_who_and_levels(spark):
-    takes = spark.createDataFrame([("B01-CHAMP", "18-25", "Scots", "F", "vctk", "plain", "real", "N20")], "take_id string, age_band string, accent string, gender string, origin string, register string, status string, condition string")
+    takes = spark.createDataFrame([("B01-CHAMP", "18-25", "Scots", "F", "corpus", "plain", "real", "N20")], "take_id string, age_band string, accent string, gender string, origin string, register string, status string, condition string")
     r = placement.who_and_where(takes).first()
     assert r.who.speaker_id == "CHAMP" and not r.who.synthetic_voice and r["where"].added_condition == "N20"
     told = spark.createDataFrame([("SHOUT", 5), ("REPEAT", 1), ("FADE", 9)], "flaw string, level int").select("flaw", placement.level_value(F.col("flaw"), F.col("level")).alias("v"))
