@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,18 +23,8 @@ def similarity(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-@lru_cache(1 << 16)
-def _places(word: str) -> dict[str, int]:
-    """The places of each letter of a word, in bits."""
-    masks: dict[str, int] = {}
-    for k, c in enumerate(word):
-        masks[c] = masks.get(c, 0) | 1 << k
-    return masks
-
-
-def _in_common(a: str, word: str) -> int:
-    """Length of the longest common subsequence of two words."""
-    n, masks = len(word), _places(word)
+def _in_common(a: str, masks: dict[str, int], n: int) -> int:
+    """Length of the longest common subsequence of ``a`` and the word of ``n`` letters whose places ``masks`` holds, in bits."""
     rest = whole = (1 << n) - 1
     for c in a:
         hit = rest & masks.get(c, 0)
@@ -43,19 +32,8 @@ def _in_common(a: str, word: str) -> int:
     return n - rest.bit_count()
 
 
-@lru_cache(1 << 19)
-def _score(a: str, b: str) -> float:
-    """Equal 1, similar 2 * ratio - 1, other -1.  A worker remembers pairs, as texts use the same words again and again."""
-    if a == b:
-        return 1.0
-    if 2 * _in_common(a, b) < (SIMILAR - 1e-6) * (len(a) + len(b)):
-        return -1.0
-    ratio = similarity(a, b)
-    return 2 * ratio - 1 if ratio > SIMILAR else -1.0
-
-
 def _scores(ref: list[str], hyp: list[str]) -> np.ndarray:
-    """The score of each pair of words.
+    """Of each pair of words: equal 1, similar 2 * ratio - 1, other -1.
 
     What two words have in common is at most the letters that both hold, and
     at most their longest common subsequence, so only pairs that these let be
@@ -84,8 +62,24 @@ def _scores(ref: list[str], hyp: list[str]) -> np.ndarray:
     score = np.full((len(ours), len(theirs)), -1.0)
     least = (SIMILAR - 1e-6) * lengths
     may = 2 * (sets[0] @ sets[1].T) >= least
-    rows, columns = np.nonzero(may)
-    score[rows, columns] = [_score(ours[i], theirs[j]) for i, j in zip(rows.tolist(), columns.tolist())]
+    matcher = SequenceMatcher()
+    for j in np.flatnonzero(may.any(axis=0)):
+        word, masks, told = theirs[j], {}, False
+        for k, c in enumerate(word):
+            masks[c] = masks.get(c, 0) | 1 << k
+        for i in np.flatnonzero(may[:, j]):
+            if ours[i] == word:
+                score[i, j] = 1.0
+                continue
+            if 2 * _in_common(ours[i], masks, len(word)) < least[i, j]:
+                continue
+            if not told:
+                matcher.set_seq2(word)
+                told = True
+            matcher.set_seq1(ours[i])
+            ratio = matcher.ratio()
+            if ratio > SIMILAR:
+                score[i, j] = 1.0 if ratio == 1.0 else 2 * ratio - 1
     return score[np.ix_([place[0][w] for w in ref], [place[1][w] for w in hyp])]
 
 
