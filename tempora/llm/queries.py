@@ -8,7 +8,7 @@ import public_tokenizers
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import bpe, chat, knn, licenses, minhash, mixing, quality, spotsigs, token_store, warc
+from tempora.llm import bpe, chat, clusters, divergence, knn, licenses, minhash, mixing, quality, spotsigs, token_store, variants, warc
 from tempora.llm.shared import table, written
 
 
@@ -120,6 +120,98 @@ FROM upto GROUP BY conv_id
 """
 
 
+def op11_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clustered(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3, scale=1024, length=64)
+
+
+def _op11_sql(k: int = 8, rounds: int = 10) -> str:
+    """Plain rounds: components in long form, all distances."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""far{r} AS MATERIALIZED (SELECT row_id, cluster, sum((v.x - c.x) * (v.x - c.x)) AS far FROM parts v JOIN c{r} c USING (i) GROUP BY row_id, cluster),
+near{r} AS MATERIALIZED (SELECT row_id, cluster, far FROM far{r} QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY far, cluster) = 1)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT cluster, i, sum(x) AS s, count(*)::HUGEINT AS n FROM parts JOIN near{r} USING (row_id) GROUP BY cluster, i),
+c{r + 1} AS MATERIALIZED (SELECT c.cluster, c.i, CASE WHEN n IS NULL THEN c.x ELSE (s - ((s % n + n) % n)) // n END AS x FROM c{r} c LEFT JOIN m{r} m USING (cluster, i))""")
+    return f"""
+WITH kept AS (SELECT vec_id, row_number() OVER () AS row_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT row_id, unnest(range(64)) AS i, unnest(v)::HUGEINT AS x FROM kept),
+firsts AS (SELECT row_id, row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v)::INTEGER - 1 AS cluster FROM kept QUALIFY cluster < {k}),
+c0 AS MATERIALIZED (SELECT cluster, i, x FROM parts JOIN firsts USING (row_id)),
+{", ".join(steps)},
+told AS (SELECT cluster, sum(far)::BIGINT AS cluster_inertia FROM near{rounds} GROUP BY cluster),
+digests AS (SELECT cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)
+SELECT vec_id, cluster, far::BIGINT AS distance, cluster_inertia, (SELECT sum(cluster_inertia) FROM told)::BIGINT AS inertia, centroid_sha256
+FROM near{rounds} JOIN kept USING (row_id) JOIN told USING (cluster) JOIN digests USING (cluster)
+"""
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = divergence.judged(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _op12_sql() -> str:
+    d = divergence
+    left, counts = "text", []
+    for _, pattern in d.CLASSES:
+        rest = f"regexp_replace({left}, '{pattern.replace("'", "''")}', '', 'g')"
+        counts.append(f"length({left}) - length({rest})")
+        left = rest
+    counts.append(f"length({left})")
+    gain = "CASE WHEN {0} > 0 THEN {0} * log2({0} / (({1} + {2}) / 2)) ELSE 0 END"
+    apart = f"sqrt(greatest(sum(({gain.format('p', 'p', 'q')} + {gain.format('q', 'p', 'q')}) / 2), 0))"
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text FROM documents),
+words AS (SELECT r, lang, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, [{", ".join(counts)}] AS chars FROM docs),
+windows AS (SELECT r, i, words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3] AS w FROM (SELECT r, words, unnest(range(len(words) - 2)) AS i FROM words WHERE len(words) > 2)),
+twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, w) > 1),
+repeats AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(3) t(k) GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+tokens AS (SELECT r, lang, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS word FROM docs),
+short AS (SELECT r, lang, word, count(*) AS n FROM tokens WHERE length(word) <= {d.LETTERS} GROUP BY ALL),
+languages AS (SELECT lang, sum(len(words)) AS n FROM words WHERE lang IS NOT NULL GROUP BY lang HAVING sum(len(words)) >= {d.LEAST_OF_LANGUAGE}),
+common AS (SELECT lang, word, sum(short.n) AS times FROM short JOIN languages USING (lang) GROUP BY lang, word, languages.n QUALIFY row_number() OVER (PARTITION BY lang ORDER BY times DESC, word) <= {d.COMMON}),
+listed AS (SELECT lang, greatest(any_value(l.n), sum(times)) AS total, greatest(any_value(l.n) - sum(times), 0) AS rest FROM common JOIN languages l USING (lang) GROUP BY lang),
+bins AS (SELECT lang, word, times / total AS q FROM common JOIN listed USING (lang) UNION ALL SELECT lang, NULL, rest / total FROM listed),
+chars AS (SELECT r, lang, unnest(range({len(d.CLASSES) + 1})) AS k, unnest(chars) AS n FROM words),
+char_bins AS (SELECT lang, k, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM chars JOIN listed USING (lang) GROUP BY lang, k),
+char_apart AS (SELECT r, {apart} AS d FROM (SELECT r, n / sum(n) OVER (PARTITION BY r) AS p, q, sum(n) OVER (PARTITION BY r) AS total FROM chars JOIN char_bins USING (lang, k)) WHERE total >= {d.LEAST_CHARACTERS} GROUP BY r),
+held AS (SELECT w.r, b.word, b.q, len(w.words) AS n_words, coalesce(s.n, 0) AS n FROM words w JOIN bins b USING (lang) LEFT JOIN short s ON s.r = w.r AND s.word = b.word WHERE len(w.words) >= {d.LEAST_WORDS}),
+filled AS (SELECT r, q, CASE WHEN word IS NULL THEN greatest(n_words - sum(n) OVER (PARTITION BY r), 0) ELSE n END AS n FROM held),
+word_apart AS (SELECT r, {apart} AS d FROM (SELECT r, q, n / sum(n) OVER (PARTITION BY r) AS p FROM filled) GROUP BY r),
+based AS (SELECT d.r, d.doc_id, len(words)::BIGINT AS n_words, list_sum(list_transform(words, lambda x: length(x)))::BIGINT AS word_chars, (chars[3])::BIGINT AS n_symbols,
+  coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM docs d JOIN words USING (r) LEFT JOIN lines USING (r) LEFT JOIN repeats USING (r)),
+failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM based)
+SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(c.d < {d.CHARACTERS_APART}, true) AND coalesce(w.d < {d.WORDS_APART}, true) AS kept
+FROM failed LEFT JOIN char_apart c USING (r) LEFT JOIN word_apart w USING (r)
+"""
+
+
+def op13_deletion_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"), least_letters=7, times=2, factor=10, damage=31)
+
+
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS of_byte),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+'), lambda r: translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+bytes AS (SELECT *, hex((coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs),
+summed AS (SELECT run, n, xor(list_reduce(list_concat([4294967295], list_transform(range(1, len(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)), lambda c, b: xor(c >> 8, of_byte[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+hurt AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM summed),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM hurt WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+rests AS MATERIALIZED (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+pairs AS (SELECT a.word, b.word AS other, b.n FROM rests a JOIN rests b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM rests a JOIN words b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM rests a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS most, first(other ORDER BY n DESC, other) AS other FROM pairs GROUP BY word),
+formed AS MATERIALIZED (SELECT word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * w.n THEN other END AS form, CASE WHEN most >= 10 * w.n THEN most END AS form_n FROM words w LEFT JOIN best USING (word)),
+up AS (SELECT word, word AS root, form AS next FROM formed UNION ALL SELECT up.word, up.next, f.form FROM up JOIN formed f ON f.word = up.next)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, root FROM up WHERE next IS NULL) USING (word)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_arc_to_warc": op1_arc_to_warc,
     "op2_bpe_chunks": op2_bpe_chunks,
@@ -131,6 +223,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_license_rules": op9_license_rules,
     "op10_chat_prefixes": op10_chat_prefixes,
+    "op11_dual_tree_lloyd": op11_dual_tree_lloyd,
+    "op12_divergence": op12_divergence,
+    "op13_deletion_keys": op13_deletion_keys,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_kd_trees": OP5_SQL, "op6_poisson_mix": OP6_SQL, "op9_license_rules": licenses.oracle_sql(), "op10_chat_prefixes": _op10_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op5_kd_trees": OP5_SQL,
+    "op6_poisson_mix": OP6_SQL,
+    "op9_license_rules": licenses.oracle_sql(),
+    "op10_chat_prefixes": _op10_sql(),
+    "op11_dual_tree_lloyd": _op11_sql(),
+    "op12_divergence": _op12_sql(),
+    "op13_deletion_keys": OP13_SQL,
+}
