@@ -74,6 +74,14 @@ SENTENCES = {
     "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "bsl-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following",
     "epl-2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+    "apache-text": "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form",
+    "gpl-3-text": "The GNU General Public License is a free, copyleft license for software and other kinds of works",
+    "gpl-2-text": "By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users",
+    "lgpl-21-text": "By contrast, the GNU General Public Licenses are intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users",
+    "lgpl-3-text": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below",
+    "agpl-3-text": "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software",
+    "cc-by-text": "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution 4.0 International Public License (\"Public License\")",
+    "cc-by-sa-text": "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-ShareAlike 4.0 International Public License (\"Public License\")",
     "cc0-short": "Licensed under CC0 1.0",
     "cc-by-short": "Licensed under CC BY 4.0",
     "cc-by-sa-short": "Licensed under CC BY-SA 4.0",
@@ -109,28 +117,31 @@ RULES = [
     ("GPL-3.0-or-later", "gpl-terms gpl-later-3 (gpl-hope) (gpl-implied) (gpl-see) (gpl-copy)"),
     ("GPL-2.0-or-later", "gpl-terms gpl-later-2 (gpl-hope) (gpl-implied) (gpl-see) (gpl-copy)"),
     ("GPL-3.0-or-later", "spdx-gpl-3"),
-    ("GPL-3.0", "gpl-short-3"),
-    ("GPL-2.0", "gpl-short-2/spdx-gpl-2"),
+    ("AGPL-3.0", "agpl-3-text"),
+    ("LGPL-3.0", "lgpl-3-text"),
+    ("LGPL-2.1", "lgpl-21-text"),
+    ("GPL-3.0", "gpl-short-3/gpl-3-text"),
+    ("GPL-2.0", "gpl-short-2/spdx-gpl-2/gpl-2-text"),
     ("MPL-2.0", "mpl-head (mpl-copy)"),
     ("Zlib", "zlib-as-is (zlib-liability) zlib-grant"),
     ("0BSD", "0bsd-grant (isc-as-is)"),
     ("BSL-1.0", "bsl-grant"),
     ("EPL-2.0", "epl-2"),
-    ("Apache-2.0", "apache-short/spdx-apache"),
+    ("Apache-2.0", "apache-short/spdx-apache/apache-text"),
     ("MIT", "mit-short/mit-short-2/mit-short-3/spdx-mit"),
     ("BSD", "bsd-short"),
     ("BSD-3-Clause", "spdx-bsd-3"),
     ("CC0-1.0", "cc0-short"),
-    ("CC-BY-4.0", "cc-by-short/cc-by-long"),
-    ("CC-BY-SA-4.0", "cc-by-sa-short/cc-by-sa-long"),
+    ("CC-BY-4.0", "cc-by-short/cc-by-long/cc-by-text"),
+    ("CC-BY-SA-4.0", "cc-by-sa-short/cc-by-sa-long/cc-by-sa-text"),
     ("CC-BY-NC-4.0", "cc-by-nc-short/cc-by-nc-long"),
     ("CC-BY-ND-4.0", "cc-by-nd-short"),
     ("Unlicense", "unlicense"),
     ("all-rights-reserved", "reserved"),
 ]
 
-#: Each known sentence holds one of these, so texts without them need no splitting.
-HINT = r"(?i)licen[sc]|copyright|permission|distribut|warrant|provided|software|version|rights reserved"
+#: Each known sentence, however its lines are broken, holds one of these, so texts without them need no splitting.
+HINT = r"(?i)licen[sc]|copyright|permission|distribut|warrant|provided|software|version|rights[^A-Za-z0-9]+reserved"
 SPDX, AFTER_STOP, LINE_ENDS, OTHER_SIGNS = r"(?i)SPDX-License-Identifier:[ \t]*", r"([.!?:;])[ \t\r\n\f]+", r"[\r\n]+", r"[^A-Za-z0-9]+"
 
 
@@ -190,23 +201,23 @@ def oracle_sql() -> str:
         return "'" + s.replace("'", "''") + "'"
 
     known = "MAP {" + ", ".join(f"{quoted(normalised(s))}: {quoted(i)}" for i, s in SENTENCES.items()) + "}"
-
-    def identifiers(text: str) -> str:
-        split = f"string_split(regexp_replace({text}, {quoted(AFTER_STOP)}, '\\1' || chr(10), 'g'), chr(10))"
-        plain = f"list_transform({split}, lambda s: lower(trim(regexp_replace(s, {quoted(OTHER_SIGNS)}, ' ', 'g'))))"
-        return f"list_filter(list_transform({plain}, lambda s: known[s]), lambda i: i IS NOT NULL)"
-
+    # every end is doubled, so that each sentence takes one of its own on both sides
+    longest_first = sorted(map(normalised, SENTENCES.values()), key=lambda s: (-len(s), s))
+    sentence = "[|/](" + "|".join(s.replace(" ", "(?: |//)") for s in longest_first) + ")[|/]"
+    plain = f"regexp_replace(regexp_replace(text, {quoted(SPDX)}, 'SPDX-License-Identifier ', 'g'), '[|/]', '#', 'g')"
+    for pattern, to in ((AFTER_STOP, "|"), (LINE_ENDS, "/"), ("[^A-Za-z0-9|/]+", " "), (" ?/[ /]*", "/"), (r"[ /]?\|[ |/]*", "|")):
+        plain = f"regexp_replace({plain}, {quoted(pattern)}, {quoted(to)}, 'g')"
     steps = []
     for k, (name, rule) in enumerate(RULES):
         hit = f"regexp_matches(seq, {quoted(rule_pattern(rule))})"
-        steps.append(f"r{k + 1} AS (SELECT doc_id, ids, CASE WHEN {hit} THEN regexp_replace(seq, {quoted(rule_pattern(rule))}, '|', 'g') ELSE seq END AS seq, CASE WHEN {hit} THEN list_append(found, {quoted(name)}) ELSE found END AS found FROM r{k})")
+        steps.append(f"r{k + 1} AS (SELECT r, ids, CASE WHEN {hit} THEN regexp_replace(seq, {quoted(rule_pattern(rule))}, '|', 'g') ELSE seq END AS seq, CASE WHEN {hit} THEN list_append(found, {quoted(name)}) ELSE found END AS found FROM r{k})")
     return f"""
-WITH hinted AS (SELECT doc_id, regexp_replace(text, {quoted(SPDX)}, 'SPDX-License-Identifier ', 'g') AS text, {known} AS known FROM documents WHERE regexp_matches(text, {quoted(HINT)})),
-read AS (SELECT doc_id, {identifiers("text")} AS as_is, {identifiers(f"regexp_replace(text, {quoted(LINE_ENDS)}, ' ', 'g')")} AS joined FROM hinted),
-chosen AS (SELECT doc_id, CASE WHEN len(joined) > len(as_is) THEN joined ELSE as_is END AS ids FROM read),
-r0 AS (SELECT doc_id, ids, '|' || array_to_string(ids, '|') || '|' AS seq, []::VARCHAR[] AS found FROM chosen WHERE len(ids) > 0),
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+ended AS (SELECT r, replace(replace('|' || lower(trim({plain})) || '|', '|', '||'), '/', '//') AS text, {known} AS known FROM docs),
+found AS (SELECT r, list_transform(regexp_extract_all(text, {quoted(sentence)}, 1), lambda s: known[replace(s, '//', ' ')]) AS ids FROM ended),
+r0 AS (SELECT r, ids, '|' || array_to_string(ids, '|') || '|' AS seq, []::VARCHAR[] AS found FROM found WHERE len(ids) > 0),
 {", ".join(steps)},
-firsts AS (SELECT doc_id, ids, list_filter(found, lambda x, i: list_position(found, x) = i) AS found FROM r{len(RULES)})
+firsts AS (SELECT r, ids, list_filter(found, lambda x, i: list_position(found, x) = i) AS found FROM r{len(RULES)})
 SELECT d.doc_id, coalesce(array_to_string(ids, ','), '') AS sentence_ids, coalesce(array_to_string(found, ','), '') AS licences
-FROM documents d LEFT JOIN firsts f ON d.doc_id = f.doc_id
+FROM docs d LEFT JOIN firsts f ON d.r = f.r
 """

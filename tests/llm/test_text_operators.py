@@ -361,12 +361,28 @@ def test_published_licence_files(spark):
     assert rows[0].sentence_ids == rows[6].sentence_ids == rows[7].sentence_ids == "mit-grant,mit-notice,mit-as-is,mit-liability"
 
 
+def test_every_licence_sentence_is_found_however_its_lines_break(spark):
+    """Broken at every blank, with several blanks, and with signs at the breaks; by the query and by its SQL."""
+    import duckdb
+
+    sentences = {i: s + "." for i, s in licenses.SENTENCES.items()}
+    breaks = ["\n", "  ", "\r\n * ", "\n\n# "]
+    rows = [(k, i, s.replace(" ", b)) for k, (b, (i, s)) in enumerate(itertools.product(breaks, sentences.items()))]
+    rows += [(len(rows) + k, i, "A heading\n" + s.replace(" ", "\n", 3) + "\nlast line") for k, (i, s) in enumerate(sentences.items())]
+    df = spark.createDataFrame([(k, s) for k, _, s in rows], "doc_id long, text string")
+    got = {r.doc_id: (r.sentence_ids, r.licences) for r in licenses.scan(df).collect()}
+    assert [(k, i) for k, i, _ in rows if got[k][0] != i] == []
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert {r[0]: (r[1], r[2]) for r in con.execute(licenses.oracle_sql()).fetchall()} == got
+
+
 def test_every_licence_sentence_is_one_sentence_with_a_hint():
     import re
 
     assert len({licenses.normalised(s) for s in licenses.SENTENCES.values()}) == len(licenses.SENTENCES)
     for s in licenses.SENTENCES.values():
-        assert re.search(licenses.HINT, s) and not re.search(licenses.AFTER_STOP, s)
+        assert re.search(licenses.HINT, s) and re.search(licenses.HINT, s.replace(" ", "\n")) and not re.search(licenses.AFTER_STOP, s)
     for _, rule in licenses.RULES:
         for name in re.split(r"[ /]", rule):
             assert name.strip("()") in licenses.SENTENCES
