@@ -6,11 +6,14 @@ neighbouring chunks agree on one boundary they agree on all that follow.  Each
 pair of neighbours is stitched at the first boundary that both have inside
 their overlap and that stands after a sign other than white space: the pattern
 splits white space by what follows it, so a piece that ended with white space
-would be split otherwise than the whole text.  Neighbours without such a
-boundary (one token or run of white space longer than the overlap) stay one
-piece, so no text is split where its tokens are not.  The pieces between
-stitches are then encoded in parallel and their ids joined in order.  Decoding
-joins the raw bytes of the ids.
+would be split otherwise than the whole text.  A stitch counts only if all
+stitches before it do, as only then the chunk on its left is known to have the
+boundaries of the whole text (with a pattern that counts, such as one of digits
+by threes, two chunks can agree on a wrong phase).  From the first pair without
+such a boundary on (one token or run of white space longer than the overlap)
+the text stays one piece, so none is split where its tokens are not.  The
+pieces between stitches are then encoded in parallel and their ids joined in
+order.  Decoding joins the raw bytes of the ids.
 
 Defined cases: null text counts as empty and has no ids; a table without rows
 gives none; very long texts are pieces of many tasks, and of equal ones one is
@@ -111,11 +114,11 @@ def _long_ids(texts: DataFrame, vocabulary: Vocabulary, chunk: int, overlap: int
                 rows.append((key, k, [e for e in ends if e < start + overlap], [e for e in after_sign if e >= start + chunk]))
             yield pd.DataFrame(rows, columns=schema.names)
 
-    before = F.lag("tail").over(Window.partitionBy("key").orderBy("k"))
-    stitches = chunks.mapInPandas(cut, schema).select(
-        "key", F.when(F.col("k") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("head", before))).alias("at")
-    )
-    cuts = stitches.filter("at is not null").groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("cuts"))
+    in_order = Window.partitionBy("key").orderBy("k")
+    stitch = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("head", F.lag("tail").over(in_order))))
+    stitches = chunks.mapInPandas(cut, schema).select("key", "k", stitch.alias("at"))
+    anchored = stitches.withColumn("anchored", F.min(F.col("at").isNotNull()).over(in_order))
+    cuts = anchored.filter("anchored").groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("cuts"))
     pieces = (
         texts.join(cuts, "key")
         .select("key", "text", "cuts", F.posexplode("cuts").alias("piece", "at"))

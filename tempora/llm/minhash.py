@@ -6,7 +6,10 @@ a value from [i, i + 1), the smallest value of a bin stays, and rounds end once
 all bins are filled.  After 128 rounds each further round fills one fixed bin,
 so every coordinate is filled by round 256 at the latest.  32 bands of 4
 coordinates make candidates: two sets of similarity 0.75 share none with
-probability (1 - 0.75 ** 4) ** 32, about 5e-6.
+probability (1 - 0.75 ** 4) ** 32, about 5e-6.  Where none may be lost,
+``exact`` takes each set's rarest shingles as keys in place of bands, so many
+that two sets at the threshold always share one (it counts all shingles of all
+documents, so it moves about twice the bytes of the texts).
 
 Equal sets are one class from the start.  Within a bucket the classes are
 compared with its smallest member only and confirmed links are drawn together.
@@ -38,7 +41,7 @@ import pandas as pd
 import pyarrow as pa
 import pyspark.sql.functions as F
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from tempora.llm.graph import components, joined
@@ -231,19 +234,42 @@ def _wide_links(member: DataFrame, mixed: DataFrame, sets: DataFrame, percent: i
     return asked.cogroup(here.groupBy("key", "part", "block")).applyInPandas(linked, schema).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
+def rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """``(node, key, size)``: the rarest shingles of ``sets(node, set)``.
+
+    Of sets in one order of all shingles, two at the threshold share one among
+    the first n - ceil(n * percent / 100) + 1 of each.  Shingles that only one
+    set holds come first in that order and meet nothing, so they are only counted.
+    """
+    each = sets.select("node", F.size("set").alias("size"), F.explode("set").alias("key"))
+    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    of_set = Window.partitionBy("node", "size")
+    ranked = each.join(often, "key").withColumn("shared", F.count(F.lit(1)).over(of_set)).withColumn("rank", F.row_number().over(of_set.orderBy("often", "key")))
+    first = F.col("size") - F.expr(f"(size * {percent} + 99) div 100") + 1
+    return ranked.filter(F.col("rank") <= first - (F.col("size") - F.col("shared"))).select("node", "key", "size")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, exact: bool = False) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of every row of ``docs``.
 
-    component_id is the smallest id reachable over links; kept marks it.
+    component_id is the smallest id reachable over links; kept marks it.  With
+    ``exact`` no link is lost at any ``percent``; else see the module for how few.
     """
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     sketches = written(sketched(docs, words=words), "sketches")
     filled = sketches.filter("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
-    rows = classes.select("node", F.explode("bands").alias("key"), "size")
+    if exact:
+        sets = written(_sets(docs, classes.select("node").distinct(), words), "sets")
+        rows = written(rarest(sets, percent), "rarest")
+    else:
+        rows = classes.select("node", F.explode("bands").alias("key"), "size")
     shared = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
     entries = written(rows.join(shared.select("key", "least"), "key").groupBy("key", "node", "least").agg(F.max("size").alias("size")), "entries")
-    sets = written(_sets(docs, entries.select("node").distinct(), words), "sets")
+    if exact:
+        discard(rows)
+    else:
+        sets = written(_sets(docs, entries.select("node").distinct(), words), "sets")
 
     stars = entries.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     links = written(_confirmed(stars, sets, percent), "links")

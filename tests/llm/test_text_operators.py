@@ -67,6 +67,20 @@ def test_bpe_of_breaks_around_the_default_chunk(spark, tik):
     assert len(rows) == len(texts) and all(row.ids == tik.encode_ordinary(texts[row.doc_id]) for row in rows)
 
 
+def test_bpe_by_a_pattern_that_counts_equals_the_library(spark):
+    """Two chunks of a long run of digits agree on a wrong phase where three divides the chunk."""
+    pattern = r"\p{N}{1,3}| ?\p{L}+|\s+|[^\s\p{L}\p{N}]+"
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(6)
+    texts = ["x" * k + "".join(r.choice("0123456789") for _ in range(n)) + " and words of a text " * m for k in range(4) for n in (20, 100, 400) for m in (0, 5, 20)]
+    texts += [" and words of a text " * 6 + t for t in texts[:12]]
+    for chunk, overlap in ((30, 12), (33, 33), (31, 9)):
+        rows = bpe.encode(documents(spark, texts), RANKS, pattern, chunk=chunk, overlap=overlap).select("doc_id", "ids").collect()
+        assert len(rows) == len(texts) and all(row.ids == library.encode_ordinary(texts[row.doc_id]) for row in rows)
+
+
 def test_bpe_of_an_empty_table(spark):
     assert bpe.encode(documents(spark, []), RANKS, PATTERN).count() == 0
 
@@ -237,6 +251,36 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, wide, block):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), component[r.doc_id], component[r.doc_id] == r.doc_id)
 
 
+@pytest.mark.parametrize(("percent", "wide"), [(75, 32), (75, 2), (50, 4), (100, 32)])
+def test_exact_near_duplicates_equal_brute_force(spark, monkeypatch, percent, wide):
+    monkeypatch.setattr(minhash, "WIDE", wide)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    texts = near_texts(12)
+    sets, component = brute_components(texts, percent)
+    rows = minhash.near_duplicates(documents(spark, texts), percent=percent, exact=True).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in rows} == {(i, len(s), c) for i, (s, c) in enumerate(zip(sets, component))}
+    assert minhash.near_duplicates(documents(spark, []), exact=True).count() == 0
+
+
+def test_recall_of_pairs_just_above_the_threshold(spark):
+    """Pairs of similarity 0.75 to 0.80: the exact way has all, the bands have all but a few in a hundred thousand."""
+    r = random.Random(21)
+    texts = []
+    while len(texts) < 1200:
+        words = [f"v{r.randrange(10**9)}" for _ in range(r.randint(40, 200))]
+        changed = list(words)
+        for at in r.sample(range(len(words)), max(1, len(words) // 45)):
+            changed[at] = f"v{r.randrange(10**9)}"
+        a, b = word_shingles(" ".join(words)), word_shingles(" ".join(changed))
+        if 75 * len(a | b) <= 100 * len(a & b) <= 80 * len(a | b):
+            texts += [" ".join(words), " ".join(changed)]
+    docs = documents(spark, texts)
+    for exact, least in ((True, 600), (False, 599)):
+        found = minhash.near_duplicates(docs, exact=exact).collect()
+        assert sum(row.component_id == row.doc_id - 1 for row in found if row.doc_id % 2) >= least
+        assert all(row.component_id == row.doc_id for row in found if row.doc_id % 2 == 0)
+
+
 def test_deduplicated_keeps_one_row_of_a_group(spark):
     rows = [(1, "a b c d e f", 1), (1, "a b c d e f", 1), (2, "a b c d e f", 2), (None, "a b c d e f", 3), (4, None, 4), (5, "", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, extra int")
