@@ -38,6 +38,8 @@ COMMON, LETTERS = 32, 5
 NO_WORD = rf"[^\p{{L}}]+|\p{{L}}{{{LETTERS + 1},}}"
 #: Words from which on a language has a reference and a document's words are judged; characters from which on its characters are.
 LEAST_OF_LANGUAGE, LEAST_WORDS, LEAST_CHARACTERS = 1000, 100, 200
+#: Hashes of windows up to which each window is looked up in their list.
+FEW = 16
 #: Distances from which on a document is rejected.
 CHARACTERS_APART, WORDS_APART = 0.3, 0.34
 OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "character_distance", "word_distance", "kept")
@@ -65,17 +67,32 @@ def _words(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, BLANK))
 
 
-def _repeated(windows: str) -> Column:
-    """How many words lie in a window that is there twice, of sorted ``windows(words, at)``."""
+def _repeated(df: DataFrame, words: str, to: str) -> DataFrame:
+    """``df`` with the number of words that lie in a window of three which is there twice.
+
+    Windows are hashed, and only those whose hash is there twice are sorted as
+    strings, which settles what is equal.
+    """
+    n = F.size(words)
+    df = df.withColumn("starts", F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>")))
+    df = df.withColumn("hashes", F.transform("starts", lambda i: F.xxhash64(*[F.get(F.col(words), i + k) for k in range(3)])))
+    df = df.withColumn("sorted", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), F.sort_array("hashes")))
+    df = df.withColumn("again", F.array_distinct(F.filter("sorted", lambda x, k: x == F.get(F.col("sorted"), k - 1))))
+    few = F.filter("starts", lambda i: F.array_contains("again", F.get(F.col("hashes"), i)))
+    asked = F.when(F.size("again") <= FEW, few).when(F.size("again") > FEW, F.col("starts"))
+
+    def window(i: Column) -> Column:
+        return F.struct(F.concat_ws(" ", *[F.get(F.col(words), i + k) for k in range(3)]).alias("words"), i.alias("at"))
 
     def twice(x: Column, k: Column) -> Column:
-        return (F.get(F.col(windows), k - 1)["words"] == x["words"]) | (F.get(F.col(windows), k + 1)["words"] == x["words"])
+        return (F.get(F.col("windows"), k - 1)["words"] == x["words"]) | (F.get(F.col("windows"), k + 1)["words"] == x["words"])
 
-    places = F.sort_array(F.transform(F.filter(windows, twice), lambda x: x["at"]))
+    df = df.withColumn("asked", asked).withColumn("windows", F.sort_array(F.transform("asked", window)))
+    places = F.sort_array(F.transform(F.filter("windows", twice), lambda x: x["at"]))
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
     # a window adds the words that the one before does not hold
     covered = F.aggregate(places, start, lambda so, at: F.struct(at.alias("last"), (so["n"] + F.least(F.lit(3), at - so["last"])).alias("n")))
-    return covered["n"]
+    return df.withColumn(to, F.coalesce(covered["n"], F.lit(0).cast("long"))).drop("starts", "hashes", "sorted", "again", "asked", "windows")
 
 
 def references(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
@@ -126,11 +143,7 @@ def judged(docs: DataFrame, known: DataFrame | None = None, lang: str = "lang",
     rows = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(kept, inner)], F.col(f"`{lang}`").alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = _characters(rows, "text", "characters_of").withColumn("words_of", _words(F.col("text"))).withColumn("n_words", F.size("words_of").cast("long"))
 
-    def window(i: Column) -> Column:
-        return F.struct(F.concat_ws(" ", *[F.get(F.col("words_of"), i + k) for k in range(3)]).alias("words"), i.alias("at"))
-
-    starts = F.when(F.col("n_words") >= 3, F.sequence(F.lit(0), F.col("n_words").cast("int") - 3)).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("windows", F.sort_array(F.transform(starts, window))).withColumn("n_repeat_words", _repeated("windows"))
+    rows = _repeated(rows, "words_of", "n_repeat_words")
     rows = rows.withColumn("lines", F.filter(F.split("text", "\n"), lambda s: F.btrim(s, F.lit(BLANKS)) != ""))
     rows = rows.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
     rows = rows.withColumn("word_chars", F.length("text").cast("long") - F.col("characters_of")[1]).withColumn("n_symbols", F.col("characters_of")[2])
