@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tempora import queries, queries_plans  # noqa: F401  (registers its queries)
+from tempora import queries, queries_more, queries_plans  # noqa: F401  (register their queries)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
