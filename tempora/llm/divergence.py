@@ -58,8 +58,8 @@ def _characters(df: DataFrame, text: str, to: str) -> DataFrame:
 
 
 def _short_words(text: str) -> Column:
-    """The short words in lower case, each between two blanks of its own."""
-    return F.concat(F.lit("  "), F.regexp_replace(F.lower(text), NO_WORD, "  "), F.lit("  "))
+    """The short words in lower case, with empty strings where others stood."""
+    return F.split(F.regexp_replace(F.lower(text), NO_WORD, " "), " ")
 
 
 def _words(text: Column) -> Column:
@@ -107,7 +107,7 @@ def references(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataF
     total = reduce(Column.__add__, [F.col(f"c{k}") for k in classes])
     of_language = sums.filter(F.col("n") >= LEAST_OF_LANGUAGE).select("lang", "n", F.array(*[F.col(f"c{k}") / total for k in classes]).alias("characters"))
 
-    word = F.explode(F.split(F.trim(_short_words("text")), " +")).alias("word")
+    word = F.explode(_short_words("text")).alias("word")
     counts = rows.select("lang", word).filter("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("times"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("times"), "word"))
     commonest = counts.withColumn("place", place).filter(F.col("place") <= COMMON)
@@ -151,7 +151,7 @@ def judged(docs: DataFrame, known: DataFrame | None = None, lang: str = "lang",
     rows = rows.select(*inner, "lang", "characters_of", *OUTPUTS[:6], _short_words("text").alias("short"))
 
     rows = rows.join(known.withColumnRenamed("lang", "of_lang"), F.col("lang") == F.col("of_lang"), "left")
-    times = F.transform("words", lambda w: ((F.length("short") - F.length(F.replace(F.col("short"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2)).cast("long"))
+    times = F.transform("words", lambda w: (F.size("short") - F.size(F.array_remove("short", w))).cast("long"))
     rows = rows.withColumn("times", F.when(F.col("words").isNotNull(), times))
     told = F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x)
     rows = rows.withColumn("times", F.concat("times", F.array(F.greatest(F.col("n_words") - told, F.lit(0).cast("long")))))

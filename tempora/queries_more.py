@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 
 from tempora.operators import edges, spectral
 from tempora.queries import USER, T, query, table, timed
-from tempora.sources import schema
+from tempora.runtime import shared_folder
+from tempora.sources import paged, schema
 
 # ---------------------------------------------------------------- schemas
 
@@ -174,3 +175,21 @@ def longest_voiced(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = _numbered(spark, sf_dir).select("clip_id", "frame_i", F.col("event_type").isin("click", "view").alias("voiced"), F.col("level").alias("f0"))
     spans = frames.select("clip_id", F.floor(F.col("frame_i") / 12).alias("rid")).distinct().withColumns({"start_s": F.col("rid") * 12.0, "end_s": F.col("rid") * 12.0 + 12.0})
     return edges.voiced_stretches(spans, frames, step_s=1.0, least_s=3.0)
+
+
+# ---------------------------------------------------------------- pages of a service
+
+PAGE = 500
+
+
+@query("SELECT o_orderkey AS row_idx, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey >= 700")
+def paged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a service gives them, a page a file, read back by the data source from the second page on."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    row = F.struct(F.col("o_orderkey").alias("row_idx"), F.struct("o_custkey", "o_orderstatus", "o_totalprice").alias("row"))
+    pages = orders.groupBy(F.floor(F.col("o_orderkey") / PAGE).alias("page")).agg(F.to_json(F.struct(F.collect_list(row).alias("rows"))).alias("value"))  # PAGE rows
+    folder = shared_folder(spark, "pages")
+    pages.write.partitionBy("page").text(folder)
+    total = orders.agg(F.max("o_orderkey")).first()[0] + 1
+    read = paged.paged_rows(spark, folder + "/page={page}", "row_idx long, o_custkey long, o_orderstatus string, o_totalprice double", total, page_size=PAGE, pages_per_task=20)
+    return read.filter("row_idx >= 700")

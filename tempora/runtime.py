@@ -1,9 +1,11 @@
-"""Sending this package to executors that do not have it installed."""
+"""Sending this package to executors that do not have it installed, and a folder that all of them reach."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -35,3 +37,16 @@ def ship(spark: SparkSession) -> None:
                 archive.write(file, os.path.relpath(file, os.path.dirname(top)))
     spark.sparkContext.addPyFile(path)
     _sent.add(app)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in ``spark.checkpoint.dir``; where that is unset, in a temporary one on one machine, and a cluster is refused."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-shared-")
+        context.setCheckpointDir(base)
+    base = base if "://" in base or base.startswith("file:") else f"file://{base}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -75,3 +75,52 @@ def test_words_of_schemas(spark):
         schema.problems(spark.range(1)["id"].cast("string"), {"$ref": "#/$defs/a", "$defs": {"a": {"items": {"$ref": "#/$defs/a"}}}})
     with pytest.raises(ValueError, match="contains"):
         schema.problems(spark.range(1)["id"].cast("string"), {"contains": {}})
+
+
+@pytest.fixture
+def service():
+    """A service of 230 rows, a third of whose answers fail at first and one of which stays broken."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    asked: list[int] = []
+
+    class Answers(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            q = parse_qs(urlparse(self.path).query)
+            offset, length = int(q["offset"][0]), int(q["length"][0])
+            asked.append(offset)
+            again = asked.count(offset) > 1
+            if self.path.startswith("/broken") and offset == 60 or offset % 3 == 0 and not again:
+                self.send_error(503)
+                return
+            rows = [{"row_idx": i, "row": {"text": f"row {i}", "n": i * 2, "more": None}} for i in range(offset, offset + length)]
+            rows = rows[1:] if offset == 40 and not again else rows  # a row short at first
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"rows": rows}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", asked
+    server.shutdown()
+
+
+def test_pages_are_asked_again_and_pruned(spark, service):
+    from tempora.sources import paged
+
+    url, asked = service
+    read = lambda path, **more: paged.paged_rows(spark, url + path + "?offset={offset}&length={length}", "row_idx long, text string, n int, absent string", 230, page_size=20, pause_s=0.01, **more)
+    rows = read("/rows", pages_per_task=3).collect()
+    assert sorted((r.row_idx, r.text, r.n, r.absent) for r in rows) == [(i, f"row {i}", 2 * i, None) for i in range(230)]
+    assert asked.count(0) == 2 and asked.count(40) == 2 and asked.count(20) == 1 and read("/rows", pages_per_task=3).rdd.getNumPartitions() == 4
+    asked.clear()
+    few = read("/rows", pages_per_task=1).filter("row_idx > 99 and row_idx <= 125 and n % 4 = 0")
+    assert sorted(r.row_idx for r in few.collect()) == list(range(100, 126, 2)) and set(asked) == {100, 120}
+    assert read("/rows").filter("row_idx = 7").collect()[0].text == "row 7" and read("/rows").filter("row_idx < 0").count() == 0
+    with pytest.raises(Exception, match="no page at .*offset=60"):
+        read("/broken", tries=2).collect()
