@@ -5,7 +5,8 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
 
-from tempora.operators import edges, spectral
+from tempora.operators import edges, sound, spectral
+from tempora.plans import verify
 from tempora.queries import USER, T, query, table, timed
 from tempora.runtime import shared_folder
 from tempora.sources import paged, schema
@@ -117,6 +118,23 @@ def best_event_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectral.best_paths(e, USER, "step", "v", "s", "event_id", jump=0.3).select("event_id")
 
 
+def _resampled_sql(up: int = 3, down: int = 2) -> str:
+    h = [float(x) for x in sound.sinc_filter(up, down)]
+    n = -(-64 * up // down)
+    return f"""
+WITH h AS (SELECT unnest({h}) AS h, unnest(range({len(h)})) AS i), x AS (SELECT vec_id, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings)
+SELECT vec_id, n::INTEGER AS n, round(sum(x * h)::FLOAT::DOUBLE, 4) + 0.0 AS y FROM x, range({n}) t(n) JOIN h ON true WHERE i = n * {down} + {len(h) // 2} - k * {up} GROUP BY vec_id, n
+"""
+
+
+@query(_resampled_sql())
+def resampled_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as signals at 1000 samples a second, at 1500."""
+    signals = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.lit(1000).alias("sr"), F.col("embedding").alias("samples"))
+    made = sound.resampled(signals, 1500).select(F.col("path").cast("long").alias("vec_id"), F.posexplode("samples").alias("n", "x"))
+    return made.select("vec_id", "n", (F.round(F.col("x").cast("double"), 4) + 0.0).alias("y"))
+
+
 # ---------------------------------------------------------------- edges of words
 
 
@@ -193,3 +211,50 @@ def paged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = orders.agg(F.max("o_orderkey")).first()[0] + 1
     read = paged.paged_rows(spark, folder + "/page={page}", "row_idx long, o_custkey long, o_orderstatus string, o_totalprice double", total, page_size=PAGE, pages_per_task=20)
     return read.filter("row_idx >= 700")
+
+
+# ---------------------------------------------------------------- edits
+
+#: Lines of an order as edits of it: each in its own 100 units, replaced by a stretch of another length or removed.
+EDITS = "e AS (SELECT o AS clip_id, k * 100 + q AS a, k * 100 + q + d AS b, CASE WHEN d % 4 = 0 THEN 0 ELSE q END AS n FROM (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS k, l_quantity::BIGINT AS q, (l_discount * 100)::BIGINT AS d FROM lineitem))"
+POINTS = "p AS (SELECT o_orderkey AS clip_id, o_custkey * 7 % 800 + k * 50.5::DOUBLE AS t, k FROM orders, range(4) r(k))"
+
+
+def _edits_and_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("clip_id"), F.row_number().over(w).alias("k"), F.col("l_quantity").cast("long").alias("q"), F.rint(F.col("l_discount") * 100).cast("long").alias("d"))
+    start = F.col("k") * 100 + F.col("q")
+    edits = lines.select("clip_id", start.alias("a"), (start + F.col("d")).alias("b"), F.when(F.col("d") % 4 == 0, 0).otherwise(F.col("q")).alias("n"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("clip_id"), "o_custkey", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("k"))
+    return edits, orders.select("clip_id", "k", (F.col("o_custkey") * 7 % 800 + F.col("k") * F.lit(50.5)).alias("t"))
+
+
+@query(f"""
+WITH {EDITS}, {POINTS}, m AS (SELECT *, a + coalesce(sum(n - (b - a)) OVER (PARTITION BY clip_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS na FROM e),
+hit AS (SELECT p.*, m.a, m.b, m.na, m.n FROM p ASOF LEFT JOIN m ON p.clip_id = m.clip_id AND p.t >= m.a),
+n AS (SELECT *, CASE WHEN a IS NULL THEN t WHEN t < b THEN na + (t - a) * n / (b - a) ELSE na + n + t - b END AS new_t FROM hit),
+back AS (SELECT n.clip_id, n.k, n.t, new_t, m.a AS a2, m.b AS b2, m.na AS na2, m.n AS n2 FROM n ASOF LEFT JOIN m ON n.clip_id = m.clip_id AND new_t >= m.na)
+SELECT clip_id, k::INTEGER AS k, round(new_t, 6) + 0.0 AS new_t, round(CASE WHEN a2 IS NULL THEN new_t WHEN new_t < na2 + n2 THEN a2 + (new_t - na2) * (b2 - a2) / n2 ELSE b2 + new_t - na2 - n2 END, 6) + 0.0 AS old_t FROM back""")
+def times_through_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of orders carried through the edits that their lines are, and back."""
+    edits, points = _edits_and_points(spark, sf_dir)
+    there = verify.to_new(points, edits)
+    back = verify.to_old(there, edits, at="new_t")
+    return back.select("clip_id", "k", (F.round("new_t", 6) + 0.0).alias("new_t"), (F.round("old_t", 6) + 0.0).alias("old_t"))
+
+
+@query("""
+WITH r AS (SELECT l_suppkey % 50 AS take_id, list_extract(['PACE_FAST', 'PAUSE_BAD', 'FILLER', 'PAUSE_LOST', 'RARE_HESIT', 'WORD_SKIP', 'SHOUT'], (l_partkey % 7 + 1)::INT) AS flaw, l_linenumber AS level, l_quantity + l_linenumber AS new, l_quantity * (1 + l_tax) AS old FROM lineitem),
+v AS (SELECT *, CASE flaw WHEN 'PACE_FAST' THEN old / greatest(new, 1e-6) WHEN 'PAUSE_BAD' THEN new WHEN 'FILLER' THEN new WHEN 'PAUSE_LOST' THEN old - new WHEN 'RARE_HESIT' THEN new - old WHEN 'WORD_SKIP' THEN old END AS value FROM r WHERE level BETWEEN 1 AND 5),
+e AS (SELECT take_id, flaw, level, CASE WHEN flaw IN ('FILLER', 'WORD_SKIP') THEN sum(value) ELSE avg(value) END AS effect FROM v GROUP BY take_id, flaw, level HAVING sum(value) IS NOT NULL),
+s AS (SELECT *, effect - lag(effect) OVER (PARTITION BY take_id, flaw ORDER BY level) AS step, rank() OVER (PARTITION BY take_id, flaw ORDER BY level) AS lr, rank() OVER (PARTITION BY take_id, flaw ORDER BY effect) + (count(*) OVER (PARTITION BY take_id, flaw, effect) - 1) / 2 AS er, count(*) OVER (PARTITION BY take_id, flaw) AS n FROM e)
+SELECT take_id, flaw, max(effect) FILTER (level = 1) AS L1, max(effect) FILTER (level = 5) AS L5, CASE WHEN max(n) >= 2 THEN round(corr(lr, er), 9) + 0.0 END AS spearman,
+  coalesce(min(step) >= -1e-6, true) OR coalesce(max(step) <= 1e-6, true) AS monotonic, coalesce(min(step) >= -1e-6, true) AS rises FROM s GROUP BY take_id, flaw""")
+def dose_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as regions of flaws of time, by supplier: whether effects rise with the level."""
+    flaw = F.element_at(F.array(*[F.lit(f) for f in ("PACE_FAST", "PAUSE_BAD", "FILLER", "PAUSE_LOST", "RARE_HESIT", "WORD_SKIP", "SHOUT")]), (F.col("l_partkey") % 7 + 1).cast("int"))
+    regions = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_suppkey") % 50).alias("take_id"), flaw.alias("flaw"), F.col("l_linenumber").alias("level"), F.lit(0.0).alias("start_s"), (F.col("l_quantity") + F.col("l_linenumber")).alias("end_s"),
+        F.lit(0.0).alias("baseline_start_s"), (F.col("l_quantity") * (1 + F.col("l_tax"))).alias("baseline_end_s"),
+    )
+    return verify.doses(verify.timed_measures(regions), ["take_id"]).select("take_id", "flaw", "L1", "L5", (F.round("spearman", 9) + 0.0).alias("spearman"), "monotonic", "rises")
