@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
 
+from tempora.functions import named
 from tempora.operators import edges, sound, spectral
 from tempora.plans import verify
 from tempora.queries import USER, T, query, table, timed
@@ -258,3 +259,16 @@ def dose_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0.0).alias("baseline_start_s"), (F.col("l_quantity") * (1 + F.col("l_tax"))).alias("baseline_end_s"),
     )
     return verify.doses(verify.timed_measures(regions), ["take_id"]).select("take_id", "flaw", "L1", "L5", (F.round("spearman", 9) + 0.0).alias("spearman"), "monotonic", "rises")
+
+
+# ---------------------------------------------------------------- functions by name
+
+
+@query("""
+WITH n AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS r FROM events), h AS (SELECT *, r - row_number() OVER (PARTITION BY user_id ORDER BY r) AS k FROM n WHERE value > 5)
+SELECT user_id, min(r) AS first_row, max(r) AS last_row, count(*) AS n, max(value) AS most FROM h GROUP BY user_id, k HAVING count(*) >= 3""")
+def runs_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of three large events of a user, by the table function in SQL."""
+    named.register(spark)
+    table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value").createOrReplaceTempView("events_of_runs")
+    return spark.sql("SELECT * FROM runs_above(TABLE(events_of_runs) PARTITION BY user_id ORDER BY (ts, event_id), key => 'user_id', value => 'value', above => 5.0, least => 3)")
