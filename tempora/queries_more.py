@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
 
 from tempora.functions import named
-from tempora.operators import edges, sound, spectral
+from tempora.operators import detect, edges, sound, spectral
 from tempora.plans import verify
 from tempora.queries import USER, T, query, table, timed
 from tempora.runtime import shared_folder
@@ -272,3 +272,121 @@ def runs_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     named.register(spark)
     table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value").createOrReplaceTempView("events_of_runs")
     return spark.sql("SELECT * FROM runs_above(TABLE(events_of_runs) PARTITION BY user_id ORDER BY (ts, event_id), key => 'user_id', value => 'value', above => 5.0, least => 3)")
+
+
+# ---------------------------------------------------------------- detectors
+
+_FRAMES = """n AS (SELECT user_id // 10 AS clip_id, row_number() OVER (PARTITION BY user_id // 10 ORDER BY ts, event_id) - 1 AS frame_i, event_id, event_type, value FROM events),
+f AS (SELECT clip_id, frame_i, value % 10 + CASE WHEN frame_i // 120 % 4 = 2 THEN 8 ELSE 0 END - CASE WHEN frame_i % 135 >= 90 THEN 6 ELSE 0 END AS inten, (event_id % 17 - CASE WHEN frame_i // 150 % 4 = 3 THEN 9 ELSE 0 END)::DOUBLE AS hf,
+  CASE WHEN event_type IN ('click', 'view') THEN value % 12 * CASE WHEN frame_i // 300 % 3 = 1 THEN 0.2::DOUBLE ELSE 1 END END AS f0_st FROM n),
+w AS (SELECT clip_id, i, i * 0.15::DOUBLE AS start_s, i * 0.15::DOUBLE + 0.06::DOUBLE + CASE WHEN i // 8 % 6 = 1 THEN 0.08::DOUBLE ELSE 0 END + i % 3 * 0.005::DOUBLE AS end_s, i % 13 <> 5 AS heard,
+  CASE WHEN i % 9 = 8 THEN 'sentence' WHEN i % 3 = 0 THEN 'phrase_tight' ELSE 'phrase_loose' END AS btype, (i * 7 % 10) / 10.0::DOUBLE AS sim FROM (SELECT DISTINCT clip_id, frame_i // 15 AS i FROM n)),
+last AS (SELECT clip_id, max(i) AS last_i FROM w GROUP BY 1)"""
+_IN = "f.clip_id = {0}.clip_id AND f.frame_i BETWEEN floor(greatest(0, {1}) / 0.01::DOUBLE) AND greatest(1, floor({2} / 0.01::DOUBLE)) - 1"
+_ISLANDS = "SELECT clip_id, min(i) AS w0, max(i) AS w1, count(*) AS n{2} FROM (SELECT *, r - row_number() OVER (PARTITION BY clip_id ORDER BY r) AS k FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY i) AS r FROM {0}) WHERE {1}) GROUP BY clip_id, k"
+_TIMES = "(SELECT start_s FROM w WHERE w.clip_id = x.clip_id AND w.i = x.w0) AS start_s, (SELECT end_s FROM w WHERE w.clip_id = x.clip_id AND w.i = x.w1) AS end_s"
+
+
+def _spread_sql(runs: str, before: int, after: int) -> str:
+    """Runs widened by words, with their times."""
+    return f"SELECT *, {_TIMES} FROM (SELECT * REPLACE (greatest(0, w0 - {before}) AS w0, least(last_i, w1 + {after}) AS w1) FROM {runs} JOIN last USING (clip_id)) x"
+
+
+def _against_sql(flaw: str, value: str, rows: int, least: int, sign: int, limit: float, least_s: float) -> str:
+    t = flaw.lower()
+    return f"""{t}_to AS (SELECT *, last_value(end_s) OVER (PARTITION BY clip_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {rows - 1} FOLLOWING) AS upto FROM w),
+{t}_v AS (SELECT s.clip_id, s.i, CASE WHEN count(f.frame_i) > {least} THEN {value} END AS v FROM {t}_to s LEFT JOIN f ON {_IN.format("s", "s.start_s", "s.upto")} GROUP BY s.clip_id, s.i),
+{t}_o AS (SELECT *, {sign} * (v - median(v) OVER (PARTITION BY clip_id)) AS over, count(v) OVER (PARTITION BY clip_id) AS valid FROM {t}_v),
+{t}_r AS ({_ISLANDS.format(f"(SELECT * FROM {t}_o WHERE valid >= 10)", f"coalesce(over, 0) >= {limit}", "")}),
+{t} AS (SELECT '{flaw}' AS flaw, clip_id, w0, w1, start_s, end_s, (SELECT max(coalesce(over, 0)) FROM {t}_o o WHERE o.clip_id = s.clip_id AND o.i BETWEEN w0 AND w1) AS d FROM ({_spread_sql(f"{t}_r", 0, rows - 1)}) s WHERE end_s - start_s >= {least_s})"""
+
+
+def _tails_sql(name: str, tail_s: float, spare: int) -> str:
+    return f"""{name} AS (SELECT clip_id, first, w1, min(i) AS w0 FROM (SELECT *, min(i) OVER g AS first, max(i) OVER g AS w1, max_by(end_s, i) OVER g AS last_s, max_by(heard, i) OVER g AS ok FROM sen WINDOW g AS (PARTITION BY clip_id, k))
+  WHERE w1 - first >= 4 AND ok AND ((i >= first + {spare} AND last_s - start_s < {tail_s}) OR i = w1) GROUP BY clip_id, first, w1)"""
+
+
+_SENTENCES = "sen AS (SELECT *, sum(opens) OVER (PARTITION BY clip_id ORDER BY i) AS k FROM (SELECT *, coalesce((lag(btype) OVER (PARTITION BY clip_id ORDER BY i) = 'sentence')::INT, 1) AS opens FROM w))"
+_RANGE = "CASE WHEN count(f0_st) >= 11 THEN quantile_cont(f0_st, 0.75) - quantile_cont(f0_st, 0.25) END"
+
+
+def _found_sql(*names: str) -> str:
+    return " UNION ALL ".join(f"SELECT flaw, clip_id, w0::INTEGER AS w0, w1::INTEGER AS w1, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, round(d, 6) + 0.0 AS d FROM {n}" for n in names)
+
+
+def _clips(spark: SparkSession, sf_dir: str) -> detect.Clips:
+    """Events as frames of ten users each, with louder, duller and flatter stretches, and words of 15 frames."""
+    w = Window.partitionBy("clip_id").orderBy("ts", "event_id")
+    n = table(spark, sf_dir, "events").withColumn("clip_id", F.floor(F.col("user_id") / 10)).withColumn("frame_i", F.row_number().over(w) - 1)
+    part = lambda size, of: F.floor(F.col("frame_i") / size) % of
+    inten = F.col("value") % 10 + F.when(part(120, 4) == 2, 8).otherwise(0) - F.when(F.col("frame_i") % 135 >= 90, 6).otherwise(0)
+    pitch = F.when(F.col("event_type").isin("click", "view"), F.col("value") % 12 * F.when(part(300, 3) == 1, 0.2).otherwise(1.0))
+    frames = n.select("clip_id", "frame_i", inten.alias("inten"), (F.col("event_id") % 17 - F.when(part(150, 4) == 3, 9).otherwise(0)).cast("double").alias("hf"), pitch.alias("f0_st"), pitch.isNotNull().alias("voiced"))
+    i = F.col("i")
+    words = frames.select("clip_id", F.floor(F.col("frame_i") / 15).cast("int").alias("i")).distinct().select(
+        "clip_id", "i", (i * F.lit(0.15)).alias("start_s"), (i * F.lit(0.15) + 0.06 + F.when(F.floor(i / 8) % 6 == 1, 0.08).otherwise(0.0) + i % 3 * F.lit(0.005)).alias("end_s"), (i % 13 != 5).alias("heard"),
+        F.when(i % 9 == 8, "sentence").when(i % 3 == 0, "phrase_tight").otherwise("phrase_loose").alias("btype"), (i * 7 % 10 / F.lit(10.0)).alias("sim"), F.lit("word").alias("clean"), F.lit("heard").alias("heard_w"),
+    )
+    none = spark.createDataFrame([], "clip_id long, w string, start_s double, end_s double, i int")
+    clips = words.groupBy("clip_id").agg(F.max("end_s").alias("duration_s"))
+    return detect.Clips(words, frames, clips, none, none, none)
+
+
+def _told(found: DataFrame) -> DataFrame:
+    return found.select("flaw", F.col("clip_id").cast("long").alias("clip_id"), "w0", "w1", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), (F.round("d", 6) + 0.0).alias("d"))
+
+
+@query(f"""
+WITH {_FRAMES}, {_against_sql("SHOUT", "quantile_cont(inten, 0.8)", 6, 5, 1, 4.0, 0.6)}, {_against_sql("SLUR", "list_avg(list_sort(list(hf), 'DESC')[1:greatest(1, floor(0.3::DOUBLE * count(*)))::INT])", 7, 8, -1, 4.0, 1.0)},
+{_SENTENCES}, {_tails_sql("ft", 1.4, 2)},
+fl AS (SELECT t.*, {_TIMES.replace("x.", "t.")}, (SELECT start_s FROM w WHERE w.clip_id = t.clip_id AND w.i = t.first) AS first_s FROM ft t),
+fv AS (SELECT fl.*, (SELECT CASE WHEN count(*) >= 5 THEN avg(inten) END FROM f WHERE {_IN.format("fl", "fl.start_s", "fl.end_s")}) AS tail, (SELECT CASE WHEN count(*) >= 5 THEN avg(inten) END FROM f WHERE {_IN.format("fl", "fl.first_s", "fl.start_s")}) AS rest FROM fl),
+fade AS (SELECT 'FADE' AS flaw, clip_id, w0, w1, start_s, end_s, -1 - (tail - rest) AS d FROM fv WHERE -1 - (tail - rest) >= 3.5)
+{_found_sql("shout", "slur", "fade")}""")
+def detected_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shouts, slurred stretches and fades."""
+    c = _clips(spark, sf_dir)
+    th = detect.DEFAULTS
+    found = detect.shout(c.words, c.frames, th).unionByName(detect.slur(c.words, c.frames, th)).unionByName(detect.fade(c.words, c.frames, c.norms, th))
+    return _told(found)
+
+
+@query(f"""
+WITH {_FRAMES}, {_SENTENCES}, {_tails_sql("ut", 1.0, 1)},
+uv AS (SELECT t.clip_id, t.w1, f.frame_i, f.f0_st, f.inten, row_number() OVER (PARTITION BY t.clip_id, t.w1 ORDER BY f.frame_i DESC) AS late FROM ut t JOIN w ON w.clip_id = t.clip_id AND w.i = t.w1 JOIN f ON f0_st IS NOT NULL AND {_IN.format("w", "w.start_s", "w.end_s")}),
+ur AS (SELECT clip_id, w1, median(f0_st) FILTER (late <= 5) - first(f0_st ORDER BY inten DESC, frame_i) AS rise FROM uv GROUP BY clip_id, w1 HAVING count(*) >= 6),
+uptalk AS (SELECT 'UPTALK' AS flaw, x.clip_id, w0, w1, {_TIMES}, rise + 3.0 AS d FROM ut x JOIN ur USING (clip_id, w1) WHERE rise + 3.0 >= 2.0),
+whole AS (SELECT clip_id, {_RANGE} AS whole FROM f GROUP BY 1), mw AS (SELECT clip_id, unnest(range(0, greatest(0, last_i + 1 - 12) + 1, 3)) AS w0 FROM last),
+mx AS (SELECT clip_id, w0, w0 + 11 AS w1 FROM mw), ms AS ({_spread_sql("mx", 0, 0)}),
+mo AS (SELECT ms.clip_id, ms.w0, ms.w1, {_RANGE} AS own FROM ms JOIN f ON {_IN.format("ms", "ms.start_s", "ms.end_s")} GROUP BY ALL),
+mf AS (SELECT DISTINCT clip_id, unnest(range(w0, w1 + 1)) AS i FROM mo JOIN whole USING (clip_id) WHERE whole > 0.5 AND own <= 0.62 * whole),
+mr AS ({_ISLANDS.format("(SELECT w.*, mf.i IS NOT NULL AS flat FROM w LEFT JOIN mf USING (clip_id, i))", "flat", "")}), mt AS ({_spread_sql("mr", 0, 0)}),
+mono AS (SELECT 'MONOTONE' AS flaw, clip_id, w0, w1, start_s, end_s, coalesce(whole - (SELECT {_RANGE} FROM f WHERE {_IN.format("mt", "mt.start_s", "mt.end_s")}), 0) AS d FROM mt JOIN whole USING (clip_id) WHERE end_s - start_s >= 2.4 AND whole > 0.5)
+{_found_sql("uptalk", "mono")}""")
+def detected_by_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rising ends and flat stretches."""
+    c = _clips(spark, sf_dir)
+    return _told(detect.uptalk(c.words, c.frames, c.norms, detect.DEFAULTS).unionByName(detect.monotone(c.words, c.frames, detect.DEFAULTS)))
+
+
+def _pace_sql(flaw: str, flag: str, sign: int) -> str:
+    t = flaw.lower()
+    runs = _ISLANDS.format("(SELECT * FROM z WHERE valid >= 10)", flag, ", median(v) AS v")
+    return f"{t}_r AS ({runs}), {t} AS (SELECT '{flaw}' AS flaw, clip_id, w0, w1, start_s, end_s, exp({sign} * v) AS d FROM ({_spread_sql(f'{t}_r', 2, 2)}) WHERE end_s - start_s >= 1.2)"
+
+
+@query(f"""
+WITH {_FRAMES}, logs AS (SELECT *, CASE WHEN heard THEN ln(greatest(end_s - start_s, 0.03)) END AS l FROM w), res AS (SELECT *, l - median(l) OVER (PARTITION BY clip_id) AS resid FROM logs),
+sm AS (SELECT *, CASE WHEN count(resid) OVER h = 5 THEN avg(resid) OVER h END AS v FROM res WINDOW h AS (PARTITION BY clip_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+md AS (SELECT *, median(v) OVER (PARTITION BY clip_id) AS m FROM sm), sp AS (SELECT *, greatest(0.05, 1.4826 * median(abs(v - m)) OVER (PARTITION BY clip_id)) AS spread, count(v) OVER (PARTITION BY clip_id) AS valid FROM md), z AS (SELECT *, v / spread AS z FROM sp),
+{_pace_sql("PACE_FAST", "z <= -2.0", -1)}, {_pace_sql("PACE_SLOW", "z >= 2.0", 1)},
+gone AS ({_ISLANDS.format("w", "NOT heard", "")}), cut_at AS (SELECT gone.*, (a.end_s + b.start_s) / 2 AS t FROM gone JOIN last USING (clip_id) JOIN w a ON a.clip_id = gone.clip_id AND a.i = w0 - 1 JOIN w b ON b.clip_id = gone.clip_id AND b.i = w1 + 1 WHERE w0 > 0 AND w1 < last_i),
+skip AS (SELECT 'WORD_SKIP' AS flaw, clip_id, w0, w1, t - 0.025 AS start_s, t + 0.025 AS end_s, n AS d FROM cut_at),
+swap AS (SELECT 'WORD_SWAP' AS flaw, clip_id, i AS w0, i AS w1, start_s, greatest(end_s, start_s + 0.1) AS end_s, 1 AS d FROM w WHERE heard AND sim < 0.8)
+{_found_sql("pace_fast", "pace_slow", "skip", "swap")}""")
+def detected_by_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fast and slow stretches, skipped and swapped words."""
+    c = _clips(spark, sf_dir)
+    th = {**detect.DEFAULTS, "pace_win": 2}
+    found = detect.pace(c.words, c.norms, th).unionByName(detect.skipped(c.words, th)).unionByName(detect.swapped(c.words, th))
+    return _told(found)
