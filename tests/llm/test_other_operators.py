@@ -50,6 +50,32 @@ def test_archives_round_trip(spark):
     assert warc.read_warcs(warc.convert(warc.write_arcs(df.limit(0)))).count() == 0
 
 
+def test_queries_go_only_to_shards_whose_box_reaches_them(spark, monkeypatch):
+    monkeypatch.setattr(knn, "SHARD_ROWS", 50)
+    monkeypatch.setattr(knn, "LEAF", 8)
+    rng = np.random.default_rng(11)
+    middles = rng.normal(0, 40, (20, 16))
+    # 300 rows of one vector do not make one shard
+    vectors = np.concatenate([middles[rng.integers(0, 20, 900)] + rng.normal(0, 0.5, (900, 16)), np.repeat(middles[:1], 300, axis=0)]).round().astype(int)
+    df = spark.createDataFrame([(i, [int(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<long>").repartition(4)
+    held, boxes = knn._sharded(df.select("vec_id", knn.F.col("embedding").alias("vector"), knn.F.size("embedding").alias("length")))
+    sizes = [r["count"] for r in held.groupBy("shard").count().collect()]
+    assert held.shards >= len(sizes) >= 20 and max(sizes) < 150
+    inside = held.groupBy("shard", "length").agg(*[knn.F.max(knn.F.col("vector")[k]).alias(f"h{k}") for k in range(16)]).collect()
+    shards, low, high = boxes.of_length[16]
+    assert all(list(high[list(shards).index(r.shard)]) == [r[f"h{k}"] for k in range(16)] for r in inside)
+    sent = 0
+    for q in range(0, 1200, 50):
+        scores = np.sort(np.delete(vectors @ vectors[q], q))[::-1]
+        numbers, bounds = boxes.bounds(vectors[q])
+        sent += int((bounds >= scores[4]).sum())
+    assert sent < 0.35 * 24 * len(sizes)
+    got = sorted(tuple(x) for x in knn.top_k(df, df.filter("vec_id % 50 = 0"), k=5).collect())
+    assert got == brute(np.arange(1200), vectors, range(0, 1200, 50), 5)
+    monkeypatch.setattr(knn, "BOX_BYTES", 0)
+    assert sorted(tuple(x) for x in knn.top_k(df, df.filter("vec_id % 50 = 0"), k=5).collect()) == got
+
+
 def brute(ids, vectors, wanted, k):
     out = []
     for q in wanted:
