@@ -13,7 +13,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from tempora.llm import bpe, minhash, mixing, quality
-from tempora.llm.shared import table, written
+from tempora.llm.shared import discard, table, written
 from tempora.runtime import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -79,5 +79,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        made = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        discard(docs)  # a stage before this one; the documents themselves stay
+        docs = made
     return docs

@@ -73,12 +73,18 @@ def lookalikes(words: DataFrame, distance: int = 2, ratio: tuple[float, float] =
     """For each distinct ``words(w, size)`` its most alike other word.
 
     Same first letter, lengths at most ``distance`` apart, size ratio in range;
-    the smallest Levenshtein distance, then the alphabet decides.  The join is
-    on first letter and length, so unlike words never meet.
+    the smallest Levenshtein distance, then the alphabet decides.  Two words
+    within a distance become the same by losing at most as many letters each,
+    behind the first, so they meet on what is left and no others do but by chance.
     """
-    a = words.select(F.col("w"), F.col("size"), F.substring("w", 1, 1).alias("first"), F.length("w").alias("n"))
-    asking = a.withColumn("m", F.explode(F.sequence(F.col("n") - distance, F.col("n") + distance)))
-    b = a.select(F.col("w").alias("other"), F.col("size").alias("other_size"), "first", F.col("n").alias("m"))
-    near = asking.join(b, ["first", "m"]).filter("w <> other").filter((F.col("other_size") / F.col("size")).between(*ratio))
-    measured = near.withColumn("distance", F.levenshtein("w", "other")).filter(F.col("distance") <= distance)
+    rest = F.array(F.substring("w", 2, 1 << 20))
+    lose = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(x))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    left = rest
+    for _ in range(distance):
+        rest = F.array_distinct(F.flatten(F.transform(rest, lose)))
+        left = F.array_union(left, rest)
+    a = words.filter("w <> ''").select("w", "size", F.substring("w", 1, 1).alias("first"), F.explode(left).alias("left"))
+    b = a.select(F.col("w").alias("other"), F.col("size").alias("other_size"), "first", "left")
+    near = a.join(b, ["first", "left"]).filter("w <> other").filter((F.col("other_size") / F.col("size")).between(*ratio)).select("w", "other").distinct()
+    measured = near.withColumn("distance", F.levenshtein("w", "other")).filter((F.col("distance") <= distance) & (F.abs(F.length("w") - F.length("other")) <= distance))
     return measured.groupBy("w").agg(F.min(F.struct("distance", "other")).alias("best")).select("w", "best.other", "best.distance")

@@ -32,8 +32,8 @@ def _in_common(a: str, masks: dict[str, int], n: int) -> int:
     return n - rest.bit_count()
 
 
-def _scores(ref: list[str], hyp: list[str]) -> np.ndarray:
-    """Of each pair of words: equal 1, similar 2 * ratio - 1, other -1.
+def _scores(ref: list[str], hyp: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each pair of different words: equal 1, similar 2 * ratio - 1, other -1; and the row and column of each word of both sides.
 
     What two words have in common is at most the letters that both hold, and
     at most their longest common subsequence, so only pairs that these let be
@@ -80,31 +80,42 @@ def _scores(ref: list[str], hyp: list[str]) -> np.ndarray:
             ratio = matcher.ratio()
             if ratio > SIMILAR:
                 score[i, j] = 1.0 if ratio == 1.0 else 2 * ratio - 1
-    return score[np.ix_([place[0][w] for w in ref], [place[1][w] for w in hyp])]
+    return score, np.array([place[0][w] for w in ref]), np.array([place[1][w] for w in hyp])
 
 
 def _steps(ref: list[str], hyp: list[str]) -> list[tuple[int | None, int | None]]:
-    """The cells of the best path in order; the table is filled by anti-diagonals."""
+    """The cells of the best path in order.
+
+    Diagonals are filled one after the other and only the last two are held; of
+    a cell its step stays, in one byte, and words are scored once for each two
+    different ones.
+    """
     n, m = len(ref), len(hyp)
-    total = np.zeros((n + 1, m + 1))
-    total[:, 0], total[0, :] = GAP * np.arange(n + 1), GAP * np.arange(m + 1)
     step = np.full((n + 1, m + 1), 2, np.int8)
     step[1:, 0] = 1
     if n and m:
-        padded = np.zeros((n + 1, m + 1))
-        padded[1:, 1:] = _scores(ref, hyp)
-        flat, score = total.reshape(-1), padded.reshape(-1)
-        for d in range(2, n + m + 1):
+        score, rows, columns = _scores(ref, hyp)
+        steps = step.reshape(-1)
+        before, last = np.empty(n + 1), np.empty(n + 1)  # by the row of a diagonal's cells
+        last[0] = 0.0
+        for d in range(1, n + m + 1):
+            now = np.empty(n + 1)
+            if d <= m:
+                now[0] = GAP * d
+            if d <= n:
+                now[d] = GAP * d
             low, high = max(1, d - m), min(n, d - 1)
-            start, end = low * (m + 1) + d - low, high * (m + 1) + d - high + 1
-            pair = flat[start - m - 2 : end - m - 2 : m] + score[start:end:m]
-            gap = np.maximum(flat[start - m - 1 : end - m - 1 : m], flat[start - 1 : end - 1 : m]) + GAP
-            flat[start:end:m] = np.maximum(pair, gap)
-        best = total[1:, 1:]
-        near = 1e-8 + 1e-5 * np.abs(best)  # as np.isclose
-        inner = step[1:, 1:]
-        inner[np.abs(total[:-1, 1:] + GAP - best) <= near] = 1
-        inner[np.abs(total[:-1, :-1] + padded[1:, 1:] - best) <= near] = 0
+            if low <= high:
+                pair = before[low - 1 : high] + score[rows[low - 1 : high], columns[d - high - 1 : d - low][::-1]]
+                up, left = last[low - 1 : high] + GAP, last[low : high + 1] + GAP
+                best = np.maximum(pair, np.maximum(up, left))
+                near = 1e-8 + 1e-5 * np.abs(best)  # as np.isclose
+                taken = np.full(len(best), 2, np.int8)
+                taken[np.abs(up - best) <= near] = 1
+                taken[np.abs(pair - best) <= near] = 0
+                steps[low * (m + 1) + d - low : high * (m + 1) + d - high + 1 : m] = taken
+                now[low : high + 1] = best
+            before, last = last, now
     out, i, j = [], n, m
     while i or j:
         k = step[i, j]

@@ -30,6 +30,21 @@ LENGTHS = {"PACE_FAST": (1.0, 2.0), "PACE_SLOW": (0.7, 1.4), "MONOTONE": (3.0, 5
 HESITATION = {"sentence": 6.0, "before_coord": 6.0, "before_subord": 5.0, "clause_punct": 4.0, "before_relative": 3.0, "after_discourse": 3.0, "phrase_loose": 0.2, "phrase_tight": 0.0}
 SKIPPED = {"DET": 3.0, "ADP": 2.5, "AUX": 1.5, "CCONJ": 1.0, "PRON": 0.7, "PART": 1.0}
 RESTARTED = ("DET", "PRON", "CCONJ", "ADP")
+# What a label says of why a place was taken.
+WHY = {
+    "PACE_FAST": "rushing a list / long sentence",
+    "PACE_SLOW": "dragging at a sentence opening / hard word",
+    "MONOTONE": "flattened the most expressive stretch (F0 IQR %.1f st)",
+    "SLUR": "slurred the crispest-articulated stretch (%.0f dB consonant energy)",
+    "EMPH_FLAT": "flattened the focal words",
+    "SHOUT": "sudden vocal effort from a phrase onset",
+    "UPTALK": "rising end anchored at the last stressed vowel",
+    "FADE": "trails off after %.1f s without a breath",
+    "REPEAT": "false start at a clause opener",
+    "RARE_HESIT": "hesitation before the rare word '%s'",
+    "WORD_SKIP": "reader skips the %s '%s'",
+    "WORD_SWAP": "misread '%s' as '%s' (%s)",
+}
 # How far apart two places of a flaw have to be.
 MARGINS = {"FILLER": 0.4, "REPEAT": 0.3, "WORD_SKIP": 0.25, "WORD_SWAP": 0.25}
 
@@ -47,6 +62,10 @@ def _in_take() -> Window:
     return Window.partitionBy("take_id").orderBy("i")
 
 
+def _why(flaw: str, *values: Column) -> Column:
+    return F.format_string(WHY[flaw], *values) if values else F.lit(WHY[flaw])
+
+
 def _spots(df: DataFrame, flaw: str, weight: Column, why: Column, before: float = 0.0, after: float = 0.0) -> DataFrame:
     told = df.withColumns({"flaw": F.lit(flaw), "weight": weight.cast("double"), "why": why})
     claim = {c: F.col(c) if c in df.columns else F.col(e) + s for c, e, s in (("claim_start", "start_s", -before), ("claim_end", "end_s", after))}
@@ -101,9 +120,9 @@ def pace(t: Takes, flaw: str) -> DataFrame:
     told = facts.join(of_word, ["take_id", "w0"]).join(ends, "take_id")
     if flaw == "PACE_FAST":
         weight = 1.0 + F.when(F.col("clauses") >= 2, 1.5).otherwise(0) + F.when(F.col("e") - F.col("s") >= 14, 1.0).otherwise(0) + F.when(F.col("start_s") > 2 * F.col("until") / 3, 1.2).otherwise(0)
-        return _spots(told, flaw, weight, F.lit("rushing a list / long sentence"))
+        return _spots(told, flaw, weight, _why(flaw))
     weight = 1.0 + F.when(F.col("w0") - F.col("s") <= 2, 2.0).otherwise(0) + F.when(F.coalesce("hard", F.lit(False)), 1.5).otherwise(0)
-    return _spots(told, flaw, weight, F.lit("dragging at a sentence opening / hard word"))
+    return _spots(told, flaw, weight, _why(flaw))
 
 
 def pause_bad(t: Takes, flaw: str) -> DataFrame:
@@ -126,24 +145,24 @@ def pause_lost(t: Takes, flaw: str) -> DataFrame:
 def monotone(t: Takes, flaw: str) -> DataFrame:
     """The stretches whose pitch moves most."""
     told = _measured(t, _windows(t, flaw), detect.quartile_range(), "v").filter("v is not null")
-    return _spots(told, flaw, F.col("v"), F.format_string("flattened the most expressive stretch (F0 IQR %.1f st)", F.col("v")))
+    return _spots(told, flaw, F.col("v"), _why(flaw, F.col("v")))
 
 
 def slur(t: Takes, flaw: str) -> DataFrame:
     """The stretches whose consonants are strongest."""
     told = _measured(t, _windows(t, flaw), detect.top_share(), "v").filter("v is not null")
-    return _spots(told, flaw, F.col("v"), F.format_string("slurred the crispest-articulated stretch (%.0f dB consonant energy)", F.col("v")))
+    return _spots(told, flaw, F.col("v"), _why(flaw, F.col("v")))
 
 
 def flat_stress(t: Takes, flaw: str) -> DataFrame:
     """The stretches with the most prominent words that carry meaning."""
     windows = _windows(t, flaw).withColumnsRenamed({"w0": "i0", "w1": "i1"})
     best = placement.best_windows(windows, t.prominence, placement.focal_words(t.words)).withColumnsRenamed({"i0": "w0", "i1": "w1"})
-    return _spots(best, flaw, F.col("score"), F.lit("flattened the focal words"))
+    return _spots(best, flaw, F.col("score"), _why(flaw))
 
 
 def shout(t: Takes, flaw: str) -> DataFrame:
-    return _spots(_windows(t, flaw), flaw, F.lit(1.0), F.lit("sudden vocal effort from a phrase onset"))
+    return _spots(_windows(t, flaw), flaw, F.lit(1.0), _why(flaw))
 
 
 def _tails(t: Takes, tail_s: float, spare: int) -> DataFrame:
@@ -163,7 +182,7 @@ def uptalk(t: Takes, flaw: str) -> DataFrame:
     third = t.words.select("take_id", (F.col("i") + 2).alias("e"), F.col("start_s").alias("third_s"))
     told = told.join(third, ["take_id", "e"]).withColumns({"w0": F.least("w0", F.col("e") - 2), "start_s": F.least("start_s", "third_s")})
     weight = (1.0 + F.when(F.col("lists") >= 2, 0.6).otherwise(0)) * F.when(F.col("final"), 0.25).when(F.col("s") == 0, 0.6).otherwise(1.0)
-    return _spots(told, flaw, weight, F.lit("rising end anchored at the last stressed vowel"))
+    return _spots(told, flaw, weight, _why(flaw))
 
 
 def fade(t: Takes, flaw: str) -> DataFrame:
@@ -172,7 +191,7 @@ def fade(t: Takes, flaw: str) -> DataFrame:
     paused = t.words.withColumn("breath", (F.col("start_s") - F.lag("end_s").over(w) > 0.25).cast("int"))
     since = paused.withColumn("from_s", F.last(F.when(F.coalesce("breath", F.lit(1)) == 1, F.col("start_s")), True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     told = _tails(t, 1.4, 2).join(since.select("take_id", F.col("i").alias("e"), "from_s"), ["take_id", "e"]).withColumn("breath_s", F.col("last_s") - F.greatest("from_s", "first_s")).filter("end_s - start_s <= 3.0")
-    return _spots(told, flaw, 1.0 + F.col("breath_s") / 2.5 + F.when(F.col("final"), 2.0).otherwise(0.0), F.format_string("trails off after %.1f s without a breath", F.col("breath_s")))
+    return _spots(told, flaw, 1.0 + F.col("breath_s") / 2.5 + F.when(F.col("final"), 2.0).otherwise(0.0), _why(flaw, F.col("breath_s")))
 
 
 def filler(t: Takes, flaw: str) -> DataFrame:
@@ -190,14 +209,14 @@ def repeat(t: Takes, flaw: str) -> DataFrame:
     told = t.words.withColumns({"opens": F.lag("btype").over(w).isin(*OPENERS), "fourth_s": F.lead("end_s", 3).over(w), "stops": F.max(F.length("punct")).over(w.rowsBetween(0, 2))}).join(t.zones, "take_id")
     told = told.filter("opens and function and clean <> '' and stops = 0 and start_s >= zone_start and fourth_s <= zone_end")
     told = told.withColumns({"claim_end": F.col("fourth_s"), "end_s": F.col("start_s"), "w0": F.col("i"), "w1": F.col("i")})
-    return _spots(told, flaw, F.when(F.col("pos").isin(*RESTARTED), 2.5).otherwise(1.5), F.lit("false start at a clause opener"))
+    return _spots(told, flaw, F.when(F.col("pos").isin(*RESTARTED), 2.5).otherwise(1.5), _why(flaw))
 
 
 def rare_hesitation(t: Takes, flaw: str) -> DataFrame:
     """Before rare words of five letters or more."""
     n = t.words.groupBy("take_id").agg(F.max("i").alias("last_i"))
     told = t.words.join(t.zones, "take_id").join(n, "take_id").filter("i >= 2 and i <= last_i - 2 and start_s >= zone_start and end_s <= zone_end and length(clean) > 4 and zipf < 3.5")
-    return _spots(told.withColumns({"w0": F.col("i"), "w1": F.col("i")}), flaw, F.lit(1.0), F.concat(F.lit("hesitation before the rare word '"), "clean", F.lit("'")), 0.3, 0.1)
+    return _spots(told.withColumns({"w0": F.col("i"), "w1": F.col("i")}), flaw, F.lit(1.0), _why(flaw, F.col("clean")), 0.3, 0.1)
 
 
 def skipped_word(t: Takes, flaw: str) -> DataFrame:
@@ -206,7 +225,7 @@ def skipped_word(t: Takes, flaw: str) -> DataFrame:
     n = t.words.groupBy("take_id").agg(F.max("i").alias("last_i"))
     told = t.words.withColumn("opens", F.lag("btype").over(w) == "sentence").join(t.zones, "take_id").join(n, "take_id")
     told = told.filter("i >= 2 and i <= last_i - 2 and start_s >= zone_start and end_s <= zone_end and punct = '' and not opens and length(clean) > 1 and end_s - start_s > 0.06").filter(F.col("pos").isin(*SKIPPED))
-    return _spots(told.withColumns({"w0": F.col("i"), "w1": F.col("i")}), flaw, one_of(SKIPPED, F.col("pos")), F.concat(F.lit("reader skips the "), F.lower("pos"), F.lit(" '"), "clean", F.lit("'")))
+    return _spots(told.withColumns({"w0": F.col("i"), "w1": F.col("i")}), flaw, one_of(SKIPPED, F.col("pos")), _why(flaw, F.lower("pos"), F.col("clean")))
 
 
 def swapped_word(t: Takes, flaw: str) -> DataFrame:
@@ -221,7 +240,7 @@ def swapped_word(t: Takes, flaw: str) -> DataFrame:
     kind = F.when(alike, F.struct(F.lit(1).alias("k"), apart.alias("d"), F.col("j"), F.col("other"), F.lit("similar word").alias("kind"))).when(same, F.struct(F.lit(3).alias("k"), F.lit(0).alias("d"), F.col("j"), F.col("other"), F.lit("same pos").alias("kind")))
     best = met.withColumn("kind", kind).filter("kind is not null").groupBy("take_id", "i", "clean", "start_s", "end_s").agg(F.min("kind").alias("best"))
     told = best.withColumns({"w0": F.col("i"), "w1": F.col("i")})
-    return _spots(told, flaw, F.lit(1.0), F.concat(F.lit("misread '"), "clean", F.lit("' as '"), "best.other", F.lit("' ("), "best.kind", F.lit(")")))
+    return _spots(told, flaw, F.lit(1.0), _why(flaw, F.col("clean"), F.col("best.other"), F.col("best.kind")))
 
 
 RULES: dict[str, Callable[[Takes, str], DataFrame]] = {

@@ -9,7 +9,7 @@ from tempora.functions.text import first_words
 from tempora.operators import compare, detect, intervals
 from tempora.plans import score
 from tempora.plans.placement import one_of
-from tempora.plans.retake import explained
+from tempora.plans.retake import TIPS, explained
 from tempora.sources.model import SPEECH, Model
 
 # How a mode is told.
@@ -45,13 +45,17 @@ def confidence(snr_db: Column, clipped: Column, bandwidth_hz: Column) -> tuple[C
     return value, F.when(value > 0.7, "good").when(value > 0.4, "fair").otherwise("poor")
 
 
-def predicted(found: DataFrame, clips: DataFrame, model: Model, rubric: score.Rubric = SPEECH, words: DataFrame | None = None, experimental: bool = False) -> DataFrame:
+def predicted(
+    found: DataFrame, clips: DataFrame, model: Model, rubric: score.Rubric = SPEECH, words: DataFrame | None = None, experimental: bool = False, quality: DataFrame | None = None, references: DataFrame | None = None
+) -> DataFrame:
     """A label for every clip, with its regions in order of time and its scores.
 
     ``found`` as detectors return it; ``clips(clip_id, duration_s, genre,
     confidence, rough, fluency)``; ``words(clip_id, i, w)`` for explanations.
     Experimental flaws are left out before arbitration unless they are wanted,
-    as they would outbid reliable ones.
+    as they would outbid reliable ones.  ``quality(clip_id, ..)`` and
+    ``references(clip_id, baseline_id, common_words)`` go into a label as they
+    are, as ``quality`` and ``reference``; both are left out where not given.
     """
     spark = found.sparkSession
     asked = found if experimental else found.filter(~F.col("flaw").isin(*compare.EXPERIMENTAL))
@@ -68,9 +72,10 @@ def predicted(found: DataFrame, clips: DataFrame, model: Model, rubric: score.Ru
         texts = words.groupBy("clip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]).alias("all_words"))  # a clip's words
         told = told.join(texts, "clip_id", "left").withColumn("words_text", F.coalesce(first_words(F.col("all_words"), F.col("w0"), F.col("w1")), F.lit(""))).drop("all_words")
     scores, regions = score.score(told.drop("confidence").join(clips.select("clip_id", "confidence"), "clip_id"), clips.drop("confidence"), rubric)
+    tip = F.element_at(F.create_map(*[F.lit(x) for pair in TIPS.items() for x in pair]), F.col("flaw"))
     region = F.struct(
         "start_s", "end_s", "flaw", "category", F.col("w0").alias("word_start"), F.col("w1").alias("word_end"), F.lit("modify").alias("kind"), "severity", "confidence", "reliability", "points_lost", "explanation",
-        F.map_concat("facts", F.create_map(F.lit("d"), F.bround("d", 3).cast("string"))).alias("params"),
+        F.map_concat("facts", F.create_map(F.lit("d"), F.bround("d", 3).cast("string")), F.map_filter(F.create_map(F.lit("tip"), tip), lambda k, v: v.isNotNull())).alias("params"),
     )
     order = ("start_s", "end_s", "flaw", "word_start")
 
@@ -82,7 +87,29 @@ def predicted(found: DataFrame, clips: DataFrame, model: Model, rubric: score.Ru
     of_clip = F.struct("overall", "band", "worst_area_score", "categories", F.lit(MODES[model.mode]).alias("reference_mode"))
     labels = clips.join(scores.select("clip_id", of_clip.alias("scores")), "clip_id").join(what, "clip_id", "left")
     none = F.array().cast(what.schema["what"].dataType)
-    return labels.select(F.lit("1.1.0").alias("schema_version"), *[c for c in clips.columns if c not in ("confidence", "rough", "fluency")], F.coalesce("what", none).alias("what"), "scores", F.lit("engine").alias("labels_from"))
+    more = []
+    for name, table in (("quality", quality), ("reference", references)):
+        if table is not None:
+            labels = labels.join(table.select("clip_id", F.struct(*[c for c in table.columns if c != "clip_id"]).alias(name)), "clip_id", "left")
+            more.append(name)
+    return labels.select(F.lit("1.1.0").alias("schema_version"), *[c for c in clips.columns if c not in ("confidence", "rough", "fluency")], F.coalesce("what", none).alias("what"), "scores", F.lit("engine").alias("labels_from"), *more)
+
+
+def covered_audio(audio: DataFrame, words: DataFrame, covered: DataFrame, spare_s: float = 1.5) -> DataFrame:
+    """``audio(clip_id, text_id, sr, samples)`` without the end that no stitched reference covers.
+
+    ``words(text_id, i, end_s)`` are those of the text's own reading and
+    ``covered(text_id, covered_to)`` is ``stitch.coverage``: a recording is cut in
+    the same proportion, and ``spare_s`` later.  Texts that are covered to their
+    last word but one, and not at all, stay whole.
+    """
+    ends = words.groupBy("text_id").agg(F.max("i").alias("last_i"), F.max_by("end_s", "i").alias("last_s"))
+    upto = words.select("text_id", F.col("i").alias("covered_to"), F.col("end_s").alias("upto_s"))
+    told = covered.select("text_id", "covered_to").join(ends, "text_id").join(upto, ["text_id", "covered_to"])
+    shares = told.filter("covered_to < last_i").select("text_id", (F.col("upto_s") / F.col("last_s")).alias("share"))
+    n = F.floor(F.col("share") * F.size("samples") + spare_s * F.col("sr")).cast("int")
+    cut = F.when(F.col("share").isNotNull(), F.slice("samples", 1, F.least(F.size("samples"), n))).otherwise(F.col("samples"))
+    return audio.join(shares, "text_id", "left").withColumn("samples", cut).drop("share")
 
 
 def rescored(labels: DataFrame, clips: DataFrame, rubric: score.Rubric = SPEECH) -> DataFrame:

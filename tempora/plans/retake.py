@@ -68,6 +68,16 @@ SENTENCES = {
 }
 
 
+#: What to do about each flaw.
+TIPS = {
+    "PACE_FAST": "Give the words that carry the point more time.", "PACE_SLOW": "Read a phrase through in one go once it has begun.", "PAUSE_BAD": "Pause where the text has a stop, not between a word and its phrase.",
+    "PAUSE_LOST": "Stop after a sentence before the next one begins.", "MONOTONE": "Choose a few words of each sentence and raise your pitch on them.", "UPTALK": "Let statements end low; keep rises for questions.",
+    "EMPH_FLAT": "Make the words that matter longer, louder and higher.", "FADE": "Take a breath at clauses, so that the last words have as much voice as the first.", "SHOUT": "Keep your level even and stress words by pitch and time.",
+    "SLUR": "Finish your consonants, at the ends of words most of all.", "FILLER": "Breathe in silence where you would fill a gap.", "REPEAT": "Practise how the phrase begins until it comes at once.",
+    "RARE_HESIT": "Say the hard word by itself a few times first.", "WORD_SKIP": "Read the line slowly and check every word.", "WORD_SWAP": "Look at the exact wording again.",
+}
+
+
 def explained(regions: DataFrame) -> DataFrame:
     """``regions(flaw, d, words_text)`` with a sentence each."""
     told = F.lit(None).cast("string")

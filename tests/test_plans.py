@@ -174,15 +174,25 @@ def test_predicted_labels(spark):
     made = {r.clip_id: r for r in predict.predicted(found, clips, m, rubric, words).collect()}
     c, d = made["c"], made["d"]
     assert [r.flaw for r in c.what] == ["PAUSE_BAD"] and c.scores.categories["Pausing"] == round(100 * math.exp(-3.0 * 0.9 * 0.79 * 9 / 35), 1) and c.scores.band == "strong"
-    assert c.what[0].params == {"boundary": "phrase_tight", "d": "3.0"} and c.what[0].explanation == "A pause of 3.0 s breaks “w4 w5”." and c.what[0].points_lost > 8 and c.scores.reference_mode == "reference-free"
+    assert c.what[0].params == {"boundary": "phrase_tight", "d": "3.0", "tip": retake.TIPS["PAUSE_BAD"]} and c.what[0].explanation == "A pause of 3.0 s breaks “w4 w5”." and c.what[0].points_lost > 8 and c.scores.reference_mode == "reference-free"
     assert d.what == [] and d.scores.overall == 100.0 and d.scores.band == "polished"
     rough = predict.predicted(found, clips.withColumn("rough", F.lit(True)), m, rubric).filter("clip_id = 'c'").first()
     assert rough.scores.overall > c.scores.overall
     assert len(predict.predicted(found, clips, m, rubric, experimental=True).filter("clip_id = 'c'").first().what) == 2
+    of_clips = spark.createDataFrame([("c", 21.5, "good")], "clip_id string, snr_db double, badge string")
+    whole = {r.clip_id: r for r in predict.predicted(found, clips, m, rubric, quality=of_clips, references=spark.createDataFrame([("c", "stitch:B01", 12)], "clip_id string, baseline_id string, common_words int")).collect()}
+    assert (whole["c"].quality.badge, whole["c"].reference.baseline_id, whole["d"].quality, whole["d"].reference) == ("good", "stitch:B01", None, None)
     again = predict.rescored(predict.predicted(found, clips, m, rubric), clips, rubric).filter("clip_id = 'c'").first()
     assert again.overall == c.scores.overall
 
 
+def test_ends_that_no_reference_covers_are_cut(spark):
+    audio = spark.createDataFrame([("a", "t", 10, [0.5] * 100), ("b", "whole", 10, [0.5] * 100), ("c", "none", 10, [0.5] * 7)], "clip_id string, text_id string, sr int, samples array<float>")
+    words = spark.createDataFrame([(t, i, float(i + 1)) for t in ("t", "whole") for i in range(10)], "text_id string, i int, end_s double")
+    covered = spark.createDataFrame([("t", 4), ("whole", 9), ("none", -1)], "text_id string, covered_to int")
+    assert {r.clip_id: len(r.samples) for r in predict.covered_audio(audio, words, covered).collect()} == {"a": 65, "b": 100, "c": 7}
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([("a", float("nan"), None), ("b", 1.5, "x")], "k string, v double, t string")
     model.write_csv(model.without_nan(df), str(tmp_path / "csv"))
