@@ -43,6 +43,7 @@ FEW = 16
 #: Distances from which on a document is rejected.
 CHARACTERS_APART, WORDS_APART = 0.3, 0.34
 OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "character_distance", "word_distance", "kept")
+MEASURES = ("_lang", "_characters", "_short")
 
 
 def _characters(df: DataFrame, text: str, to: str) -> DataFrame:
@@ -95,20 +96,33 @@ def _repeated(df: DataFrame, words: str, to: str) -> DataFrame:
     return df.withColumn(to, F.coalesce(covered["n"], F.lit(0).cast("long"))).drop("starts", "hashes", "sorted", "again", "asked", "windows")
 
 
-def references(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
-    """``(lang, characters, words, shares)`` of each language with enough words.
+def measured(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
+    """``docs`` with the plain counts, and MEASURES, from which references and verdicts are made: language, characters of each class, short words."""
+    kept = [c for c in docs.columns if c.lower() not in (*OUTPUTS, *MEASURES)]
+    # inner names no column of docs can clash with
+    inner = [f"c{i}" for i in range(len(kept))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(kept, inner)], F.col(f"`{lang}`").alias("_lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = _characters(rows, "text", "_characters").withColumn("words_of", _words(F.col("text"))).withColumn("n_words", F.size("words_of").cast("long"))
+    rows = _repeated(rows, "words_of", "n_repeat_words")
+    rows = rows.withColumn("lines", F.filter(F.split("text", "\n"), lambda s: F.btrim(s, F.lit(BLANKS)) != ""))
+    rows = rows.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
+    rows = rows.withColumn("word_chars", F.length("text").cast("long") - F.col("_characters")[1]).withColumn("n_symbols", F.col("_characters")[2])
+    rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    return rows.select(*[F.col(i).alias(c) for c, i in zip(kept, inner)], *OUTPUTS[:6], "_lang", "_characters", _short_words("text").alias("_short"))
+
+
+def references(rows: DataFrame) -> DataFrame:
+    """``(lang, characters, words, shares)`` of each language with enough words, of ``measured`` documents.
 
     Shares follow CLASSES and the rest, and ``words`` and the rest.
     """
-    rows = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).filter("lang is not null and text is not null")
+    rows = rows.filter("_lang is not null").select(F.col("_lang").alias("lang"), "n_words", "_characters", "_short")
     classes = range(len(CLASSES) + 1)
-    n_words = F.size(_words(F.col("text"))).cast("long")
-    sums = _characters(rows, "text", "counts").groupBy("lang").agg(F.sum(n_words).alias("n"), *[F.sum(F.col("counts")[k]).alias(f"c{k}") for k in classes])
+    sums = rows.groupBy("lang").agg(F.sum("n_words").alias("n"), *[F.sum(F.col("_characters")[k]).alias(f"c{k}") for k in classes])
     total = reduce(Column.__add__, [F.col(f"c{k}") for k in classes])
     of_language = sums.filter(F.col("n") >= LEAST_OF_LANGUAGE).select("lang", "n", F.array(*[F.col(f"c{k}") / total for k in classes]).alias("characters"))
 
-    word = F.explode(_short_words("text")).alias("word")
-    counts = rows.select("lang", word).filter("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("times"))
+    counts = rows.select("lang", F.explode("_short").alias("word")).filter("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("times"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("times"), "word"))
     commonest = counts.withColumn("place", place).filter(F.col("place") <= COMMON)
     listed = commonest.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "word", "times"))).alias("listed"))
@@ -134,29 +148,28 @@ def distance(counts: Column, shares: Column) -> Column:
     return F.when(total > 0, F.transform(F.array(total), lambda t: F.sqrt(F.greatest(divergence(t), F.lit(0.0))))[0])
 
 
-def judged(docs: DataFrame, known: DataFrame | None = None, lang: str = "lang", text: str = "text") -> DataFrame:
-    """``docs`` with plain counts, distances and whether they are kept; ``known`` are references, else those of ``docs``."""
-    known = written(references(docs, lang, text) if known is None else known, "references")
-    kept = [c for c in docs.columns if c.lower() not in OUTPUTS]
-    # inner names no column of docs can clash with
-    inner = [f"c{i}" for i in range(len(kept))]
-    rows = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(kept, inner)], F.col(f"`{lang}`").alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    rows = _characters(rows, "text", "characters_of").withColumn("words_of", _words(F.col("text"))).withColumn("n_words", F.size("words_of").cast("long"))
-
-    rows = _repeated(rows, "words_of", "n_repeat_words")
-    rows = rows.withColumn("lines", F.filter(F.split("text", "\n"), lambda s: F.btrim(s, F.lit(BLANKS)) != ""))
-    rows = rows.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
-    rows = rows.withColumn("word_chars", F.length("text").cast("long") - F.col("characters_of")[1]).withColumn("n_symbols", F.col("characters_of")[2])
-    rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    rows = rows.select(*inner, "lang", "characters_of", *OUTPUTS[:6], _short_words("text").alias("short"))
-
-    rows = rows.join(known.withColumnRenamed("lang", "of_lang"), F.col("lang") == F.col("of_lang"), "left")
-    times = F.transform("words", lambda w: (F.size("short") - F.size(F.array_remove("short", w))).cast("long"))
+def verdicts(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``measured`` documents with their distances to the ``known`` references and whether they are kept, without MEASURES."""
+    others = [c for c in rows.columns if c not in (*OUTPUTS, *MEASURES)]
+    inner = [f"c{i}" for i in range(len(others))]
+    rows = rows.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(others, inner)], *OUTPUTS[:6], *MEASURES)
+    rows = rows.join(known.withColumnRenamed("lang", "of_lang"), F.col("_lang") == F.col("of_lang"), "left")
+    times = F.transform("words", lambda w: (F.size("_short") - F.size(F.array_remove("_short", w))).cast("long"))
     rows = rows.withColumn("times", F.when(F.col("words").isNotNull(), times))
     told = F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x)
     rows = rows.withColumn("times", F.concat("times", F.array(F.greatest(F.col("n_words") - told, F.lit(0).cast("long")))))
-    n_characters = F.aggregate("characters_of", F.lit(0).cast("long"), lambda a, x: a + x)
-    rows = rows.withColumn("character_distance", F.when(n_characters >= LEAST_CHARACTERS, distance(F.col("characters_of"), F.col("characters"))))
+    n_characters = F.aggregate("_characters", F.lit(0).cast("long"), lambda a, x: a + x)
+    rows = rows.withColumn("character_distance", F.when(n_characters >= LEAST_CHARACTERS, distance(F.col("_characters"), F.col("characters"))))
     rows = rows.withColumn("word_distance", F.when(F.col("n_words") >= LEAST_WORDS, distance(F.col("times"), F.col("shares"))))
     apart = F.coalesce(F.col("character_distance") >= CHARACTERS_APART, F.lit(False)) | F.coalesce(F.col("word_distance") >= WORDS_APART, F.lit(False))
-    return rows.withColumn("kept", ~F.col("base_failed") & ~apart).select(*[F.col(i).alias(c) for c, i in zip(kept, inner)], *OUTPUTS)
+    return rows.withColumn("kept", ~F.col("base_failed") & ~apart).select(*[F.col(i).alias(c) for c, i in zip(others, inner)], *OUTPUTS)
+
+
+def judged(docs: DataFrame, known: DataFrame | None = None, lang: str = "lang", text: str = "text") -> DataFrame:
+    """``docs`` with plain counts, distances and whether they are kept; ``known`` are references, else those of ``docs``.
+
+    Texts are read twice, for the references and for the verdicts; a caller that
+    needs no texts afterwards can write what ``measured`` gives without them.
+    """
+    rows = measured(docs, lang, text)
+    return verdicts(rows, written(references(rows) if known is None else known, "references"))

@@ -234,6 +234,37 @@ def _wide_links(member: DataFrame, mixed: DataFrame, sets: DataFrame, percent: i
     return asked.cogroup(here.groupBy("key", "part", "block")).applyInPandas(linked, schema).distinct()
 
 
+def _meeting(rows: DataFrame) -> DataFrame:
+    """``rows(key, node, size)`` of keys with several nodes, once each, with the least node of the key."""
+    shared = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
+    return written(rows.join(shared.select("key", "least"), "key").groupBy("key", "node", "least").agg(F.max("size").alias("size")), "entries")
+
+
+def _drawn_together(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(node, label)`` of the nodes that links lead from: the smallest node of their component."""
+    stars = entries.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    links = written(_confirmed(stars, sets, percent), "links")
+    labels = components(links)
+    members, mixed = _mixed(entries.select("key", "node", "size"), labels)
+    narrow = _narrow_pairs(members, mixed).join(stars, ["a", "b"], "left_anti")
+    more = written(_confirmed(narrow, sets, percent).union(_wide_links(members, mixed, sets, percent)), "links")
+    if not more.isEmpty():
+        labels = joined(labels, more)
+    discard(links, members, mixed, more)
+    return labels
+
+
+def linked(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(node, label)`` of the nodes of ``rows(key, node, size)`` that links lead from, by ``sets(node, set)``.
+
+    Nodes that share a key are compared as the module says, and no others.
+    """
+    entries = _meeting(rows)
+    labels = _drawn_together(entries, sets, percent)
+    discard(entries)
+    return labels
+
+
 def rarest(sets: DataFrame, percent: int) -> DataFrame:
     """``(node, key, size)``: the rarest shingles of ``sets(node, set)``.
 
@@ -264,22 +295,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         rows = written(rarest(sets, percent), "rarest")
     else:
         rows = classes.select("node", F.explode("bands").alias("key"), "size")
-    shared = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
-    entries = written(rows.join(shared.select("key", "least"), "key").groupBy("key", "node", "least").agg(F.max("size").alias("size")), "entries")
+    entries = _meeting(rows)
     if exact:
         discard(rows)
     else:
         sets = written(_sets(docs, entries.select("node").distinct(), words), "sets")
-
-    stars = entries.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(_confirmed(stars, sets, percent), "links")
-    labels = components(links)
-    members, mixed = _mixed(entries.select("key", "node", "size"), labels)
-    narrow = _narrow_pairs(members, mixed).join(stars, ["a", "b"], "left_anti")
-    more = written(_confirmed(narrow, sets, percent).union(_wide_links(members, mixed, sets, percent)), "links")
-    if not more.isEmpty():
-        labels = joined(labels, more)
-    scratch = [entries, sets, links, labels, members, mixed, more]
+    labels = _drawn_together(entries, sets, percent)
+    scratch = [entries, sets, labels]
 
     members = filled.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
     members = written(members.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component"), "n"), "classes")

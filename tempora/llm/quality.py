@@ -155,7 +155,8 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Network:
 def train(docs: DataFrame, labels: DataFrame, rows: int = 4000, total_bytes: int = 64 << 20) -> Network:
     """Fit on at most ``rows`` labelled documents outside the held-out quarter, in whole texts of ``total_bytes`` together at most.
 
-    Only this sample comes to the driver.
+    Only this sample comes to the driver.  Where the bytes run out, texts that no
+    longer fit are passed over, so the sample then leans to shorter ones.
     """
     known = labels.filter("doc_id is not null and quality is not null").filter(~held_out(F.col("doc_id")))
     sample = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))

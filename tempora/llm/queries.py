@@ -148,7 +148,8 @@ FROM near{rounds} JOIN kept USING (row_id) JOIN told USING (cluster) JOIN digest
 
 
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = divergence.judged(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    rows = written(divergence.measured(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).drop("text"), "measured")
+    judged = divergence.verdicts(rows, written(divergence.references(rows), "references"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

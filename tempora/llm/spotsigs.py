@@ -5,12 +5,14 @@ words after it; in stretches without a common word (lists, menus, other
 languages) content words are anchors too.  A text's fingerprint is the set of
 its signatures.  Where no chain fits, its words are its signatures.
 
-``likeness`` compares given pairs.  ``near_duplicates`` finds all pairs at or
-above a similarity: equal fingerprints are one class first; classes are
-partitioned by set length such that only neighbouring partitions can hold
+``likeness`` compares given pairs.  ``near_duplicates`` draws together what is
+alike at or above a similarity: equal fingerprints are one class first; classes
+are partitioned by set length such that only neighbouring partitions can hold
 matches; within them a set is indexed by its rarest signatures only (two sets
 at the threshold must share one of these), pairs whose lengths differ too much
-are pruned, and the rest is confirmed on whole sets.
+are pruned, and the rest is confirmed on whole sets.  ``against_next`` is asked
+for the likeness of given neighbours, whatever it is, so nothing can be pruned
+there.
 
 Defined cases: null text counts as empty and has the empty fingerprint; two
 empty fingerprints are alike by 1 and linked with nothing; repeated rows and
@@ -33,7 +35,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from tempora.llm.shared import written
+from tempora.llm import minhash
+from tempora.llm.shared import discard, written
 
 # Common words of English, German, French and Spanish.
 COMMON = (
@@ -179,27 +182,26 @@ def against_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ro
 # ---------------------------------------------------------------- all near pairs
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """``classes(doc_id, class_id)`` and the links ``(a, b, similarity)`` between classes of equal fingerprints."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """``(doc_id, class_id, component_id)`` of every row with an id: the smallest id of equal fingerprints, and the smallest that links lead to.
+
+    Empty fingerprints are linked with nothing.  Links are confirmed on whole
+    sets, and no more of them are made than draw components together.
+    """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), fingerprint(F.col(f"`{text}`")).alias("spots"))
     rows = written(rows.filter("doc_id is not null").withColumn("digest", F.sha2(F.to_json(F.struct("spots")), 256)), "spots")
     heads = rows.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
     classes = rows.select("doc_id", "digest").join(heads, "digest").select("doc_id", "class_id")
     sets = rows.join(heads.withColumnRenamed("class_id", "doc_id"), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest"])
-    sets = written(sets.filter(F.size("spots") > 0).select(F.col("doc_id").alias("node"), "spots"), "spot-sets")
+    sets = written(sets.filter(F.size("spots") > 0).select(F.col("doc_id").alias("node"), F.col("spots").alias("set")), "spot-sets")
+    first = minhash.rarest(sets, percent)
     share = percent / 100
-    single = sets.select("node", F.size("spots").alias("n"), F.explode("spots").alias("spot"))
-    rarity = single.groupBy("spot").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    shared = single.join(rarity, "spot", "left").select("node", "n", F.struct(F.coalesce("often", F.lit(1)).alias("often"), "spot").alias("s"))
-    prefix = shared.groupBy("node", "n").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    prefix = prefix.select("node", "n", F.explode(F.expr(f"slice(s, 1, n - cast(ceil(n * {share}) as int) + 1)")).alias("s")).filter("s.often > 1")
-    part = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / share)).cast("int")
-    own = prefix.select("node", "n", "s.spot", part.alias("part"))
+    part = F.floor(F.log(F.col("size").cast("double")) / math.log(1 / share)).cast("int") if percent < 100 else F.col("size")
     # a match is at most 1 / share times as long, so it lies in the same or the next partition
-    asking = own.withColumn("part", F.explode(F.array(F.col("part"), F.col("part") + 1))).select(F.col("node").alias("a"), F.col("n").alias("na"), "spot", "part")
-    pairs = asking.join(own, ["spot", "part"]).filter("(na < n or (na = n and a < node)) and na * 100 >= n * " + str(percent)).select("a", F.col("node").alias("b")).distinct()
-    one, two = sets.select(F.col("node").alias("a"), F.col("spots").alias("of_a")), sets.select(F.col("node").alias("b"), F.col("spots").alias("of_b"))
-    links = pairs.join(one, "a").join(two, "b").withColumn("similarity", likeness(F.col("of_a"), F.col("of_b")))
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    links = links.filter(100 * both >= percent * (F.size("of_a") + F.size("of_b") - both))
-    return classes, links.select("a", "b", "similarity")
+    parts = first.withColumn("part", F.explode(F.array(part, part + 1)))
+    entries = parts.select(F.xxhash64("key", "part").alias("key"), "node", "size")
+    labels = minhash.linked(entries, sets, percent)
+    found = classes.join(labels.select(F.col("node").alias("class_id"), "label"), "class_id", "left")
+    made = written(found.select("doc_id", "class_id", F.coalesce("label", "class_id").alias("component_id")), "near")
+    discard(rows, sets, labels)
+    return made

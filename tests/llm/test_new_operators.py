@@ -138,7 +138,7 @@ def test_distance_is_the_root_of_the_divergence(spark):
 
 def test_no_python_on_the_native_path(spark):
     df = spark.createDataFrame([(1, "a b", "en")], "doc_id long, text string, lang string")
-    for made in (divergence.judged(df), divergence.references(df)):
+    for made in (divergence.judged(df), divergence.references(divergence.measured(df))):
         assert "Python" not in (plan := made._jdf.queryExecution().toString()) and "Arrow" not in plan and "Pandas" not in plan
 
 

@@ -29,6 +29,42 @@ def test_arc_versions_are_read_by_their_fields():
         list(warc.arc_records(io.BytesIO(b"no header\n")))
 
 
+#: A version 1 archive as its format's description has them: fields divided by blanks, lengths in bytes, a blank line after each record.
+GOLDEN_ARC = (
+    b"filedesc://IA-001102.arc 0.0.0.0 19960923142103 text/plain 76\n"
+    b"1 0 Alexa Internet\nURL IP-address Archive-date Content-type Archive-length\n\n"
+    b"\n"
+    b"http://www.dryswamp.edu:80/index.html 127.10.100.2 19961104142103 text/html 59\n"
+    b"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n\r\n<p>Hi</p>\n\n\n..."
+    b"\n"
+    b"http://b.example/robots.txt 10.0.0.1 1997 text/plain 4\nall\n"
+    b"\n"
+)
+
+
+def test_a_golden_archive_is_read_and_converted_byte_by_byte():
+    import base64
+    import uuid
+
+    records = list(warc.arc_records(io.BytesIO(GOLDEN_ARC)))
+    offsets = [0, GOLDEN_ARC.index(b"http://www.dryswamp"), GOLDEN_ARC.index(b"http://b.example")]
+    assert [(r.url, r.offset, r.version) for r in records] == [("filedesc://IA-001102.arc", 0, 1), ("http://www.dryswamp.edu:80/index.html", offsets[1], 1), ("http://b.example/robots.txt", offsets[2], 1)]
+    assert records[0].content == b"1 0 Alexa Internet\nURL IP-address Archive-date Content-type Archive-length\n\n" and records[2].content == b"all\n"
+    assert records[1].content == b"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n\r\n<p>Hi</p>\n\n\n..." and records[1].fields["IP-address"] == "127.10.100.2"
+    sha = lambda data: base64.b32encode(hashlib.sha1(data).digest()).decode()
+    name = lambda k: uuid.uuid5(uuid.NAMESPACE_URL, f"IA-001102.arc#{offsets[k]}")
+    assert warc._converted(records[1], "IA-001102.arc", None) == (
+        f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{name(1)}>\r\nWARC-Target-URI: http://www.dryswamp.edu:80/index.html\r\nWARC-Date: 1996-11-04T14:21:03Z\r\n"
+        f"WARC-IP-Address: 127.10.100.2\r\nWARC-Payload-Digest: sha1:{sha(b'<p>Hi</p>' + bytes([10, 10, 10]) + b'...')}\r\nContent-Type: application/http; msgtype=response\r\n"
+        f"WARC-Block-Digest: sha1:{sha(records[1].content)}\r\nContent-Length: 59\r\n\r\n"
+    ).encode() + records[1].content + b"\r\n\r\n"
+    assert warc._converted(records[2], "IA-001102.arc", None) == (
+        f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:{name(2)}>\r\nWARC-Target-URI: http://b.example/robots.txt\r\nWARC-Date: 1997-01-01T00:00:00Z\r\n"
+        f"WARC-IP-Address: 10.0.0.1\r\nWARC-Payload-Digest: sha1:{sha(b'all' + bytes([10]))}\r\nContent-Type: text/plain\r\nWARC-Block-Digest: sha1:{sha(b'all' + bytes([10]))}\r\n"
+        "Content-Length: 4\r\n\r\nall\n\r\n\r\n"
+    ).encode()
+
+
 def test_dates_of_fewer_digits():
     assert warc._iso("20240229120000") == "2024-02-29T12:00:00Z" and warc._iso("2024") == "2024-01-01T00:00:00Z"
 

@@ -327,15 +327,45 @@ def test_spotsigs_of_neighbours(spark):
     assert spotsigs.against_next(docs.limit(0)).count() == 0 and spotsigs.against_next(docs.limit(1)).first().near_next == 1.0
 
 
-def test_spotsigs_pairs_equal_brute_force(spark):
+def plain_spots(text, common):
+    """The signature rule by itself: an anchor and the next two words that are not common."""
+    words = re.findall(r"\w+", (text or "").lower())
+    spots, since = set(), 0
+    for k, w in enumerate(words):
+        since = 0 if w in common else since + 1
+        if w in common or since > 8:
+            chain = [v for v in words[k + 1 :] if v not in common][:2]
+            if len(chain) == 2:
+                spots.add(" ".join([w, *chain]))
+    return spots or set(words)
+
+
+def test_signatures_follow_their_rule():
+    import xxhash
+
+    r = random.Random(2)
+    words = ["the", "of", "and", "der", "lake", "hill", "Tree", "stone", "river", "cloud", "Ähre"]
+    texts = ["", "x", "the", "the lake", "the lake hill", "The LAKE, hill; of stone"] + [" ".join(r.choice(words[(k % 4) :]) for _ in range(r.randint(1, 60))) for k in range(80)]
+    for t in texts:
+        assert list(spotsigs.signatures(t)) == sorted({xxhash.xxh32_intdigest(s) for s in plain_spots(t, set(spotsigs.COMMON))}), t
+
+
+def test_spotsigs_components_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "WIDE", 6)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
     texts = near_texts(9)
     texts = [None if t is None else t.replace("w1", "the ").replace("w2", "of ") for t in texts]
-    classes, links = spotsigs.near_duplicates(documents(spark, texts))
     spots = [frozenset(spotsigs.signatures(t).tolist()) for t in texts]
-    first = {s: min(i for i in range(len(texts)) if spots[i] == s) for s in spots}
-    assert {(r.doc_id, r.class_id) for r in classes.collect()} == {(i, first[s]) for i, s in enumerate(spots)}
-    want = {(a, b) for (s, a), (t, b) in itertools.permutations(first.items(), 2) if s and t and a < b and 100 * len(s & t) >= 75 * len(s | t)}
-    assert {tuple(sorted((r.a, r.b))) for r in links.collect()} == want
+    for percent in (75, 40):
+        first = {s: min(i for i in range(len(texts)) if spots[i] == s) for s in spots}
+        label = {i: i for i in first.values()}
+        pairs = [(a, b) for (s, a), (t, b) in itertools.combinations(first.items(), 2) if s and t and 100 * len(s & t) >= percent * len(s | t)]
+        for _ in texts:
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        got = {(r.doc_id, r.class_id, r.component_id) for r in spotsigs.near_duplicates(documents(spark, texts), percent=percent).collect()}
+        assert got == {(i, first[s], label[first[s]]) for i, s in enumerate(spots)} and len(pairs) > 20
+    assert spotsigs.near_duplicates(documents(spark, [])).count() == 0
 
 
 def test_token_files_round_trip(spark, tmp_path):
