@@ -30,9 +30,7 @@ def words_of(df: DataFrame, text: str = "text") -> DataFrame:
 
 def repeats(text: Column) -> Column:
     """How often a word of a text follows itself; words are runs of the letters a to z."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z]+", " "), " "), lambda x: x != "")
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.lit(1), F.size(words))), lambda a, b: a == b)
-    return F.size(F.filter(pairs, lambda x: x)).cast("long")
+    return F.regexp_count(F.lower(text), F.lit(r"(?<![a-z])([a-z]++)(?=[^a-z]++\1(?![a-z]))")).cast("long")
 
 
 def tokens_with_marks(text: Column) -> Column:
