@@ -6,6 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
 
 from tempora.functions.text import slug
+from tempora.operators.series import placed
 from tempora.plans.catalog import latest, stable_order
 
 # Areas of marks, and verdicts on flags.
@@ -19,8 +20,8 @@ def clips_for(clips: DataFrame, raters: DataFrame, done: DataFrame) -> DataFrame
     named = raters.select(slug(F.col("name")).alias("rater")).filter("rater is not null").distinct()
     pairs = clips.select("clip").crossJoin(F.broadcast(named))  # raters are a handful
     told = pairs.join(done.select("rater", "clip").distinct().withColumn("done", F.lit(True)), ["rater", "clip"], "left")
-    order = Window.partitionBy("rater").orderBy(stable_order(F.col("rater"), F.col("clip")))
-    return told.select("rater", "clip", F.row_number().over(order).alias("place"), F.coalesce("done", F.lit(False)).alias("done"))
+    keyed = told.select("rater", "clip", F.coalesce("done", F.lit(False)).alias("done"), stable_order(F.col("rater"), F.col("clip")).alias("_key"))
+    return placed(keyed, ["rater"], ["_key", "clip"]).select("rater", "clip", "place", "done")
 
 
 def problems(saved: DataFrame, clips: DataFrame) -> DataFrame:

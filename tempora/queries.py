@@ -507,10 +507,8 @@ def upsert_latest(spark, sf_dir):
 
 @query("""SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY sha256('rater|' || c_custkey::VARCHAR))::INTEGER AS place FROM customer""")
 def stable_hash_order(spark, sf_dir):
-    from pyspark.sql import Window
-
     key = catalog.stable_order(F.lit("rater"), F.col("c_custkey").cast("string"))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(key)).alias("place"))
+    return series.placed(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", key.alias("key")), ["c_nationkey"], ["key"]).select("c_custkey", "place")
 
 
 @query("""
@@ -532,11 +530,9 @@ def pause_norms(spark, sf_dir):
 WITH u AS (SELECT p_partkey, p_brand, pow((('0x' || substr(md5(p_partkey::VARCHAR), 1, 13))::BIGINT + 1) / 4503599627370497.0, 1.0 / p_size) AS k FROM part WHERE p_size > 0)
 SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY k DESC, p_partkey)::INTEGER AS place FROM u""")
 def weighted_sample_order(spark, sf_dir):
-    from pyspark.sql import Window
-
     uniform = (F.conv(F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 13), 16, 10).cast("long") + 1) / 4503599627370497.0
-    p = table(spark, sf_dir, "part").withColumn("k", catalog.weighted_order(uniform, F.col("p_size"))).filter("k is not null")
-    return p.select("p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("k"), "p_partkey")).alias("place"))
+    p = table(spark, sf_dir, "part").withColumn("k", -catalog.weighted_order(uniform, F.col("p_size"))).filter("k is not null")
+    return series.placed(p.select("p_partkey", "p_brand", "k"), ["p_brand"], ["k", "p_partkey"]).select("p_partkey", "place")
 
 
 # ---------------------------------------------------------------- alignment, calibration
