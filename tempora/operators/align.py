@@ -83,39 +83,66 @@ def _scores(ref: list[str], hyp: list[str]) -> tuple[np.ndarray, np.ndarray, np.
     return score, np.array([place[0][w] for w in ref]), np.array([place[1][w] for w in hyp])
 
 
-def _steps(ref: list[str], hyp: list[str]) -> list[tuple[int | None, int | None]]:
-    """The cells of the best path in order.
+#: Cells up to which a table is held whole, as short turns are quicker so.
+WHOLE = 1 << 20
+
+
+def _whole_steps(score: np.ndarray, step: np.ndarray) -> None:
+    """Fills ``step`` from a table of totals that is held whole: all steps are told at once at the end."""
+    n, m = score.shape
+    total, padded = np.zeros((n + 1, m + 1)), np.zeros((n + 1, m + 1))
+    total[:, 0], total[0, :], padded[1:, 1:] = GAP * np.arange(n + 1), GAP * np.arange(m + 1), score
+    flat, own = total.reshape(-1), padded.reshape(-1)
+    for d in range(2, n + m + 1):
+        low, high = max(1, d - m), min(n, d - 1)
+        start, end = low * (m + 1) + d - low, high * (m + 1) + d - high + 1
+        pair = flat[start - m - 2 : end - m - 2 : m] + own[start:end:m]
+        gap = np.maximum(flat[start - m - 1 : end - m - 1 : m], flat[start - 1 : end - 1 : m]) + GAP
+        flat[start:end:m] = np.maximum(pair, gap)
+    best = total[1:, 1:]
+    near = 1e-8 + 1e-5 * np.abs(best)  # as np.isclose
+    inner = step[1:, 1:]
+    inner[np.abs(total[:-1, 1:] + GAP - best) <= near] = 1
+    inner[np.abs(total[:-1, :-1] + score - best) <= near] = 0
+
+
+def _steps_by_diagonals(score: np.ndarray, rows: np.ndarray, columns: np.ndarray, step: np.ndarray) -> None:
+    """Fills ``step`` with only the last two diagonals of totals in memory."""
+    n, m = len(rows), len(columns)
+    steps = step.reshape(-1)
+    before, last = np.empty(n + 1), np.empty(n + 1)  # by the row of a diagonal's cells
+    last[0] = 0.0
+    for d in range(1, n + m + 1):
+        now = np.empty(n + 1)
+        if d <= m:
+            now[0] = GAP * d
+        if d <= n:
+            now[d] = GAP * d
+        low, high = max(1, d - m), min(n, d - 1)
+        if low <= high:
+            pair = before[low - 1 : high] + score[rows[low - 1 : high], columns[d - high - 1 : d - low][::-1]]
+            up, left = last[low - 1 : high] + GAP, last[low : high + 1] + GAP
+            best = np.maximum(pair, np.maximum(up, left))
+            near = 1e-8 + 1e-5 * np.abs(best)
+            taken = np.full(len(best), 2, np.int8)
+            taken[np.abs(up - best) <= near] = 1
+            taken[np.abs(pair - best) <= near] = 0
+            steps[low * (m + 1) + d - low : high * (m + 1) + d - high + 1 : m] = taken
+            now[low : high + 1] = best
+        before, last = last, now
 
-    Diagonals are filled one after the other and only the last two are held; of
-    a cell its step stays, in one byte, and words are scored once for each two
-    different ones.
-    """
+
+def _steps(ref: list[str], hyp: list[str]) -> list[tuple[int | None, int | None]]:
+    """The cells of the best path in order; of a long pair's table only a byte a cell is held."""
     n, m = len(ref), len(hyp)
     step = np.full((n + 1, m + 1), 2, np.int8)
     step[1:, 0] = 1
     if n and m:
         score, rows, columns = _scores(ref, hyp)
-        steps = step.reshape(-1)
-        before, last = np.empty(n + 1), np.empty(n + 1)  # by the row of a diagonal's cells
-        last[0] = 0.0
-        for d in range(1, n + m + 1):
-            now = np.empty(n + 1)
-            if d <= m:
-                now[0] = GAP * d
-            if d <= n:
-                now[d] = GAP * d
-            low, high = max(1, d - m), min(n, d - 1)
-            if low <= high:
-                pair = before[low - 1 : high] + score[rows[low - 1 : high], columns[d - high - 1 : d - low][::-1]]
-                up, left = last[low - 1 : high] + GAP, last[low : high + 1] + GAP
-                best = np.maximum(pair, np.maximum(up, left))
-                near = 1e-8 + 1e-5 * np.abs(best)  # as np.isclose
-                taken = np.full(len(best), 2, np.int8)
-                taken[np.abs(up - best) <= near] = 1
-                taken[np.abs(pair - best) <= near] = 0
-                steps[low * (m + 1) + d - low : high * (m + 1) + d - high + 1 : m] = taken
-                now[low : high + 1] = best
-            before, last = last, now
+        if n * m <= WHOLE:
+            _whole_steps(score[np.ix_(rows, columns)], step)
+        else:
+            _steps_by_diagonals(score, rows, columns, step)
     out, i, j = [], n, m
     while i or j:
         k = step[i, j]

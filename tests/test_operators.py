@@ -367,3 +367,18 @@ def test_streams_equal_batch(spark, tmp_path):
     q = live.live_runs(stream, 6.0, 10.0).writeStream.format("memory").queryName("runs").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert rows(spark.table("runs"), "start", "end", "n") == [(1.0, 2.0, 2), (4.0, 4.0, 1), (100.0, 100.0, 1)]
+
+
+def test_long_alignments_equal_short_ones(monkeypatch):
+    import random
+
+    from tempora.operators import align
+
+    r = random.Random(7)
+    words = ["a", "the", "then", "thing", "things", "form", "from", "people", "queue"]
+    for n, m in ((1, 1), (1, 9), (9, 1), (2, 30), (40, 33), (0, 4), (4, 0), (0, 0)):
+        a, b = ([r.choice(words) for _ in range(k)] for k in (n, m))
+        whole = align._steps(a, b)
+        monkeypatch.setattr(align, "WHOLE", 0)
+        assert align._steps(a, b) == whole
+        monkeypatch.undo()
