@@ -204,7 +204,7 @@ def test_registered_queries_return_every_row(spark, sf_dir):
     for name in ("op3_spotsigs", "op4_quality_cnn"):
         rows = queries.QUERIES[name](spark, sf_dir)
         assert rows.select("doc_id").distinct().count() == rows.count() == n
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
 
 
 def test_held_out_quality(spark, sf_dir):
