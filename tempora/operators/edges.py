@@ -50,7 +50,7 @@ def quiet_near(df: DataFrame, keys: list[str], order: list[str], value: str, flo
 
 def floors(frames: DataFrame, level: str = "level", share: float = 0.05) -> DataFrame:
     """``(clip_id, floor_db)``: the level that so many of a clip's frames stay below."""
-    return frames.groupBy("clip_id").agg(F.percentile(level, F.lit(share)).alias("floor_db"))
+    return series.quantiles(frames, ["clip_id"], {"floor_db": share}, level)
 
 
 def smoothed(frames: DataFrame, level: str = "level") -> DataFrame:

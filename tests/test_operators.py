@@ -1,6 +1,7 @@
 """Operators on small fixtures with known results."""
 
 import math
+import random
 import struct
 import wave
 
@@ -8,7 +9,7 @@ import pyspark.sql.functions as F
 import pytest
 
 from tempora.functions import text
-from tempora.operators import align, detect, intervals, series
+from tempora.operators import align, detect, edges, intervals, series
 from tempora.plans import calibrate, catalog, evaluate, score
 from tempora.sources import labels as sources
 from tempora.streaming import live
@@ -382,3 +383,19 @@ def test_long_alignments_equal_short_ones(monkeypatch):
         monkeypatch.setattr(align, "WHOLE", 0)
         assert align._steps(a, b) == whole
         monkeypatch.undo()
+
+
+def test_quantiles_are_those_of_sql_to_the_last_bit(spark):
+    """A level of exactly twice a floor is below it or not by the floor's last bit."""
+    import duckdb
+
+    r = random.Random(8)
+    rows = [(clip, round(r.random() * 20, 2)) for clip in range(60) for _ in range(r.randint(1, 90))] + [(3, None)]
+    df = spark.createDataFrame(rows, "clip_id int, level double").repartition(5)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (clip_id INT, level DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    assert sorted(map(tuple, edges.floors(df).collect())) == con.execute("SELECT DISTINCT clip_id, quantile_cont(level, 0.05) OVER (PARTITION BY clip_id) FROM t ORDER BY 1").fetchall()
+    shares = {"a": 0.25, "b": 0.75, "c": 1.0}
+    want = con.execute("SELECT quantile_cont(level, 0.25), quantile_cont(level, 0.75), max(level) FROM t").fetchall()
+    assert [tuple(x) for x in series.quantiles(df, [], shares, "level").collect()] == want
