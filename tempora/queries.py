@@ -113,7 +113,7 @@ s AS (SELECT l_suppkey, quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_e
 SELECT l_suppkey, n, CASE WHEN n >= 11 THEN own / whole END AS ratio FROM s, a""")
 def iqr_ratio_groups(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
-    whole = lines.agg(series.quartile_range("l_extendedprice").alias("whole"))
+    whole = series.quantiles(lines, [], {"q1": 0.25, "q3": 0.75}, "l_extendedprice").select((F.col("q3") - F.col("q1")).alias("whole"))
     own = lines.groupBy("l_suppkey").agg(series.quartile_range("l_extendedprice", 11).alias("own"), F.count(F.lit(1)).alias("n"))
     return own.crossJoin(F.broadcast(whole)).select("l_suppkey", "n", (F.col("own") / F.col("whole")).alias("ratio"))  # whole is one row
 

@@ -8,6 +8,7 @@ import wave
 import pyspark.sql.functions as F
 import pytest
 
+from tempora import queries
 from tempora.functions import text
 from tempora.operators import align, detect, edges, intervals, series
 from tempora.plans import calibrate, catalog, evaluate, score
@@ -399,3 +400,12 @@ def test_quantiles_are_those_of_sql_to_the_last_bit(spark):
     shares = {"a": 0.25, "b": 0.75, "c": 1.0}
     want = con.execute("SELECT quantile_cont(level, 0.25), quantile_cont(level, 0.75), max(level) FROM t").fetchall()
     assert [tuple(x) for x in series.quantiles(df, [], shares, "level").collect()] == want
+
+
+def test_a_whole_tables_quartiles_do_not_meet_in_one_task(spark, tmp_path):
+    """Without keys, equal values are counted and no aggregate collects all values."""
+    spark.range(1000).select((F.col("id") % 10).alias("l_suppkey"), F.col("id").cast("double").alias("l_extendedprice")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = queries.iqr_ratio_groups(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("percentile(l_extendedprice") == 2  # of a supplier, none of the table
+    assert sorted((r.l_suppkey, r.n, round(r.ratio, 9)) for r in got.collect()) == [(k, 100, round(495 / 499.5, 9)) for k in range(10)]
