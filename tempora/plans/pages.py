@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 # The flaws of the listening pairs in order, and the steps of the ratings.
 PAIR_FLAWS = ("FADE", "SHOUT", "PACE_SLOW", "PAUSE_BAD", "FILLER", "PACE_FAST", "WORD_SKIP", "SLUR")
 FELT = {"too weak": -1, "right": 0, "too strong": 1}
+#: Clips whose tracks are warped at once.
+CLIPS = 100
 
 
 def counted(df: DataFrame, column: str) -> DataFrame:
@@ -159,13 +166,57 @@ def speaking_rates(words: DataFrame, digits: int | None = 2) -> DataFrame:
 
 def warped(path: DataFrame, reference: DataFrame, own: DataFrame, value: str) -> DataFrame:
     """The reference's ``value`` at each participant frame: reference frames are interpolated between the path's (mean of equal ones) and rounded."""
-    knots = path.groupBy("clip_id", "par_frame").agg(F.avg("ref_frame").alias("r"))
-    w = Window.partitionBy("clip_id").orderBy("frame_i")
-    frames = own.select("clip_id", "frame_i").join(knots.withColumnRenamed("par_frame", "frame_i"), ["clip_id", "frame_i"], "left")
-    known = F.when(F.col("r").isNotNull(), F.struct("frame_i", "r"))
-    a, b = F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    both = frames.withColumns({"a": F.coalesce(a, b), "b": F.coalesce(b, a)})
-    span = F.col("b.frame_i") - F.col("a.frame_i")
-    at = F.when(span > 0, F.col("a.r") + (F.col("b.r") - F.col("a.r")) * (F.col("frame_i") - F.col("a.frame_i")) / span).otherwise(F.col("a.r"))
-    asked = both.select("clip_id", "frame_i", F.rint(at).cast("int").alias("ref_frame"))
-    return asked.join(reference.select("clip_id", F.col("frame_i").alias("ref_frame"), F.col(value).alias("v")), ["clip_id", "ref_frame"], "left").select("clip_id", "frame_i", "v")
+    frames = own.groupBy("clip_id").agg(F.collect_list("frame_i").alias("frames"))  # a clip's frames
+    values = reference.groupBy("clip_id").agg(F.collect_list(F.struct("frame_i", F.col(value).cast("double").alias("v"))).alias("values"))  # likewise
+    tracks = frames.join(values, "clip_id", "left").select("clip_id", "frames", F.col("values.frame_i").alias("at"), F.col("values.v").alias("v"))
+    return warped_tracks(path, tracks)
+
+
+def warped_tracks(path: DataFrame, tracks: DataFrame) -> DataFrame:
+    """``warped`` for ``tracks(clip_id, frames, at, v)``, a row a clip: its own frames, and frames of the reference with their values.
+
+    Clips meet their path by their id alone, and a batch of clips is worked
+    out at once: frames are keyed by clip and number, so places are found by
+    one search in the order of the keys.
+    """
+    knots = path.groupBy("clip_id", "par_frame").agg(F.avg("ref_frame").alias("r")).filter("r is not null")
+    of_clip = knots.groupBy("clip_id").agg(F.collect_list(F.struct("par_frame", "r")).alias("k"))  # at most a clip's frames
+    both = tracks.join(of_clip, "clip_id", "left").select("clip_id", "frames", "at", "v", F.col("k.par_frame").alias("f"), F.col("k.r").alias("r"))
+    schema = StructType([tracks.schema["clip_id"], StructField("frame_i", tracks.schema["frames"].dataType.elementType), StructField("v", DoubleType())])
+    made = to_arrow_schema(schema)
+
+    def flat(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+        """The row of each element, and the elements."""
+        return np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)), lists.flatten()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(i, CLIPS) for whole in batches for i in range(0, whole.num_rows, CLIPS)):
+            (clip, frames), (of_at, at), (_, v), (of_f, f), (_, r) = (flat(b[c]) for c in ("frames", "at", "v", "f", "r"))
+            number = [x.cast(pa.int64()).to_numpy(zero_copy_only=False) for x in (frames, at, f)]
+            low = min((int(x.min()) for x in number if len(x)), default=0) - 1
+            width = max((int(x.max()) for x in number if len(x)), default=0) - low + 2
+            own, of_reference, known = (k * width + (x - low) for k, x in zip((clip, of_at, of_f), number))
+            asked = np.full(len(own), np.nan)
+            if len(known):
+                order = np.argsort(known, kind="stable")
+                known, means = known[order], r.to_numpy(zero_copy_only=False)[order]
+                after = np.searchsorted(known, own)
+                before = np.searchsorted(known, own, side="right") - 1
+                top = len(known) - 1
+                a, z = np.clip(before, 0, top), np.clip(after, 0, top)
+                has_a, has_z = (before >= 0) & (known[a] // width == clip), (after <= top) & (known[z] // width == clip)
+                a, z = np.where(has_a, a, z), np.where(has_z, z, a)
+                span = known[z] - known[a]
+                there = means[a] + (means[z] - means[a]) * (own - known[a]) / np.maximum(span, 1)
+                asked = np.where(has_a | has_z, np.rint(np.where(span > 0, there, means[a])), np.nan)
+            found = np.full(len(own), -1)
+            if len(of_reference):
+                order = np.argsort(of_reference, kind="stable")
+                inside = (asked > low) & (asked < low + width - 1)
+                key = np.where(inside, clip * width + np.where(inside, asked - low, 0).astype(np.int64), -1)
+                place = np.clip(np.searchsorted(of_reference[order], key), 0, len(order) - 1)
+                found = np.where(of_reference[order][place] == key, order[place], -1)
+            told = v.take(pa.array(np.where(found < 0, 0, found), mask=found < 0))
+            yield pa.RecordBatch.from_arrays([b["clip_id"].take(pa.array(clip)), frames, told.cast(pa.float64())], schema=made)
+
+    return both.mapInArrow(run, schema)

@@ -468,3 +468,14 @@ def test_numbers(spark):
         numbers.sample_of(F.lit(0.25), 10).alias("even"), numbers.request_key(F.col("k"), F.col("n")).alias("key"), numbers.root_mean_square(F.array().cast("array<float>")).alias("none"),
     ).first()
     assert abs(r.rms - (1.5 / 4) ** 0.5) < 1e-6 and r.s == [-0.5, 1.0] and r.f == [0.5, -0.5, 1.0, 0.0, 0.0, 0.0] and r.v is None and r.even == 2 and len(r.key) == 20 and r.none == 1e-9
+
+
+def test_warping_joins_clips_and_not_frames(spark):
+    """Frames without a path, beyond the reference, and between unsorted knots; only clips are dealt out."""
+    path = spark.createDataFrame([("a", 4.0, 6), ("a", 2.0, 6), ("a", 0.0, 2), ("b", 50.0, 3), ("c", -2.0, 0)], "clip_id string, ref_frame double, par_frame int")
+    own = spark.createDataFrame([(c, i) for c in "abcd" for i in (7, 2, 3, 4, 0)], "clip_id string, frame_i int")
+    reference = spark.createDataFrame([(c, i, 10.0 * i) for c in "abd" for i in (3, 0, 1, 2)], "clip_id string, frame_i int, v double")
+    got = pages.warped(path, reference, own, "v")
+    want = {("a", 7): 30.0, ("a", 2): 0.0, ("a", 3): 10.0, ("a", 4): 20.0, ("a", 0): 0.0}
+    assert {(r.clip_id, r.frame_i): r.v for r in got.collect()} == {(c, i): want.get((c, i)) for c in "abcd" for i in (7, 2, 3, 4, 0)}
+    assert "frame_i" not in "".join(line for line in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line)
