@@ -6,7 +6,7 @@ together by key and aligned by one task with numpy.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -23,64 +23,118 @@ def similarity(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-def _in_common(a: str, masks: dict[str, int], n: int) -> int:
-    """Length of the longest common subsequence of ``a`` and the word of ``n`` letters whose places ``masks`` holds, in bits."""
-    rest = whole = (1 << n) - 1
-    for c in a:
-        hit = rest & masks.get(c, 0)
-        rest = (rest + hit | rest - hit) & whole
-    return n - rest.bit_count()
+#: Letters up to which words are measured many at once; SequenceMatcher itself measures longer ones.
+LETTERS = 64
+#: Columns of the letters that words hold.  Letters that share one only raise what words may have in common.
+SLOTS = 256
+#: Words of pairs that are scored together, and cells or pairs of words looked at in one step.
+TOGETHER, BLOCK = 8000, 1 << 20
 
 
-def _scores(ref: list[str], hyp: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each pair of different words: equal 1, similar 2 * ratio - 1, other -1; and the row and column of each word of both sides.
+def _matches(a: np.ndarray, b: np.ndarray, long_a: np.ndarray, long_b: np.ndarray) -> np.ndarray:
+    """Of each row of letters of ``a`` and ``b`` how many SequenceMatcher matches.
 
-    What two words have in common is at most the letters that both hold, and
-    at most their longest common subsequence, so only pairs that these let be
-    similar are measured.
+    As there, the longest block that both sides share is taken, of several
+    the first in ``a``, then in ``b``, and what is left and right of it in turn.
     """
-    ours, theirs = sorted(set(ref)), sorted(set(hyp))
-    place = [{w: k for k, w in enumerate(words)} for words in (ours, theirs)]
-    column: dict[tuple[str, int], int] = {}
-
-    def held(words: list[str]) -> list[list[int]]:
-        """A word's letters as numbers, the first, second, ... of a letter each with its own."""
-        out = []
-        for w in words:
+    found = np.zeros(len(a), np.int64)
+    zero = np.zeros(len(a), np.int64)
+    todo = np.stack([np.arange(len(a)), zero, long_a, zero, long_b], axis=1)
+    while len(todo):
+        todo = todo[np.argsort(np.maximum(todo[:, 2] - todo[:, 1], todo[:, 4] - todo[:, 3]), kind="stable")]
+        left = []
+        for at in range(0, len(todo), 4096):  # of about one length
+            row, a0, a1, b0, b1 = part = todo[at : at + 4096].T
+            ours, theirs = np.arange((a1 - a0).max()), np.arange((b1 - b0).max())
+            x = np.where(ours < (a1 - a0)[:, None], a[row[:, None], np.minimum(a0[:, None] + ours, a.shape[1] - 1)], -1)
+            y = np.where(theirs < (b1 - b0)[:, None], b[row[:, None], np.minimum(b0[:, None] + theirs, b.shape[1] - 1)], -2)
+            run = np.zeros((len(row), len(theirs) + 1), np.int16)  # of the letters that end here, one column later
+            most, end_a, end_b, every = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64), np.zeros(len(row), np.int64), np.arange(len(row))
+            for i in ours:
+                run[:, 1:] = (run[:, :-1] + 1) * (y == x[:, i, None])
+                j = run.argmax(axis=1)
+                n = run[every, j]
+                more = n > most
+                most[more], end_a[more], end_b[more] = n[more], i + 1, j[more]
+            np.add.at(found, row, most)
+            row, a0, a1, b0, b1 = part[:, most > 0]
+            most, end_a, end_b = most[most > 0], end_a[most > 0], end_b[most > 0]
+            left += [np.stack(t, axis=1) for t in ((row, a0, a0 + end_a - most, b0, b0 + end_b - most), (row, a0 + end_a, a1, b0 + end_b, b1))]
+        todo = np.concatenate(left) if left else todo[:0]
+        todo = todo[(todo[:, 2] > todo[:, 1]) & (todo[:, 4] > todo[:, 3])]
+    return found
+
+
+class _Vocabulary:
+    """Different words as numbers, with their letters."""
+
+    def __init__(self, words: list[str]):
+        self.words, self.place = words, {w: k for k, w in enumerate(words)}
+        self.lengths = np.array([len(w) for w in words])
+        short = [w if len(w) <= LETTERS else "" for w in words]
+        width = max(1, max(map(len, short)))
+        self.letters = np.array(short, f"<U{width}").view(np.uint32).reshape(len(words), width).astype(np.int32)
+        # the first, second, .. of a letter each has its own number
+        own = np.where(self.lengths <= LETTERS, self.lengths, 0)
+        there = np.arange(width) < own[:, None]
+        nth = np.zeros(self.letters.shape, np.int64)
+        for k in range(1, width):
+            nth[:, k] = (self.letters[:, :k] == self.letters[:, k, None]).sum(axis=1)
+        rows, columns = np.nonzero(there)
+        held = np.bincount(rows * SLOTS + (self.letters[rows, columns] + 37 * nth[rows, columns]) % SLOTS, minlength=len(words) * SLOTS)
+        self.held = held.reshape(len(words), SLOTS).astype(np.float32)
+        for k in np.flatnonzero(self.lengths > LETTERS):
             seen: dict[str, int] = {}
-            for c in w:
-                seen[c] = seen.get(c, 0) + 1
-            out.append([column.setdefault((c, k), len(column)) for c, n in seen.items() for k in range(n)])
+            for c in words[k]:
+                n = seen[c] = seen.get(c, -1) + 1
+                self.held[k, (ord(c) + 37 * n) % SLOTS] += 1
+
+    def may_be_similar(self, ours: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of pairs of words that share letters enough: what they have in common is at most the letters that both hold."""
+        rows, columns = [], []
+        many = max(1, BLOCK // len(theirs))
+        for at in range(0, len(ours), many):
+            some = ours[at : at + many]
+            i, j = np.nonzero(2 * (self.held[some] @ self.held[theirs].T) >= (SIMILAR - 1e-6) * (self.lengths[some][:, None] + self.lengths[theirs]))
+            rows.append(i + at)
+            columns.append(j)
+        return np.concatenate(rows), np.concatenate(columns)
+
+    def ratios(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``similarity`` of the words of these numbers."""
+        out = np.empty(len(a))
+        for at in range(0, len(a), BLOCK):
+            x, y = a[at : at + BLOCK], b[at : at + BLOCK]
+            long = (self.lengths[x] > LETTERS) | (self.lengths[y] > LETTERS)
+            ratio = 2.0 * _matches(self.letters[x], self.letters[y], np.where(long, 0, self.lengths[x]), np.where(long, 0, self.lengths[y])) / np.maximum(1, self.lengths[x] + self.lengths[y])
+            for k in np.flatnonzero(long):
+                ratio[k] = similarity(self.words[x[k]], self.words[y[k]])
+            out[at : at + BLOCK] = ratio
         return out
 
-    letters = held(ours), held(theirs)
-    sets = [np.zeros((len(words), max(1, len(column))), np.float32) for words in letters]
-    for matrix, words in zip(sets, letters):
-        for k, numbers in enumerate(words):
-            matrix[k, numbers] = 1
-    lengths = np.array([len(w) for w in ours])[:, None] + np.array([len(w) for w in theirs])
-    score = np.full((len(ours), len(theirs)), -1.0)
-    least = (SIMILAR - 1e-6) * lengths
-    may = 2 * (sets[0] @ sets[1].T) >= least
-    matcher = SequenceMatcher()
-    for j in np.flatnonzero(may.any(axis=0)):
-        word, masks, told = theirs[j], {}, False
-        for k, c in enumerate(word):
-            masks[c] = masks.get(c, 0) | 1 << k
-        for i in np.flatnonzero(may[:, j]):
-            if ours[i] == word:
-                score[i, j] = 1.0
-                continue
-            if 2 * _in_common(ours[i], masks, len(word)) < least[i, j]:
-                continue
-            if not told:
-                matcher.set_seq2(word)
-                told = True
-            matcher.set_seq1(ours[i])
-            ratio = matcher.ratio()
-            if ratio > SIMILAR:
-                score[i, j] = 1.0 if ratio == 1.0 else 2 * ratio - 1
-    return score, np.array([place[0][w] for w in ref]), np.array([place[1][w] for w in hyp])
+
+def _scored(pairs: list[tuple[list[str], list[str]]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each pair of texts, none empty: the scores of its different words, and the row and column of each word of both sides.
+
+    Equal words score 1, similar ones 2 * ratio - 1, others -1.  Pairs of
+    words that may be similar are measured once for all texts.
+    """
+    words = _Vocabulary(sorted({w for pair in pairs for side in pair for w in side}))
+    parts, keys = [], []
+    for ref, hyp in pairs:
+        (ours, rows), (theirs, columns) = (np.unique([words.place[w] for w in side], return_inverse=True) for side in (ref, hyp))
+        i, j = words.may_be_similar(ours, theirs)
+        parts.append((ours, rows, theirs, columns, i, j))
+        keys.append(ours[i] * len(words.words) + theirs[j])
+    each, at = np.unique(np.concatenate(keys), return_inverse=True)
+    ratio = words.ratios(*np.divmod(each, len(words.words)))
+    score = np.where(ratio > SIMILAR, 2 * ratio - 1, -1.0)
+    start = 0
+    for ours, rows, theirs, columns, i, j in parts:
+        table = np.full((len(ours), len(theirs)), -1.0)
+        table[i, j] = score[at[start : start + len(i)]]
+        start += len(i)
+        yield table, rows, columns
 
 
 #: Cells up to which a table is held whole, as short turns are quicker so.
@@ -88,22 +142,22 @@ WHOLE = 1 << 20
 
 
 def _whole_steps(score: np.ndarray, step: np.ndarray) -> None:
-    """Fills ``step`` from a table of totals that is held whole: all steps are told at once at the end."""
+    """Fills ``step`` from a table of totals that is held whole: all steps are told at once at the end.
+
+    Totals are held without the gaps that a path straight to the cell would
+    have, so a gap costs nothing and a row is one running maximum.
+    """
     n, m = score.shape
-    total, padded = np.zeros((n + 1, m + 1)), np.zeros((n + 1, m + 1))
-    total[:, 0], total[0, :], padded[1:, 1:] = GAP * np.arange(n + 1), GAP * np.arange(m + 1), score
-    flat, own = total.reshape(-1), padded.reshape(-1)
-    for d in range(2, n + m + 1):
-        low, high = max(1, d - m), min(n, d - 1)
-        start, end = low * (m + 1) + d - low, high * (m + 1) + d - high + 1
-        pair = flat[start - m - 2 : end - m - 2 : m] + own[start:end:m]
-        gap = np.maximum(flat[start - m - 1 : end - m - 1 : m], flat[start - 1 : end - 1 : m]) + GAP
-        flat[start:end:m] = np.maximum(pair, gap)
+    total, gain = np.zeros((n + 1, m + 1)), score - 2 * GAP
+    for i in range(n):
+        best = total[i, :-1] + gain[i]
+        np.maximum(best, total[i, 1:], out=best)
+        np.maximum.accumulate(best, out=total[i + 1, 1:])
     best = total[1:, 1:]
-    near = 1e-8 + 1e-5 * np.abs(best)  # as np.isclose
+    near = 1e-8 + 1e-5 * np.abs(best + GAP * (np.arange(1, n + 1)[:, None] + np.arange(1, m + 1)))  # as np.isclose
     inner = step[1:, 1:]
-    inner[np.abs(total[:-1, 1:] + GAP - best) <= near] = 1
-    inner[np.abs(total[:-1, :-1] + score - best) <= near] = 0
+    inner[np.abs(total[:-1, 1:] - best) <= near] = 1
+    inner[np.abs(total[:-1, :-1] + gain - best) <= near] = 0
 
 
 def _steps_by_diagonals(score: np.ndarray, rows: np.ndarray, columns: np.ndarray, step: np.ndarray) -> None:
@@ -132,13 +186,12 @@ def _steps_by_diagonals(score: np.ndarray, rows: np.ndarray, columns: np.ndarray
         before, last = last, now
 
 
-def _steps(ref: list[str], hyp: list[str]) -> list[tuple[int | None, int | None]]:
+def _path(n: int, m: int, scored: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> list[tuple[int | None, int | None]]:
     """The cells of the best path in order; of a long pair's table only a byte a cell is held."""
-    n, m = len(ref), len(hyp)
     step = np.full((n + 1, m + 1), 2, np.int8)
     step[1:, 0] = 1
-    if n and m:
-        score, rows, columns = _scores(ref, hyp)
+    if scored:
+        score, rows, columns = scored
         if n * m <= WHOLE:
             _whole_steps(score[np.ix_(rows, columns)], step)
         else:
@@ -158,6 +211,29 @@ def _steps(ref: list[str], hyp: list[str]) -> list[tuple[int | None, int | None]
     return out[::-1]
 
 
+def _paths(pairs: Iterable[tuple[list[str], list[str]]]) -> Iterator[list[tuple[int | None, int | None]]]:
+    """The best path of each pair, in order; pairs are scored together up to some words."""
+    some, n = [], 0
+
+    def done() -> Iterator[list[tuple[int | None, int | None]]]:
+        full = [p for p in some if p[0] and p[1]]
+        scored = _scored(full) if full else iter(())
+        for ref, hyp in some:
+            yield _path(len(ref), len(hyp), next(scored) if ref and hyp else None)
+
+    for ref, hyp in pairs:
+        if some and n + len(ref) + len(hyp) > TOGETHER:
+            yield from done()
+            some, n = [], 0
+        some.append((ref, hyp))
+        n += len(ref) + len(hyp)
+    yield from done()
+
+
+def _steps(ref: list[str], hyp: list[str]) -> list[tuple[int | None, int | None]]:
+    return next(_paths([(ref, hyp)]))
+
+
 def align_words(ref: list[str], hyp: list[str]) -> list[tuple[int | None, int | None, float | None]]:
     """Global alignment: equal 1, similar 2 * ratio - 1, other -1, gap -0.6; ties prefer a pair, then a gap in ``hyp``."""
     return [(i, j, None if i is None or j is None else 1.0 if ref[i] == hyp[j] else similarity(ref[i], hyp[j])) for i, j in _steps(ref, hyp)]
@@ -168,7 +244,7 @@ def aligned_counts(pairs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            n = [sum(i is not None and j is not None for i, j in _steps(list(r), list(h))) for r, h in zip(b["ref"], b["hyp"])]
+            n = [sum(i is not None and j is not None for i, j in path) for path in _paths((list(r), list(h)) for r, h in zip(b["ref"], b["hyp"]))]
             yield pd.DataFrame({"clip_id": b["clip_id"], "ref": b["ref"].map(len), "hyp": b["hyp"].map(len), "pairs": n}).astype({c: "int64" for c in ("ref", "hyp", "pairs")})
 
     # few bytes but much work a row, so tasks are not to be merged by their bytes
