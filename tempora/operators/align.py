@@ -27,8 +27,8 @@ def similarity(a: str, b: str) -> float:
 LETTERS = 64
 #: Columns of the letters that words hold.  Letters that share one only raise what words may have in common.
 SLOTS = 256
-#: Words of pairs that are scored together, and cells or pairs of words looked at in one step.
-TOGETHER, BLOCK = 8000, 1 << 20
+#: Words of pairs that are scored together, cells looked at and pairs of words measured in one step.
+TOGETHER, BLOCK, MEASURED = 8000, 1 << 20, 1 << 16
 
 
 def _matches(a: np.ndarray, b: np.ndarray, long_a: np.ndarray, long_b: np.ndarray) -> np.ndarray:
@@ -103,13 +103,13 @@ class _Vocabulary:
     def ratios(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """``similarity`` of the words of these numbers."""
         out = np.empty(len(a))
-        for at in range(0, len(a), BLOCK):
-            x, y = a[at : at + BLOCK], b[at : at + BLOCK]
+        for at in range(0, len(a), MEASURED):
+            x, y = a[at : at + MEASURED], b[at : at + MEASURED]
             long = (self.lengths[x] > LETTERS) | (self.lengths[y] > LETTERS)
             ratio = 2.0 * _matches(self.letters[x], self.letters[y], np.where(long, 0, self.lengths[x]), np.where(long, 0, self.lengths[y])) / np.maximum(1, self.lengths[x] + self.lengths[y])
             for k in np.flatnonzero(long):
                 ratio[k] = similarity(self.words[x[k]], self.words[y[k]])
-            out[at : at + BLOCK] = ratio
+            out[at : at + MEASURED] = ratio
         return out
 
 
