@@ -57,22 +57,30 @@ def confusion(pairs: DataFrame, truth: str, found: str, labels: Sequence[str]) -
     return pairs.groupBy(truth).pivot(found, list(labels)).count().fillna(0)
 
 
+def centred_rank(keys: Sequence[str], value: str, n: Column) -> Column:
+    """Mean rank of ``value`` in its group of rows that stand for ``n`` each, less the mean of all ranks."""
+    group = Window.partitionBy(*keys)
+    return F.sum(n).over(group.orderBy(value)) - F.sum(n).over(Window.partitionBy(*keys, value)) / 2 - F.sum(n).over(group) / 2
+
+
+def rank_correlation(n: Column, xy: Column, xx: Column, yy: Column, least: int) -> Column:
+    """From the number of rows and the sums of products of centred ranks; null under ``least`` rows or for a constant."""
+    return F.when((n >= least) & (xx > 0) & (yy > 0), xy / F.sqrt(xx * yy))
+
+
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 3) -> DataFrame:
-    """Rank correlation with mean ranks of ties; null under ``least`` rows or for a constant."""
-    counts = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
+    """Rank correlation with mean ranks of ties; null under ``least`` rows or for a constant.
 
-    def ranks(c: str) -> DataFrame:
-        """Each distinct value's mean rank, less the mean of all ranks: the window is over distinct values only."""
-        group = Window.partitionBy(*keys)
-        of_value = counts.groupBy(*keys, c).agg(F.sum("_n").alias("_v"))
-        upto = F.sum("_v").over(group.orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return of_value.select(*keys, c, (upto - F.col("_v") / 2 - F.sum("_v").over(group) / 2).alias(f"{c}r"))
-
-    ranked = counts.join(ranks("_x"), [*keys, "_x"]).join(ranks("_y"), [*keys, "_y"])
-    n, xr, yr = F.col("_n"), F.col("_xr"), F.col("_yr")
-    found = ranked.groupBy(*keys).agg(F.sum(n).alias("n"), F.sum(n * xr * yr).alias("_xy"), F.sum(n * xr * xr).alias("_xx"), F.sum(n * yr * yr).alias("_yy"))
-    ok = (F.col("n") >= least) & (F.col("_xx") > 0) & (F.col("_yy") > 0)
-    return found.select(*keys, "n", F.when(ok, F.col("_xy") / F.sqrt(F.col("_xx") * F.col("_yy"))).alias("rho"))
+    Equal pairs are first counted together, and the windows are over distinct
+    pairs and distinct ``x``.  Values are ranked where they are and never joined
+    by: a sum of doubles has other last bits each time a cluster works it out.
+    """
+    counts = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
+    n, yr = F.col("_n"), F.col("_yr")
+    by_x = counts.withColumn("_yr", centred_rank(keys, "_y", n)).groupBy(*keys, "_x").agg(F.sum(n).alias("_v"), F.sum(n * yr).alias("_w"), F.sum(n * yr * yr).alias("_yy"))
+    v, xr = F.col("_v"), F.col("_xr")
+    found = by_x.withColumn("_xr", centred_rank(keys, "_x", v)).groupBy(*keys).agg(F.sum(v).alias("n"), F.sum(xr * F.col("_w")).alias("_xy"), F.sum(v * xr * xr).alias("_xx"), F.sum("_yy").alias("_yy"))
+    return found.select(*keys, "n", rank_correlation(F.col("n"), F.col("_xy"), F.col("_xx"), F.col("_yy"), least).alias("rho"))
 
 
 def auc(df: DataFrame, keys: Sequence[str], positive: str, value: str) -> DataFrame:

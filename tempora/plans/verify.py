@@ -124,14 +124,17 @@ def doses(told: DataFrame, keys: list[str], levels: range = range(1, 6)) -> Data
     """``(keys, L1.., spearman, monotonic, rises)`` of ``told(keys, flaw, level, value)``: whether a flaw's effect goes with its level.
 
     A level's effect is the sum or mean of its regions'.  ``monotonic`` is never
-    turning back by more than a millionth over the levels that are there.
+    turning back by more than a millionth over the levels that are there.  Ranks
+    and steps are told from one evaluation of the effects.
     """
     flaw = F.col("flaw")
     effect = F.when(flaw.isin(*SUMMED), F.sum("value")).otherwise(F.avg("value"))
     of_level = told.filter(F.col("level").isin(*levels)).groupBy(*keys, "flaw", "level").agg(effect.alias("effect")).filter("effect is not null")
-    step = F.col("effect") - F.lag("effect").over(Window.partitionBy(*keys, "flaw").orderBy("level"))
-    rho = evaluate.spearman(of_level, [*keys, "flaw"], "level", "effect", least=2).withColumnRenamed("rho", "spearman").drop("n")
+    group, one = [*keys, "flaw"], F.lit(1)
+    step = F.col("effect") - F.lag("effect").over(Window.partitionBy(*group).orderBy("level"))
+    ranked = of_level.select("*", step.alias("step"), evaluate.centred_rank(group, "level", one).alias("_xr"), evaluate.centred_rank(group, "effect", one).alias("_yr"))
+    x, y = F.col("_xr"), F.col("_yr")
+    spearman = evaluate.rank_correlation(F.count(one), F.sum(x * y), F.sum(x * x), F.sum(y * y), least=2)
     wide: list[Column] = [F.max(F.when(F.col("level") == k, F.col("effect"))).alias(f"L{k}") for k in levels]
-    turned = of_level.withColumn("step", step).groupBy(*keys, "flaw").agg(*wide, F.coalesce(F.min("step") >= -1e-6, F.lit(True)).alias("rises"), F.coalesce(F.max("step") <= 1e-6, F.lit(True)).alias("falls"))
-    joined = turned.join(rho, [*keys, "flaw"], "left")
-    return joined.select(*keys, "flaw", *[f"L{k}" for k in levels], "spearman", (F.col("rises") | F.col("falls")).alias("monotonic"), "rises")
+    rises, falls = F.coalesce(F.min("step") >= -1e-6, F.lit(True)), F.coalesce(F.max("step") <= 1e-6, F.lit(True))
+    return ranked.groupBy(*group).agg(*wide, spearman.alias("spearman"), (rises | falls).alias("monotonic"), rises.alias("rises"))

@@ -38,6 +38,24 @@ def test_spearman(spark, series_, want):
     assert rho is None if want is None else round(rho, 3) == want
 
 
+def test_spearman_of_values_whose_last_bits_differ_each_time_they_are_worked_out(spark):
+    """As sums of doubles on a cluster do, whose parts are put together in the order in which they arrive."""
+    rows = [(g, i, float(v)) for g, values in (("a", (5, 3, 4, 1, 2)), ("b", (1, 2, 3, 4, 5)), (None, (1, 3, 2))) for i, v in enumerate(values)]
+    sums = spark.createDataFrame(rows, "g string, x int, v double").groupBy("g", "x").agg(F.sum("v").alias("v"))
+    df = sums.withColumn("y", F.col("v") + F.reflect(F.lit("java.lang.Math"), F.lit("random")).cast("double") * 1e-9)
+    got = {r.g: (r.n, round(r.rho, 9)) for r in evaluate.spearman(df, ["g"], "x", "y").collect()}
+    assert got == {"a": (5, -0.8), "b": (5, 1.0), None: (3, 0.5)}
+
+
+def test_spearman_of_ties_in_both(spark):
+    import pandas as pd
+
+    pairs = [(i * i % 7, i * i * i % 5 * 0.5) for i in range(40)] + [(3, -0.0), (3, 0.0)]
+    df = spark.createDataFrame([("a", x, y) for x, y in pairs] + [("a", None, 1.0), ("a", 1, None)], "g string, x int, y double")
+    r = evaluate.spearman(df, ["g"], "x", "y").first()
+    assert r.n == 42 and r.rho == pytest.approx(pd.DataFrame(pairs).rank().corr().iloc[0, 1], abs=1e-12)
+
+
 @pytest.mark.parametrize(("a", "b", "least", "want"), [((1, 2), (1.5, 2.5), 0, 1 / 3), ((5, 5), (5.1, 5.1), 0.3, 0.5), ((1, 2), (2, 3), 0, 0), ((0, 4), (1, 3), 0, 0.5)])
 def test_iou(spark, a, b, least, want):
     lit = lambda x: F.lit(float(x))

@@ -61,6 +61,13 @@ def test_doses(spark):
     assert got["x", "FILLER"].L1 == 0.75 and got["x", "FILLER"].spearman is None and not got["y", "SHOUT"].monotonic
 
 
+def test_doses_work_their_effects_out_once(spark):
+    told = [(t, "SHOUT", k, v) for t, values in (("x", (1.0, 3.0, 2.0)), (None, (1.0, 2.0, 3.0)), ("z", (0.0, -0.0, 1.0))) for k, v in enumerate(values, 1)]
+    found = verify.doses(spark.createDataFrame(told, "take_id string, flaw string, level int, value double"), ["take_id"])
+    assert {r.take_id: (round(r.spearman, 9), r.rises) for r in found.collect()} == {"x": (0.5, False), None: (1.0, True), "z": (0.866025404, True)}
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()  # by effects, which differ in their last bits each time they are summed
+
+
 def speech(seed, seconds=6.0):
     """Bursts of coloured noise with pauses."""
     r = np.random.default_rng(seed)
